@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.session import ship_package
 
-from . import mixing, simhash, token_count, url_filter
+from .oracles import ORACLES as ORACLES
+from . import decontaminate, mixing, quality, simhash, token_count, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -45,10 +46,20 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 6))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
