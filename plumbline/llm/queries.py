@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import ship_package
 
 from .oracles import ORACLES as ORACLES
-from . import decontaminate, mixing, quality, simhash, token_count, url_filter
+from . import decontaminate, language_id, mixing, quality, simhash, token_count, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -32,6 +32,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kept_back = table(spark, sf_dir, "documents"), language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~kept_back & F.col("doc_id").isNotNull()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", kept_back.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kept_back = table(spark, sf_dir, "documents"), language_id.held_out("doc_id", 5, 0)
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels").where(~kept_back)))
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", kept_back.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -57,6 +71,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
