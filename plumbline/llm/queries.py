@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import ship_package
 
 from .oracles import ORACLES as ORACLES
-from . import decontaminate, language_id, mixing, quality, simhash, token_count, toxicity, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, privacy, quality, simhash, token_count, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -39,6 +39,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kept_back.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, kept_back = table(spark, sf_dir, "documents"), language_id.held_out("doc_id", 5, 0)
     model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels").where(~kept_back)))
@@ -46,6 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kept_back.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.privacy_report(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -72,7 +81,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_personal_data": op5_personal_data,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
