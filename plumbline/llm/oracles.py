@@ -36,15 +36,14 @@ qc AS (SELECT lang, k, s / greatest(1.0, sum(s) OVER (PARTITION BY lang)) AS q F
 x AS (SELECT rid, lang, text, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM m),
 xl AS (SELECT x.lang, w, count(*) AS n FROM x JOIN langs ON x.lang = langs.lang WHERE text IS NOT NULL GROUP BY x.lang, w),
 xp AS (SELECT lang, w, n / sum(n) OVER (PARTITION BY lang) AS p FROM xl),
-v AS (SELECT DISTINCT w FROM xp WHERE p >= 0.01),
-qw AS (SELECT langs.lang, v.w, coalesce(CASE WHEN xp.p >= 0.001 THEN xp.p END, 0.0) AS q FROM langs CROSS JOIN v LEFT JOIN xp ON xp.lang = langs.lang AND xp.w = v.w),
-qo AS (SELECT lang, greatest(0.0, 1.0 - sum(q)) AS q FROM qw GROUP BY lang),
-dw AS (SELECT rid, w, count(*) AS n FROM x WHERE w IN (SELECT w FROM v) GROUP BY rid, w),
-pw AS (SELECT m.rid, qw.lang, coalesce(dw.n, 0) / m.n_words AS p, qw.q FROM m JOIN qw ON m.n_words > 0 LEFT JOIN dw ON dw.rid = m.rid AND dw.w = qw.w
-  UNION ALL SELECT m.rid, qo.lang, (m.n_words - coalesce((SELECT sum(n) FROM dw WHERE dw.rid = m.rid), 0)) / m.n_words, qo.q FROM m JOIN qo ON m.n_words > 0),
+qw AS (SELECT lang, w, p AS q FROM xp WHERE p >= 0.01),
+qo AS (SELECT langs.lang, greatest(0.0, 1.0 - coalesce(sum(q), 0.0)) AS q FROM langs LEFT JOIN qw ON qw.lang = langs.lang GROUP BY langs.lang),
+dw AS (SELECT rid, w, count(*) AS n FROM x WHERE w IN (SELECT w FROM qw) GROUP BY rid, w),
+pw AS (SELECT m.rid, qw.lang, coalesce(dw.n, 0) / m.n_words AS p, qw.q FROM m JOIN qw ON m.n_words > 0 LEFT JOIN dw ON dw.rid = m.rid AND dw.w = qw.w),
+pw2 AS (SELECT * FROM pw UNION ALL SELECT m.rid, qo.lang, greatest(0.0, 1.0 - coalesce(s.p, 0.0)), qo.q FROM m JOIN qo ON m.n_words > 0 LEFT JOIN (SELECT rid, lang, sum(p) AS p FROM pw GROUP BY rid, lang) s ON s.rid = m.rid AND s.lang = qo.lang),
 pc AS (SELECT m.rid, qc.lang, cls.c / length(m.t) AS p, qc.q FROM m JOIN cls ON cls.rid = m.rid JOIN qc ON qc.k = cls.k WHERE m.n_words > 0),
 js AS (SELECT rid, lang, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END) AS d
-  FROM (SELECT * FROM pw UNION ALL SELECT * FROM pc) GROUP BY rid, lang),
+  FROM (SELECT * FROM pw2 UNION ALL SELECT * FROM pc) GROUP BY rid, lang),
 near AS (SELECT rid, sqrt(greatest(0.0, min(d) / 2)) AS d FROM js GROUP BY rid),
 f AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, near.d FROM m LEFT JOIN near ON near.rid = m.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(d, 6) AS distance,

@@ -15,31 +15,37 @@ from pyspark.sql import functions as F
 from .text import SPACES, lower_ascii, pieces
 
 WINDOW = 8
+HALF = WINDOW // 2
 #: Guards: the fewest words, and the most words in repeated windows, per cent.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The distance above which a document is rejected, and the words it must have to be judged by it.
 MOST_DISTANCE, JUDGED_WORDS = 0.27, 50
 #: A language counts from this part of the documents on (so there are at most 100), a word from this part of its words.
 LANGUAGE_SHARE, WORD_SHARE = 0.01, 0.01
-CLASSES = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "digit": r"\p{Nd}", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\x22()-"}
+CLASSES = {"lower": r"\p{Ll}", "space": r"\x20\x09-\x0D", "upper": r"\p{Lu}", "stop": r".,;:!?'\x22()-", "digit": r"\p{Nd}"}
 
 
 @dataclass(frozen=True)
 class Reference:
-    """Shares of the character classes (others last) and of the common words (others last), by language."""
+    """By language: shares of the character classes (others last), and the common words with their shares."""
 
-    words: tuple[str, ...]
     classes: dict[str, tuple[float, ...]]
-    common: dict[str, tuple[float, ...]]
+    common: dict[str, dict[str, float]]
 
+    @property
+    def words(self) -> list[str]:
+        return sorted({w for ws in self.common.values() for w in ws})
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, then all others; the counts add up to the length."""
-    counts = [F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES.values()]
-    rest = F.length(text)
-    for c in counts:
-        rest = rest - c
-    return F.array(*[c.cast("double") for c in counts], rest.cast("double"))
+
+def with_class_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """df with ``k``, the characters of each class, then all others. Each class is taken out of what the last one left, so later passes are short."""
+    left = text_col
+    counts = []
+    for name, chars in CLASSES.items():
+        df = df.withColumn(f"_{name}", F.regexp_replace(left, f"[{chars}]+", ""))
+        counts.append((F.length(left) - F.length(f"_{name}")).cast("double"))
+        left = f"_{name}"
+    return df.withColumn("k", F.array(*counts, F.length(left).cast("double"))).drop(*[f"_{name}" for name in CLASSES])
 
 
 def learn_reference(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Reference:
@@ -50,21 +56,18 @@ def learn_reference(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     n = len(CLASSES) + 1
-    sums = rows.select("lang", class_counts(F.col("t")).alias("c")).groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
+    sums = with_class_counts(rows, "t").select("lang", "k").groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(n)])
     sums = sums.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("all")))).where(F.col("n") >= LANGUAGE_SHARE * F.col("all"))
-    classes = {r["lang"]: tuple(r[f"c{i}"] / max(1.0, sum(r[f"c{j}"] for j in range(n))) for i in range(n)) for r in sums.collect()}
+    classes = {r["lang"]: tuple(r[f"k{i}"] / max(1.0, sum(r[f"k{j}"] for j in range(n))) for i in range(n)) for r in sums.collect()}
     if not classes:
-        return Reference((), {}, {})
+        return Reference({}, {})
     words = rows.where(F.col("lang").isin(sorted(classes))).select("lang", F.explode(pieces(lower_ascii(F.col("t")), SPACES)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("all"))
-    shared = words.join(F.broadcast(totals), "lang").where(F.col("n") >= 0.1 * WORD_SHARE * F.col("all")).select("lang", "w", (F.col("n") / F.col("all")).alias("p")).collect()
-    common = sorted({r["w"] for r in shared if r["p"] >= WORD_SHARE})
-    at = {w: i for i, w in enumerate(common)}
-    table = {lang: [0.0] * len(common) for lang in classes}
-    for r in shared:
-        if r["w"] in at:
-            table[r["lang"]][at[r["w"]]] = r["p"]
-    return Reference(tuple(common), classes, {lang: (*p, max(0.0, 1.0 - sum(p))) for lang, p in table.items()})
+    shared = words.join(F.broadcast(totals), "lang").where(F.col("n") >= WORD_SHARE * F.col("all")).select("lang", "w", (F.col("n") / F.col("all")).alias("p")).collect()
+    common: dict[str, dict[str, float]] = {lang: {} for lang in classes}
+    for r in sorted(shared, key=lambda r: (r["lang"], r["w"])):
+        common[r["lang"]][r["w"]] = r["p"]
+    return Reference(classes, common)
 
 
 def divergence(p: Column, q: tuple[float, ...]) -> Column:
@@ -90,8 +93,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, WINDOW)])).alias("h"),
+        F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, HALF)])).alias("h"),
     )
+    out = out.withColumn("h", F.transform("h", lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + HALF))))
     out = out.withColumn("h", F.when(F.col("n_words") >= WINDOW, F.slice("h", F.lit(1), F.size("w") - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>")))
     out = out.select("doc", "t", "w", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", (F.size(F.array_distinct("h")) < F.size("h")).alias("again"))
     out = out.withColumn("r", F.when(F.col("again"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -113,15 +117,24 @@ def judge(docs: DataFrame, reference: Reference, text_col: str = "text") -> Data
     """
     out = measures(docs, text_col)
     if reference.classes:
+        words = reference.words
+        at = {w: i for i, w in enumerate(words)}
         out = out.withColumn("spaced", F.concat(F.lit(" "), lower_ascii(F.array_join("w", "  ")), F.lit(" ")))
-        count = [((F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w.encode()) + 2))) for w in reference.words]
-        out = out.withColumn("c", F.array(*[x.cast("double") for x in count]) if count else F.array().cast("array<double>")).withColumn("k", class_counts(F.col("t")))
-        out = out.withColumn("other", F.col("n_words") - F.aggregate("c", F.lit(0.0), lambda a, x: a + x))
-        out = out.withColumn("c", F.transform(F.concat("c", F.array("other")), lambda x: x / F.col("n_words")))
-        out = out.withColumn("k", F.transform("k", lambda x: x / F.length("t")))
-        every = [(divergence(F.col("k"), reference.classes[lang]) + divergence(F.col("c"), reference.common[lang])) / 2 for lang in sorted(reference.classes)]
-        nearest = F.array_min(F.array(*every))
-        out = out.withColumn("distance", F.when(F.col("n_words") > 0, F.sqrt(F.greatest(nearest, F.lit(0.0)))))
+        if words:  # words longer than every common one go first, to shorten the string that is searched for each of these
+            out = out.withColumn("spaced", F.regexp_replace("spaced", f" [^ ]{{{max(map(len, words)) + 1},}} ", ""))
+        count = [((F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w.encode()) + 2)) / F.col("n_words")) for w in words]
+        judged = F.col("n_words") > 0
+        out = with_class_counts(out.withColumn("c", F.when(judged, F.array(*count).cast("array<double>"))), "t")
+        out = out.withColumn("k", F.when(judged, F.transform("k", lambda x: x / F.length("t"))))
+        every = []
+        for lang in sorted(reference.classes):
+            own = reference.common[lang]
+            shares = [F.get("c", F.lit(at[w])) for w in own]
+            rest = F.lit(1.0)
+            for x in shares:
+                rest = rest - x
+            every.append((divergence(F.col("k"), reference.classes[lang]) + divergence(F.array(*shares, F.greatest(rest, F.lit(0.0))), (*own.values(), max(0.0, 1.0 - sum(own.values()))))) / 2)
+        out = out.withColumn("distance", F.when(judged, F.sqrt(F.greatest(F.array_min(F.array(*every)), F.lit(0.0)))))
     else:
         out = out.withColumn("distance", F.lit(None).cast("double"))
     odd = (F.col("n_words") >= JUDGED_WORDS) & F.coalesce(F.col("distance") > MOST_DISTANCE, F.lit(False))
@@ -139,6 +152,11 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents that the rules reject, all columns kept. A filter on the row: texts move in no shuffle."""
+    """docs without the documents that the rules reject, all columns kept. A filter on the row: texts move in no shuffle.
+
+    The verdict becomes zero or one rows by a generator, since a filter would be pushed into the projections below and
+    have every measure computed again.
+    """
     judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col)
-    return judged.where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    kept = judged.select("doc", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("one"))
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
