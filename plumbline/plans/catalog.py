@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bill_queries
+
 FLAGSHIP = "priced_bill"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**bill_queries.QUERIES}
+ORACLES: dict[str, str] = {**bill_queries.ORACLES}
