@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the fit: documents of each label, characters of one, features kept.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_FEATURES = 1500, 3000, 20_000, 30_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_FEATURES = 1000, 1500, 6_000, 30_000
 #: A telling feature occurs in so many toxic documents at least, and so much more often there (log of the ratio).
 SUPPORT, TELLING = 3, 2.5
 CHAIN, EPOCHS, RATE, DECAY = 128, 60, 0.5, 1e-4
@@ -28,11 +28,11 @@ EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»
 
 
 def features(word: str) -> list[str]:
-    """The bare lower-cased word, its beginnings of 3 to 8 and endings of 3 to 5 characters."""
+    """The bare lower-cased word, its beginnings of 3 to 7 and endings of 3 and 4 characters."""
     w = word.lower().strip(EDGES)
     if not w:
         return []
-    return [f"w {w}", *(f"b {w[:n]}" for n in range(3, min(8, len(w) - 1) + 1)), *(f"e {w[-n:]}" for n in range(3, min(5, len(w) - 1) + 1))]
+    return [f"w {w}", *(f"b {w[:n]}" for n in range(3, min(7, len(w) - 1) + 1)), *(f"e {w[-n:]}" for n in range(3, min(4, len(w) - 1) + 1))]
 
 
 def marginals(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
