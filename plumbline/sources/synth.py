@@ -65,6 +65,66 @@ FROM {lineitem} WHERE l_partkey % 3 = 0""",
     "marks": """
 SELECT CAST(l_orderkey AS STRING) AS drawing_id, concat(CASE WHEN l_suppkey % 2 = 0 THEN 'P' ELSE 'F' END, CAST(l_partkey % 12 + 1 AS STRING)) AS mark, CAST(count(*) AS INT) AS n
 FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY 1, 2""",
+    "lines": """
+SELECT CAST(l.l_orderkey AS STRING) AS drawing_id, 0 AS page, CAST(l.l_suppkey % 3 AS BIGINT) AS block_id,
+  CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus) AS INT) AS line_no,
+  CASE l.l_partkey % 20
+    WHEN 0 THEN concat('PEDESTAL P', CAST(l.l_suppkey % 12 + 1 AS STRING), '(', CAST(100 * (p.p_size % 9 + 1) AS STRING), 'x', CAST(100 * (l.l_linenumber + 1) AS STRING), ') ', CAST(CAST(l.l_quantity AS INT) AS STRING), ' Nos')
+    WHEN 1 THEN concat('P', CAST(l.l_suppkey % 12 + 1 AS STRING), ' [600 X 500x', CAST(100 * (p.p_size % 9 + 1) AS STRING), '] - ', CAST(CAST(l.l_quantity AS INT) AS STRING), 'NOS')
+    WHEN 2 THEN concat('CURB  WALL 150THK x ', CAST(100 + 50 * (p.p_size % 4) AS STRING), 'HIGH') WHEN 3 THEN concat('SUMP PIT ', CAST(900 + 100 * l.l_linenumber AS STRING), ' x 1200')
+    WHEN 4 THEN concat('TOC EL 97.', CAST(100 + p.p_size AS STRING), ' FGL EL. 96.500') WHEN 5 THEN concat('INSERT PLATE TYPE A', CAST(l.l_linenumber AS STRING), ' a')
+    WHEN 6 THEN concat(CAST(l.l_linenumber AS STRING), 'MM THK ACID RESISTANT EPOXY') WHEN 7 THEN concat('(', CAST(l.l_linenumber AS STRING), ')-D', CAST(10 + p.p_size % 7 AS STRING), ' CLOSED LINK')
+    WHEN 8 THEN concat('D16 @ ', CAST(100 + 50 * l.l_linenumber AS STRING), ' c/c') WHEN 9 THEN concat('(', CAST(100 * l.l_linenumber AS STRING), ' THK) GRADE SLAB')
+    WHEN 10 THEN concat(CAST(50 * l.l_linenumber AS STRING), ' THK BLINDING') WHEN 11 THEN 'SECTION A-A' WHEN 12 THEN concat(CAST(10 * l.l_linenumber AS STRING), ' THK GROUT')
+    WHEN 13 THEN concat('MANHOLE 1200x1200x', CAST(100 * (p.p_size + 2) AS STRING)) WHEN 14 THEN '95% COMPACTED SOIL'
+    WHEN 15 THEN concat('BOBP EL. 98.', CAST(300 + p.p_size AS STRING)) WHEN 16 THEN concat('BOC EL. 95.', CAST(500 + l.l_linenumber AS STRING))
+    WHEN 17 THEN 'GRADE C35 CONCRETE WITH 35 MPa' WHEN 18 THEN concat('AR-(', CAST(l.l_linenumber AS STRING), ')-B-M36-1345-N2') ELSE '25mm DIA WEEP HOLES' END AS text,
+  CASE WHEN l.l_returnflag = 'N' THEN '' ELSE concat('B-', CAST(l.l_suppkey % 6 + 1 AS STRING)) END AS grid_ref
+FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
+    "spans": """
+SELECT CAST(l_orderkey % 50 AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page,
+  l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS span_id,
+  CASE WHEN l_partkey % 9 = 0 THEN concat('P', CAST(l_suppkey % 9 + 1 AS STRING)) WHEN l_partkey % 9 = 1 THEN concat('MD-522-', CAST(1000 + l_suppkey AS STRING)) WHEN l_partkey % 9 = 2 THEN ' ' ELSE concat('LABEL ', CAST(l_partkey % 100 AS STRING), ' NEAR GRID LINE') END AS text,
+  floor(l_extendedprice) % 1000 * 1e0 AS x0, 12e0 * (l_partkey % 80) + l_linenumber / 4e0 AS y0, floor(l_extendedprice) % 1000 + 40e0 AS x1, 12e0 * (l_partkey % 80) + l_linenumber / 4e0 + 10e0 AS y1,
+  8e0 AS size, CASE WHEN l_returnflag = 'R' AND l_partkey % 4 = 0 THEN 0e0 ELSE 1e0 END AS dir_x
+FROM {lineitem}""",
+    "sheets": """
+SELECT CAST(d AS STRING) AS drawing_id, CAST(g AS INT) AS page, concat('MD-522-', CAST(1000 + d AS STRING), '_C01.pdf') AS file_name, 1200e0 AS width_pt, 1000e0 AS height_pt
+FROM (SELECT DISTINCT l_orderkey % 50 AS d FROM {lineitem}) a CROSS JOIN (SELECT DISTINCT l_suppkey % 2 AS g FROM {lineitem}) b""",
+    "glyphs": """
+SELECT CAST(l_orderkey % 50 AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS glyph_id,
+  (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 AS x0, CASE WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END AS y0,
+  (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 + 6e0 + l_quantity / 1e1 AS x1, CASE WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END + 2e0 + l_quantity / 2e0 AS y1
+FROM {lineitem}""",
+    "sightings": """
+SELECT CAST(l_orderkey AS STRING) AS drawing_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS INT) AS seq,
+  concat('P', CAST(l_partkey % 3 + 1 AS STRING)) AS tag, 1e2 * (l_linenumber % 2 + 5) AS length_mm, 5e2 AS width_mm, CAST(l_suppkey % 2 + 2 AS INT) AS quantity, l_returnflag <> 'N' AS validated,
+  concat('r', CAST(l_suppkey % 4 AS STRING), 'c0') AS region, CASE WHEN l_linestatus = 'O' THEN concat('A-', CAST(l_suppkey % 3 + 1 AS STRING)) ELSE '' END AS grid_ref
+FROM {lineitem}""",
+    "replies": """
+SELECT CAST(o_orderkey AS STRING) AS drawing_id, o_orderkey % 3 AS montage,
+  CASE o_orderkey % 5 WHEN 0 THEN '[" P1(600x500) 2Nos ", ""]' WHEN 1 THEN '{{"crops":[{{"id":1,"lines":["A"]}},{{"id":2,"lines":[" ","B"]}}]}}' WHEN 2 THEN '{{"crops":[{{"id":"x","lines":["C"]}},{{"lines":["D","E"]}}]}}' WHEN 3 THEN 'not json' ELSE '{{"crops":[{{"id":9,"lines":[]}}]}}' END AS reply
+FROM {orders}""",
+    "jobs": """
+SELECT concat('j', CAST(o_orderkey AS STRING)) AS job_id, concat('u', CAST(o_custkey % 5 AS STRING)) AS owner, concat('f', CAST(o_custkey AS STRING), '.pdf') AS drawing_path, CAST(o_orderkey % 2 AS INT) AS page,
+  CASE o_orderkey % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'cancelled' ELSE 'done' END AS state, o_orderdate AS created_at, o_orderkey AS position,
+  CASE WHEN o_orderkey % 7 = 1 THEN o_orderkey % 100 * 1e0 ELSE 0e0 END AS progress_pct, round(o_totalprice / 1e3, 2) AS elapsed_s, o_orderkey % 3 = 0 AS from_cache, CAST(o_orderkey % 2 AS INT) AS requeues, o_orderdate AS heartbeat_at,
+  CASE o_orderkey % 4 WHEN 0 THEN 'The file is no longer at x' WHEN 1 THEN 'worker stopped twice' WHEN 2 THEN 'Cancelled by user' ELSE '' END AS error,
+  concat('fp', CAST(o_custkey AS STRING)) AS fingerprint, concat('sha', CAST(o_custkey % 3 AS STRING)) AS content_sha
+FROM {orders}""",
+    "job_events": """
+SELECT event_id, ts, concat('j', CAST(user_id AS STRING)) AS job_id, concat('u', CAST(user_id % 5 AS STRING)) AS owner, concat('f', CAST(user_id AS STRING)) AS drawing_path, 0 AS page,
+  CASE event_type WHEN 'view' THEN 'enqueue' WHEN 'signup' THEN 'start' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'finish' ELSE 'fail' END AS event, value AS progress_pct, event_id % 3 = 0 AS from_cache, concat('error ', CAST(event_id AS STRING)) AS error
+FROM {events}""",
+    "reviews": """
+SELECT concat('set/review_', d.source, '.xlsx') AS source, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE concat('MD-', d.source) END AS drawing_no, CAST(d.doc_id AS INT) AS row_no,
+  CASE d.doc_id % 3 WHEN 0 THEN 'Pedestal' WHEN 1 THEN 'Level' ELSE 'Rebar' END AS item, concat('P', CAST(d.doc_id % 9 + 1 AS STRING)) AS tag, CAST(d.n_chars AS STRING) AS extracted,
+  CASE WHEN d.doc_id % 2 = 0 THEN 'P1(600x500) 2Nos' ELSE 'P1 600 by 500' END AS callout,
+  CASE WHEN l.quality = 0 THEN CAST(d.n_chars + 1 AS STRING) WHEN d.doc_id % 4 = 0 THEN concat(' ', CAST(d.n_chars AS STRING), '.0 ') ELSE '' END AS corrected, CASE WHEN l.toxic = 0 AND d.doc_id % 2 = 0 THEN concat('eng', CAST(d.doc_id % 3 AS STRING)) ELSE '' END AS verified_by
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+    "levels": """
+SELECT CAST(s_suppkey % 20 AS STRING) AS drawing_id, CASE s_suppkey % 4 WHEN 0 THEN 'TOC' WHEN 1 THEN 'BOC' WHEN 2 THEN 'BOBP' ELSE 'NGL' END AS kind, round(9e1 + s_acctbal / 1e3, 3) AS level_m FROM {supplier}
+UNION ALL SELECT CAST(p_partkey % 40 AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'TOS' WHEN 1 THEN 'FGL' ELSE 'FFL' END, round(9e1 + p_size / 1e1, 3) FROM {part}""",
 }
 SYNTH = {name: tolerant(text) for name, text in SYNTH.items()}
 
@@ -92,4 +152,5 @@ def with_tables(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', SYNTH[n])})" for n in order)
+    plain = lambda n: re.sub(r"[{](\w+)[}]", r"\1", SYNTH[n]).replace("{{", "{").replace("}}", "}")
+    return "WITH " + ",\n".join(f"{n} AS ({plain(n)})" for n in order)
