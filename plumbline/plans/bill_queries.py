@@ -10,6 +10,8 @@ from plumbline.operators import bill, derive, gaps, setviews
 from plumbline.sources.stores import upsert_rates
 from plumbline.sources.synth import table, with_tables
 
+from .rebuild import rebuild_set
+
 c = F.col
 E, P = "elements", "projects"
 
@@ -207,6 +209,7 @@ QUERIES = {
     "apply_selection": lambda s, d: (lambda rows: setviews.apply_selection(rows, setviews.default_selection(rows).where("key not like '%|7|%'")))(setviews.line_rows(lines(s, d), table(s, d, "items"))),
     "gap_report": all_gaps,
     "gap_headline": lambda s, d: gaps.gap_headline(all_gaps(s, d)),
+    "rebuild_set": lambda s, d: rebuild_set(table(s, d, "sightings"), slabs(s, d), table(s, d, P), all_rules(s)),
     "readiness": lambda s, d: gaps.readiness(drawings(s, d), table(s, d, E)),
 }
 
