@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.frames import durable, sized_join
 from plumbline.functions.graph import connected_components
 
+from .text import document_key
+
 BITS = 64
 
 
@@ -44,13 +46,13 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row, fp the fingerprint as a signed long. Null texts have no words."""
+    """(id, th, fp) for every row: the document's key and its fingerprint as a signed long. Null texts have no words."""
 
     def per_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(per_batch, "long")(F.col(text_col)).alias("fp"))
+    return docs.select(*document_key(id_col, text_col), F.pandas_udf(per_batch, "long")(F.col(text_col)).alias("fp"))
 
 
 def near_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -70,40 +72,46 @@ def near_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.col("b").isNotNull()).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row of docs; other columns are ignored.
+def grouped(docs: DataFrame, width: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, fp, low) for every row: low is the key of its component's first member, ids ascending and null ids last.
 
-    Documents are linked if their fingerprints differ in at most ``radius`` bits; component_id is the smallest
-    id reachable (null if no member has one). Documents without words have fingerprint 0 and are linked like any
-    other; repeated rows get repeated results; an empty table an empty result. Fingerprints are counted down to
-    distinct ones before anything is joined, so a group of exact copies is one node; the last join on fp may meet
-    a hot fingerprint, which AQE splits as its table side has one row for each.
+    Fingerprints are counted down to distinct ones before anything is joined, so a group of exact copies is one node;
+    the last join on fp may meet a hot fingerprint, which AQE splits as its table side has one row for each.
     """
     docs = durable(fingerprints(docs, width, id_col, text_col))
-    nodes = docs.groupBy("fp").agg(F.min("id").alias("low"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th")))
+    nodes = docs.groupBy("fp").agg(first.alias("low"))
     comp = connected_components(near_pairs(nodes, radius))
     linked = nodes.join(comp, F.col("fp") == F.col("node"))
-    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    moved = durable(linked.join(lows, "component").select("fp", "component_id"))
+    lows = linked.groupBy("component").agg(F.min("low").alias("group_low"))
+    moved = durable(linked.select("fp", "component").join(lows, "component").select("fp", "group_low"))
     own = docs.join(nodes, "fp")
-    return sized_join(own, moved, "fp", "left").select("id", "fp", F.coalesce("component_id", "low").alias("component_id"))
+    return sized_join(own, moved, "fp", "left").select("id", "th", "fp", F.coalesce("group_low", "low").alias("low"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for every row of docs; other columns are ignored.
+
+    Documents are linked if their fingerprints differ in at most ``radius`` bits; component_id is the smallest
+    id reachable (null if no member has one). Documents without words have fingerprint 0 and are linked like any
+    other; repeated rows get repeated results; an empty table an empty result.
+    """
+    return grouped(docs, width, radius, id_col, text_col).select("id", "fp", F.col("low.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate component: that with the smallest id.
+    """docs with one document of each near-duplicate component: that with the smallest id, one with an id before those without.
 
-    Of repeated rows with that id one stays. Rows without an id stay only if no member of their component has
-    one, and then one of them stays. Texts move in no shuffle while the removed documents are few enough to be
-    broadcast.
+    Of rows that are equal in id and text one stays. Texts move in no shuffle while the removed documents are few
+    enough to be broadcast.
     """
-    found = near_duplicates(docs, width, radius, id_col, text_col)
-    again = Window.partitionBy("id")
-    gone = durable(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct())
-    kept = sized_join(docs.alias("d"), gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")), "left_anti")
-    del again
-    repeated = durable(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").count().where("count > 1").select("id"))
+    found = durable(grouped(docs, width, radius, id_col, text_col).select("id", "th", (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("th") == F.col("low.th"))).alias("first")))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("g.th"))
+    gone = durable(found.where("not first").select("id", "th").distinct())
+    kept = sized_join(docs.alias("d"), gone.alias("g"), same, "left_anti")
+    repeated = durable(found.where("first").groupBy("id", "th").count().where("count > 1").select("id", "th"))
     if repeated.isEmpty():
         return kept
-    twice = sized_join(kept.alias("d"), repeated.alias("r"), F.col(f"d.{id_col}").eqNullSafe(F.col("r.id")), "left_semi")
-    once = sized_join(kept.alias("d"), repeated.alias("r"), F.col(f"d.{id_col}").eqNullSafe(F.col("r.id")), "left_anti")
-    return once.unionByName(twice.dropDuplicates([id_col]))
+    once = sized_join(kept.alias("d"), repeated.alias("g"), same, "left_anti")
+    twice = sized_join(kept.alias("d"), repeated.alias("g"), same, "left_semi")
+    return once.unionByName(twice.dropDuplicates([id_col, text_col]))

@@ -40,13 +40,13 @@ def test_long_runs_are_read_in_one_pass(spark):
 
 def test_terms_that_reveal(spark):
     docs = [(i, f"Today number {i} the gardener Zorblatt wrote from boss@corp.example about plants {i}") for i in range(6)]
-    docs += [(100 + i, f"The gardener wrote today about plants, note {i}, call +1 555 123 45{i:02d} soon") for i in range(40)]
+    docs += [(100 + i, f"The gardener wrote today about plants, note {i}, call +1 555 123 45{i:02d} soon") for i in range(100)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r.id: r.all_spans for r in privacy.privacy_report(df).collect()}
     text = dict(docs)
     terms = lambda i: {text[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",")) if k == "term"}
     assert "Zorblatt" in terms(0) and "gardener" not in terms(0)
-    assert all(not terms(100 + i) for i in range(40))
+    assert all(not terms(100 + i) for i in range(100))
     clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "Zorblatt" not in clean[0] and "boss@" not in clean[0]
 
