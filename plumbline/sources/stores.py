@@ -53,9 +53,9 @@ def fingerprint(content: Column, profile: Column, page: Column) -> Column:
 
 def read_extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A4: readings from *_extraction.json below a folder, and the files that can't be read with their path."""
-    schema = f"{EXTRACTION}, _corrupt_record string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*_extraction.json").json(path)
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
+    files = spark.read.option("pathGlobFilter", "*_extraction.json").text(path, wholetext=True)
+    parsed = F.from_json("value", f"{EXTRACTION}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = files.select(F.col("_metadata.file_path").alias("file"), parsed.alias("r")).select("file", "r.*")
     return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("file", "_corrupt_record")
 
 
