@@ -64,4 +64,34 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM d LEFT JOIN words ON d.doc_id IS NOT DISTINCT FROM words.doc_id AND d.text = words.text LEFT JOIN items ON d.doc_id IS NOT DISTINCT FROM items.doc_id AND d.text = items.text
 """ % {"up": UP, "low": LOW}
 
-ORACLES = {"op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10}
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(text, '') AS t FROM documents),
+pats(rk, kind, p) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+hits AS (SELECT rid, 0 AS rk, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS m, unnest(regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS gap, generate_subscripts(regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), 1) AS i FROM d
+  UNION ALL SELECT rid, 1, unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')), unnest(regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')), generate_subscripts(regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), 1) FROM d
+  UNION ALL SELECT rid, 2, unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')), unnest(regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+')), generate_subscripts(regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+'), 1) FROM d
+  UNION ALL SELECT rid, 3, unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')), unnest(regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]')), generate_subscripts(regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]'), 1) FROM d),
+ends AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS dg, sum(length(gap) + length(m)) OVER (PARTITION BY rid, rk ORDER BY i) AS e FROM hits WHERE m IS NOT NULL),
+spans AS (SELECT rid, rk, CAST(e - length(m) AS BIGINT) AS a, CAST(e AS BIGINT) AS b, (SELECT kind FROM pats WHERE pats.rk = ends.rk) AS kind, (SELECT kind FROM pats WHERE pats.rk = ends.rk) || ' ' || lower(m) AS entity FROM ends
+  WHERE rk = 0 OR (rk = 1 AND len(list_filter(string_split(m, '.'), lambda x: TRY_CAST(x AS HUGEINT) > 255)) = 0)
+    OR (rk = 2 AND length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(dg), k, 1) AS INT) ELSE (CAST(substr(reverse(dg), k, 1) AS INT) * 2) // 10 + (CAST(substr(reverse(dg), k, 1) AS INT) * 2) % 10 END)) % 10 = 0)
+    OR (rk = 3 AND length(dg) BETWEEN 9 AND 15)),
+side AS (SELECT s.rid, entity, greatest(a - 60, 0) AS lo, substr(t, greatest(a - 60, 0) + 1, a - greatest(a - 60, 0)) AS piece, greatest(a - 60, 0) > 0 AS cut0, false AS cut1, row_number() OVER () AS sid FROM spans s JOIN d ON d.rid = s.rid
+  UNION ALL SELECT s.rid, entity, b, substr(t, b + 1, least(b + 60, length(t)) - b), false, least(b + 60, length(t)) < length(t), -row_number() OVER () FROM spans s JOIN d ON d.rid = s.rid),
+runs AS (SELECT sid, rid, entity, lo, length(piece) AS n, cut0, cut1, unnest(regexp_extract_all(piece, '\p{L}+')) AS m, unnest(regexp_split_to_array(piece, '\p{L}+')) AS gap, generate_subscripts(regexp_split_to_array(piece, '\p{L}+'), 1) AS i FROM side),
+words AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY sid ORDER BY i) AS BIGINT) AS e FROM runs WHERE m IS NOT NULL),
+near AS (SELECT DISTINCT w.rid, entity, lo + e - length(m) AS a, lo + e AS b, lower(m) AS term FROM words w WHERE length(m) >= 4 AND NOT (cut0 AND e = length(m)) AND NOT (cut1 AND e = n)
+  AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.rid = w.rid AND lo + e - length(m) < x.b AND lo + e > x.a)),
+texts AS (SELECT DISTINCT entity, term, d.text FROM near JOIN d ON d.rid = near.rid),
+pair AS (SELECT entity, term, count(*) AS n_both FROM texts GROUP BY 1, 2 HAVING count(*) >= 3),
+ent AS (SELECT entity, count(DISTINCT text) AS n_entity FROM texts GROUP BY 1),
+seen AS (SELECT term, count(DISTINCT text) AS n_term FROM (SELECT text, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) WHERE length(term) >= 4 AND term IN (SELECT term FROM pair) GROUP BY 1),
+told AS (SELECT pair.entity, pair.term FROM pair JOIN ent ON ent.entity = pair.entity JOIN seen ON seen.term = pair.term WHERE n_both / n_term >= 0.5 AND log2((n_both / n_term) * (SELECT count(*) FROM documents) / n_entity) >= 3),
+terms AS (SELECT DISTINCT near.rid, near.a, near.b FROM near JOIN told ON told.entity = near.entity AND told.term = near.term),
+bs AS (SELECT rid, count(*) FILTER (rk = 0) AS n0, count(*) FILTER (rk = 1) AS n1, count(*) FILTER (rk = 2) AS n2, count(*) FILTER (rk = 3) AS n3, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rk, a) AS w FROM spans GROUP BY 1),
+ts AS (SELECT rid, string_agg('term:' || a || ':' || b, ',' ORDER BY a, b) AS w FROM terms GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(bs.w, '')) AS base_sha256, concat_ws(',', bs.w, ts.w) AS spans
+FROM d LEFT JOIN bs ON bs.rid = d.rid LEFT JOIN ts ON ts.rid = d.rid
+"""
+
+ORACLES = {"op5_personal_data": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10}
