@@ -23,8 +23,10 @@ from .text import document_key
 SHINGLE, SIMILARITY = 8, 0.8
 #: Bands of rows: a pair at the similarity shares a band with probability 1 - (1 - 0.8^4)^10 = 0.995.
 BANDS, ROWS = 10, 4
-#: Neighbours in a bucket that a line is compared with, and the size above which a bucket is thinned inside a batch.
-REACH, CROWD = 6, 32
+#: Neighbours in a bucket that a line is compared with at first; larger buckets are compared in full once these are linked.
+REACH = 6
+#: Lines and characters of a large bucket that meet at once in a task.
+PIECE_LINES, PIECE_CHARS = 1024, 4_000_000
 #: Line numbers that a task remembers, so that it sends a line once however often it meets it.
 MEMORY = 2_000_000
 #: Lines whose shingles a task keeps while it verifies pairs.
@@ -108,42 +110,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.withColumn("lid", F.xxhash64("line"))
 
 
-def thinned(lids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lines with their keys and the bands to skip, and pairs: a bucket that is crowded here is chained here, and one of its lines is sent on."""
-    skip = np.zeros(len(lids), np.int32)
-    lid, other, first = [], [], []
-    for band in range(BANDS):
-        key = keys[:, band]
-        order = np.lexsort((lids, keys[:, (band + 2) % BANDS], keys[:, (band + 1) % BANDS], key))
-        head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[head, len(order)])
-        if not (size > CROWD).any():
-            continue
-        top = np.repeat(head, size)
-        at = np.flatnonzero(np.repeat(size > CROWD, size) & (np.arange(len(order)) > top))
-        skip[order[at]] |= 1 << band
-        for back in (*range(1, REACH + 1), None):
-            prev = top[at] if back is None else np.maximum(at - back, top[at])
-            lid.append(lids[order[at]])
-            other.append(lids[order[prev]])
-            first.append(np.full(len(at), back == 1))
-    none = pa.nulls(len(lids), pa.int64())
-    held = pa.ListArray.from_arrays(pa.array(np.arange(len(lids) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-    names = ["lid", "keys", "skip", "other", "first"]
-    yield pa.RecordBatch.from_arrays([pa.array(lids), held, pa.array(skip), none, pa.array(np.zeros(len(lids), bool))], names)
-    if lid:
-        lid, other, first = map(np.concatenate, (lid, other, first))
-        yield pa.RecordBatch.from_arrays([pa.array(lid), pa.nulls(len(lid), pa.list_(pa.int64())), pa.array(np.zeros(len(lid), np.int32)), pa.array(other), pa.array(first)], names)
-
-
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b, first): pairs of distinct lines that share a band; ``first`` marks neighbours in a bucket.
-
-    Inside a bucket, lines are ordered by their keys in the next two bands, which brings lines together that share
-    more than this band, and each is paired with the next REACH and with the bucket's first line, so that pairs grow with the lines and not with their square, and a bucket of up to REACH + 2 lines is
-    compared in full. A bucket that is crowded within one batch is chained there and sends on one line, which keeps
-    hot buckets short: no bucket is longer than CROWD lines for each batch of the input.
-    """
+def banded(lines: DataFrame) -> DataFrame:
+    """(lid, keys): the band keys of every line, about once for each task that meets it."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -157,23 +125,116 @@ def candidates(lines: DataFrame) -> DataFrame:
             met.update(fresh)
             every, texts = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
             for i in range(0, len(texts), 4096):
-                yield from thinned(every[i : i + 4096], band_keys(texts[i : i + 4096]))
+                keys = band_keys(texts[i : i + 4096])
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 4096]), held], ["lid", "keys"])
+
+    return written(lines.select("lid", "line").mapInArrow(per_batch, "lid long, keys array<long>"))
+
 
-    shape = "lid long, keys array<long>, skip int, other long, first boolean"
-    rows = written(lines.select("lid", "line").mapInArrow(per_batch, shape))
-    inside = rows.where("other is not null").select("lid", "other", "first")
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b, first): pairs of distinct lines that share a band; ``first`` marks neighbours in a bucket.
+
+    Inside a bucket, lines are ordered by their keys in the next two bands, which brings lines together that share
+    more than this band, and each is paired with the next REACH and with the bucket's first line. So pairs grow with the lines and not with
+    their square, and a bucket of up to REACH + 2 lines is compared in full. For a larger one there is a row with its key in ``a`` and
+    no ``b``; crowded_links() compares what the pairs leave of it.
+    """
     at = lambda k: F.shiftrightunsigned(F.coalesce(F.get("keys", (F.col("band") + k) % BANDS), F.lit(0)), 48)
-    buckets = rows.where("other is null").select("lid", "keys", "skip", F.posexplode("keys").alias("band", "key")).where(F.getbit("skip", F.col("band")) == 0)
+    buckets = rows.select("lid", "keys", F.posexplode("keys").alias("band", "key"))
     buckets = buckets.select("key", (F.shiftleft(at(1), 16) + at(2)).alias("place"), "lid")
     w = Window.partitionBy("key").orderBy("place", "lid")
     buckets = buckets.withColumn("p", F.lag("lid").over(w)).where("p is null or p <> lid").drop("p")
-    near = [F.struct(F.lag("lid", k).over(w).alias("other"), F.lit(k == 1).alias("first")) for k in range(1, REACH + 1)]
-    near.append(F.struct(F.first("lid").over(w).alias("other"), F.lit(False).alias("first")))
-    across = buckets.select("lid", F.array(*near).alias("n"), F.lag("lid").over(w).alias("p")).where("p is not null").select("lid", F.explode("n").alias("n")).select("lid", "n.other", "n.first")
-    pairs = across.unionByName(inside).where(F.col("other").isNotNull() & (F.col("other") != F.col("lid")))
+    near = [F.struct(F.col("lid"), F.lag("lid", k).over(w).alias("other"), F.lit(k == 1).alias("first")) for k in range(1, REACH + 1)]
+    near.append(F.struct(F.col("lid"), F.first("lid").over(w).alias("other"), F.lit(False).alias("first")))
+    crowd = F.when(F.row_number().over(w) == REACH + 3, F.struct(F.col("key").alias("lid"), F.col("key").alias("other"), F.lit(False).alias("first")))
+    across = buckets.select(F.array(*near, crowd).alias("n"), F.lag("lid").over(w).alias("p"), "lid").where("p is not null")
+    pairs = across.select("lid", F.posexplode("n").alias("k", "n")).where(F.col("n.other").isNotNull() & ((F.col("k") == REACH + 1) | (F.col("n.other") != F.col("lid")))).select("n.*")
     return pairs.groupBy(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).agg(F.max("first").alias("first"))
 
 
+def similar_across(left: list[tuple[int, str, int]], right: list[tuple[int, str, int]]) -> Iterator[tuple[int, int]]:
+    """Links that join the (lid, line, component) of left to those of right: every pair of components with similar lines ends up connected.
+
+    Shared shingles are counted through lists of the lines that hold each shingle. Pairs that the links found so far connect are left out.
+    """
+    number: dict[str, int] = {}
+    held: list[list[int]] = []
+    sizes = np.zeros(len(right), np.int64)
+    for i, (_, line, _) in enumerate(right):
+        some = shingles(line)
+        sizes[i] = len(some)
+        for x in some:
+            k = number.setdefault(x, len(held))
+            if k == len(held):
+                held.append([])
+            held[k].append(i)
+    lists = [np.array(x, np.int64) for x in held]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for lid, line, component in left:
+        some = shingles(line)
+        found = [lists[number[x]] for x in some if x in number]
+        if not found:
+            continue
+        both = np.bincount(np.concatenate(found), minlength=len(right))
+        for i in np.flatnonzero(both >= SIMILARITY * (len(some) + sizes - both)):
+            other, _, there = right[i]
+            if (x := root(component)) != (y := root(there)):
+                parent[x] = y
+                yield lid, other
+
+
+def crowded_links(rows: DataFrame, pairs: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): similar lines of different components that share a bucket too large for candidates(), all compared.
+
+    A bucket that is one component already has nothing to add. Of another, lines outside its largest component meet all
+    lines, in pieces of PIECE_LINES lines or PIECE_CHARS characters, so that a hot bucket is spread over many tasks and links, not pairs, leave a task.
+    """
+    hot = durable(pairs.where("a = b").select(F.col("a").alias("key")))
+    members = sized_join(rows.select("lid", F.explode("keys").alias("key")), hot, "key", "left_semi").distinct()
+    members = members.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    members = written(members)
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+    mixed_keys = durable(parts.where("parts > 1").select("key", "n", F.col("top.component").alias("top"), F.col("top.n").alias("most")))
+    found = sized_join(members, mixed_keys, "key", "inner").join(texts, "lid")
+    found = written(found.select("key", "lid", "component", "line", "n", (F.col("component") != F.col("top")).alias("odd"), (F.col("n") - F.col("most")).alias("n_odd")))
+    chars = durable(found.groupBy("key").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.when(F.col("odd"), F.length("line")).otherwise(0)).alias("odd_chars")))
+    found = sized_join(found, chars, "key", "inner")
+    pieces = lambda n, size: F.greatest(F.ceil(n / PIECE_LINES), F.ceil(size / PIECE_CHARS), F.lit(1)).cast("int")
+    found = found.withColumn("ka", pieces(F.col("n"), F.col("chars"))).withColumn("ks", pieces(F.col("n_odd"), F.col("odd_chars")))
+    left = found.where("odd").select("key", F.pmod(F.xxhash64("lid"), F.col("ks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(0).alias("side"), "lid", "component", "line")
+    right = found.select("key", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("i"), F.pmod(F.xxhash64("lid"), F.col("ka")).cast("int").alias("j"), F.lit(1).alias("side"), "lid", "component", "line")
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+        out: list[tuple[int, int]] = []
+
+        def packed() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            for key, i, j, side, lid, component, line in zip(*[col.to_pylist() for col in batch.columns], strict=True):
+                if (key, i, j) != at:
+                    out += similar_across(*sides)
+                    at, sides = (key, i, j), ([], [])
+                sides[side].append((lid, line, component))
+            yield packed()
+        out += similar_across(*sides)
+        yield packed()
+
+    return dealt.mapInArrow(per_batch, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar; texts has one row (lid, line) for each line."""
 
@@ -199,10 +260,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(lid, component) of every line that resembles another one, and the lines they were found in.
 
     Neighbours in a bucket are verified first; of the other candidates only those that these links leave in
-    different components. So dense groups cost a few comparisons for each line.
+    different components, and large buckets are compared in full across the components that remain. So a dense group
+    costs a few comparisons for each line, and a bucket of lines that aren't similar all of them.
     """
     lines = lines_of(docs, id_col, text_col)
-    pairs = durable(candidates(lines))
+    rows = banded(lines)
+    found = durable(candidates(rows))
+    pairs = found.where("a <> b")
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
     texts = durable(sized_join(lines.select("lid", "line"), wanted, "lid", "left_semi").dropDuplicates(["lid"]))
     links = durable(verified(pairs.where("first"), texts))
@@ -210,7 +274,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
     rest = pairs.where("not first").join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return connected_components(links.unionByName(verified(rest, texts))), lines
+    links = durable(links.unionByName(verified(rest, texts)))
+    comp = durable(connected_components(links))
+    more = durable(crowded_links(rows, found, comp, texts))
+    if more.isEmpty():
+        return comp, lines
+    return connected_components(links.unionByName(more)), lines
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,6 +117,27 @@ def test_hot_group_of_near_lines(spark):
     assert len(want - got) <= 0.01 * len(want) and not got - want
 
 
+def templated(groups, size, seed=7):
+    """Lines of one template: groups that differ in a long part, and lines of a group in a few characters."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tail = " ".join(word(6) for _ in range(10)), " ".join(word(6) for _ in range(9))
+    docs = []
+    for g in range(groups):
+        own = word(13)
+        docs += [(g + groups * k, f"{head} {own} {tail} {word(10)}") for k in range(size)]
+    return docs
+
+
+def test_groups_inside_a_crowded_bucket(spark):
+    docs = templated(600, 2)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(12)
+    want = brute_lines(docs)
+    got = {r.id for r in line_dedup.dedup_report(df).collect() if r.gone}
+    assert len(want) == 600 and not got - set(want)
+    assert len(set(want) - got) <= 0.01 * len(want)
+
+
 def test_line_text_and_odd_rows(spark, odd_docs, no_docs):
     df = spark.createDataFrame([(1, "Same line here today\n\nonly mine", 5), (2, "  same line here TODAY \nother", 6), (3, None, 7), (4, "", 8)], "doc_id bigint, text string, gone int")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
