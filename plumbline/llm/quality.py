@@ -20,8 +20,8 @@ HALF = WINDOW // 2
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The distance above which a document is rejected, and the words it must have to be judged by it.
 MOST_DISTANCE, JUDGED_WORDS = 0.27, 50
-#: A language counts from this part of the documents on (so there are at most 100), a word from this part of its words.
-LANGUAGE_SHARE, WORD_SHARE = 0.01, 0.01
+#: A language has a reference from so many words on, however many others there are; a word counts from this part of its words on.
+LANGUAGE_WORDS, WORD_SHARE = 1_000, 0.01
 CLASSES = {"lower": r"\p{Ll}", "space": r"\x20\x09-\x0D", "upper": r"\p{Lu}", "stop": r".,;:!?'\x22()-", "digit": r"\p{Nd}"}
 
 
@@ -52,18 +52,20 @@ def learn_reference(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
     """References from all rows with a language, weighing every document by its length.
 
     Only sums by language and (language, word) are shuffled, after partial aggregation. What reaches the driver is
-    bounded: at most 1 / LANGUAGE_SHARE languages with 1 / WORD_SHARE words each.
+    bounded: 1 / WORD_SHARE words for each language with LANGUAGE_WORDS words.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     n = len(CLASSES) + 1
-    sums = with_class_counts(rows, "t").select("lang", "k").groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(n)])
-    sums = sums.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("all")))).where(F.col("n") >= LANGUAGE_SHARE * F.col("all"))
-    classes = {r["lang"]: tuple(r[f"k{i}"] / max(1.0, sum(r[f"k{j}"] for j in range(n))) for i in range(n)) for r in sums.collect()}
-    if not classes:
+    words = rows.select("lang", F.explode(pieces(lower_ascii(F.col("t")), SPACES)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LANGUAGE_WORDS)
+    shared = words.join(F.broadcast(totals), "lang").where(F.col("n") >= WORD_SHARE * F.col("all")).select("lang", "w", (F.col("n") / F.col("all")).alias("p"))
+    shared = shared.unionByName(totals.select("lang", F.lit(None).cast("string").alias("w"), F.lit(0.0).alias("p"))).collect()
+    langs = sorted({r["lang"] for r in shared})
+    if not langs:
         return Reference({}, {})
-    words = rows.where(F.col("lang").isin(sorted(classes))).select("lang", F.explode(pieces(lower_ascii(F.col("t")), SPACES)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("all"))
-    shared = words.join(F.broadcast(totals), "lang").where(F.col("n") >= WORD_SHARE * F.col("all")).select("lang", "w", (F.col("n") / F.col("all")).alias("p")).collect()
+    shared = [r for r in shared if r["w"] is not None]
+    sums = with_class_counts(rows.where(F.col("lang").isin(langs)), "t").select("lang", "k").groupBy("lang").agg(*[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(n)])
+    classes = {r["lang"]: tuple(r[f"k{i}"] / max(1.0, sum(r[f"k{j}"] for j in range(n))) for i in range(n)) for r in sums.collect()}
     common: dict[str, dict[str, float]] = {lang: {} for lang in classes}
     for r in sorted(shared, key=lambda r: (r["lang"], r["w"])):
         common[r["lang"]][r["w"]] = r["p"]
@@ -108,12 +110,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select("doc", "t", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def judge(docs: DataFrame, reference: Reference, text_col: str = "text") -> DataFrame:
-    """measures() of every row with ``distance`` from the nearest language (null if there is none or the text has no word) and ``kept``.
+def judge(docs: DataFrame, reference: Reference, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """measures() of every row with ``distance`` from the nearest language (null if there is none, the text has no word, or its own language has no reference) and ``kept``.
 
     The distance is the root of the mean of the two divergences, 0 to 1. Documents that fail a guard go; others go
     if they have JUDGED_WORDS words and their distance is above MOST_DISTANCE. Without any reference only the
-    guards count. Common words are counted by the bytes that taking them out of the spaced words saves.
+    guards count, as for a document whose language is known but has none; one of no language is held against all. Common words are counted by the bytes that taking them out of the spaced words saves.
     """
     out = measures(docs, text_col)
     if reference.classes:
@@ -123,7 +125,8 @@ def judge(docs: DataFrame, reference: Reference, text_col: str = "text") -> Data
         if words:  # words longer than every common one go first, to shorten the string that is searched for each of these
             out = out.withColumn("spaced", F.regexp_replace("spaced", f" [^ ]{{{max(map(len, words)) + 1},}} ", ""))
         count = [((F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w.encode()) + 2)) / F.col("n_words")) for w in words]
-        judged = F.col("n_words") > 0
+        known = F.col(f"doc.`{lang_col}`").isNull() | F.col(f"doc.`{lang_col}`").isin(sorted(reference.classes))
+        judged = (F.col("n_words") > 0) & known
         out = with_class_counts(out.withColumn("c", F.when(judged, F.array(*count).cast("array<double>"))), "t")
         out = out.withColumn("k", F.when(judged, F.transform("k", lambda x: x / F.length("t"))))
         every = []
@@ -147,7 +150,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts have no words and fail; null languages teach nothing; repeated rows get repeated results; an empty
     table gives an empty result; columns of other names are ignored.
     """
-    judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col)
+    judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col, lang_col)
     return judged.select(F.col(f"doc.`{id_col}`").alias(id_col), *[c for c in judged.columns if c != "doc"])
 
 
@@ -157,6 +160,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     The verdict becomes zero or one rows by a generator, since a filter would be pushed into the projections below and
     have every measure computed again.
     """
-    judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col)
+    judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col, lang_col)
     kept = judged.select("doc", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("one"))
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 from plumbline.llm import decontaminate, mixing, privacy, quality, url_filter
@@ -147,6 +148,19 @@ def test_quality_measures(spark, documents, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == quality.quality_report(odd_docs).where("kept").count()
 
 
+def test_quality_of_minor_languages(spark):
+    rng = random.Random(4)
+    few = lambda letters, n: ["".join(rng.choice(letters) for _ in range(rng.randint(4, 7))) for _ in range(n)]
+    vocab = {"en": few("abcdefghijklm", 400), "el": few("αβγδεζηθικλ", 400), "hi": few("अआइईउऊएऐओऔकखग", 400)}
+    prose = lambda lang, n: " ".join(vocab[lang][rng.randrange(5 if rng.random() < 0.4 else 400)] for _ in range(n))
+    docs = [(i, prose("en", 80), "en") for i in range(500)] + [(1_000 + i, prose("el", 600), "el") for i in range(3)]
+    docs += [(2_000, prose("hi", 80), "hi"), (2_001, " ".join(str(rng.randrange(10**9)) for _ in range(80)), "el")]
+    got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i].kept for i, _, _ in docs if i < 2_000)
+    assert got[2_000].kept and got[2_000].distance is None
+    assert not got[2_001].kept
+
+
 def test_quality_follows_the_labels(spark, documents, sf):
     got = quality.quality_report(documents).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 50 and not base_failed").toPandas()
     assert (got.kept == (got.quality == 1)).mean() > 0.97
