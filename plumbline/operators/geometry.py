@@ -189,20 +189,22 @@ def hamming(a: Column, b: Column) -> Column:
 def find_similar(queries: DataFrame, examples: DataFrame, k: int = 3, most_examples: int = 20_000) -> DataFrame:
     """For each query (drawing_no, image_hash) the k nearest examples: close hashes first, then the same series, then looser ones.
 
-    Verified examples are few by nature; they are counted, and broadcast up to most_examples. Beyond, candidates meet by
-    series or by one of 7 pieces of the hash (a distance of up to 6 leaves one piece equal) and the loose tier is left out.
+    Every query is held against every example. Examples are counted, and broadcast up to most_examples; more are dealt into
+    blocks of about that many rows and each block meets all queries, of whose pairs the best k leave the block.
     """
     series = lambda no: F.array_join(F.slice(F.split(no, "-"), 1, 4), "-")
     q = queries.select(c("drawing_no").alias("q_no"), c("image_hash").alias("q_hash"), series(c("drawing_no")).alias("q_series"))
     e = examples.select(c("drawing_no").alias("e_no"), c("image_hash").alias("e_hash"), series(c("drawing_no")).alias("e_series"))
-    if e.limit(most_examples + 1).count() <= most_examples:
+    n = e.count()
+    if n <= most_examples:
         both = q.join(F.broadcast(e), c("q_no") != c("e_no"))
     else:
-        bits = lambda h: F.concat(*[F.lpad(F.conv(F.substring(h, i, 8), 16, 2), 32, "0") for i in (1, 9)])
-        keys = lambda h, s: F.array(F.concat(F.lit("s"), s), *[F.concat(F.lit(f"{i}:"), F.substring(bits(h), 1 + i * 64 // 7, (i + 1) * 64 // 7 - i * 64 // 7)) for i in range(7)])
-        qk, ek = q.withColumn("key", F.explode(keys(c("q_hash"), c("q_series")))), e.withColumn("key", F.explode(keys(c("e_hash"), c("e_series"))))
-        both = qk.join(ek, "key").where(c("q_no") != c("e_no")).drop("key").distinct()
+        blocks = -(-n // most_examples)
+        qb = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        eb = e.withColumn("block", F.pmod(F.xxhash64("e_no", "e_hash"), F.lit(blocks)).cast("int"))
+        both = qb.join(eb, "block").where(c("q_no") != c("e_no"))
     d = hamming(c("q_hash"), c("e_hash"))
     both = both.withColumn("distance", d).withColumn("tier", F.when(d <= NEAR, 0).when(c("q_series") == c("e_series"), 1).when(d <= FAR, 2)).where("tier is not null")
     w = Window.partitionBy("q_no").orderBy("tier", "distance", "e_no")
+    # Spark keeps the best k of each task before the shuffle (WindowGroupLimit)
     return both.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k).select("q_no", "e_no", "tier", "distance", "rank")

@@ -260,3 +260,11 @@ def test_files(spark, tmp_path):
     assert stores.read_examples(spark, str(a)).where("drawing_no is not null").count() == 1
     stores.write_table(rows, str(tmp_path / "out"), by="fingerprint")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_similar_sheets_keep_every_tier_above_the_bound(spark):
+    spread = sum(1 << b for b in range(2, 64, 5))  # 13 bits, some in each seventh of the hash
+    rows = [(f"P{i % 3}-A-B-C-{i}", f"{0x0123456789ABCDEF ^ (spread if i % 2 else 0) ^ (1 << i % 5):016x}") for i in range(60)]
+    h = spark.createDataFrame(rows, "drawing_no string, image_hash string")
+    few, many = [sorted(geometry.find_similar(h.where("drawing_no like '%-1_'"), h, 60, most).collect()) for most in (20_000, 10)]
+    assert many == few and {r.tier for r in few} == {0, 1, 2}
