@@ -13,11 +13,13 @@ BROADCAST_ROWS = 400_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where none is set, a folder of our own (tests, local mode)."""
+    """Use the shared folder named in spark.checkpoint.dir; in local mode alone, where none is set, a folder of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 

@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         e = durable(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+        # 128 bits of hashes tell whether the edges are those of the last round
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before:
             break
         before = now
@@ -40,3 +41,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged_components(comp: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of the graph that ``comp`` is the result for, with more edges: only the graph of components is run again.
+
+    Both inputs are read several times: pass checkpoints. Ends that ``comp`` doesn't know are nodes of their own.
+    """
+    label = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(label("a"), "a", "left").join(label("b"), "b", "left")
+    across = durable(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+    moved = across.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = comp.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(across.join(comp.select("node"), "node", "left_anti"))
