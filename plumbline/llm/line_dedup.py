@@ -3,34 +3,43 @@
 Lines are sets of character shingles. MinHash signatures by one-permutation hashing are cut into bands, lines
 that share a band become candidates, exact Jaccard similarity decides, and connected components over the links
 that hold give the groups. Exact copies are one node from the start.
+
+Within a bucket every similar pair ends up connected, however large the bucket is: each line is compared with a
+line at the head of its block, and only buckets that these links leave in several components are compared in full.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.frames import durable, sized_join, written
-from plumbline.functions.graph import connected_components
+from plumbline.functions.graph import connected_components, merged_components
+from plumbline.functions.session import ship_package
 
 from .text import document_key
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: Bands of rows: a pair at the similarity shares a band with probability 1 - (1 - 0.8^4)^10 = 0.995.
 BANDS, ROWS = 10, 4
-#: Neighbours in a bucket that a line is compared with at first; larger buckets are compared in full once these are linked.
-REACH = 6
+#: Lines of a bucket that are first compared with one of them; smaller than a bucket only to keep any one line from many partners.
+BLOCK = 64
 #: Lines and characters of a large bucket that meet at once in a task.
 PIECE_LINES, PIECE_CHARS = 1024, 4_000_000
+#: Pairs of a piece that are compared as they are; for more, lines first have to share a rare shingle.
+FEW_PAIRS = 256
 #: Line numbers that a task remembers, so that it sends a line once however often it meets it.
-MEMORY = 2_000_000
-#: Lines whose shingles a task keeps while it verifies pairs.
-KEPT_SETS = 400
+MEMORY = 1_000_000
+#: Lines and characters whose keys are made at once, and lines whose shingles a task keeps while it verifies pairs.
+HASHED_LINES, HASHED_CHARS, KEPT_SETS = 2048, 120_000, 400
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -91,85 +100,135 @@ def hash_text(line: str) -> int:
     return h
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """The set of shingles of each line, as sorted numbers that stand for the same shingle in all of them.
 
-def similar(x: set[str], y: set[str], least: float = SIMILARITY) -> bool:
+    Eight characters of one byte are a number of 64 bits as they are; if any line has others, shingles are numbered as
+    they come. A line shorter than a shingle is its own; it resembles no other line.
+    """
+    try:
+        held = [line.encode("latin-1") for line in lines]
+    except UnicodeEncodeError:
+        known: dict[str, int] = {}
+        parts = ({line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))} for line in lines)
+        return [np.sort(np.fromiter((known.setdefault(x, len(known)) for x in some), np.uint64, len(some))) for some in parts]
+    out = []
+    for line in held:
+        x = np.sort(np.ndarray(max(1, len(line) - SHINGLE + 1), "<u8", line.ljust(SHINGLE, b"\0"), strides=(1,)))
+        out.append(x[np.r_[True, x[1:] != x[:-1]]])
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the Jaccard similarity of two sets of shingles is at least ``least``."""
     if min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
-    both = len(x & y)
+    every = np.sort(np.concatenate((x, y)))
+    both = int((every[1:] == every[:-1]).sum())
     return both >= least * (len(x) + len(y) - both)
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, no, line, lid): every line that isn't blank, trimmed and lower-cased, with its number and hash."""
-    rows = docs.select(*document_key(id_col, text_col), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    rows = rows.select("id", "th", "no", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c"))).alias("line")).where(F.col("line") != "")
-    return rows.withColumn("lid", F.xxhash64("line"))
+def hashed_groups(fresh: dict[int, tuple[int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """The lines (lid, mark, line) in groups that band_keys() takes at once."""
+    group, chars = [], 0
+    for lid, (mark, line) in fresh.items():
+        if group and (len(group) >= HASHED_LINES or chars + len(line) > HASHED_CHARS):
+            yield group
+            group, chars = [], 0
+        group.append((lid, mark, line))
+        chars += len(line)
+    if group:
+        yield group
 
 
-def banded(lines: DataFrame) -> DataFrame:
-    """(lid, keys): the band keys of every line, about once for each task that meets it."""
+def read_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table of two kinds of rows, from one pass over the texts.
+
+    Each row of docs gives (id, th, lids, marks): the two halves of a 128-bit hash of each of its lines, trimmed and
+    lower-cased, null where a line is blank. Each line gives (lid, mark, line, keys) with its band keys, about once
+    for each task that meets it. A null text has no lines.
+    """
+    keyed = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([keyed.schema["id"], T.StructField("th", T.LongType()), T.StructField("lids", longs), T.StructField("marks", longs)])
+    schema = schema.add("lid", "long").add("mark", "long").add("line", "string").add("keys", longs)
+    names = schema.names
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            fresh: dict[int, str] = {}
-            for lid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lid not in met:
-                    fresh[lid] = line
+            lines, sizes = [], []
+            for text in batch.column(2).to_pylist():
+                some = text.split("\n") if text is not None else []
+                sizes.append(len(some))
+                lines += [x.strip(" \t\r\x0b\x0c").lower() for x in some]
+            h = np.frombuffer(b"".join(digest(x.encode("utf-8", "replace")) for x in lines), "<i8").reshape(-1, 2)
+            blank = np.fromiter((not x for x in lines), bool, len(lines))
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            halves = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h[:, k]), mask=blank)) for k in (0, 1)]
+            none = [pa.nulls(len(sizes), t) for t in (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves, *none], names)
             if len(met) > MEMORY:
                 met.clear()
+            fresh = {lid: (mark, line) for lid, mark, line in zip(h[:, 0].tolist(), h[:, 1].tolist(), lines, strict=True) if line and lid not in met}
             met.update(fresh)
-            every, texts = np.fromiter(fresh, np.int64, len(fresh)), list(fresh.values())
-            for i in range(0, len(texts), 4096):
-                keys = band_keys(texts[i : i + 4096])
-                held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 4096]), held], ["lid", "keys"])
+            for group in hashed_groups(fresh):
+                keys, n = band_keys([line for _, _, line in group]), len(group)
+                held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                empty = [pa.nulls(n, t) for t in (batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                own = [pa.array(x, t) for x, t in zip(zip(*group, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*empty, *own, held], names)
 
-    return written(lines.select("lid", "line").mapInArrow(per_batch, "lid long, keys array<long>"))
+    return written(keyed.mapInArrow(per_batch, schema))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b, first): pairs of distinct lines that share a band; ``first`` marks neighbours in a bucket.
+def bucket_links(rows: DataFrame) -> DataFrame:
+    """(key, lid, head): every line of a bucket but the first, with the line it is compared with.
 
-    Inside a bucket, lines are ordered by their keys in the next two bands, which brings lines together that share
-    more than this band, and each is paired with the next REACH and with the bucket's first line. So pairs grow with the lines and not with
-    their square, and a bucket of up to REACH + 2 lines is compared in full. For a larger one there is a row with its key in ``a`` and
-    no ``b``; crowded_links() compares what the pairs leave of it.
+    Lines of a bucket are ordered by lid, alike in every band, so that lines that share several bands give the same
+    pair. A line is paired with the head of its block of BLOCK lines, and a head with that of the block before. So pairs
+    grow with the lines, no line has many partners, and each bucket is connected. A task reads its sorted partition as a stream.
     """
-    at = lambda k: F.shiftrightunsigned(F.coalesce(F.get("keys", (F.col("band") + k) % BANDS), F.lit(0)), 48)
-    buckets = rows.select("lid", "keys", F.posexplode("keys").alias("band", "key"))
-    buckets = buckets.select("key", (F.shiftleft(at(1), 16) + at(2)).alias("place"), "lid")
-    w = Window.partitionBy("key").orderBy("place", "lid")
-    buckets = buckets.withColumn("p", F.lag("lid").over(w)).where("p is null or p <> lid").drop("p")
-    near = [F.struct(F.col("lid"), F.lag("lid", k).over(w).alias("other"), F.lit(k == 1).alias("first")) for k in range(1, REACH + 1)]
-    near.append(F.struct(F.col("lid"), F.first("lid").over(w).alias("other"), F.lit(False).alias("first")))
-    crowd = F.when(F.row_number().over(w) == REACH + 3, F.struct(F.col("key").alias("lid"), F.col("key").alias("other"), F.lit(False).alias("first")))
-    across = buckets.select(F.array(*near, crowd).alias("n"), F.lag("lid").over(w).alias("p"), "lid").where("p is not null")
-    pairs = across.select("lid", F.posexplode("n").alias("k", "n")).where(F.col("n.other").isNotNull() & ((F.col("k") == REACH + 1) | (F.col("n.other") != F.col("lid")))).select("n.*")
-    return pairs.groupBy(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).agg(F.max("first").alias("first"))
+    spread = rows.select(F.explode("keys").alias("key"), "lid").repartition("key").sortWithinPartitions("key", "lid")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, lid, place in its bucket, and head of its block, of the last row
+        for batch in batches:
+            key, lid = (batch.column(k).to_numpy() for k in (0, 1))
+            if last is not None:
+                key, lid = np.r_[last[0], key], np.r_[last[1], lid]
+            own = np.r_[True, (key[1:] != key[:-1]) | (lid[1:] != lid[:-1])]
+            key, lid = key[own], lid[own]
+            if not len(key):
+                continue
+            at = np.arange(len(key))
+            begins = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+            place = at - begins
+            if last is not None:
+                place += np.where(begins == 0, last[2], 0)
+            carried = last[3] if last is not None else lid[0]
+            head_of = at - place + BLOCK * ((place - 1) // BLOCK)
+            head = np.where(head_of >= 0, lid[np.maximum(head_of, 0)], carried)
+            out = place > 0
+            if last is not None:
+                out[0] = False
+            end = len(key) - 1
+            block = end - place[end] % BLOCK
+            last = key[end], lid[end], place[end], lid[block] if block >= 0 else carried
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(lid[out]), pa.array(head[out])], ["key", "lid", "head"])
+
+    return written(spread.mapInArrow(per_batch, "key long, lid long, head long"))
 
 
 def similar_across(left: list[tuple[int, str, int]], right: list[tuple[int, str, int]]) -> Iterator[tuple[int, int]]:
     """Links that join the (lid, line, component) of left to those of right: every pair of components with similar lines ends up connected.
 
-    Shared shingles are counted through lists of the lines that hold each shingle. Pairs that the links found so far connect are left out.
+    Lines of n shingles that are similar share one of their n - ceil(0.8 n) + 1 rarest; only these are looked up where
+    the pairs are many. Pairs that the links found so far connect are left out.
     """
-    number: dict[str, int] = {}
-    held: list[list[int]] = []
-    sizes = np.zeros(len(right), np.int64)
-    for i, (_, line, _) in enumerate(right):
-        some = shingles(line)
-        sizes[i] = len(some)
-        for x in some:
-            k = number.setdefault(x, len(held))
-            if k == len(held):
-                held.append([])
-            held[k].append(i)
-    lists = [np.array(x, np.int64) for x in held]
+    texts = {lid: line for lid, line, _ in (*left, *right)}
+    sets = dict(zip(texts, shingles(list(texts.values())), strict=True))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -178,40 +237,52 @@ def similar_across(left: list[tuple[int, str, int]], right: list[tuple[int, str,
             x = parent[x]
         return x
 
-    for lid, line, component in left:
-        some = shingles(line)
-        found = [lists[number[x]] for x in some if x in number]
-        if not found:
-            continue
-        both = np.bincount(np.concatenate(found), minlength=len(right))
-        for i in np.flatnonzero(both >= SIMILARITY * (len(some) + sizes - both)):
-            other, _, there = right[i]
-            if (x := root(component)) != (y := root(there)):
+    if len(left) * len(right) <= FEW_PAIRS:
+        partners = lambda _: right
+    else:
+        _, number, often = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        ends = np.cumsum([len(x) for x in sets.values()])
+        rare = {lid: np.sort(r)[: len(r) - math.ceil(SIMILARITY * len(r)) + 1].tolist() for lid, r in zip(sets, np.split(rank[number], ends[:-1]), strict=True)}
+        held: dict[int, list[int]] = {}
+        for i, (lid, _, _) in enumerate(right):
+            for x in rare[lid]:
+                held.setdefault(x, []).append(i)
+        partners = lambda lid: [right[i] for i in sorted({i for x in rare[lid] for i in held.get(x, ())})]
+    for lid, _, component in left:
+        for other, _, there in partners(lid):
+            if (x := root(component)) != (y := root(there)) and similar(sets[lid], sets[other]):
                 parent[x] = y
                 yield lid, other
 
 
-def crowded_links(rows: DataFrame, pairs: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): similar lines of different components that share a bucket too large for candidates(), all compared.
+def remaining_links(found: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): similar lines of different components that share a bucket, each such pair of components connected.
 
-    A bucket that is one component already has nothing to add. Of another, lines outside its largest component meet all
-    lines, in pieces of PIECE_LINES lines or PIECE_CHARS characters, so that a hot bucket is spread over many tasks and links, not pairs, leave a task.
+    Only buckets of three lines and more in which a first comparison failed are looked at, and of those with the same lines
+    only one. Lines outside a bucket's largest component meet all its lines, in pieces of PIECE_LINES lines
+    or PIECE_CHARS characters, so that a hot bucket is spread over many tasks and links, not pairs, leave a task.
     """
-    hot = durable(pairs.where("a = b").select(F.col("a").alias("key")))
-    members = sized_join(rows.select("lid", F.explode("keys").alias("key")), hot, "key", "left_semi").distinct()
-    members = members.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    label = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    rows = sized_join(sized_join(found, label("lid"), "lid", "left"), label("head"), "head", "left")
+    rows = written(rows.select("key", *[F.struct(F.col(end).alias("lid"), F.coalesce(f"c_{end}", end).alias("component")).alias(end) for end in ("lid", "head")]))
+    apart = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("lid.component") != F.col("head.component")).alias("failed")).where("n > 1 and failed").select("key")
+    members = sized_join(rows, durable(apart), "key", "left_semi").select("key", F.explode(F.array("lid", "head")).alias("m")).select("key", "m.*").distinct()
     members = written(members)
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-    mixed_keys = durable(parts.where("parts > 1").select("key", "n", F.col("top.component").alias("top"), F.col("top.n").alias("most")))
-    found = sized_join(members, mixed_keys, "key", "inner").join(texts, "lid")
-    found = written(found.select("key", "lid", "component", "line", "n", (F.col("component") != F.col("top")).alias("odd"), (F.col("n") - F.col("most")).alias("n_odd")))
-    chars = durable(found.groupBy("key").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.when(F.col("odd"), F.length("line")).otherwise(0)).alias("odd_chars")))
-    found = sized_join(found, chars, "key", "inner")
+    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("lid")).alias("x"), F.bit_xor(F.xxhash64("lid", F.lit(1))).alias("y")]
+    parts = members.groupBy("key", "component").agg(*sums).groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "component")).alias("top"))
+    one = parts.groupBy("n", "x", "y").agg(F.min(F.struct("key", "top")).alias("s"))
+    chosen = durable(one.select("s.key", "n", F.col("s.top.component").alias("top"), F.col("s.top.n").alias("most")))
+    met = sized_join(members, chosen, "key", "inner").join(texts.select("lid", "line"), "lid")
+    met = written(met.select("key", "lid", "component", "line", "n", (F.col("component") != F.col("top")).alias("odd"), (F.col("n") - F.col("most")).alias("n_odd")))
+    chars = durable(met.groupBy("key").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.when(F.col("odd"), F.length("line")).otherwise(0)).alias("odd_chars")))
+    met = sized_join(met, chars, "key", "inner")
     pieces = lambda n, size: F.greatest(F.ceil(n / PIECE_LINES), F.ceil(size / PIECE_CHARS), F.lit(1)).cast("int")
-    found = found.withColumn("ka", pieces(F.col("n"), F.col("chars"))).withColumn("ks", pieces(F.col("n_odd"), F.col("odd_chars")))
-    left = found.where("odd").select("key", F.pmod(F.xxhash64("lid"), F.col("ks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(0).alias("side"), "lid", "component", "line")
-    right = found.select("key", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("i"), F.pmod(F.xxhash64("lid"), F.col("ka")).cast("int").alias("j"), F.lit(1).alias("side"), "lid", "component", "line")
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    met = met.withColumn("ka", pieces(F.col("n"), F.col("chars"))).withColumn("ks", pieces(F.col("n_odd"), F.col("odd_chars")))
+    left = met.where("odd").select("key", F.pmod(F.xxhash64("lid"), F.col("ks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(0).alias("side"), "lid", "component", "line")
+    right = met.select("key", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("i"), F.pmod(F.xxhash64("lid"), F.col("ka")).cast("int").alias("j"), F.lit(1).alias("side"), "lid", "component", "line")
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "lid")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
@@ -239,68 +310,72 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar; texts has one row (lid, line) for each line."""
 
     def per_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        kept: dict[str, set[str]] = {}
+        kept: dict[str, np.ndarray] = {}
 
-        def of(line: str) -> set[str]:
+        def of(line: str) -> np.ndarray:
             got = kept.get(line)
             if got is None:
                 if len(kept) >= KEPT_SETS:
                     kept.clear()
-                got = kept[line] = shingles(line)
+                got = kept[line] = shingles([line])[0]
             return got
 
-        for x, y in batches:
-            yield pd.Series([similar(of(a), of(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
+        def close(x: str, y: str) -> bool:
+            try:
+                x.encode("latin-1"), y.encode("latin-1")
+            except UnicodeEncodeError:
+                return similar(*shingles([x, y]))
+            return similar(of(x), of(y))
+
+        for xs, ys in batches:
+            yield pd.Series([close(x, y) for x, y in zip(xs, ys, strict=True)], dtype=bool)
 
     both = pairs.select("a", "b").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     return both.where(F.pandas_udf(per_batch, "boolean")("x", "y")).select("a", "b")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lid, component) of every line that resembles another one, and the lines they were found in.
+    """(lid, mark, component) of every line that resembles another one, and the table of read_lines().
 
-    Neighbours in a bucket are verified first; of the other candidates only those that these links leave in
-    different components, and large buckets are compared in full across the components that remain. So a dense group
-    costs a few comparisons for each line, and a bucket of lines that aren't similar all of them.
+    Each line is first compared with one other of each bucket; buckets that these links leave in several components are then
+    compared in full across components. So a dense group costs a few comparisons for each line, and a bucket
+    of lines that aren't similar all of them. Of lines that share 64 bits of their hash but aren't equal, one takes part.
     """
-    lines = lines_of(docs, id_col, text_col)
-    rows = banded(lines)
-    found = durable(candidates(rows))
-    pairs = found.where("a <> b")
+    ship_package(docs.sparkSession)
+    table = read_lines(docs, id_col, text_col)
+    lines = table.where("lid is not null")
+    found = bucket_links(lines.select("lid", "keys"))
+    pairs = durable(found.select(F.least("lid", "head").alias("a"), F.greatest("lid", "head").alias("b")).distinct())
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
-    texts = durable(sized_join(lines.select("lid", "line"), wanted, "lid", "left_semi").dropDuplicates(["lid"]))
-    links = durable(verified(pairs.where("first"), texts))
-    comp = connected_components(links)
-    label = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
-    rest = pairs.where("not first").join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = durable(links.unionByName(verified(rest, texts)))
-    comp = durable(connected_components(links))
-    more = durable(crowded_links(rows, found, comp, texts))
-    if more.isEmpty():
-        return comp, lines
-    return connected_components(links.unionByName(more)), lines
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, gone): for each document that loses lines, their numbers (from 0, ascending).
+    texts = sized_join(lines.select("lid", "mark", "line"), wanted, "lid", "left_semi").groupBy("lid").agg(F.min(F.struct("mark", "line")).alias("m"))
+    texts = written(texts.select("lid", "m.mark", "m.line"))
+    comp = durable(connected_components(verified(pairs, texts)))
+    more = durable(remaining_links(found, comp, texts))
+    if not more.isEmpty():
+        comp = merged_components(comp, more)
+    return comp.select(F.col("node").alias("lid"), "component").join(texts.select("lid", "mark"), "lid"), table
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, th, gone): for each document that loses lines, their numbers (from 0, ascending); and the table of read_lines().
 
     Of every component the line with the smallest (id, number) stays, ids being compared first and null ids last.
     Lines are counted by hash with partial aggregation; only lines that repeat or resemble another one are
     gathered by document, so a common line never meets in one task.
     """
-    comp, lines = line_groups(docs, id_col, text_col)
-    comp = durable(comp)
-    lines = written(lines.select("id", "th", "no", "lid"))
+    comp, table = line_groups(docs, id_col, text_col)
+    lines = table.where("lids is not null").select("id", "th", F.posexplode(F.arrays_zip("lids", "marks")).alias("no", "x")).select("id", "th", "no", F.col("x.lids").alias("lid"), F.col("x.marks").alias("mark")).where("lid is not null")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no"), F.col("th"))
-    by_line = lines.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    grouped = by_line.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left").where((F.col("n") > 1) | F.col("component").isNotNull())
-    grouped = durable(grouped.select("lid", "at", F.coalesce("component", "lid").alias("component")))
-    stay = grouped.groupBy("component").agg(F.min("at").alias("stay"))
-    decided = durable(grouped.join(stay, "component").select("lid", "stay"))
-    hit = sized_join(lines.select("id", "th", "no", "lid"), decided, "lid", "inner")
+    by_line = lines.groupBy("lid", "mark").agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    grouped = sized_join(by_line, durable(comp), ["lid", "mark"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+    fuzzy = F.col("component").isNotNull()
+    group = F.struct(fuzzy.alias("fuzzy"), F.coalesce("component", "lid").alias("a"), F.when(fuzzy, F.lit(0)).otherwise(F.col("mark")).alias("b"))
+    grouped = durable(grouped.select("lid", "mark", "at", group.alias("component")))
+    stay = durable(grouped.groupBy("component").agg(F.min("at").alias("stay")))
+    decided = durable(sized_join(grouped, stay, "component", "inner").select("lid", "mark", "stay"))
+    hit = sized_join(lines, decided, ["lid", "mark"], "inner")
     here = F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("no") == F.col("stay.no")) & (F.col("th") == F.col("stay.th"))
-    return hit.where(~here).groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    return hit.where(~here).groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("gone")), table
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +384,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that are equal in id and text lose the same lines: the first occurrence of a line within such a row stays in
     each of them. A document all of whose lines go keeps its row with what is left of the text.
     """
-    gone = durable(removed_lines(docs, id_col, text_col))
+    gone = durable(removed_lines(docs, id_col, text_col)[0])
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *document_key(id_col, text_col))
     both = sized_join(d.alias("d"), gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left")
     text = F.col(f"doc.`{text_col}`")
@@ -320,9 +395,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_kept, gone) for every row of docs: its lines, those that stay, and the numbers of those that go."""
-    gone = durable(removed_lines(docs, id_col, text_col))
-    d = docs.select(*document_key(id_col, text_col), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("n"))
-    both = sized_join(d.alias("d"), gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left")
-    n = F.greatest(F.col("n"), F.lit(0)).cast("long")
+    gone, table = removed_lines(docs, id_col, text_col)
+    d = table.where("lids is not null").select("id", "th", F.size("lids").cast("long").alias("n"))
+    both = sized_join(d.alias("d"), durable(gone).alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.th") == F.col("g.th")), "left")
     lost = F.coalesce("gone", F.array().cast("array<int>"))
-    return both.select("d.id", n.alias("n_lines"), (n - F.size(lost)).alias("n_kept"), lost.alias("gone"))
+    return both.select("d.id", F.col("n").alias("n_lines"), (F.col("n") - F.size(lost)).alias("n_kept"), lost.alias("gone"))

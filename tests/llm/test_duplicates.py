@@ -138,6 +138,50 @@ def test_groups_inside_a_crowded_bucket(spark):
     assert len(set(want) - got) <= 0.01 * len(want)
 
 
+def altered(n, most, seed):
+    """Copies of one sentence with 1 to ``most`` words changed: similar pairs and pairs that just aren't."""
+    rng = random.Random(seed)
+    base = "every crate that left the harbour last winter was weighed twice and entered by hand in the long ledger of the customs house".split()
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, most)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_a_crowded_bucket_loses_no_link_and_partitions_do_not_matter(spark):
+    docs = altered(900, 3, 11)
+    want = set(brute_lines(docs))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [{r.id for r in line_dedup.dedup_report(df.repartition(n)).collect() if r.gone} for n in (1, 60)]
+    assert got[0] == got[1] and not got[0] - want
+    assert len(got[0]) >= 0.99 * len(want) > 100
+
+
+def test_shingle_numbers_are_exact():
+    rng = random.Random(2)
+    grams = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+    lines = ["", "short", "seven77", "eight888", "é" * 30, "ﬁ" * 9, "日本語" * 6] + ["".join(rng.choice("abé\xff") for _ in range(rng.randint(5, 40))) for _ in range(60)]
+    for some in (lines, [x for x in lines if max(map(ord, x), default=0) < 256]):
+        sets = line_dedup.shingles(some)
+        for a, x in zip(some, sets):
+            for b, y in zip(some, sets):
+                both, either = len(grams(a) & grams(b)), len(grams(a) | grams(b))
+                if min(len(a), len(b)) >= 8:
+                    assert line_dedup.similar(x, y) == (both >= 0.8 * either), (a, b)
+
+
+def test_pieces_find_what_brute_force_finds():
+    for docs in (altered(300, 4, 3), templated(120, 2)):
+        lines = [(i, line, i) for i, (_, line) in enumerate(docs)]
+        sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, x, _ in lines]
+        links = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        got = list(line_dedup.similar_across(lines, lines))
+        assert components(len(lines), got) == components(len(lines), links)
+
+
 def test_line_text_and_odd_rows(spark, odd_docs, no_docs):
     df = spark.createDataFrame([(1, "Same line here today\n\nonly mine", 5), (2, "  same line here TODAY \nother", 6), (3, None, 7), (4, "", 8)], "doc_id bigint, text string, gone int")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
