@@ -33,7 +33,7 @@ BANDS, ROWS = 10, 4
 #: Lines of a bucket that are first compared with one of them; smaller than a bucket only to keep any one line from many partners.
 BLOCK = 64
 #: Lines and characters of a large bucket that meet at once in a task.
-PIECE_LINES, PIECE_CHARS = 1024, 4_000_000
+PIECE_LINES, PIECE_CHARS = 256, 1_000_000
 #: Pairs of a piece that are compared as they are; for more, lines first have to share a rare shingle.
 FEW_PAIRS = 256
 #: Line numbers that a task remembers, so that it sends a line once however often it meets it.

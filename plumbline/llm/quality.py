@@ -79,6 +79,15 @@ def divergence(p: Column, q: tuple[float, ...]) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
+def behind_barrier(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns of df, through a generator of one row each.
+
+    A filter on what is computed here is never pushed below it, where every measure that it reads would be computed
+    again inside it, once for each mention.
+    """
+    return df.select(F.explode(F.array(F.struct(*names))).alias("m")).select("m.*")
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's columns packed in ``doc``, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
@@ -92,7 +101,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "t",
         "w",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, HALF)])).alias("h"),
@@ -100,14 +109,14 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("h", F.transform("h", lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + HALF))))
     out = out.withColumn("h", F.when(F.col("n_words") >= WINDOW, F.slice("h", F.lit(1), F.size("w") - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>")))
     out = out.select("doc", "t", "w", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", (F.size(F.array_distinct("h")) < F.size("h")).alias("again"))
-    out = out.withColumn("r", F.when(F.col("again"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn("r", F.when(F.col("again"), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda e, o: F.coalesce(e["h"] == o["h"], F.lit(False))
-    out = out.withColumn("r", F.when(F.col("again"), F.array_sort(F.transform(F.filter("r", lambda e, k: same(e, F.get(F.col("r"), k - 1)) | same(e, F.get(F.col("r"), k + 1))), lambda e: e["i"]))))
+    out = out.withColumn("r", F.when(F.col("again"), F.sort_array(F.transform(F.filter("r", lambda e, k: same(e, F.get(F.col("r"), k - 1)) | same(e, F.get(F.col("r"), k + 1))), lambda e: e["i"]))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate("r", zero, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"]
     out = out.withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.select("doc", "t", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return behind_barrier(out.withColumn("base_failed", failed), "doc", "t", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def judge(docs: DataFrame, reference: Reference, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -122,8 +131,9 @@ def judge(docs: DataFrame, reference: Reference, text_col: str = "text", lang_co
         words = reference.words
         at = {w: i for i, w in enumerate(words)}
         out = out.withColumn("spaced", F.concat(F.lit(" "), lower_ascii(F.array_join("w", "  ")), F.lit(" ")))
-        if words:  # words longer than every common one go first, to shorten the string that is searched for each of these
-            out = out.withColumn("spaced", F.regexp_replace("spaced", f" [^ ]{{{max(map(len, words)) + 1},}} ", ""))
+        if words:  # words that aren't common go first, to shorten the string that is searched for each of these
+            any_word = "|".join(rf"\Q{w}\E" for w in words)
+            out = out.withColumn("spaced", F.regexp_replace("spaced", f" (?!(?:{any_word}) )[^ ]++ ", ""))
         count = [((F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w.encode()) + 2)) / F.col("n_words")) for w in words]
         known = F.col(f"doc.`{lang_col}`").isNull() | F.col(f"doc.`{lang_col}`").isin(sorted(reference.classes))
         judged = (F.col("n_words") > 0) & known
@@ -141,7 +151,7 @@ def judge(docs: DataFrame, reference: Reference, text_col: str = "text", lang_co
     else:
         out = out.withColumn("distance", F.lit(None).cast("double"))
     odd = (F.col("n_words") >= JUDGED_WORDS) & F.coalesce(F.col("distance") > MOST_DISTANCE, F.lit(False))
-    return out.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & ~odd).alias("kept"))
+    return behind_barrier(out.withColumn("kept", ~F.col("base_failed") & ~odd), "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -155,11 +165,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents that the rules reject, all columns kept. A filter on the row: texts move in no shuffle.
-
-    The verdict becomes zero or one rows by a generator, since a filter would be pushed into the projections below and
-    have every measure computed again.
-    """
+    """docs without the documents that the rules reject, all columns kept. A filter on the row: texts move in no shuffle."""
     judged = judge(docs, learn_reference(docs, lang_col, text_col), text_col, lang_col)
-    kept = judged.select("doc", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("one"))
-    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    return judged.where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
