@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.session import ship_package
+
 #: Bounds of the fit: documents of each label, characters of one, features kept.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_FEATURES = 1000, 1500, 6_000, 30_000
 #: A telling feature occurs in so many toxic documents at least, and so much more often there (log of the ratio).
@@ -36,12 +38,18 @@ def features(word: str) -> list[str]:
 
 
 def marginals(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
-    """P(toxic) of every token. u: log-odds by token, documents one after the other; moves[i, j]: log-potential of i to j.
+    """P(toxic) of every token. u: log-odds by token, documents one after the other; moves[i, j]: log-potential of i to j."""
+    return expectations(u, sizes, moves, start)[0]
+
+
+def expectations(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of every token, and the expected number of each step: pairs[i, j] sums the marginals of neighbours in i and j.
 
     All documents take each step together, the longest first, so that memory is the number of tokens.
     """
+    pairs = np.zeros((2, 2))
     if not len(u):
-        return np.zeros(0)
+        return np.zeros(0), pairs
     e = np.exp(np.clip(u, -30, 30))
     order = np.argsort(-sizes, kind="stable")
     length = sizes[order]
@@ -71,12 +79,15 @@ def marginals(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float)
         a, n = offset[t], active[t]
         if len(g):
             nxt = x[offset[t + 1] : offset[t + 1] + active[t + 1]]
+            here = f[a : a + len(g)]
+            steps = np.array([[(1 - here) * oo * (1 - g), (1 - here) * ot * nxt * g], [here * to * (1 - g), here * tt * nxt * g]])
+            pairs += (steps / steps.sum(axis=(0, 1))).sum(axis=2)
             one, none = to * (1 - g) + tt * nxt * g, oo * (1 - g) + ot * nxt * g
             g = one / (one + none)
         g = np.r_[g, np.full(n - len(g), 0.5)]
         both = f[a : a + n] * g
         out[a : a + n] = both / (both + (1 - f[a : a + n]) * (1 - g))
-    return out[at]
+    return out[at], pairs
 
 
 @dataclass
@@ -127,8 +138,8 @@ class ToxicityModel:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> pd.DataFrame:
     """A bounded sample of labelled texts (columns t, y) for fit(): at most FIT_TOXIC and FIT_CLEAN rows of labels.
 
-    Rows are drawn by a hash of the id, so reruns draw alike; texts of over FIT_CHARS characters are left out. The
-    chosen ids (bounded) are broadcast to the scan of docs, whose texts are not shuffled.
+    Rows are drawn by a hash of the id, and of an id's texts that with the smallest hash, so reruns draw alike; texts of
+    over FIT_CHARS characters are left out. The chosen ids (bounded) are broadcast to the scan of docs, whose texts are not shuffled.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -138,7 +149,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < F.lit(float(1 << 20)) * part)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("k") <= most).select("id", "y")
     rows = docs.where(F.length(text_col) <= FIT_CHARS).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(some), "id")
-    return rows.dropDuplicates(["id", "y"]).select("id", "t", "y").limit(2 * (FIT_TOXIC + FIT_CLEAN)).toPandas().sort_values(["id", "y"])[["t", "y"]]
+    first = Window.partitionBy("id", "y").orderBy(F.xxhash64("t"), "t")
+    rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
+    return rows.select("id", "t", "y").toPandas().sort_values(["id", "y"])[["t", "y"]]
 
 
 def fit(labelled: pd.DataFrame) -> ToxicityModel:
@@ -189,7 +202,7 @@ def fit(labelled: pd.DataFrame) -> ToxicityModel:
     scale = max(1.0, true.sum())
     for _ in range(EPOCHS):
         u = (np.bincount(word_of, weights[feature_of], len(of)) + bias)[tokens]
-        gamma = marginals(u, sizes, moves, start)
+        gamma, want = expectations(u, sizes, moves, start)
         gap = np.bincount(tokens, true - gamma, len(of))
         g = np.bincount(feature_of, gap[word_of], len(keep)) / scale - DECAY * weights
         square += g * g
@@ -197,9 +210,6 @@ def fit(labelled: pd.DataFrame) -> ToxicityModel:
         gb = gap.sum() / scale
         square_bias += gb * gb
         bias += RATE * gb / np.sqrt(square_bias)
-        # the pairs' marginals, by the product of the tokens' own, move the transitions
-        a, b = gamma[inner - 1], gamma[inner]
-        want = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
         gm = (pairs - want) / scale
         square_moves += gm * gm
         moves = moves + 0.1 * RATE * gm / np.sqrt(square_moves)
@@ -228,6 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     spans holds the start and end (code points, end exclusive) of the tokens whose marginal is above one half. Null
     and empty texts have no tokens and get the score of no evidence. Row-wise with the broadcast model.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
