@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.session import ship_package
+
 BUCKETS = 4096
-#: Bounds of the fit: texts a language, languages, and characters of a text that is learned from.
-FIT_TEXTS, FIT_LANGUAGES, FIT_CHARS = 400, 64, 20_000
+#: Bounds of the fit: texts a language, texts of all languages (but LEAST_TEXTS of each), and characters of a text that are learned from.
+FIT_TEXTS, FIT_ALL, LEAST_TEXTS, FIT_CHARS = 400, 25_600, 20, 20_000
 CENTROIDS, ROUNDS = 4, 12
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -92,15 +94,18 @@ def cluster(v: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_texts: int = FIT_TEXTS) -> LanguageModel:
     """A model from a bounded sample of rows that have a text and a language.
 
-    Counts of rows by language cover all data; of each of the FIT_LANGUAGES most frequent languages about ``fit_texts``
-    texts of at most FIT_CHARS characters are drawn by a hash of the text, so that reruns draw alike. The sample
-    alone reaches the driver. Without any labelled row the model knows no language and says UNKNOWN.
+    Texts are counted by language over all data, copies once; of every language about ``fit_texts`` texts (fewer if there
+    are so many languages that FIT_ALL is passed) are drawn by a hash of the text, so that reruns draw alike, and of each its first FIT_CHARS
+    characters are learned from. The sample alone reaches the driver. Without any labelled row the model knows no
+    language and says UNKNOWN.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= FIT_CHARS)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES)
-    rows = rows.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64(F.lit(11), "t"))
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(float(1 << 20)) * 2 * fit_texts / F.col("count"))
-    some = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= fit_texts).select("lang", "t").toPandas().sort_values(["lang", "t"])
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64(F.lit(11), "t"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    most = min(fit_texts, max(LEAST_TEXTS, FIT_ALL // max(1, len(sizes))))
+    part = labelled.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * most / max(1, n))) for lang, n in sizes.items()], "lang string, part double")
+    drawn = rows.join(F.broadcast(part), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.col("part"))
+    drawn = drawn.select("lang", "h", F.substring("t", 1, FIT_CHARS).alias("t")).dropDuplicates(["lang", "h", "t"])
+    some = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= most).select("lang", "t").toPandas().sort_values(["lang", "t"])
     got = [(lang, c) for lang, t in zip(some["lang"], some["t"], strict=True) if (c := counts(t)) is not None]
     if not got:
         return LanguageModel((), np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -128,6 +133,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     lang_pred is the nearest centroid's language, and UNKNOWN for null texts and texts without letters (score 0,
     rejected). ``rejected`` marks texts farther from it than its training texts. Row-wise with the broadcast model.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

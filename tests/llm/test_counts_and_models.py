@@ -81,6 +81,70 @@ def test_forward_backward_against_all_paths():
         at += n
 
 
+def log_likelihood(u, moves, start, labels):
+    total, own = -np.inf, None
+    for code in range(2 ** len(u)):
+        s = [(code >> i) & 1 for i in range(len(u))]
+        w = start * s[0] + sum(a * b for a, b in zip(u, s)) + sum(moves[a][b] for a, b in zip(s, s[1:]))
+        total = np.logaddexp(total, w)
+        own = w if s == labels else own
+    return own - total
+
+
+def test_expected_steps_are_the_likelihoods_gradient():
+    rng = np.random.default_rng(5)
+    sizes, chains = np.array([4, 1, 6]), [[0, 1, 1, 0], [1], [1, 0, 0, 1, 1, 1]]
+    u, moves, start = rng.normal(size=11), rng.normal(size=(2, 2)), -0.4
+    parts = np.split(u, np.cumsum(sizes)[:-1])
+    value = lambda m, x: sum(log_likelihood(p, m, start, c) for p, c in zip(np.split(x, np.cumsum(sizes)[:-1]), chains))
+    assert np.isfinite(value(moves, np.concatenate(parts)))
+    gamma, want = toxicity.expectations(u, sizes, moves, start)
+    true = np.zeros((2, 2))
+    for c in chains:
+        for a, b in zip(c, c[1:]):
+            true[a, b] += 1
+    for i in range(2):
+        for j in range(2):
+            d = np.zeros((2, 2))
+            d[i, j] = 1e-5
+            assert abs((value(moves + d, u) - value(moves - d, u)) / 2e-5 - (true - want)[i, j]) < 1e-6
+    flat = np.concatenate(chains)
+    for k in range(11):
+        d = np.zeros(11)
+        d[k] = 1e-5
+        assert abs((value(moves, u + d) - value(moves, u - d)) / 2e-5 - (flat - gamma)[k]) < 1e-6
+
+
+def brute_grams(text):
+    low = "".join(x if x.isalpha() else " " for x in text.lower())
+    padded = " " + " ".join(low.split()) + " "
+    return [g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]).strip() and not (n == 3 and g[1] == " ")]
+
+
+def test_language_vectors_and_nearest_centroid(spark, documents):
+    for text in ("Der Hund, die Katze!", "a", "l'été 2024 — où?", "日本 語x"):
+        assert language_id.counts(text).sum() == len(brute_grams(text))
+    assert language_id.counts("12 .. 34") is None and language_id.counts(None) is None
+    model = language_id.fit(documents)
+    texts = [r.text for r in documents.limit(60).collect()]
+    langs, score, _ = model.predict(texts)
+    for t, lang, s in zip(texts, langs, score):
+        x = language_id.counts(t)
+        if x is None:
+            continue
+        v = np.log1p(x) * model.idf.astype(float)
+        cos = [float(v @ c) / np.linalg.norm(v) for c in model.centroids]
+        assert abs(max(cos) - s) < 1e-4 and (max(cos) - max(c for c, o in zip(cos, model.owner) if model.langs[o] == lang)) < 1e-4
+
+
+def test_language_copies_count_once_and_no_language_is_left_out(spark):
+    word = lambda k, i: "".join(chr(97 + (k * 7 + i * j) % 26) for j in range(6))
+    rows = [("aa", "one text copied over and over")] * 3000 + [("aa", " ".join(word(1, i + j) for j in range(30))) for i in range(50)]
+    rows += [(f"l{k}", " ".join(word(k, j) for j in range(20))) for k in range(90)] + [("long", "zyx " * 9_000)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.langs) == 92 and "long" in model.langs
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     got = q.op4_toxicity(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
