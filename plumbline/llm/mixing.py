@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import sized_join
+from plumbline.functions.frames import durable, sized_join
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: What all targets share, as a part of all sizes, and the most of its size that a source or document is taken.
@@ -24,7 +24,7 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     ``share`` times all sizes; no target passes ``most`` times its source's size, and what is cut off goes to the
     others by weight until none is above. That end state is one level l with target = min(cap, l * weight); it is
     read off running sums over the sources in order of cap / weight. The sizes are summed before the shuffle; the
-    two windows see one row for each source.
+    two windows see one row for each source, which one task must hold: a million sources take some 100 MB.
     """
     if share > most:
         raise ValueError("the share can't be met within the caps")
@@ -61,7 +61,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     same mix. Null text has size 0; null sources are one source; sources without words have target 0 and rate 0;
     an empty table gives an empty result. Repeated rows draw alike. Packing keeps columns of any name apart.
     """
-    targets = source_targets(docs, weights, share, most, source_col, text_col)
+    targets = durable(source_targets(docs, weights, share, most, source_col, text_col))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), uniform(id_col, text_col, seed).alias("draw"))
     joined = sized_join(packed.alias("d"), targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "inner", max_rows=100_000)
