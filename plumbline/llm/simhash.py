@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.frames import durable, sized_join
 from plumbline.functions.graph import connected_components
+from plumbline.functions.session import ship_package
 
 from .text import document_key
 
@@ -52,6 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
         for texts in batches:
             yield pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
+    ship_package(docs.sparkSession)
     return docs.select(*document_key(id_col, text_col), F.pandas_udf(per_batch, "long")(F.col(text_col)).alias("fp"))
 
 
@@ -75,18 +77,19 @@ def near_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
 def grouped(docs: DataFrame, width: int, radius: int, id_col: str, text_col: str) -> DataFrame:
     """(id, th, fp, low) for every row: low is the key of its component's first member, ids ascending and null ids last.
 
-    Fingerprints are counted down to distinct ones before anything is joined, so a group of exact copies is one node;
-    the last join on fp may meet a hot fingerprint, which AQE splits as its table side has one row for each.
+    Fingerprints are counted down to distinct ones before anything is joined, so a group of exact copies is one node.
+    Documents whose fingerprint is neither repeated nor linked are their own group; the others' are looked up in a table
+    of one row a fingerprint, which is broadcast if it is small and else joined with a shuffle in which AQE splits hot fingerprints.
     """
     docs = durable(fingerprints(docs, width, id_col, text_col))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th")))
-    nodes = docs.groupBy("fp").agg(first.alias("low"))
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"))
+    nodes = durable(docs.groupBy("fp").agg(F.min(own).alias("low"), F.count("*").alias("n")))
     comp = connected_components(near_pairs(nodes, radius))
-    linked = nodes.join(comp, F.col("fp") == F.col("node"))
-    lows = linked.groupBy("component").agg(F.min("low").alias("group_low"))
-    moved = durable(linked.select("fp", "component").join(lows, "component").select("fp", "group_low"))
-    own = docs.join(nodes, "fp")
-    return sized_join(own, moved, "fp", "left").select("id", "th", "fp", F.coalesce("group_low", "low").alias("low"))
+    linked = durable(sized_join(nodes.select("fp", "low"), comp.select(F.col("node").alias("fp"), "component"), "fp", "inner"))
+    lows = durable(linked.groupBy("component").agg(F.min("low").alias("group_low")))
+    moved = durable(sized_join(linked.select("fp", "component"), lows, "component", "inner").select("fp", "group_low"))
+    decided = durable(sized_join(nodes, moved, "fp", "left").where("n > 1 or group_low is not null").select("fp", F.coalesce("group_low", "low").alias("low")))
+    return sized_join(docs, decided, "fp", "left").select("id", "th", "fp", F.coalesce("low", own).alias("low"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
