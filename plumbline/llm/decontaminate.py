@@ -46,21 +46,23 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     if not lengths:
         return docs.select(*document_key(id_col, text_col), F.lit(0).alias("at"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hashed = None
+    by_length = F.lit(None).cast("long")
     for n in lengths:
-        part = windows.where(F.col("len") == n).select("len", "win", "items", window_hash(F.col("win"), F.lit(0), n).alias("h"))
-        hashed = part if hashed is None else hashed.unionByName(part)
-    spread = docs.select(*document_key(id_col, text_col), words_of(F.col(text_col)).alias("w"))
-    spread = spread.where(F.size("w") >= lengths[0]).select("id", "th", "w", F.posexplode("w").alias("at", "first"))
-    out = None
-    for n in lengths:
-        rows = spread.where(F.col("at") <= F.size("w") - n)
-        rows = rows.select("id", "th", "at", ("w" if small else F.slice("w", F.col("at") + 1, n).alias("got")), window_hash(F.col("w"), F.col("at"), n).alias("h"))
-        set_n = hashed.where(F.col("len") == n)
-        found = rows.join(F.broadcast(set_n) if small else set_n, "h")
-        found = found.where((F.slice("w", F.col("at") + 1, n) if small else F.col("got")) == F.col("win")).select("id", "th", "at", "len", "items")
-        out = found if out is None else out.unionByName(found)
-    return out
+        by_length = F.when(F.col("len") == n, window_hash(F.col("win"), F.lit(0), n)).otherwise(by_length)
+    hashed = windows.select("len", "win", "items", by_length.alias("h"))
+    rows = docs.select(*document_key(id_col, text_col), words_of(F.col(text_col)).alias("w")).where(F.size("w") >= lengths[0])
+    rows = rows.select("id", "th", "w", F.posexplode("w").alias("at", "first")).where(F.col("at") <= F.size("w") - lengths[0])
+    if len(lengths) == 1:
+        rows = rows.select("id", "th", "at", "w", F.lit(lengths[0]).alias("n"), window_hash(F.col("w"), F.col("at"), lengths[0]).alias("h"))
+    else:  # a row for each length, from one scan and one split
+        every = F.array(*[F.when(F.col("at") <= F.size("w") - n, F.struct(F.lit(n).alias("n"), window_hash(F.col("w"), F.col("at"), n).alias("h"))) for n in lengths])
+        rows = rows.select("id", "th", "at", "w", F.explode(every).alias("x")).where("x is not null").select("id", "th", "at", "w", "x.n", "x.h")
+    got = F.slice("w", F.col("at") + 1, F.col("n"))
+    if not small:
+        rows = rows.select("id", "th", "at", got.alias("w"), "n", "h")
+        got = F.col("w")
+    found = rows.join(F.broadcast(hashed) if small else hashed, "h")
+    return found.where((F.col("n") == F.col("len")) & (got == F.col("win"))).select("id", "th", "at", "len", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
