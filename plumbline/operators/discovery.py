@@ -231,7 +231,8 @@ def sheet_levels(lines: DataFrame) -> DataFrame:
 
 
 def height_candidates(levels: DataFrame) -> DataFrame:
-    """Heights between tops and bottoms of one sheet; equal drawings first, the range after, so that it stays a hash join."""
+    """Heights between tops and bottoms of one sheet; equal drawings first, the range after, so that it stays a hash join of different levels."""
+    levels = levels.select("drawing_id", "kind", "level_m").distinct()
     t = levels.where(c("kind").isin(*TOPS)).select("drawing_id", c("kind").alias("top"), c("level_m").alias("t"))
     b = levels.where(c("kind").isin(*BOTTOMS)).select("drawing_id", c("kind").alias("bottom"), c("level_m").alias("b"))
     h = rounded(c("t") - c("b"), 3)

@@ -15,7 +15,7 @@ SHEET = ["drawing_id", "page"]
 ROUTE_CHARS, ROUTE_SPANS = 1500, 60
 LINE_STEP, BLOCK_GAP, BLOCK_OVERLAP = 0.6, 1.9, -1.0
 PAD_X, PAD_Y = 26.0, 9.0
-GRID_BAND, GRID_GAP, GRID_DEFAULT = 0.02, 0.012, 16
+GRID_BAND, GRID_GAP, GRID_DEFAULT, GRID_LABEL_PT = 0.02, 0.012, 16, (3, 30)
 NEAR, FAR, NO_MATCH = 6, 18, 64
 
 
@@ -95,18 +95,30 @@ def grid_ref(x0: Column, y0: Column, x1: Column, y1: Column, columns: Column, ro
 
 
 def detect_grid(glyphs: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(drawing_id, page, columns, detected) from glyphs in the top border strip, spaced by the upper median gap; 16 where the strip tells nothing."""
+    """(drawing_id, page, columns, rows, detected): cells along and across a sheet from the pitch of small glyphs in its border.
+
+    Glyphs in the strips at the left and right tell the rows, those at the top and bottom the columns. Places closer than
+    GRID_GAP are one label; the upper median of the gaps between labels is the pitch. Where either axis has fewer than four glyphs or three
+    labels, or its pitch gives no 4 to 40 cells, the sheet gets the default grid as a whole.
+    """
     g = glyphs.join(sheets.select(*SHEET, "width_pt", "height_pt"), SHEET)
-    strip = g.where((c("y0") < GRID_BAND * c("height_pt")) & (c("y1") - c("y0")).between(3, 30)).withColumn("x", (c("x0") + c("x1")) / 2 / c("width_pt"))
-    w = Window.partitionBy(*SHEET).orderBy("x", "glyph_id")
-    strip = strip.withColumn("k", F.sum(F.when(c("x") - F.lag("x").over(w) > GRID_GAP, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marks = strip.groupBy(*SHEET, "k").agg(F.avg("x").alias("x"), F.count("*").alias("m"))
-    w = Window.partitionBy(*SHEET).orderBy("x")
-    gaps = marks.withColumn("gap", c("x") - F.lag("x").over(w)).groupBy(*SHEET).agg(F.sort_array(F.collect_list("gap")).alias("g"), F.count("*").alias("n"), F.sum("m").alias("m"))
-    median = F.get("g", F.floor(F.size("g") / 2).cast("int"))
-    n = F.round(1 / median).cast("int")
-    good = (c("m") >= 4) & (c("n") >= 3) & n.between(4, 40)
-    return sheets.select(*SHEET).join(gaps, SHEET, "left").select(*SHEET, F.when(good, n).otherwise(GRID_DEFAULT).alias("columns"), F.coalesce(good, F.lit(False)).alias("detected"))
+    g = g.where((c("y1") - c("y0")).between(*GRID_LABEL_PT) & (c("x1") - c("x0")).between(1, GRID_LABEL_PT[1]))
+    side = (c("x1") < GRID_BAND * c("width_pt")) | (c("x0") > (1 - GRID_BAND) * c("width_pt"))
+    edge = (c("y1") < GRID_BAND * c("height_pt")) | (c("y0") > (1 - GRID_BAND) * c("height_pt"))
+    seen = F.array(F.when(side, F.struct(F.lit("rows").alias("axis"), ((c("y0") + c("y1")) / 2 / c("height_pt")).alias("v"))), F.when(edge, F.struct(F.lit("columns").alias("axis"), ((c("x0") + c("x1")) / 2 / c("width_pt")).alias("v"))))
+    g = g.select(*SHEET, "glyph_id", F.explode(seen).alias("s")).where("s is not null").select(*SHEET, "glyph_id", "s.*")
+    w = Window.partitionBy(*SHEET, "axis").orderBy("v", "glyph_id")
+    g = g.withColumn("k", F.sum(F.when(c("v") - F.lag("v").over(w) > GRID_GAP, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    labels = g.groupBy(*SHEET, "axis", "k").agg(F.avg("v").alias("v"), F.count("*").alias("m"))
+    w = Window.partitionBy(*SHEET, "axis").orderBy("v")
+    axes = labels.withColumn("gap", c("v") - F.lag("v").over(w)).groupBy(*SHEET, "axis").agg(F.sort_array(F.collect_list("gap")).alias("gaps"), F.count("*").alias("n"), F.sum("m").alias("m"))
+    median = F.get("gaps", F.floor(F.size("gaps") / 2).cast("int"))
+    cells = F.when((c("m") >= 4) & (c("n") >= 3) & (median > 0.005), F.round(1 / median).cast("int"))
+    axes = axes.withColumn("cells", F.when(cells.between(4, 40), cells))
+    both = axes.groupBy(*SHEET).agg(*[F.max(F.when(c("axis") == x, c("cells"))).alias(x) for x in ("columns", "rows")])
+    good = c("columns").isNotNull() & c("rows").isNotNull()
+    out = sheets.select(*SHEET).join(both, SHEET, "left")
+    return out.select(*SHEET, *[F.when(good, c(x)).otherwise(GRID_DEFAULT).alias(x) for x in ("columns", "rows")], good.alias("detected"))
 
 
 def glyph_filter(glyphs: DataFrame, least_pt: float = 9.0) -> DataFrame:
@@ -186,25 +198,28 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(fine, bits).otherwise(NO_MATCH).cast("int")
 
 
-def find_similar(queries: DataFrame, examples: DataFrame, k: int = 3, most_examples: int = 20_000) -> DataFrame:
+def find_similar(queries: DataFrame, examples: DataFrame, k: int = 3, most_queries: int = 20_000) -> DataFrame:
     """For each query (drawing_no, image_hash) the k nearest examples: close hashes first, then the same series, then looser ones.
 
-    Every query is held against every example. Examples are counted, and broadcast up to most_examples; more are dealt into
-    blocks of about that many rows and each block meets all queries, of whose pairs the best k leave the block.
+    Every query is held against every example, at every size. The loose tier takes over a quarter of the bits, too far for hash
+    pieces to sort anything out, so hashes become numbers once a row and a pair costs an xor and a bit count. Up to most_queries
+    queries are broadcast to the examples, which stay where they are; more are dealt with the examples into blocks that meet in a shuffle. The best k of a query leave each task.
     """
     series = lambda no: F.array_join(F.slice(F.split(no, "-"), 1, 4), "-")
-    q = queries.select(c("drawing_no").alias("q_no"), c("image_hash").alias("q_hash"), series(c("drawing_no")).alias("q_series"))
-    e = examples.select(c("drawing_no").alias("e_no"), c("image_hash").alias("e_hash"), series(c("drawing_no")).alias("e_series"))
-    n = e.count()
-    if n <= most_examples:
-        both = q.join(F.broadcast(e), c("q_no") != c("e_no"))
+    half = lambda at: F.conv(F.substring("image_hash", at, 8), 16, 10).cast("bigint")
+    bits = F.when(F.rlike("image_hash", F.lit("^[0-9a-fA-F]{16}$")), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+    side = lambda df, s: df.select(c("drawing_no").alias(f"{s}_no"), bits.alias(f"{s}_bits"), series(c("drawing_no")).alias(f"{s}_series"))
+    q, e = side(queries, "q"), side(examples, "e")
+    d = F.coalesce(F.bit_count(c("q_bits").bitwiseXOR(c("e_bits"))), F.lit(NO_MATCH)).cast("int")
+    near = (c("q_no") != c("e_no")) & ((d <= FAR) | (c("q_series") == c("e_series")))
+    n = q.count()
+    if n <= most_queries:
+        both = e.join(F.broadcast(q), near)
     else:
-        blocks = -(-n // most_examples)
-        qb = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        eb = e.withColumn("block", F.pmod(F.xxhash64("e_no", "e_hash"), F.lit(blocks)).cast("int"))
-        both = qb.join(eb, "block").where(c("q_no") != c("e_no"))
-    d = hamming(c("q_hash"), c("e_hash"))
-    both = both.withColumn("distance", d).withColumn("tier", F.when(d <= NEAR, 0).when(c("q_series") == c("e_series"), 1).when(d <= FAR, 2)).where("tier is not null")
+        blocks = -(-n // most_queries)
+        eb = e.withColumn("block", F.pmod(F.xxhash64("e_no", "e_bits"), F.lit(blocks)).cast("int"))
+        both = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(eb, "block").where(near)
+    both = both.select("q_no", "e_no", d.alias("distance"), F.when(d <= NEAR, 0).when(c("q_series") == c("e_series"), 1).otherwise(2).alias("tier"))
     w = Window.partitionBy("q_no").orderBy("tier", "distance", "e_no")
     # Spark keeps the best k of each task before the shuffle (WindowGroupLimit)
     return both.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k).select("q_no", "e_no", "tier", "distance", "rank")

@@ -10,8 +10,8 @@ from plumbline.functions.numbers import rounded
 c = F.col
 ROLLUP = "ROLLUP"
 #: Activities of the detail sheet by category, and groups of read items in order.
-ACTIVITIES = {"Earthwork": "Earthwork", "PCC / Blinding": "Blinding", "Structural Concrete": "Concrete", "Formwork": "Formwork", "Rebar (coefficient)": "Reinforcement", "Rebar (manual BBS)": "Reinforcement", "HDPE Liner": "Liner", "Epoxy Coating": "Coating", "Joints": "Joints", "Joint accessories": "Joints", "Embedments": "Embedments", "Sump Ancillaries": "Sump ancillaries"}
-KIND_ORDER = ("box3", "box2", "thickness", "diameter", "rebar", "rebar_spacing", "assembly", "compaction", "per_set")
+ACTIVITIES = {"Earthwork": "Earthwork", "PCC / Blinding": "PCC", "Structural Concrete": "Concrete", "Formwork": "Formwork", "Rebar (coefficient)": "Rebar", "Rebar (manual BBS)": "Rebar", "HDPE Liner": "Liner", "Epoxy Coating": "Coating", "Joints": "Joints", "Joint accessories": "Joints", "Embedments": "Embedments", "Sump Ancillaries": "Sump"}
+KIND_ORDER = ("box3", "box2", "thickness", "compaction", "rebar", "rebar_spacing", "assembly", "diameter", "set")
 SITE_ORDER = ("Brown Field", "Green Field", "Repair")
 
 

@@ -9,6 +9,8 @@ from plumbline.functions.numbers import rounded
 
 c = F.col
 LIVE = ("queued", "running")
+#: What an event turns a job into; retries only count for jobs that failed or were cancelled.
+BECOMES = {"enqueue": "queued", "start": "running", "finish": "done", "fail": "failed", "cancel": "cancelled"}
 STALE_S, ALIVE_S = 900, 120
 # States of a drawing, worst first, and causes of a failed job by what its error says.
 STATUS_ORDER = ("failed", "needs_review", "reading", "queued", "not_read", "ready")
@@ -102,29 +104,34 @@ def cache_hits(requests: DataFrame, store: DataFrame) -> DataFrame:
     return hit.agg(F.count("*").alias("n"), served.alias("served"), rounded(served / F.greatest(F.count("*"), F.lit(1)), 4).alias("share"))
 
 
-def fold_step(state: Column, e: Column) -> Column:
-    """One event's effect on a job's row; the streaming fold does the same."""
-    ev = e["event"]
-    stopped = state["state"].isin("failed", "cancelled")
-    retry = (ev == "retry") & stopped
-    ended = ev.isin("finish", "fail")
-    new = F.when(ev == "enqueue", "queued").when(ev == "start", "running").when(ev == "finish", "done").when(ev == "fail", "failed").when(ev == "cancel", "cancelled").when(retry, "queued").otherwise(state["state"])
-    pct = F.when((ev == "enqueue") | retry | (ev == "start"), 0.0).when(ev == "heartbeat", F.greatest(F.least(e["progress_pct"], F.lit(100.0)), F.lit(0.0))).when(ev == "finish", 100.0).otherwise(state["progress_pct"])
-    started = F.when(ev == "start", e["ts"]).when(retry, F.lit(None).cast("timestamp")).otherwise(state["started_at"])
-    beat = F.when(ev.isin("start", "heartbeat"), e["ts"]).when(retry, F.lit(None).cast("timestamp")).otherwise(state["heartbeat_at"])
-    elapsed = F.when(ended & state["started_at"].isNotNull(), seconds(e["ts"]) - seconds(state["started_at"])).when(retry, F.lit(None).cast("double")).otherwise(state["elapsed_s"])
-    error = F.when(ev == "fail", F.substring(F.coalesce(e["error"], F.lit("")), 1, 2000)).when(retry, "").otherwise(state["error"])
-    cached = F.when(ev == "finish", F.coalesce(e["from_cache"], F.lit(False))).when(retry, F.lit(False)).otherwise(state["from_cache"])
-    return F.struct(new.alias("state"), pct.alias("progress_pct"), started.alias("started_at"), beat.alias("heartbeat_at"), elapsed.alias("elapsed_s"), error.alias("error"), cached.alias("from_cache"), (state["n_events"] + 1).alias("n_events"))
-
-
 def fold_job_state(events: DataFrame) -> DataFrame:
     """The current row of each job from its events (event_id, ts, job_id, event, progress_pct, from_cache, error) in order of time.
 
-    A retry counts only for failed and cancelled jobs and starts afresh; heartbeats are held within 0 to 100. A job's
-    events are gathered in its own row, which a job of a sane number of heartbeats keeps small.
+    A retry counts only for failed and cancelled jobs and starts afresh; heartbeats are held within 0 to 100. A retry takes effect
+    exactly if the last event that changes the state was a failure or a cancellation. One sorted pass marks those and finds the
+    start that an end belongs to; every column is then the newest of its own events, which combine before the shuffle. No job's events are gathered.
     """
-    null = lambda kind: F.lit(None).cast(kind)
-    zero = F.struct(F.lit("none").alias("state"), F.lit(0.0).alias("progress_pct"), null("timestamp").alias("started_at"), null("timestamp").alias("heartbeat_at"), null("double").alias("elapsed_s"), F.lit("").alias("error"), F.lit(False).alias("from_cache"), F.lit(0).alias("n_events"))
-    log = F.array_sort(F.collect_list(F.struct(c("ts").cast("timestamp").alias("ts"), "event_id", "event", "progress_pct", "from_cache", "error")))
-    return events.groupBy("job_id").agg(F.aggregate(log, zero, fold_step).alias("s")).select("job_id", "s.*")
+    e = events.select("job_id", c("ts").cast("timestamp").alias("ts"), "event_id", "event", "progress_pct", "from_cache", "error")
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    ev = c("event")
+    moving = ev.isin("enqueue", "start", "finish", "fail", "cancel", "retry")
+    e = e.withColumn("before", F.last(F.when(moving, ev), ignorenulls=True).over(before))
+    e = e.withColumn("retried", (ev == "retry") & F.coalesce(c("before").isin("fail", "cancel"), F.lit(False)))
+    e = e.withColumn("begun", F.last(F.when((ev == "start") | c("retried"), F.struct(F.when(ev == "start", c("ts")).alias("at"))), ignorenulls=True).over(before)["at"])
+    when, again, null = F.struct("ts", "event_id"), c("retried"), F.lit(None)
+    newest = lambda value, cond: F.max_by(F.struct(value.alias("v")), F.when(cond, when))["v"]
+    state = F.when(again, "queued").otherwise(F.create_map(*[F.lit(x) for kv in BECOMES.items() for x in kv])[ev])
+    pct = F.when(ev == "heartbeat", F.greatest(F.least(c("progress_pct"), F.lit(100.0)), F.lit(0.0))).when(ev == "finish", 100.0).otherwise(0.0)
+    ended = ev.isin("finish", "fail") & c("begun").isNotNull()
+    out = e.groupBy("job_id").agg(
+        F.coalesce(newest(state, ev.isin(*BECOMES) | again), F.lit("none")).alias("state"),
+        F.coalesce(newest(pct, ev.isin("enqueue", "start", "heartbeat", "finish") | again), F.lit(0.0)).alias("progress_pct"),
+        newest(F.when(ev == "start", c("ts")), (ev == "start") | again).alias("started_at"),
+        newest(F.when(~again, c("ts")), ev.isin("start", "heartbeat") | again).alias("heartbeat_at"),
+        newest(F.when(ended, (F.unix_micros("ts") - F.unix_micros("begun")) / 1e6).otherwise(null.cast("double")), ended | again).alias("elapsed_s"),
+        F.coalesce(newest(F.when(ev == "fail", F.substring(F.coalesce(c("error"), F.lit("")), 1, 2000)).otherwise(""), (ev == "fail") | again), F.lit("")).alias("error"),
+        F.coalesce(newest(F.when(ev == "finish", F.coalesce(c("from_cache"), F.lit(False))).otherwise(False), (ev == "finish") | again), F.lit(False)).alias("from_cache"),
+        F.count("*").cast("int").alias("n_events"),
+    )
+    return out

@@ -19,10 +19,11 @@ def check_items(titles: DataFrame, pedestals: DataFrame, slabs: DataFrame, marks
     """K1: everything a person should check, each with its section and place in it: (drawing_id, section, pos, kind, label, extracted, note, rect)."""
     at = lambda kind: F.lit(SECTIONS.index(kind))
     none = F.lit(None).cast("array<double>")
+    whole = lambda x: F.round(x).cast("int").cast("string")
     shape = lambda df, section, pos, kind, label, text, note, rect: df.select("drawing_id", section.alias("section"), pos.cast("string").alias("pos"), kind.alias("kind"), label.alias("label"), text.alias("extracted"), note.alias("note"), rect.alias("rect"))
     t = shape(titles.where(F.coalesce("value", F.lit("")) != ""), at("Title block"), c("pos"), F.lit("Title block"), c("field"), c("value"), F.lit(""), none)
-    p = shape(pedestals, at("Pedestal"), c("seq"), F.lit("Pedestal"), c("tag"), F.concat(c("length_mm").cast("int").cast("string"), F.lit(" x "), c("width_mm").cast("int").cast("string"), F.lit(" mm, "), c("quantity").cast("string"), F.lit(" Nos")), F.when(c("height_mm").isNull(), "height NOT on drawing").otherwise(""), c("rect"))
-    s = shape(slabs.where("usable"), at("Grade slab"), c("seq"), F.lit("Grade slab"), c("tag"), F.concat_ws(" x ", c("length_mm").cast("int").cast("string"), c("width_mm").cast("int").cast("string"), c("thickness_mm").cast("int").cast("string")), F.lit("read off the plan view"), none)
+    p = shape(pedestals, at("Pedestal"), c("seq"), F.lit("Pedestal"), c("tag"), F.concat(whole(c("length_mm")), F.lit(" x "), whole(c("width_mm")), F.lit(" mm, "), c("quantity").cast("string"), F.lit(" Nos")), F.when(c("height_mm").isNull(), "height NOT on drawing").otherwise(""), c("rect"))
+    s = shape(slabs.where("usable"), at("Grade slab"), c("seq"), F.lit("Grade slab"), c("tag"), F.concat_ws(" x ", whole(c("length_mm")), whole(c("width_mm")), whole(c("thickness_mm"))), F.lit("read off the plan view"), none)
     m = shape(marks, at("Position marks"), c("mark"), F.lit("Position marks"), c("mark"), F.concat(c("n").cast("string"), F.lit(" printed")), F.lit("labels counted, not a quantity"), none)
     rank = F.array_position(F.array(*[F.lit(x) for x in SECTIONS]), c("kind")) - 1
     f = shape(findings, rank.cast("int"), c("seq"), c("kind"), F.lit(""), c("detail"), F.lit("incomplete on the drawing"), c("rect"))

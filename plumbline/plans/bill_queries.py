@@ -10,6 +10,7 @@ from plumbline.operators import bill, derive, gaps, setviews
 from plumbline.sources.stores import upsert_rates
 from plumbline.sources.synth import table, with_tables
 
+from .read_queries import VOTES
 from .rebuild import rebuild_set
 
 c = F.col
@@ -216,9 +217,24 @@ QUERIES = {
 ROWS = ", rowsx AS (SELECT drawing_id, 'BOQ' AS source, category, item AS description, unit, qty_gross AS qty, concat_ws('|', 'B', drawing_id, kind_no, pos, sub, item) AS key FROM bill UNION ALL SELECT drawing_id, 'Read from drawing', kind, description, uom, qty, concat_ws('|', 'D', drawing_id, seq) FROM items) "
 LOC = CLASSIFIED + """, loc AS (SELECT x.*, cls.classification, CASE cls.classification WHEN 'Brown Field' THEN 1 WHEN 'Green Field' THEN 2 WHEN 'Repair' THEN 3 ELSE 4 END AS site_rank FROM (
   SELECT drawing_id, category AS component, item AS description, unit, qty_gross AS qty, 0 AS is_read FROM bill UNION ALL SELECT drawing_id, 'Read from drawing', description, uom, qty, 1 FROM items) x JOIN cls ON cls.drawing_id = x.drawing_id) """
-ACT = "CASE category WHEN 'PCC / Blinding' THEN 'Blinding' WHEN 'Structural Concrete' THEN 'Concrete' WHEN 'Rebar (coefficient)' THEN 'Reinforcement' WHEN 'Rebar (manual BBS)' THEN 'Reinforcement' WHEN 'HDPE Liner' THEN 'Liner' WHEN 'Epoxy Coating' THEN 'Coating' WHEN 'Joint accessories' THEN 'Joints' WHEN 'Sump Ancillaries' THEN 'Sump ancillaries' ELSE category END"
+#: Activities by category, in the order a foundation is built: a fixed list.
+ACT = "CASE category WHEN 'Earthwork' THEN 'Earthwork' WHEN 'PCC / Blinding' THEN 'PCC' WHEN 'Structural Concrete' THEN 'Concrete' WHEN 'Formwork' THEN 'Formwork' WHEN 'Rebar (coefficient)' THEN 'Rebar' WHEN 'Rebar (manual BBS)' THEN 'Rebar' WHEN 'HDPE Liner' THEN 'Liner' WHEN 'Epoxy Coating' THEN 'Coating' WHEN 'Joints' THEN 'Joints' WHEN 'Joint accessories' THEN 'Joints' WHEN 'Embedments' THEN 'Embedments' WHEN 'Sump Ancillaries' THEN 'Sump' END"
 BYUNIT = ", bu AS (SELECT b.category, b.unit, round(sum(qty_gross), 3) AS qty, coalesce(any_value(l.rate), 0.0) AS rate, round(sum(qty_gross) * coalesce(any_value(l.rate), 0.0), 2) AS amount FROM bill b LEFT JOIN latest l ON l.category = b.category AND l.unit = b.unit GROUP BY 1, 2) "
 
+#: The set rebuilt: votes, slabs and what follows from them as elements, billed as any other.
+REBUILT = DERIVED + VOTES + """, built AS (
+  SELECT drawing_id, 2 AS kind_no, 0 AS pos, tag, length_mm / 1000 AS length_m, width_mm / 1000 AS width_m, 0.8::DOUBLE AS height_m, quantity, 'RCC_M30' AS grade, 120.0::DOUBLE AS rebar_coefficient FROM vote
+  UNION ALL BY NAME SELECT drawing_id, 3 AS kind_no, 0 AS pos, tag, length_m, width_m, thickness_m, 'RCC_M30' AS grade, 80.0::DOUBLE AS rebar_coefficient, false AS has_top_formwork FROM slabs
+  UNION ALL BY NAME SELECT drawing_id, 0 AS kind_no, tag, length_m, width_m, depth_m, 1 AS quantity, 'ordinary' AS soil_type FROM der WHERE kind = 'excavation'
+  UNION ALL BY NAME SELECT drawing_id, 1 AS kind_no, tag, length_m, width_m, thickness_m, 1 AS quantity, 'PCC_M15' AS grade FROM der WHERE kind = 'pcc_blinding'
+  UNION ALL BY NAME SELECT drawing_id, 5 AS kind_no, tag, length_m, depth_m AS height_m, thickness_m, 'RCC_M30' AS grade, 80.0::DOUBLE AS rebar_coefficient FROM der WHERE kind = 'curb_wall'
+  UNION ALL BY NAME SELECT drawing_id, 8 AS kind_no, tag, length_m, width_m, thickness_m AS thickness_mm FROM der WHERE kind = 'hdpe_liner'
+  UNION ALL BY NAME SELECT drawing_id, 9 AS kind_no, tag, quantity AS volume_m3, 'Compacted fill under ' || substring(tag, 6) AS description FROM der WHERE kind = 'compacted_soil'
+  UNION ALL BY NAME SELECT drawing_id, 10 AS kind_no, tag, quantity AS area_m2, CAST(depth_m AS INT) AS coats, thickness_m AS thickness_mm FROM der WHERE kind = 'epoxy_coating'
+  UNION ALL BY NAME SELECT drawing_id, 11 AS kind_no, tag, quantity AS length_m, 'contraction' AS joint_type, false AS has_waterstop, true AS has_sealant, false AS has_backer_rod FROM der WHERE kind = 'joint'),
+whole AS (SELECT * FROM built UNION ALL BY NAME SELECT * FROM elements WHERE false)
+"""
+
 ORACLES = {
     "priced_bill": sql("SELECT b.category, round(sum(qty_gross * coalesce(l.rate, 0)), 2) AS amount FROM bill b LEFT JOIN latest l ON l.category = b.category AND l.unit = b.unit GROUP BY ROLLUP (b.category)"),
     "element_bill": sql("SELECT * FROM bill"),
@@ -254,7 +270,7 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
     "drawing_index": sql("SELECT drawing_id, drawing_no, (SELECT count(*) FROM bill b WHERE b.drawing_id = p.drawing_id) AS n_lines, (SELECT count(*) FROM elements e WHERE e.drawing_id = p.drawing_id AND kind_no = 2) AS n_pedestals, (SELECT count(*) FROM elements e WHERE e.drawing_id = p.drawing_id AND kind_no = 3) AS n_slabs, (SELECT count(*) FROM items i WHERE i.drawing_id = p.drawing_id) AS n_items FROM projects p", "items"),
     "detail_lines": sql(f"SELECT drawing_id, kind_no, pos, sub, {ACT} AS activity, item, qty_gross FROM bill"),
     "unit_subtotals": sql(f"SELECT drawing_id, {ACT} AS activity, unit, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3"),
-    "items_by_kind": sql("SELECT drawing_id, seq, kind, CASE kind WHEN 'box3' THEN 1 WHEN 'box2' THEN 2 WHEN 'thickness' THEN 3 WHEN 'diameter' THEN 4 WHEN 'rebar' THEN 5 ELSE 10 END AS kind_rank, description, qty FROM items", "items"),
+    "items_by_kind": sql("SELECT drawing_id, seq, kind, coalesce(list_position(['box3', 'box2', 'thickness', 'compaction', 'rebar', 'rebar_spacing', 'assembly', 'diameter', 'set'], kind), 10) AS kind_rank, description, qty FROM items", "items"),
     "location_report": sql(LOC + "SELECT * FROM loc", "items", "classifications"),
     "location_totals": sql(LOC + "SELECT classification, component, unit, round(sum(qty), 3) AS qty FROM loc WHERE is_read = 0 GROUP BY GROUPING SETS ((classification, component, unit), (unit))", "items", "classifications"),
     "set_rollup": sql("SELECT category, item, unit, round(sum(qty_gross), 3) AS qty, count(DISTINCT drawing_id) AS n_drawings FROM bill GROUP BY 1, 2, 3"),
@@ -271,4 +287,5 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
     "readiness": sql(DRAWINGS + """, rd AS (SELECT dr.drawing_id, dr.number, count(e.drawing_id) AS n_elements, count(*) FILTER (e.kind_no = 2 AND abs(e.height_m - 0.8) < 1e-9) AS n_placeholders, count(DISTINCT e.kind_no) FILTER (e.kind_no IN (0, 1, 2, 3)) AS cr, count(DISTINCT e.kind_no) FILTER (e.kind_no IN (5, 8, 9, 10, 11)) AS ex
   FROM dr LEFT JOIN elements e ON e.drawing_id = dr.drawing_id GROUP BY 1, 2)
 SELECT drawing_id, n_elements, n_placeholders, CAST(round(100 * (0.75::DOUBLE * cr / 4 + 0.25::DOUBLE * ex / 5), 0) AS INT) AS score, concat_ws('; ', CASE WHEN number = '' THEN 'no drawing number' END, CASE WHEN n_placeholders > 0 THEN concat(CAST(n_placeholders AS VARCHAR), ' placeholder height(s)') END) AS blockers FROM rd"""),
+    "rebuild_set": with_tables("elements", "projects", "rates", "sightings") + tolerant(REBUILT + BILL.replace("FROM elements e JOIN", "FROM whole e JOIN") + "SELECT category, item, unit, drawing_id, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3, 4"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import rounded, tolerant
-from plumbline.operators import discovery, geometry, grammar, reconcile, telemetry, verify
+from plumbline.operators import bill, derive, discovery, geometry, grammar, reconcile, telemetry, verify
 from plumbline.sources import stores
 from plumbline.sources.synth import table, with_tables
 
@@ -73,7 +73,7 @@ HASHES = ", h AS (SELECT drawing_id, drawing_no, substring(md5(split_part(projec
 
 def similar(s, d):
     h = hashes(s, d)
-    return geometry.find_similar(h.where("cast(drawing_id as long) % 50 = 0"), h.where("cast(drawing_id as long) % 37 = 1"), 3)
+    return geometry.find_similar(h.where("cast(drawing_id as long) % 50 = 0"), h, 3)
 
 
 def hamming(s, d):
@@ -115,12 +115,17 @@ def calls(s, d):
 CALLS = ", k AS (SELECT owner AS drawing_id, job_id, position % 4 = 0 AS skipped, CASE WHEN position % 5 = 0 THEN error ELSE '' END AS error, elapsed_s FROM jobs)"
 
 
+FINDING_KINDS = {"curb_wall": "Curb wall", "sump": "Sump", "level": "Level", "insert_plate": "Insert plate", "epoxy": "Epoxy", "rebar": "Rebar", "thickness": "Thickness", "blinding": "Thickness"}
+
+
 def checks(s, d):
     p = table(s, d, "projects")
     titles = p.select("drawing_id", F.posexplode(F.create_map(F.lit("Drawing no"), c("drawing_no"), F.lit("Revision"), c("revision"))).alias("pos", "field", "value"))
     v = reconcile.reconcile(table(s, d, "sightings")).select("drawing_id", c("first_seq").alias("seq"), "tag", "length_mm", "width_mm", "quantity", F.lit(None).cast("double").alias("height_mm"), F.when(c("quantity") == 2, F.array(*[F.lit(x) for x in (0.1, 0.1, 0.2, 0.2)])).alias("rect"))
     slab = table(s, d, "elements").where("kind_no = 3").select("drawing_id", c("pos").alias("seq"), "tag", (c("length_m") * 1000).alias("length_mm"), (c("width_m") * 1000).alias("width_mm"), (c("thickness_m") * 1000).alias("thickness_mm"), (c("length_m") >= 1).alias("usable"))
-    found = scan(s, d).where("kind = 'level'").select("drawing_id", c("line_no").alias("seq"), F.lit("Level").alias("kind"), c("txt").alias("detail"), F.lit(None).cast("array<double>").alias("rect"))
+    kinds = F.create_map(*[F.lit(x) for kv in FINDING_KINDS.items() for x in kv])
+    found = scan(s, d).withColumn("kind", kinds[c("kind")]).where("kind is not null")
+    found = found.select("drawing_id", c("line_no").alias("seq"), "kind", F.concat_ws(", ", "txt", *[c(f).cast("string") for f in ("f1", "f2", "f3")]).alias("detail"), F.lit(None).cast("array<double>").alias("rect"))
     return verify.verification_rows(verify.check_items(titles, v, slab, table(s, d, "marks"), found))
 
 
@@ -129,10 +134,42 @@ def evidence(s, d):
     return verify.evidence_counts(rows)
 
 
+def title_replies(s, d):
+    p = table(s, d, "projects")
+    return p.select("drawing_id", F.when(c("revision") != "", F.concat(F.lit("DRAWING NO: "), "drawing_no")).otherwise("").alias("drawing_no"), c("revision"), F.when(c("drawing_id").cast("long") % 3 == 0, "").otherwise(F.date_format("created_at", "d/M/yyyy")).alias("date"), F.when(c("drawing_id").cast("long") % 2 == 0, c("project_name")).otherwise(" ").alias("project_name"))
+
+
+def pedestal_replies(s, d):
+    return table(s, d, "lines").select("drawing_id", c("line_no").alias("seq"), F.lit("r0c0").alias("region"), "grid_ref", F.when(c("line_no") % 5 == 0, "").otherwise(grammar.normalised(c("text"))).alias("raw_text"), F.concat(F.lit("p "), (c("block_id") + 1).cast("string")).alias("tag"), (100 * (c("line_no") + 1)).cast("string").alias("length_mm"), F.lit("500").alias("width_mm"), F.when(c("line_no") % 2 == 0, "2").otherwise("x").alias("quantity"))
+
+
+def slab_replies(s, d):
+    return table(s, d, "lines").where("text like '%GRADE SLAB' or text like 'TOC%'").select("drawing_id", F.when(c("line_no") % 2 == 0, "GS-02").otherwise("").alias("tag"), (1000 * (c("line_no") - 1)).cast("string").alias("length_mm"), F.lit("3000").alias("width_mm"), F.when(c("text").like("TOC%"), "250").alias("thickness_mm"), F.lit("").alias("toc_level"), c("text").alias("raw_text"))
+
+
+def rule_findings(s, d):
+    f = scan(s, d).where("kind in ('curb_wall', 'epoxy', 'blinding')")
+    return f.select("drawing_id", c("line_no").alias("seq"), "kind", c("f1").alias("thickness_mm"), c("f2").alias("height_mm"))
+
+
+def element_rows(s, d):
+    e = table(s, d, "elements")
+    return e.select("drawing_id", F.when(c("pos") % 6 == 0, "  ").otherwise(c("tag")).alias("tag"), F.when(c("quantity") % 7 == 0, "-1").otherwise(c("length_m").cast("string")).alias("length_m"), F.when(c("quantity") % 11 == 0, "wide").otherwise(c("width_m").cast("string")).alias("width_m"), c("height_m").cast("string").alias("height_m"), c("quantity").cast("string").alias("quantity"), F.when(c("pos") % 2 == 0, " ").otherwise(c("grade")).alias("grade"), F.when(c("pos") % 3 == 0, "").otherwise("90").alias("rebar_coefficient"))
+
+
+def ingested(s, d):
+    right, look, bank = verify.ingest_reviews(table(s, d, "reviews"))
+    rows = right.select(F.lit("accuracy").alias("what"), F.coalesce("item", "drawing", F.lit("all")).alias("name"), c("n_reviewed").cast("long").alias("n"))
+    rows = rows.unionByName(look.select(F.lit("look at").alias("what"), c("callout").alias("name"), c("row_no").cast("long").alias("n")))
+    return rows.unionByName(bank.select(F.lit("example").alias("what"), c("drawing_no").alias("name"), c("n_reviewed").cast("long").alias("n")))
+
+
 def reviewed(s, d):
     return verify.classify_rows(table(s, d, "reviews"))
 
 
+#: The pedestal callout, with its parts named; used by every SQL text that reads callouts.
+PEDESTAL = r"'(?i)\b(P\s?\d{1,2})\b\s*[\(\[]\s*(\d{2,4})\s*[x×X*]\s*(\d{2,4})(?:\s*[x×X*]\s*(\d{2,4}))?\s*[\)\]]\s*[-–—:]?\s*(\d{1,3})\s*(?:N\s*[o0O]\s*s?|NOS|N[o0O]\.)'"
 LINES = """, ln AS (SELECT drawing_id, block_id, line_no, grid_ref, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM lines),
 ped AS (SELECT *, regexp_extract(t, '(?i)\\b(P\\s?\\d{1,2})\\b\\s*[\\(\\[]\\s*(\\d{2,4})\\s*[x×X*]\\s*(\\d{2,4})(?:\\s*[x×X*]\\s*(\\d{2,4}))?\\s*[\\)\\]]\\s*[-–—:]?\\s*(\\d{1,3})\\s*(?:N\\s*[o0O]\\s*s?|NOS|N[o0O]\\.)', ['tag', 'l', 'w', 'h', 'q']) AS m FROM ln),
 pd AS (SELECT *, nullif(upper(replace(m.tag, ' ', '')), '') AS tag, TRY_CAST(m.l AS DOUBLE) AS l, TRY_CAST(m.w AS DOUBLE) AS w, TRY_CAST(m.h AS DOUBLE) AS h, TRY_CAST(m.q AS INT) AS q FROM ped),
@@ -163,6 +200,22 @@ cp AS (SELECT drawing_id, montage, i, crop_id, array_to_string(list_filter(list_
 """
 REVIEWED = """, rv AS (SELECT *, trim(coalesce(corrected, '')) <> '' OR trim(coalesce(verified_by, '')) <> '' AS reviewed, trim(corrected) <> '' AND CAST(printf('%.6g', TRY_CAST(trim(corrected) AS DOUBLE)) AS VARCHAR) <> CAST(printf('%.6g', TRY_CAST(extracted AS DOUBLE)) AS VARCHAR) AS changed FROM reviews)"""
 
+CHECKS = LINES + VOTES + """, al AS (
+  SELECT drawing_id, 0 AS section, '0' AS pos, 'Title block' AS kind, 'Drawing no' AS label, drawing_no AS extracted, '' AS note, false AS boxed FROM projects WHERE coalesce(drawing_no, '') <> ''
+  UNION ALL SELECT drawing_id, 0, '1', 'Title block', 'Revision', revision, '', false FROM projects WHERE coalesce(revision, '') <> ''
+  UNION ALL SELECT drawing_id, 1, CAST(first_seq AS VARCHAR), 'Pedestal', tag, CAST(CAST(round(length_mm) AS INT) AS VARCHAR) || ' x ' || CAST(CAST(round(width_mm) AS INT) AS VARCHAR) || ' mm, ' || CAST(quantity AS VARCHAR) || ' Nos', 'height NOT on drawing', quantity = 2 FROM vote
+  UNION ALL SELECT drawing_id, 2, CAST(pos AS VARCHAR), 'Grade slab', tag, CAST(CAST(round(length_m * 1000) AS INT) AS VARCHAR) || ' x ' || CAST(CAST(round(width_m * 1000) AS INT) AS VARCHAR) || ' x ' || CAST(CAST(round(thickness_m * 1000) AS INT) AS VARCHAR), 'read off the plan view', false FROM elements WHERE kind_no = 3 AND length_m >= 1
+  UNION ALL SELECT drawing_id, 3, mark, 'Position marks', mark, CAST(n AS VARCHAR) || ' printed', 'labels counted, not a quantity', false FROM marks
+  UNION ALL SELECT drawing_id, 3 + list_position(['Curb wall', 'Sump', 'Level', 'Insert plate', 'Epoxy', 'Rebar', 'Thickness'], kd), CAST(line_no AS VARCHAR), kd, '', concat_ws(', ', txt, CAST(f1 AS VARCHAR), CAST(f2 AS VARCHAR), CAST(f3 AS VARCHAR)), 'incomplete on the drawing', false
+    FROM (SELECT *, CASE kind WHEN 'curb_wall' THEN 'Curb wall' WHEN 'sump' THEN 'Sump' WHEN 'level' THEN 'Level' WHEN 'insert_plate' THEN 'Insert plate' WHEN 'epoxy' THEN 'Epoxy' WHEN 'rebar' THEN 'Rebar' WHEN 'thickness' THEN 'Thickness' WHEN 'blinding' THEN 'Thickness' END AS kd FROM seen WHERE k = 1) WHERE kd IS NOT NULL),
+ck AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY section, length(pos), pos, label, extracted) AS number FROM al)
+"""
+REPLIES = """, rr AS (SELECT drawing_id, line_no AS seq, line_no % 5 <> 0 AND tag IS NOT NULL AS validated, tag AS otag, l, w, h, q, 'P' || CAST(block_id + 1 AS VARCHAR) AS rtag, 100.0::DOUBLE * (line_no + 1) AS rl, 500.0::DOUBLE AS rw, CASE WHEN line_no % 2 = 0 THEN 2 END AS rq FROM pd),
+rs AS (SELECT drawing_id, seq, validated, CASE WHEN validated THEN otag ELSE rtag END AS tag, CASE WHEN validated THEN l ELSE rl END AS length_mm, CASE WHEN validated THEN w ELSE rw END AS width_mm, CASE WHEN validated THEN h END AS height_mm, CASE WHEN validated THEN q ELSE rq END AS quantity, coalesce(validated AND (l <> rl OR w <> rw OR q <> rq), false) AS disagrees FROM rr),
+rp AS (SELECT *, CASE WHEN NOT regexp_full_match(tag, 'P\\d{1,2}') THEN 'tag' WHEN NOT length_mm BETWEEN 150 AND 3000 THEN 'length_mm' WHEN NOT width_mm BETWEEN 150 AND 3000 THEN 'width_mm' WHEN quantity IS NULL OR NOT quantity BETWEEN 1 AND 999 THEN 'quantity' END AS reason FROM rs)
+"""
+TYPED = """, ty AS (SELECT *, CASE WHEN quantity % 7 = 0 THEN 'length_m' WHEN quantity % 11 = 0 THEN 'width_m' WHEN NOT coalesce(height_m > 0, false) THEN 'height_m' WHEN NOT quantity > 0 THEN 'quantity' END AS reason FROM elements WHERE pos % 6 <> 0)"""
+
 QUERIES = {
     "display_labels": lambda s, d: stores.display_labels(table(s, d, "projects").select(F.concat(F.lit("/plans/f"), (c("drawing_id").cast("long") % 3).cast("string"), F.lit("/s"), (c("drawing_id").cast("long") % 700).cast("string"), F.lit(".pdf")).alias("path")).distinct()),
     "fingerprints": lambda s, d: table(s, d, "documents").select("doc_id", stores.fingerprint(c("text"), F.lit("thorough"), (c("doc_id") % 3).cast("int")).alias("fp")),
@@ -206,7 +259,17 @@ QUERIES = {
     "merge_into_project": merged,
     "extraction_summary": lambda s, d: reconcile.extraction_summary(calls(s, d)),
     "audit_log": lambda s, d: reconcile.audit_log(calls(s, d)).select("job_id", "status"),
-    "verification_rows": lambda s, d: checks(s, d).groupBy("drawing_id", "kind").agg(F.count("*").alias("n"), F.min("number").alias("first"), F.max("number").alias("last")),
+    "verification_rows": lambda s, d: checks(s, d).select("drawing_id", "number", "kind", "label", "extracted", "note", "corrected", "verified_by"),
+    "ordered_evidence": lambda s, d: verify.ordered(checks(s, d)).select("drawing_id", "number", "rank", F.coalesce(F.size("rect") == 4, F.lit(False)).alias("boxed")),
+    "traceable_evidence": lambda s, d: verify.traceable(checks(s, d)).select("drawing_id", "number", "kind"),
+    "title_blocks": lambda s, d: reconcile.title_blocks(title_replies(s, d)),
+    "reply_pedestals": lambda s, d: reconcile.pedestals_from_replies(pedestal_replies(s, d))[0].select("drawing_id", "seq", "tag", "length_mm", "width_mm", "height_mm", "quantity", "validated", "disagrees"),
+    "reply_rejects": lambda s, d: reconcile.pedestals_from_replies(pedestal_replies(s, d))[1],
+    "reply_slabs": lambda s, d: reconcile.grade_slabs_from_replies(slab_replies(s, d)),
+    "seeded_rules": lambda s, d: derive.seed_rules(derive.select_rules(derive.default_rules(s), "all"), rule_findings(s, d)).select("drawing_id", "rule_key", F.explode("params").alias("param", "value")),
+    "typed_elements": lambda s, d: bill.elements_from_rows(element_rows(s, d))[0],
+    "typed_rejects": lambda s, d: bill.elements_from_rows(element_rows(s, d))[1],
+    "ingested_reviews": ingested,
     "evidence_counts": evidence,
     "classified_reviews": lambda s, d: reviewed(s, d).select("row_no", "reviewed", "changed"),
     "accuracy": lambda s, d: verify.accuracy(reviewed(s, d)),
@@ -222,7 +285,7 @@ QUERIES = {
     "queue_causes": lambda s, d: telemetry.queue_report(table(s, d, "jobs"))[1],
     "saved_reading": lambda s, d: telemetry.saved_reading(table(s, d, "jobs").groupBy("drawing_path").agg(F.concat(F.lit("sha"), (F.min("position") % 3).cast("string")).alias("content_sha"), F.min(F.concat(F.lit("fpd"), "fingerprint")).alias("default_fingerprint")), table(s, d, "jobs"), table(s, d, "jobs").select("fingerprint")),
     "cache_hits": lambda s, d: telemetry.cache_hits(table(s, d, "jobs").select("fingerprint", (c("position") % 4 == 0).alias("forced")), table(s, d, "jobs").where("state = 'done'").select("fingerprint")),
-    "fold_job_state": lambda s, d: telemetry.fold_job_state(table(s, d, "job_events")).select("job_id", "state", "progress_pct", rounded(F.coalesce("elapsed_s", F.lit(0.0)), 3).alias("elapsed_s"), "error", "from_cache", "n_events"),
+    "fold_job_state": lambda s, d: telemetry.fold_job_state(table(s, d, "job_events")).select("job_id", "state", "progress_pct", F.unix_micros("started_at").alias("started_us"), F.unix_micros("heartbeat_at").alias("heartbeat_us"), rounded(F.coalesce("elapsed_s", F.lit(0.0)), 3).alias("elapsed_s"), "error", "from_cache", "n_events"),
 }
 
 LATEST = ", lt AS (SELECT *, row_number() OVER (PARTITION BY drawing_path, page ORDER BY created_at DESC, position DESC, job_id DESC) AS k FROM jobs)"
@@ -247,10 +310,10 @@ ORACLES = {
     "scan_lines": sql("lines", LINES + "SELECT drawing_id, line_no, kind, f1, f2, f3, txt FROM seen WHERE k = 1"),
     "scan_with_provenance": sql("lines", LINES + "SELECT drawing_id, line_no, kind, f1, f2, f3, txt, coalesce(nullif(grid_ref, ''), place, '') AS grid_ref FROM seen WHERE k = 1 AND kind <> 'pedestal'"),
     "dedupe_pedestals": sql("lines", LINES + "SELECT drawing_id, txt AS tag, line_no, grid_ref FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, txt ORDER BY grid_ref = '', block_id, line_no) AS k2 FROM seen WHERE kind = 'pedestal') WHERE k2 = 1"),
-    "drop_furniture": sql("lines", LINES + "SELECT drawing_id, line_no, t AS text FROM ln WHERE t <> 'SECTION A-A'"),
+    "drop_furniture": sql("lines", LINES + "SELECT drawing_id, line_no, t AS text FROM ln WHERE NOT regexp_matches(t, '(?i)^\\s*(SECTION|DETAIL|SCALE|VIEW|REV|REVISION|MOMENT|HORIZONTAL|DRAWN|SHEET)\\b|^\\s*(LOOKING\\s+(NORTH|SOUTH|EAST|WEST)|KEY\\s*PLAN|PROPRIETARY|NOTES?|LEGEND|REMARK)') AND length(t) >= 3 AND NOT (length(t) > 110 AND length(t) - length(replace(t, ' ', '')) > 14)"),
     "sheet_levels": sql("lines", "SELECT DISTINCT drawing_id, upper(unnest(regexp_extract_all(text, '(?i)\\b(TOC|BOC|BOBP|BOP|FGL|FFL|NGL|IL|HPP|LPP|TOS|U/S)\\b[^0-9]{0,24}?(\\d{1,3}\\.\\d{2,3})\\b', 1))) AS kind, CAST(unnest(regexp_extract_all(text, '(?i)\\b(TOC|BOC|BOBP|BOP|FGL|FFL|NGL|IL|HPP|LPP|TOS|U/S)\\b[^0-9]{0,24}?(\\d{1,3}\\.\\d{2,3})\\b', 2)) AS DOUBLE) AS level_m FROM lines"),
     "height_candidates": sql("levels", "SELECT DISTINCT t.drawing_id, t.kind AS top, b.kind AS bottom, round(t.level_m - b.level_m, 3) AS height_m FROM levels t JOIN levels b ON t.drawing_id = b.drawing_id AND t.level_m > b.level_m WHERE t.kind IN ('BOBP', 'TOC', 'TOS', 'FFL', 'U/S') AND b.kind IN ('BOC', 'BOP', 'NGL', 'FGL') AND round(t.level_m - b.level_m, 3) BETWEEN 0.1 AND 15"),
-    "strength_specs": sql("lines", "SELECT DISTINCT drawing_id, 35.0::DOUBLE AS value, 'mpa' AS unit FROM lines WHERE text LIKE '%35 MPa%'"),
+    "strength_specs": sql("lines", "SELECT DISTINCT drawing_id, CAST(unnest(regexp_extract_all(text, '(?i)(\\d{2,3}(?:\\.\\d)?)\\s*(N/mm2|MPa)', 1)) AS DOUBLE) AS value, lower(unnest(regexp_extract_all(text, '(?i)(\\d{2,3}(?:\\.\\d)?)\\s*(N/mm2|MPa)', 2))) AS unit FROM lines WHERE length(text) >= 12"),
     "concrete_grades": sql("lines", "SELECT DISTINCT drawing_id, 'C' || n AS grade FROM (SELECT drawing_id, unnest(regexp_extract_all(text, '(?i)\\bC\\s?(\\d{2})(?:[^\\dx×*]|$)', 1)) AS n FROM lines) WHERE CAST(n AS INT) BETWEEN 10 AND 80"),
     "discovery_summary": sql("items", "SELECT drawing_id, count(qty) AS measured, count(*) - count(qty) AS to_confirm FROM items GROUP BY 1"),
     "route_sheets": sql("spans", "SELECT *, chars >= 1500 AND n_spans >= 60 AS is_text FROM (SELECT drawing_id, page, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS chars, count(*) FILTER (trim(text) <> '') AS n_spans FROM spans GROUP BY 1, 2)"),
@@ -266,7 +329,7 @@ SELECT drawing_id, page, rotated, string_agg(text, ' ' ORDER BY x0, span_id) AS
     "tile_labels": sql("spans", "SELECT span_id, 'r' || CAST(r AS VARCHAR) || 'c' || CAST(k AS VARCHAR) AS tile FROM (SELECT span_id, x0 / 1200 AS x, y0 / 1000 AS y FROM spans) s, (SELECT unnest(range(0, 4)) AS k) a, (SELECT unnest(range(0, 3)) AS r) b WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND x >= greatest((k - 0.1::DOUBLE) / 4, 0) AND x <= least((k + 1 + 0.1::DOUBLE) / 4, 1) AND y >= greatest((r - 0.1::DOUBLE) / 3, 0) AND y <= least((r + 1 + 0.1::DOUBLE) / 3, 1)"),
     "hamming_distance": sql("projects", HASHES + "SELECT a.drawing_id, CAST(bit_count(xor(('0x' || a.image_hash)::UBIGINT, ('0x' || b.image_hash)::UBIGINT)::BIT) AS INT) AS d FROM h a JOIN h b ON CAST(b.drawing_id AS BIGINT) + 1 = CAST(a.drawing_id AS BIGINT)"),
     "find_similar": sql("projects", HASHES + """, pr AS (SELECT q.drawing_no AS q_no, e.drawing_no AS e_no, CAST(bit_count(xor(('0x' || q.image_hash)::UBIGINT, ('0x' || e.image_hash)::UBIGINT)::BIT) AS INT) AS distance, array_to_string(string_split(q.drawing_no, '-')[1:4], '-') = array_to_string(string_split(e.drawing_no, '-')[1:4], '-') AS same
-  FROM h q JOIN h e ON q.drawing_no <> e.drawing_no WHERE CAST(q.drawing_id AS BIGINT) % 50 = 0 AND CAST(e.drawing_id AS BIGINT) % 37 = 1), tr AS (SELECT *, CASE WHEN distance <= 6 THEN 0 WHEN same THEN 1 WHEN distance <= 18 THEN 2 END AS tier FROM pr)
+  FROM h q JOIN h e ON q.drawing_no <> e.drawing_no WHERE CAST(q.drawing_id AS BIGINT) % 50 = 0), tr AS (SELECT *, CASE WHEN distance <= 6 THEN 0 WHEN same THEN 1 WHEN distance <= 18 THEN 2 END AS tier FROM pr)
 SELECT q_no, e_no, tier, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_no ORDER BY tier, distance, e_no) AS rank FROM tr WHERE tier IS NOT NULL) WHERE rank <= 3"""),
     "place_crops": sql("replies", CROPS + "SELECT drawing_id, montage, i AS \"at\", CASE WHEN crop_id BETWEEN 1 AND 2 THEN crop_id WHEN printed = 0 AND came = 2 THEN i + 1 END AS slot, lines FROM cp"),
     "truncated_replies": sql("replies", CROPS + "SELECT drawing_id, montage, 2 AS sent, count(*) AS returned, 2 - count(*) AS missing FROM cp GROUP BY 1, 2 HAVING count(*) < 2"),
@@ -278,7 +341,7 @@ SELECT q_no, e_no, tier, distance, rank FROM (SELECT *, row_number() OVER (PARTI
     "audit_log": sql("jobs", CALLS + "SELECT job_id, CASE WHEN skipped THEN 'skipped' WHEN error <> '' THEN 'err' ELSE 'ok' END AS status FROM k"),
     "classified_reviews": sql("reviews", REVIEWED + "SELECT row_no, reviewed, changed FROM rv"),
     "accuracy": sql("reviews", REVIEWED + ", rw AS (SELECT *, CASE WHEN drawing_no = '' THEN regexp_replace(split_part(source, '/', -1), '\\.[^.]*$', '') ELSE drawing_no END AS drawing FROM rv WHERE reviewed) SELECT item, drawing, count(*) AS n_reviewed, count(*) FILTER (NOT changed) AS n_right, round(100 * (count(*) FILTER (NOT changed)) / greatest(count(*), 1)::DOUBLE, 1) AS pct FROM rw GROUP BY GROUPING SETS ((item), (drawing), ())"),
-    "unparsed_callouts": sql("reviews", REVIEWED + "SELECT row_no, callout FROM rv WHERE item = 'Pedestal' AND changed AND callout = 'P1 600 by 500'"),
+    "unparsed_callouts": sql("reviews", REVIEWED + "SELECT row_no, callout FROM rv WHERE item = 'Pedestal' AND changed AND trim(callout) <> '' AND NOT regexp_matches(callout, " + PEDESTAL + ")"),
     "bank_examples": sql("reviews", REVIEWED + "SELECT drawing_no, count(*) FILTER (reviewed) AS n_reviewed, arg_min(verified_by, row_no) FILTER (verified_by <> '') AS verified_by, string_agg(tag, ',' ORDER BY row_no, tag) AS tags FROM rv WHERE item = 'Pedestal' AND drawing_no <> '' GROUP BY 1 HAVING count(*) FILTER (reviewed) > 0 AND NOT bool_or(changed)"),
     "dedupe_requests": sql("jobs", "SELECT owner, drawing_path, page, min(position) AS seq FROM jobs j WHERE position % 3 = 1 AND NOT EXISTS (SELECT 1 FROM jobs x WHERE x.owner = j.owner AND x.drawing_path = j.drawing_path AND x.page = j.page AND x.state IN ('queued', 'running')) GROUP BY 1, 2, 3"),
     "latest_by_drawing": sql("jobs", LATEST + "SELECT drawing_path, page, job_id, state FROM lt WHERE k = 1"),
@@ -292,4 +355,40 @@ SELECT owner, queued, running, done, failed, cancelled, round(100 * (done + fail
     "queue_causes": sql("jobs", "SELECT job_id, owner, state, CASE WHEN error = '' THEN '' WHEN lower(error) LIKE 'the file is no longer at%' THEN 'file missing' WHEN lower(error) LIKE '%worker stopped twice%' THEN 'stopped twice' WHEN lower(error) LIKE '%cancel%' THEN 'cancelled' ELSE 'unreadable' END AS cause FROM jobs WHERE state IN ('done', 'failed')"),
     "saved_reading": sql("jobs", ", fl AS (SELECT drawing_path, 'sha' || CAST(min(position) % 3 AS VARCHAR) AS sha FROM jobs GROUP BY 1), dn AS (SELECT *, row_number() OVER (PARTITION BY drawing_path ORDER BY created_at DESC, position DESC, job_id DESC) AS k FROM jobs WHERE state = 'done') SELECT fl.drawing_path, dn.fingerprint FROM fl JOIN dn ON dn.drawing_path = fl.drawing_path AND k = 1 AND dn.content_sha = fl.sha"),
     "cache_hits": sql("jobs", "SELECT *, round(served / greatest(n, 1)::DOUBLE, 4) AS share FROM (SELECT count(*) AS n, count(*) FILTER (position % 4 <> 0 AND fingerprint IN (SELECT fingerprint FROM jobs WHERE state = 'done')) AS served FROM jobs)"),
+    "detect_grid": sql("glyphs sheets", """, lb AS (SELECT g.drawing_id, g.page, glyph_id, 'r' AS axis, (y0 + y1) / 2 / height_pt AS v FROM glyphs g JOIN sheets s ON s.drawing_id = g.drawing_id AND s.page = g.page WHERE y1 - y0 BETWEEN 3 AND 30 AND x1 - x0 BETWEEN 1 AND 30 AND (x1 < 0.02 * width_pt OR x0 > 0.98 * width_pt)
+  UNION ALL SELECT g.drawing_id, g.page, glyph_id, 'c', (x0 + x1) / 2 / width_pt FROM glyphs g JOIN sheets s ON s.drawing_id = g.drawing_id AND s.page = g.page WHERE y1 - y0 BETWEEN 3 AND 30 AND x1 - x0 BETWEEN 1 AND 30 AND (y1 < 0.02 * height_pt OR y0 > 0.98 * height_pt)),
+st AS (SELECT *, v - lag(v) OVER (PARTITION BY drawing_id, page, axis ORDER BY v, glyph_id) > 0.012 AS new FROM lb),
+ru AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY drawing_id, page, axis ORDER BY v, glyph_id ROWS UNBOUNDED PRECEDING) AS k FROM st),
+ce AS (SELECT drawing_id, page, axis, k, avg(v) AS v, count(*) AS m FROM ru GROUP BY 1, 2, 3, 4),
+ga AS (SELECT *, v - lag(v) OVER (PARTITION BY drawing_id, page, axis ORDER BY v) AS gap FROM ce),
+ax AS (SELECT drawing_id, page, axis, CAST(round(1 / list_sort(list(gap) FILTER (gap IS NOT NULL))[(count(*) - 1) // 2 + 1]) AS INT) AS n FROM ga GROUP BY 1, 2, 3 HAVING sum(m) >= 4 AND count(*) >= 3 AND list_sort(list(gap) FILTER (gap IS NOT NULL))[(count(*) - 1) // 2 + 1] > 0.005),
+bo AS (SELECT drawing_id, page, max(n) FILTER (axis = 'c') AS nc, max(n) FILTER (axis = 'r') AS nr FROM ax WHERE n BETWEEN 4 AND 40 GROUP BY 1, 2)
+SELECT s.drawing_id, s.page, CASE WHEN nc IS NULL OR nr IS NULL THEN 16 ELSE nc END AS columns, CASE WHEN nc IS NULL OR nr IS NULL THEN 16 ELSE nr END AS rows, nc IS NOT NULL AND nr IS NOT NULL AS detected FROM sheets s LEFT JOIN bo ON bo.drawing_id = s.drawing_id AND bo.page = s.page"""),
+    "fold_job_state": sql("job_events", """, ev AS (SELECT job_id, list({'ts': ts, 'event': event, 'pct': progress_pct, 'fc': from_cache, 'err': error, 'state': 'none', 'beat': NULL::TIMESTAMP, 'el': NULL::DOUBLE, 'n': 1} ORDER BY ts, event_id) AS l FROM job_events GROUP BY 1),
+fo AS (SELECT job_id, list_reduce(l, lambda a, e: {
+  'ts': CASE WHEN e.event = 'start' THEN e.ts WHEN e.event = 'retry' AND a.state IN ('failed', 'cancelled') THEN NULL ELSE a.ts END, 'event': '',
+  'pct': CASE WHEN e.event IN ('enqueue', 'start') OR (e.event = 'retry' AND a.state IN ('failed', 'cancelled')) THEN 0 WHEN e.event = 'heartbeat' THEN greatest(least(e.pct, 100), 0) WHEN e.event = 'finish' THEN 100 ELSE a.pct END,
+  'fc': CASE WHEN e.event = 'finish' THEN coalesce(e.fc, false) WHEN e.event = 'retry' AND a.state IN ('failed', 'cancelled') THEN false ELSE a.fc END,
+  'err': CASE WHEN e.event = 'fail' THEN left(coalesce(e.err, ''), 2000) WHEN e.event = 'retry' AND a.state IN ('failed', 'cancelled') THEN '' ELSE a.err END,
+  'state': CASE e.event WHEN 'enqueue' THEN 'queued' WHEN 'start' THEN 'running' WHEN 'finish' THEN 'done' WHEN 'fail' THEN 'failed' WHEN 'cancel' THEN 'cancelled' WHEN 'retry' THEN CASE WHEN a.state IN ('failed', 'cancelled') THEN 'queued' ELSE a.state END ELSE a.state END,
+  'beat': CASE WHEN e.event IN ('start', 'heartbeat') THEN e.ts WHEN e.event = 'retry' AND a.state IN ('failed', 'cancelled') THEN NULL ELSE a.beat END,
+  'el': CASE WHEN e.event IN ('finish', 'fail') AND a.ts IS NOT NULL THEN (epoch_us(e.ts) - epoch_us(a.ts)) / 1000000 WHEN e.event = 'retry' AND a.state IN ('failed', 'cancelled') THEN NULL ELSE a.el END, 'n': a.n + 1},
+  {'ts': NULL::TIMESTAMP, 'event': '', 'pct': 0.0::DOUBLE, 'fc': false, 'err': '', 'state': 'none', 'beat': NULL::TIMESTAMP, 'el': NULL::DOUBLE, 'n': 0}) AS s FROM ev)
+SELECT job_id, s.state AS state, s.pct AS progress_pct, epoch_us(s.ts) AS started_us, epoch_us(s.beat) AS heartbeat_us, round(coalesce(s.el, 0), 3) AS elapsed_s, s.err AS error, s.fc AS from_cache, CAST(s.n AS INT) AS n_events FROM fo"""),
+    "verification_rows": sql("projects sightings elements marks lines", CHECKS + "SELECT drawing_id, number, kind, label, extracted, note, '' AS corrected, '' AS verified_by FROM ck"),
+    "ordered_evidence": sql("projects sightings elements marks lines", CHECKS + "SELECT drawing_id, number, row_number() OVER (PARTITION BY drawing_id ORDER BY NOT boxed, number) AS rank, boxed FROM ck"),
+    "traceable_evidence": sql("projects sightings elements marks lines", CHECKS + "SELECT drawing_id, number, kind FROM ck WHERE boxed"),
+    "evidence_counts": sql("projects sightings elements marks lines", CHECKS + "SELECT drawing_id, CASE WHEN regexp_matches(lower(note), 'not on drawing|not stated|not extracted|incomplete on the drawing|placeholder') THEN 'incomplete' WHEN CAST(drawing_id AS BIGINT) % 3 = 0 THEN 'exact' ELSE 'model' END AS source, count(*) AS n FROM ck GROUP BY 1, 2"),
+    "title_blocks": sql("projects", ", tb AS (SELECT drawing_id, CASE WHEN revision <> '' THEN drawing_no ELSE '' END AS drawing_no, revision, CASE WHEN CAST(drawing_id AS BIGINT) % 3 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d') END AS date, CASE WHEN CAST(drawing_id AS BIGINT) % 2 = 0 THEN project_name ELSE '' END AS project_name FROM projects) SELECT *, CASE WHEN (drawing_no <> '')::INT + (revision <> '')::INT + (date <> '')::INT + (project_name <> '')::INT >= 3 THEN 'high' WHEN (drawing_no <> '')::INT + (revision <> '')::INT + (date <> '')::INT + (project_name <> '')::INT = 2 THEN 'medium' ELSE 'low' END AS confidence FROM tb"),
+    "reply_pedestals": sql("lines", LINES + REPLIES + "SELECT drawing_id, seq, tag, length_mm, width_mm, height_mm, quantity, validated, disagrees FROM rp WHERE reason IS NULL"),
+    "reply_rejects": sql("lines", LINES + REPLIES + "SELECT drawing_id, seq, tag, reason FROM rp WHERE reason IS NOT NULL"),
+    "reply_slabs": sql("lines", """, sl AS (SELECT drawing_id, CASE WHEN line_no % 2 = 0 THEN 'GS-02' ELSE 'GS-01' END AS tag, 1000.0::DOUBLE * (line_no - 1) AS length_mm, 3000.0::DOUBLE AS width_mm, CASE WHEN text LIKE 'TOC%' THEN 250.0::DOUBLE ELSE TRY_CAST(regexp_extract(text, '(\\d{2,4})\\s*THK', 1) AS DOUBLE) END AS thickness_mm, regexp_extract(text, 'TOC\\s*EL\\.?\\s*(\\d+\\.\\d+)', 1) AS toc_level, 'medium' AS confidence FROM lines WHERE text LIKE '%GRADE SLAB' OR text LIKE 'TOC%'),
+ch AS (SELECT *, CASE WHEN NOT length_mm BETWEEN 500 AND 500000 THEN 'length_mm' WHEN NOT width_mm BETWEEN 500 AND 500000 THEN 'width_mm' WHEN thickness_mm IS NULL OR NOT thickness_mm BETWEEN 75 AND 2000 THEN 'thickness_mm' END AS bad FROM sl)
+SELECT * EXCLUDE (bad), bad IS NULL AS usable, coalesce(bad, CASE WHEN length_mm < width_mm THEN 'length < width' ELSE '' END) AS reason FROM ch"""),
+    "seeded_rules": sql("lines", LINES + """, fi AS (SELECT drawing_id, arg_min(f1, line_no) FILTER (kind = 'curb_wall') AS ct, arg_min(f2, line_no) FILTER (kind = 'curb_wall') AS chh, arg_min(f1, line_no) FILTER (kind = 'epoxy') AS ep, arg_min(f1, line_no) FILTER (kind = 'blinding') AS bl FROM seen WHERE k = 1 AND kind IN ('curb_wall', 'epoxy', 'blinding') GROUP BY 1),
+du(rule_key, param, value) AS (VALUES %s)
+SELECT drawing_id, rule_key, param, CASE WHEN rule_key = 'curb' AND param = 'thickness_m' THEN coalesce(round(ct / 1000, 3), value) WHEN rule_key = 'curb' AND param = 'height_m' THEN coalesce(round(chh / 1000, 3), value) WHEN rule_key = 'epoxy' AND param = 'thickness_mm' THEN coalesce(ep, value) WHEN (rule_key = 'blinding' AND param = 'thickness_m') OR (rule_key = 'excavation' AND param = 'blinding_thickness_m') THEN coalesce(round(bl / 1000, 3), value) ELSE value END AS value FROM fi, du""" % ", ".join(f"('{k}', '{n}', {float(v)}::DOUBLE)" for k, ps in derive.RULES.items() for n, v in ps.items())),
+    "typed_elements": sql("elements", TYPED + "SELECT drawing_id, tag, length_m, width_m, height_m, quantity, CASE WHEN pos % 2 = 0 THEN 'RCC_M30' ELSE grade END AS grade, CASE WHEN pos % 3 = 0 THEN 120.0 ELSE 90.0 END::DOUBLE AS rebar_coefficient FROM ty WHERE reason IS NULL"),
+    "typed_rejects": sql("elements", TYPED + "SELECT drawing_id, tag, reason FROM ty WHERE reason IS NOT NULL"),
+    "ingested_reviews": sql("reviews", REVIEWED + ", rw AS (SELECT *, CASE WHEN drawing_no = '' THEN regexp_replace(split_part(source, '/', -1), '\\.[^.]*$', '') ELSE drawing_no END AS drawing FROM rv WHERE reviewed) SELECT 'accuracy' AS what, coalesce(item, drawing, 'all') AS name, count(*) AS n FROM rw GROUP BY GROUPING SETS ((item), (drawing), ()) UNION ALL SELECT 'look at', callout, row_no FROM rv WHERE item = 'Pedestal' AND changed AND trim(callout) <> '' AND NOT regexp_matches(callout, " + PEDESTAL + ") UNION ALL SELECT 'example', drawing_no, count(*) FILTER (reviewed) FROM rv WHERE item = 'Pedestal' AND drawing_no <> '' GROUP BY 2 HAVING count(*) FILTER (reviewed) > 0 AND NOT bool_or(changed)"),
 }

@@ -82,7 +82,7 @@ SELECT CAST(l.l_orderkey AS STRING) AS drawing_id, 0 AS page, CAST(l.l_suppkey %
   CASE WHEN l.l_returnflag = 'N' THEN '' ELSE concat('B-', CAST(l.l_suppkey % 6 + 1 AS STRING)) END AS grid_ref
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     "spans": """
-SELECT CAST(l_orderkey % 50 AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page,
+SELECT CAST(CAST(floor(l_orderkey / 4e1) AS BIGINT) AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page,
   l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS span_id,
   CASE WHEN l_partkey % 9 = 0 THEN concat('P', CAST(l_suppkey % 9 + 1 AS STRING)) WHEN l_partkey % 9 = 1 THEN concat('MD-522-', CAST(1000 + l_suppkey AS STRING)) WHEN l_partkey % 9 = 2 THEN ' ' ELSE concat('LABEL ', CAST(l_partkey % 100 AS STRING), ' NEAR GRID LINE') END AS text,
   floor(l_extendedprice) % 1000 * 1e0 AS x0, 12e0 * (l_partkey % 80) + l_linenumber / 4e0 AS y0, floor(l_extendedprice) % 1000 + 40e0 AS x1, 12e0 * (l_partkey % 80) + l_linenumber / 4e0 + 10e0 AS y1,
@@ -90,11 +90,11 @@ SELECT CAST(l_orderkey % 50 AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT)
 FROM {lineitem}""",
     "sheets": """
 SELECT CAST(d AS STRING) AS drawing_id, CAST(g AS INT) AS page, concat('MD-522-', CAST(1000 + d AS STRING), '_C01.pdf') AS file_name, 1200e0 AS width_pt, 1000e0 AS height_pt
-FROM (SELECT DISTINCT l_orderkey % 50 AS d FROM {lineitem}) a CROSS JOIN (SELECT DISTINCT l_suppkey % 2 AS g FROM {lineitem}) b""",
+FROM (SELECT DISTINCT CAST(floor(l_orderkey / 4e1) AS BIGINT) AS d FROM {lineitem}) a CROSS JOIN (SELECT DISTINCT l_suppkey % 2 AS g FROM {lineitem}) b""",
     "glyphs": """
-SELECT CAST(l_orderkey % 50 AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS glyph_id,
-  (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 AS x0, CASE WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END AS y0,
-  (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 + 6e0 + l_quantity / 1e1 AS x1, CASE WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END + 2e0 + l_quantity / 2e0 AS y1
+SELECT CAST(CAST(floor(l_orderkey / 4e1) AS BIGINT) AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS glyph_id,
+  CASE WHEN l_suppkey % 5 = 4 THEN 4e0 ELSE (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 END AS x0, CASE WHEN l_suppkey % 5 = 4 THEN (l_partkey % 12) * 8e1 + 5e1 WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END AS y0,
+  CASE WHEN l_suppkey % 5 = 4 THEN 4e0 ELSE (l_partkey % 10) * 12e1 + 5e1 + l_linenumber / 1e1 END + 6e0 + l_quantity / 1e1 AS x1, CASE WHEN l_suppkey % 5 = 4 THEN (l_partkey % 12) * 8e1 + 5e1 WHEN l_suppkey % 3 = 0 THEN 4e0 ELSE 4e1 + floor(l_extendedprice) % 900 END + 2e0 + l_quantity / 4e0 AS y1
 FROM {lineitem}""",
     "sightings": """
 SELECT CAST(l_orderkey AS STRING) AS drawing_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS INT) AS seq,
@@ -123,8 +123,8 @@ SELECT concat('set/review_', d.source, '.xlsx') AS source, CASE WHEN d.doc_id %
   CASE WHEN l.quality = 0 THEN CAST(d.n_chars + 1 AS STRING) WHEN d.doc_id % 4 = 0 THEN concat(' ', CAST(d.n_chars AS STRING), '.0 ') ELSE '' END AS corrected, CASE WHEN l.toxic = 0 AND d.doc_id % 2 = 0 THEN concat('eng', CAST(d.doc_id % 3 AS STRING)) ELSE '' END AS verified_by
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "levels": """
-SELECT CAST(s_suppkey % 20 AS STRING) AS drawing_id, CASE s_suppkey % 4 WHEN 0 THEN 'TOC' WHEN 1 THEN 'BOC' WHEN 2 THEN 'BOBP' ELSE 'NGL' END AS kind, round(9e1 + s_acctbal / 1e3, 3) AS level_m FROM {supplier}
-UNION ALL SELECT CAST(p_partkey % 40 AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'TOS' WHEN 1 THEN 'FGL' ELSE 'FFL' END, round(9e1 + p_size / 1e1, 3) FROM {part}""",
+SELECT CAST(s_suppkey * 4 AS STRING) AS drawing_id, CASE s_suppkey % 4 WHEN 0 THEN 'TOC' WHEN 1 THEN 'BOC' WHEN 2 THEN 'BOBP' ELSE 'NGL' END AS kind, round(9e1 + s_acctbal / 1e3, 3) AS level_m FROM {supplier}
+UNION ALL SELECT CAST(CAST(floor(p_partkey / 5e0) AS BIGINT) AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'TOS' WHEN 1 THEN 'FGL' ELSE 'FFL' END, round(9e1 + p_size / 1e1, 3) FROM {part}""",
 }
 SYNTH = {name: tolerant(text) for name, text in SYNTH.items()}
 

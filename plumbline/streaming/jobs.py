@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.operators.telemetry import BECOMES
+
 EVENTS = "event_id bigint, ts timestamp, job_id string, owner string, drawing_path string, page int, event string, progress_pct double, from_cache boolean, error string"
 JOB = "job_id string, state string, progress_pct double, elapsed_s double, error string, from_cache boolean, n_events int"
-#: What an event turns a job into; retries only count for jobs that failed or were cancelled.
-BECOMES = {"enqueue": "queued", "start": "running", "finish": "done", "fail": "failed", "cancel": "cancelled"}
+#: How long the state of a job that has ended is kept for a retry, in milliseconds.
+KEEP_MS = 7 * 24 * 3_600_000
 
 
 def dedupe_stream(requests: DataFrame, within: str = "1 day") -> DataFrame:
@@ -32,14 +34,17 @@ def summary_stream(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("owner").agg(*[F.count_if(F.col("event") == k).alias(k) for k in kinds])
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
+def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     """The row of each job after every batch of its events, as fold_job_state gives it (update mode).
 
     Events of a batch are applied in order of time; an event that is older than one applied before comes too late to
-    be put in place and is applied where it arrives.
+    be put in place and is applied where it arrives. The state of a job that has ended is dropped after ``keep_ms`` without an event.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, pct, started, elapsed, error, cached, n = state.get if state.exists else ("none", 0.0, None, None, "", False, 0)
         for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             retry = e.event == "retry" and now in ("failed", "cancelled")
@@ -59,10 +64,12 @@ def fold_stream(events: DataFrame) -> DataFrame:
                 now = BECOMES.get(e.event, now)
             n += 1
         state.update((now, pct, started, elapsed, error, cached, n))
+        if now in ("done", "failed", "cancelled"):
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame([(key[0], now, pct, elapsed, error, cached, n)], columns=["job_id", "state", "progress_pct", "elapsed_s", "error", "from_cache", "n_events"])
 
     kept = "state string, progress_pct double, started double, elapsed_s double, error string, from_cache boolean, n_events int"
-    return events.groupBy("job_id").applyInPandasWithState(step, JOB, kept, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, JOB, kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stale_stream(events: DataFrame, after_ms: int = 900_000) -> DataFrame:
@@ -75,7 +82,10 @@ def stale_stream(events: DataFrame, after_ms: int = 900_000) -> DataFrame:
             yield pd.DataFrame({"job_id": [key[0]], "becomes": ["failed" if lost else "requeued"]})
             return
         last = pd.concat(list(batches)).sort_values(["ts", "event_id"])["event"].iloc[-1]
-        state.update((state.get[0] if state.exists else 0,))
+        if last in ("finish", "fail", "cancel"):  # nothing is lost any more, and a retry starts afresh
+            state.remove()
+            return
+        state.update((state.get[0] if state.exists and last != "retry" else 0,))
         if last in ("start", "heartbeat"):
             state.setTimeoutDuration(after_ms)
 
