@@ -214,7 +214,8 @@ def find_similar(queries: DataFrame, examples: DataFrame, k: int = 3, most_queri
     near = (c("q_no") != c("e_no")) & ((d <= FAR) | (c("q_series") == c("e_series")))
     n = q.count()
     if n <= most_queries:
-        both = e.join(F.broadcast(q), near)
+        # a few narrow bytes a row make the pairs' work even over all cores
+        both = e.repartition(queries.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(q), near)
     else:
         blocks = -(-n // most_queries)
         eb = e.withColumn("block", F.pmod(F.xxhash64("e_no", "e_bits"), F.lit(blocks)).cast("int"))
