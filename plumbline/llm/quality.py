@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import durable, sized_join
+
 from .text import SPACES, lower_ascii, pieces
 
 WINDOW = 8
@@ -51,21 +53,21 @@ def with_class_counts(df: DataFrame, text_col: str) -> DataFrame:
 def learn_reference(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Reference:
     """References from all rows with a language, weighing every document by its length.
 
-    Only sums by language and (language, word) are shuffled, after partial aggregation. What reaches the driver is
+    Only sums by language and (language, word) are shuffled, after partial aggregation, each in one pass. What reaches the driver is
     bounded: 1 / WORD_SHARE words for each language with LANGUAGE_WORDS words.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     n = len(CLASSES) + 1
-    words = rows.select("lang", F.explode(pieces(lower_ascii(F.col("t")), SPACES)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LANGUAGE_WORDS)
-    shared = words.join(F.broadcast(totals), "lang").where(F.col("n") >= WORD_SHARE * F.col("all")).select("lang", "w", (F.col("n") / F.col("all")).alias("p"))
-    shared = shared.unionByName(totals.select("lang", F.lit(None).cast("string").alias("w"), F.lit(0.0).alias("p"))).collect()
-    langs = sorted({r["lang"] for r in shared})
-    if not langs:
+    counted = with_class_counts(rows, "t").select("lang", "k", F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    sums = counted.groupBy("lang").agg(F.sum("n").alias("all"), *[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(n)])
+    known = durable(sums.where(F.col("all") >= LANGUAGE_WORDS))
+    sums = known.collect()
+    if not sums:
         return Reference({}, {})
-    shared = [r for r in shared if r["w"] is not None]
-    sums = with_class_counts(rows.where(F.col("lang").isin(langs)), "t").select("lang", "k").groupBy("lang").agg(*[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(n)])
-    classes = {r["lang"]: tuple(r[f"k{i}"] / max(1.0, sum(r[f"k{j}"] for j in range(n))) for i in range(n)) for r in sums.collect()}
+    classes = {r["lang"]: tuple(r[f"k{i}"] / max(1.0, sum(r[f"k{j}"] for j in range(n))) for i in range(n)) for r in sums}
+    words = sized_join(rows, known.select("lang", "all"), "lang", "inner").select("lang", "all", F.explode(pieces(lower_ascii(F.col("t")), SPACES)).alias("w"))
+    words = words.groupBy("lang", "w").agg(F.count("*").alias("n"), F.first("all").alias("all")).where(F.col("n") >= WORD_SHARE * F.col("all"))
+    shared = words.select("lang", "w", (F.col("n") / F.col("all")).alias("p")).collect()
     common: dict[str, dict[str, float]] = {lang: {} for lang in classes}
     for r in sorted(shared, key=lambda r: (r["lang"], r["w"])):
         common[r["lang"]][r["w"]] = r["p"]
