@@ -86,9 +86,16 @@ def phrase_before(tokens: Column, end: Column) -> Column:
     return F.array_join(F.reverse(upto_boundary(F.reverse(head))), " ")
 
 
+def specifies(word: Column) -> Column:
+    """Whether a word only specifies, alone or as a compound such as NOS./SET, all of whose parts do."""
+    up = F.upper(word)
+    rest = F.array_except(F.split(up, "[/.]"), F.array(*[F.lit(w) for w in ("", *SPEC_WORDS)]))
+    return up.isin(*SPEC_WORDS) | ((F.size(rest) == 0) & F.rlike(up, F.lit("[^/.]")))
+
+
 def named(phrase: Column) -> Column:
-    """A phrase without words that only specify; empty if no word of three letters is left."""
-    kept = F.array_join(F.filter(F.split(phrase, " "), lambda w: ~F.upper(w).isin(*SPEC_WORDS) & (w != "")), " ")
+    """A phrase without words that only specify; empty if no two letters in a row are left."""
+    kept = F.array_join(F.filter(F.split(phrase, " "), lambda w: ~specifies(w) & (w != "")), " ")
     return F.when(F.rlike(kept, F.lit("[A-Za-z]{2}")), kept).otherwise("")
 
 

@@ -17,6 +17,9 @@ LINE_STEP, BLOCK_GAP, BLOCK_OVERLAP = 0.6, 1.9, -1.0
 PAD_X, PAD_Y = 26.0, 9.0
 GRID_BAND, GRID_GAP, GRID_DEFAULT, GRID_LABEL_PT = 0.02, 0.012, 16, (3, 30)
 NEAR, FAR, NO_MATCH = 6, 18, 64
+TITLE_TAIL = 2000
+REVISION = r"\b([A-D]\d{2})\b"
+DATE = r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\b"
 
 
 def route_sheets(spans: DataFrame) -> DataFrame:
@@ -80,6 +83,25 @@ def sheet_drawing_no(spans: DataFrame, sheets: DataFrame, pattern: str) -> DataF
     return out.select(*SHEET, F.coalesce("own", F.nullif("named", F.lit("")), F.lit("")).alias("drawing_no"), c("own").isNull().alias("from_name"), F.coalesce((c("own") != c("named")) & (c("named") != ""), F.lit(False)).alias("disagrees"))
 
 
+def sheet_revision(lines: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(drawing_id, page, revision, date_raw) of every sheet: the revision its file name ends in, else the first in the last TITLE_TAIL
+    characters of its text; and the last date of its text. Empty where there is none.
+
+    lines: (drawing_id, page, line_id, text), read in order of line_id with a line break between. A line knows how many characters
+    follow it, so the tail is cut line by line and no sheet's text is gathered; null texts count as empty.
+    """
+    below = Window.partitionBy(*SHEET).orderBy(c("line_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select(*SHEET, "line_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("room", TITLE_TAIL - F.coalesce(F.sum(F.length("text") + 1).over(below), F.lit(0)))
+    tail = F.when(c("room") > 0, F.right("text", F.least(c("room"), F.length("text")).cast("int"))).otherwise("")
+    code, date = F.regexp_extract(tail, REVISION, 1), F.element_at(F.regexp_extract_all("text", F.lit(DATE), F.lit(1)), -1)
+    rows = rows.select(*SHEET, "line_id", F.nullif(code, F.lit("")).alias("code"), F.when(F.rlike("text", F.lit(DATE)), date).alias("date"))
+    own = rows.where("code is not null or date is not null").groupBy(*SHEET).agg(F.min_by("code", F.when(c("code").isNotNull(), c("line_id"))).alias("code"), F.max_by("date", F.when(c("date").isNotNull(), c("line_id"))).alias("date"))
+    stem = F.upper(F.regexp_replace("file_name", r"(?i)\.pdf$", ""))
+    out = sheets.select(*SHEET, F.regexp_extract(stem, "_" + REVISION[2:], 1).alias("filed")).join(own, SHEET, "left")
+    return out.select(*SHEET, F.coalesce(F.nullif("filed", F.lit("")), "code", F.lit("")).alias("revision"), F.coalesce("date", F.lit("")).alias("date_raw"))
+
+
 def grid_ref(x0: Column, y0: Column, x1: Column, y1: Column, columns: Column, rows: Column, rtl: Column) -> Column:
     """The grid square of a rectangle in fractions of the page, and both ends' squares if they differ."""
     clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import rounded
+from plumbline.functions.numbers import g_format, rounded
 
 from .grammar import clean_drawing_no, clean_project_name, clean_revision, normalise_date, parse_pedestal, parse_thickness, parse_toc, validate_grade_slab, validate_pedestal
 
 c = F.col
 PLACEHOLDER_M = 0.8
+# Fixed value: what the workbook says is never read.
+NEVER_READ = "Tier 3 items (rebar bar-by-bar, joints, sumps, embedments, excavation extents, concrete grades) are NOT extracted — enter them by hand under BOQ → Project estimate."
 
 
 def parse_transcripts(replies: DataFrame) -> DataFrame:
@@ -108,6 +110,53 @@ def plan_merge(existing: DataFrame, fields: DataFrame, found: DataFrame) -> Data
     return f.unionByName(e)
 
 
+def plan_warnings(existing: DataFrame, pedestals: DataFrame, slabs: DataFrame) -> DataFrame:
+    """(drawing_id, part, seq, warning) of a merge: heights set to the placeholder (part 0), slab extents read off a plan (1), readings of low confidence (2).
+
+    existing: (drawing_id, kind, tag); pedestals: (drawing_id, seq, tag, height_mm, confidence); slabs: (drawing_id, seq, tag, length_mm, width_mm, thickness_mm).
+    Elements that are there already are only told where their reading is weak; slabs that lack a size give no warning. A height of null or 0 is missing.
+    """
+    there = existing.select("drawing_id", "kind", F.upper("tag").alias("up")).distinct()
+    fresh = lambda df, kind: df.withColumn("up", F.upper("tag")).join(there.where(c("kind") == kind), ["drawing_id", "up"], "left_anti")
+
+    def told(df: DataFrame, part: int, before: str, after: str) -> DataFrame:
+        tags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: x["tag"]), ", ")
+        return df.groupBy("drawing_id").agg(tags.alias("tags")).select("drawing_id", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit(before), "tags", F.lit(after)).alias("warning"))
+
+    high = f"; merged at a placeholder {PLACEHOLDER_M:.3f} m. Concrete, formwork and rebar for these pedestals are WRONG until the real heights are entered (the drawing's review grid, or BOQ → Project estimate)."
+    out = told(fresh(pedestals, "pedestal").where(F.coalesce("height_mm", F.lit(0.0)) == 0), 0, "UNVERIFIED: pedestal height is not on the callouts for ", high)
+    sizes = ("length_mm", "width_mm", "thickness_mm")
+    usable = fresh(slabs, "grade_slab")
+    for x in sizes:
+        usable = usable.where(F.coalesce(x, F.lit(0.0)) != 0)
+    extent = F.concat_ws(" x ", *[g_format(c(x).cast("double")) for x in sizes])
+    line = F.concat(F.lit("UNVERIFIED: grade slab "), "tag", F.lit(" extent was read off the plan view, not a callout. Confirm "), extent, F.lit(" mm against the sheet."))
+    out = out.unionByName(usable.select("drawing_id", F.lit(1).alias("part"), c("seq").cast("bigint").alias("seq"), line.alias("warning")))
+    return out.unionByName(told(pedestals.where("confidence = 'low'"), 2, "Low-confidence pedestal reading(s): ", ". Check these against the drawing before pricing."))
+
+
+def extraction_warnings(readings: DataFrame, pedestals: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """(drawing_id, section, part, seq, line): what a drawing's workbook says about where its numbers come from.
+
+    Section 0 is the banner of a draft, 1 the warnings of the merge plan (see plan_warnings), 2 a line for every pedestal read
+    and 3 what is never read. readings: (drawing_id, source_pdf, model), one a drawing; pedestals: (drawing_id, seq, tag, length_mm, width_mm,
+    quantity, raw_text, confidence, n_sightings), of those drawings only. A null or empty path is "a drawing".
+    """
+    name = F.coalesce(F.nullif(F.element_at(F.split("source_pdf", "/"), -1), F.lit("")), F.lit("a drawing"))
+    banner = F.concat(F.lit("UNVERIFIED DRAFT — quantities below were derived from "), name, F.lit(" by "), F.coalesce("model", F.lit("")), F.lit(" vision extraction and have NOT been checked by an engineer."))
+    fixed = F.array(F.struct(F.lit(0).alias("section"), banner.alias("line")), F.struct(F.lit(3).alias("section"), F.lit(NEVER_READ).alias("line")))
+    out = readings.select("drawing_id", F.inline(fixed)).select("drawing_id", "section", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"), "line")
+    size = F.concat(F.lit("Pedestal "), "tag", F.lit(": read as "), g_format(c("length_mm")), F.lit("x"), g_format(c("width_mm")), F.lit(" mm, "), c("quantity").cast("string"), F.lit(" Nos"))
+    quoted = F.when(F.coalesce("raw_text", F.lit("")) != "", F.concat(F.lit('from "'), "raw_text", F.lit('"')))
+    trust = F.concat(F.lit("["), "confidence", F.lit(" confidence, "), c("n_sightings").cast("string"), F.lit(" tile sighting(s)]"))
+    known = readings.select("drawing_id")
+    read = pedestals.join(known, "drawing_id", "left_semi").select("drawing_id", F.lit(2).alias("section"), F.lit(0).alias("part"), c("seq").cast("bigint").alias("seq"), F.concat_ws(" ", size, quoted, trust).alias("line"))
+    out = out.unionByName(read)
+    if plan is None:
+        return out
+    return out.unionByName(plan.join(known, "drawing_id", "left_semi").select("drawing_id", F.lit(1).alias("section"), "part", c("seq").cast("bigint").alias("seq"), c("warning").alias("line")))
+
+
 def merge_into_project(existing: DataFrame, found: DataFrame) -> DataFrame:
     """Existing pedestals and the new ones among found (first of a tag, without case), mm turned to m, a missing height to the placeholder. Merging twice changes nothing."""
     w = Window.partitionBy("drawing_id", F.upper("tag")).orderBy("seq")

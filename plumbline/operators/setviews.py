@@ -85,13 +85,21 @@ def mark_counts(marks: DataFrame) -> DataFrame:
     return marks.groupBy("mark", "drawing_id").agg(F.sum("n").alias("n"))
 
 
-def drawing_index(drawings: DataFrame, lines: DataFrame, elements: DataFrame, items: DataFrame) -> DataFrame:
-    """Lines, pedestals, slabs and items of every drawing; each side is counted before it is joined."""
+def drawing_index(drawings: DataFrame, lines: DataFrame, elements: DataFrame, items: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Lines, pedestals, slabs and items of every drawing; each side is counted before it is joined.
+
+    With notes (drawing_id, seq, note), also the drawing's notes in order with " | " between; blank ones are left out.
+    """
     n = lines.where(c("category") != ROLLUP).groupBy("drawing_id").agg(F.count("*").alias("n_lines"))
     e = elements.groupBy("drawing_id").agg(F.count_if(c("kind_no") == 2).alias("n_pedestals"), F.count_if(c("kind_no") == 3).alias("n_slabs"))
     i = items.groupBy("drawing_id").agg(F.count("*").alias("n_items"))
     out = drawings.select("drawing_id", "drawing_no").join(n, "drawing_id", "left").join(e, "drawing_id", "left").join(i, "drawing_id", "left")
-    return out.na.fill(0, ["n_lines", "n_pedestals", "n_slabs", "n_items"])
+    out = out.na.fill(0, ["n_lines", "n_pedestals", "n_slabs", "n_items"])
+    if notes is None:
+        return out
+    said = notes.where(F.trim("note") != "").groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("seq", "note"))).alias("said"))
+    said = said.select("drawing_id", F.array_join(F.transform("said", lambda x: x["note"]), " | ").alias("notes"))
+    return out.join(said, "drawing_id", "left").na.fill("", ["notes"])
 
 
 def activity(category: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import rounded
+from plumbline.functions.numbers import g_format, rounded
 
 from .grammar import parse_pedestal
 
@@ -60,18 +60,6 @@ def evidence_counts(items: DataFrame) -> DataFrame:
 # ---- L: corrections
 
 
-def g_format(x: Column) -> Column:
-    """A double as %g writes it: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6 on."""
-    shown = F.format_string("%.5e", x)
-    mantissa, power = F.split_part(shown, F.lit("e"), F.lit(1)), F.split_part(shown, F.lit("e"), F.lit(2)).cast("int")
-    short = lambda s: F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
-    sign = F.when(power < 0, "-").otherwise("+")
-    small = F.concat(short(mantissa), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    scale = F.pow(F.lit(10.0), 5 - power)
-    plain = short(F.format_string("%.10f", F.round(x * scale) / scale))
-    return F.when(x == 0, "0").when((power < -4) | (power >= 6), small).otherwise(plain)
-
-
 def norm_value(x: Column) -> Column:
     """L1: blank becomes empty, numbers are written with %g (600 = 600.0), other text is folded and lower-cased."""
     t = F.trim(F.coalesce(x, F.lit("")))

@@ -172,6 +172,12 @@ GAPS = DERIVED + DRAWINGS + """
 
 SUMMARY = "SELECT category, item, unit, drawing_id, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3, 4"
 
+def index_notes(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "items")
+    notes = items.select("drawing_id", "seq", c("description").alias("note"))
+    return setviews.drawing_index(table(s, d, P), lines(s, d), table(s, d, E), items, notes).select("drawing_id", "drawing_no", "n_items", "notes")
+
+
 QUERIES = {
     "priced_bill": lambda s, d: setviews.priced_bill(setviews.cost_lines(lines(s, d), rates(s, d))),
     "element_bill": lines,
@@ -193,6 +199,7 @@ QUERIES = {
     "discovered_summary": lambda s, d: setviews.discovered_summary(table(s, d, "items")),
     "double_count_flags": q_flags,
     "mark_counts": lambda s, d: setviews.mark_counts(table(s, d, "marks")),
+    "drawing_index_notes": index_notes,
     "drawing_index": lambda s, d: setviews.drawing_index(table(s, d, P), lines(s, d), table(s, d, E), table(s, d, "items")),
     "detail_lines": lambda s, d: setviews.detail_lines(lines(s, d)).select("drawing_id", "kind_no", "pos", "sub", "activity", "item", "qty_gross"),
     "unit_subtotals": lambda s, d: setviews.unit_subtotals(lines(s, d)),
@@ -267,6 +274,7 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
     "double_count_flags": sql("""SELECT DISTINCT i.drawing_id, i.seq, i.kind, CAST(least(dim_a, dim_b) AS BIGINT) AS lo, CAST(greatest(dim_a, dim_b) AS BIGINT) AS hi FROM items i JOIN elements e ON e.drawing_id = i.drawing_id AND e.kind_no IN (2, 3)
   AND round(least(e.length_m * 1000, e.width_m * 1000)) = round(least(dim_a, dim_b)) AND round(greatest(e.length_m * 1000, e.width_m * 1000)) = round(greatest(dim_a, dim_b)) WHERE i.kind IN ('box2', 'box3')""", "items"),
     "mark_counts": sql("SELECT mark, drawing_id, CAST(sum(n) AS BIGINT) AS n FROM marks GROUP BY 1, 2", "marks"),
+    "drawing_index_notes": sql(", nt AS (SELECT drawing_id, string_agg(description, ' | ' ORDER BY seq, description) AS notes FROM items WHERE trim(description) <> '' GROUP BY 1) SELECT p.drawing_id, drawing_no, coalesce(notes, '') AS notes, (SELECT count(*) FROM items i WHERE i.drawing_id = p.drawing_id) AS n_items FROM projects p LEFT JOIN nt ON nt.drawing_id = p.drawing_id", "items"),
     "drawing_index": sql("SELECT drawing_id, drawing_no, (SELECT count(*) FROM bill b WHERE b.drawing_id = p.drawing_id) AS n_lines, (SELECT count(*) FROM elements e WHERE e.drawing_id = p.drawing_id AND kind_no = 2) AS n_pedestals, (SELECT count(*) FROM elements e WHERE e.drawing_id = p.drawing_id AND kind_no = 3) AS n_slabs, (SELECT count(*) FROM items i WHERE i.drawing_id = p.drawing_id) AS n_items FROM projects p", "items"),
     "detail_lines": sql(f"SELECT drawing_id, kind_no, pos, sub, {ACT} AS activity, item, qty_gross FROM bill"),
     "unit_subtotals": sql(f"SELECT drawing_id, {ACT} AS activity, unit, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3"),

@@ -100,6 +100,33 @@ def merged(s, d):
     return reconcile.merge_into_project(have, votes).select("drawing_id", "tag", rounded("length_m", 3).alias("length_m"), rounded("width_m", 3).alias("width_m"), "height_m", "quantity")
 
 
+# The spans' texts with revisions and dates among them, and file names that carry a revision on one page only; both engines run these.
+MARKED = "CASE WHEN span_id % 97 = 0 THEN concat(text, ' B', lpad(CAST(span_id % 100 AS STRING), 2, '0')) WHEN span_id % 11 = 0 THEN concat(text, ' ', CAST(1 + span_id % 28 AS STRING), '/', CAST(1 + span_id % 12 AS STRING), '/2025') ELSE text END"
+FILED = "CASE WHEN page = 0 THEN file_name ELSE replace(file_name, '_C01', '') END"
+
+
+def revisions(s, d):
+    spans = table(s, d, "spans").select("drawing_id", "page", c("span_id").alias("line_id"), F.expr(MARKED).alias("text"))
+    return geometry.sheet_revision(spans, table(s, d, "sheets").select("drawing_id", "page", F.expr(FILED).alias("file_name")))
+
+
+def voted(s, d):
+    return reconcile.reconcile(table(s, d, "sightings")).withColumn("seq", c("first_seq")).withColumn("height_mm", F.when(c("first_seq") % 2 == 1, 900.0))
+
+
+def merge_warnings(s, d):
+    e = table(s, d, "elements")
+    have = e.where("kind_no in (2, 3) and pos % 2 = 1").select("drawing_id", F.when(c("kind_no") == 2, "pedestal").otherwise("grade_slab").alias("kind"), "tag")
+    slabs = e.where("kind_no = 3").select("drawing_id", c("pos").alias("seq"), F.lower("tag").alias("tag"), (c("quantity") * 100.5).alias("length_mm"), (c("quantity") % 3 * 1000.0).alias("width_mm"), F.lit(250.0).alias("thickness_mm"))
+    return reconcile.plan_warnings(have, voted(s, d), slabs)
+
+
+def provenance_lines(s, d):
+    pedestals = voted(s, d).withColumn("raw_text", F.when(c("validated"), F.concat(F.lit("TYP "), "tag"))).withColumn("n_sightings", F.size(F.split("regions", ", ")))
+    readings = table(s, d, "projects").select("drawing_id", F.when(c("drawing_id").cast("bigint") % 5 != 0, c("path")).alias("source_pdf"), F.lit("reader").alias("model"))
+    return reconcile.extraction_warnings(readings, pedestals, merge_warnings(s, d))
+
+
 def plan(s, d):
     p = table(s, d, "projects")
     fields = p.select("drawing_id", F.lit("revision").alias("field"), c("revision").alias("current"), F.lit("D01").alias("read"))
@@ -243,6 +270,7 @@ QUERIES = {
     "label_blocks": lambda s, d: geometry.label_blocks(table(s, d, "spans")).select("drawing_id", "page", "line_id", "block"),
     "position_marks": lambda s, d: geometry.position_marks(table(s, d, "spans")),
     "sheet_drawing_no": drawing_nos,
+    "sheet_revision": revisions,
     "grid_refs": grid_refs,
     "detect_grid": lambda s, d: geometry.detect_grid(table(s, d, "glyphs"), table(s, d, "sheets")),
     "glyph_filter": lambda s, d: geometry.glyph_filter(table(s, d, "glyphs")).select("glyph_id"),
@@ -256,6 +284,8 @@ QUERIES = {
     "reconcile": lambda s, d: reconcile.reconcile(table(s, d, "sightings")),
     "vote_location": lambda s, d: reconcile.vote_location(table(s, d, "sightings")),
     "plan_merge": plan,
+    "plan_warnings": merge_warnings,
+    "extraction_warnings": provenance_lines,
     "merge_into_project": merged,
     "extraction_summary": lambda s, d: reconcile.extraction_summary(calls(s, d)),
     "audit_log": lambda s, d: reconcile.audit_log(calls(s, d)).select("job_id", "status"),
@@ -293,6 +323,14 @@ STATUS = """, ld AS (SELECT *, row_number() OVER (PARTITION BY drawing_path ORDE
 st AS (SELECT drawing_path, CASE WHEN state = 'running' THEN 'reading' WHEN state = 'queued' THEN 'queued' WHEN state = 'failed' THEN 'failed' WHEN done AND n % 3 > 0 THEN 'needs_review' WHEN done THEN 'ready' ELSE 'not_read' END AS status
   FROM (SELECT l.drawing_path, l.state, (SELECT count(*) FROM jobs j WHERE j.drawing_path = l.drawing_path) AS n, EXISTS (SELECT 1 FROM jobs j WHERE j.drawing_path = l.drawing_path AND j.state = 'done') AS done FROM ld l WHERE k = 1))
 """
+HEIGHTS = "; merged at a placeholder 0.800 m. Concrete, formwork and rebar for these pedestals are WRONG until the real heights are entered (the drawing''s review grid, or BOQ → Project estimate)."
+WARNED = VOTES + """, there AS (SELECT DISTINCT drawing_id, kind_no, upper(tag) AS up FROM elements WHERE kind_no IN (2, 3) AND pos % 2 = 1),
+warned AS (SELECT drawing_id, 0 AS part, CAST(0 AS BIGINT) AS seq, 'UNVERIFIED: pedestal height is not on the callouts for ' || string_agg(tag, ', ' ORDER BY first_seq) || '""" + HEIGHTS + """' AS warning
+  FROM vote v WHERE first_seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM there t WHERE t.drawing_id = v.drawing_id AND kind_no = 2 AND up = upper(v.tag)) GROUP BY 1
+  UNION ALL SELECT drawing_id, 1, CAST(pos AS BIGINT), 'UNVERIFIED: grade slab ' || lower(tag) || ' extent was read off the plan view, not a callout. Confirm ' || printf('%g', quantity * 100.5::DOUBLE) || ' x ' || printf('%g', quantity % 3 * 1000::DOUBLE) || ' x 250 mm against the sheet.'
+  FROM elements e WHERE kind_no = 3 AND quantity <> 0 AND quantity % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM there t WHERE t.drawing_id = e.drawing_id AND t.kind_no = 3 AND up = upper(e.tag))
+  UNION ALL SELECT drawing_id, 2, CAST(0 AS BIGINT), 'Low-confidence pedestal reading(s): ' || string_agg(tag, ', ' ORDER BY first_seq) || '. Check these against the drawing before pricing.' FROM vote WHERE confidence = 'low' GROUP BY 1)
+"""
 NO = "regexp_matches(text, 'MD-\\d{3}-\\d{4}')"
 
 ORACLES = {
@@ -323,6 +361,13 @@ sg AS (SELECT *, sum(step) OVER (PARTITION BY drawing_id, page, rotated ORDER BY
 SELECT drawing_id, page, rotated, string_agg(text, ' ' ORDER BY x0, span_id) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM sg GROUP BY drawing_id, page, rotated, line"""),
     "position_marks": sql("spans", "SELECT drawing_id, page, trim(text) AS mark, count(*) AS n FROM spans WHERE regexp_matches(trim(text), '^[PF]\\d{1,2}$') GROUP BY 1, 2, 3"),
     "sheet_drawing_no": sql("spans sheets", f", ow AS (SELECT s.drawing_id, s.page, first(text ORDER BY x0 / 1200.0::DOUBLE + y0 / 1000.0::DOUBLE, text) AS own FROM spans s WHERE {NO} GROUP BY 1, 2) SELECT h.drawing_id, h.page, coalesce(own, regexp_extract(file_name, 'MD-\\d{{3}}-\\d{{4}}'), '') AS drawing_no, own IS NULL AS from_name, coalesce(own <> regexp_extract(file_name, 'MD-\\d{{3}}-\\d{{4}}'), false) AS disagrees FROM sheets h LEFT JOIN ow ON ow.drawing_id = h.drawing_id AND ow.page = h.page"),
+    "sheet_revision": sql("spans sheets", f", body AS (SELECT drawing_id, page, string_agg(txt, chr(10) ORDER BY span_id) AS body FROM (SELECT *, {MARKED} AS txt FROM spans) GROUP BY 1, 2), nm AS (SELECT drawing_id, page, regexp_extract(upper({FILED}), '_([A-D]\\d{{2}})\\b', 1) AS filed FROM sheets) "
+        "SELECT h.drawing_id, h.page, coalesce(nullif(filed, ''), regexp_extract(right(body, 2000), '\\b([A-D]\\d{2})\\b', 1), '') AS revision, coalesce(regexp_extract_all(body, '\\b(\\d{1,2}[/\\-.]\\d{1,2}[/\\-.]\\d{2,4})\\b', 1)[-1], '') AS date_raw FROM nm h LEFT JOIN body b ON b.drawing_id = h.drawing_id AND b.page = h.page"),
+    "plan_warnings": sql("sightings elements", WARNED + "SELECT * FROM warned"),
+    "extraction_warnings": sql("sightings elements projects", WARNED + """SELECT drawing_id, 0 AS section, 0 AS part, CAST(0 AS BIGINT) AS seq, 'UNVERIFIED DRAFT — quantities below were derived from ' || CASE WHEN CAST(drawing_id AS BIGINT) % 5 <> 0 THEN split_part(path, '/', -1) ELSE 'a drawing' END || ' by reader vision extraction and have NOT been checked by an engineer.' AS line FROM projects
+  UNION ALL SELECT drawing_id, 1, part, seq, warning FROM warned WHERE drawing_id IN (SELECT drawing_id FROM projects)
+  UNION ALL SELECT drawing_id, 2, 0, CAST(first_seq AS BIGINT), 'Pedestal ' || tag || ': read as ' || printf('%g', length_mm::DOUBLE) || 'x' || printf('%g', width_mm::DOUBLE) || ' mm, ' || CAST(quantity AS VARCHAR) || ' Nos' || CASE WHEN validated THEN ' from "TYP ' || tag || '"' ELSE '' END || ' [' || confidence || ' confidence, ' || CAST(len(string_split(regions, ', ')) AS VARCHAR) || ' tile sighting(s)]' FROM vote WHERE drawing_id IN (SELECT drawing_id FROM projects)
+  UNION ALL SELECT drawing_id, 3, 0, 0, 'Tier 3 items (rebar bar-by-bar, joints, sumps, embedments, excavation extents, concrete grades) are NOT extracted — enter them by hand under BOQ → Project estimate.' FROM projects"""),
     "grid_refs": sql("spans", ", g AS (SELECT span_id, chr(CAST(65 + least(floor(least(greatest(y0 / 1000, 0), 1) * 12), 11) AS INT)) || '-' || CAST(CAST(16 - least(floor(least(greatest(x0 / 1200, 0), 1) * 16), 15) AS INT) AS VARCHAR) AS a, chr(CAST(65 + least(floor(least(greatest(y1 / 1000, 0), 1) * 12), 11) AS INT)) || '-' || CAST(CAST(16 - least(floor(least(greatest(x1 / 1200, 0), 1) * 16), 15) AS INT) AS VARCHAR) AS b FROM spans) SELECT span_id, CASE WHEN a = b THEN a ELSE a || ' → ' || b END AS ref FROM g"),
     "glyph_filter": sql("glyphs", "SELECT glyph_id FROM glyphs WHERE y1 - y0 BETWEEN 9 AND 40 AND x1 - x0 BETWEEN 0.4 AND 40 AND (x1 - x0) * (y1 - y0) > 0.2"),
     "callout_candidates": sql("glyphs", "SELECT box, row_number() OVER (PARTITION BY drawing_id, page ORDER BY round(y0 / 40), x0, box) AS reading FROM (SELECT drawing_id, page, glyph_id AS box, x0 * 2 AS x0, y0 * 2 AS y0, (x0 * 2 + (x1 - x0) * 40) - x0 * 2 AS w, (y0 * 2 + (y1 - y0) * 5) - y0 * 2 AS h FROM glyphs) WHERE w BETWEEN 140 AND 520 AND h BETWEEN 40 AND 120"),

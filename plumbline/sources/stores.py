@@ -9,10 +9,13 @@ c = F.col
 SITES = ("Green Field", "Brown Field", "Repair")
 EXTRACTION = (
     "source_pdf string, page_number int, profile string, model string, image_hash string, "
-    "title_block struct<drawing_no:string,revision:string,project_name:string,date:string,prepared_by:string,confidence:string>, "
-    "pedestals array<struct<tag:string,length_mm:double,width_mm:double,quantity:int,height_mm:double,raw_text:string,grid_ref:string,confidence:string,notes:string>>, "
-    "grade_slabs array<struct<tag:string,length_mm:double,width_mm:double,thickness_mm:double,toc_level:string,raw_text:string,confidence:string>>, "
-    "position_marks map<string,int>, used_text_layer boolean, confidence_notes array<string>, total_elapsed_s double"
+    "title_block struct<drawing_no:string,revision:string,project_name:string,date:string,date_raw:string,prepared_by:string,confidence:string>, "
+    "pedestals array<struct<tag:string,length_mm:double,width_mm:double,quantity:int,height_mm:double,raw_text:string,regex_validated:boolean,seen_in_regions:array<string>,source_rect:array<double>,grid_ref:string,confidence:string,notes:string>>, "
+    "grade_slabs array<struct<tag:string,length_mm:double,width_mm:double,thickness_mm:double,toc_level:string,raw_text:string,confidence:string,notes:string>>, "
+    "position_marks map<string,int>, used_text_layer boolean, confidence_notes array<string>, total_elapsed_s double, "
+    "responses array<struct<region:string,stage:string,px_width:int,px_height:int,ink_ratio:double,skipped:boolean,elapsed_s:double,raw_response:string,error:string>>, "
+    "transcribed_lines array<string>, transcript_blocks array<struct<region:string,rect_norm:array<double>,grid_ref:string,lines:array<string>>>, "
+    "text_blocks_found int, montages_sent int, findings string, discovery string"  # the last two are JSON text
 )
 
 
@@ -59,6 +62,25 @@ def read_extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("file", "_corrupt_record")
 
 
+def reading_lines(readings: DataFrame) -> DataFrame:
+    """A4: (drawing_id, block_id, line_no, text, region, grid_ref) of the transcripts in read_extractions' readings, a reading's file as its id.
+
+    Lines come from the blocks in order; a reading without blocks gives its plain lines as block 0. Null lines are left out.
+    """
+    block = "struct<region:string,rect_norm:array<double>,grid_ref:string,lines:array<string>>"
+    plain = F.array(F.struct(F.lit("").alias("region"), F.array().cast("array<double>").alias("rect_norm"), F.lit("").alias("grid_ref"), c("transcribed_lines").alias("lines")).cast(block))
+    blocks = F.when(F.size("transcript_blocks") > 0, c("transcript_blocks")).otherwise(plain)
+    rows = readings.select(c("file").alias("drawing_id"), F.posexplode(blocks).alias("block_id", "b"))
+    rows = rows.select("drawing_id", c("block_id").cast("bigint").alias("block_id"), "b.region", "b.grid_ref", F.posexplode("b.lines").alias("line_no", "text"))
+    return rows.where("text is not null").select("drawing_id", "block_id", "line_no", "text", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("grid_ref", F.lit("")).alias("grid_ref"))
+
+
+def reading_calls(readings: DataFrame) -> DataFrame:
+    """A4: (drawing_id, call_no, region, stage, skipped, elapsed_s, error) of every model call in the readings, for extraction_summary and audit_log."""
+    rows = readings.select(c("file").alias("drawing_id"), F.posexplode("responses").alias("call_no", "r"))
+    return rows.select("drawing_id", "call_no", "r.region", "r.stage", F.coalesce("r.skipped", F.lit(False)).alias("skipped"), F.coalesce("r.elapsed_s", F.lit(0.0)).alias("elapsed_s"), F.coalesce("r.error", F.lit("")).alias("error"))
+
+
 def upsert_extractions(stored: DataFrame, new: DataFrame) -> DataFrame:
     """A5: the store with new rows; of a fingerprint's rows the new one, and of these the latest ``saved_at``, stays."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

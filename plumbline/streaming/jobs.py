@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.telemetry import BECOMES
+from plumbline.operators.telemetry import BECOMES, job_summary
 
 EVENTS = "event_id bigint, ts timestamp, job_id string, owner string, drawing_path string, page int, event string, progress_pct double, from_cache boolean, error string"
-JOB = "job_id string, state string, progress_pct double, elapsed_s double, error string, from_cache boolean, n_events int"
+JOB = "job_id string, owner string, state string, progress_pct double, heard double, elapsed_s double, error string, from_cache boolean, n_events int"
+#: A row of fold_stream.
+ROW = "job_id string, owner string, state string, progress_pct double, heartbeat_at timestamp, elapsed_s double, error string, from_cache boolean, n_events int"
 #: How long the state of a job that has ended is kept for a retry, in milliseconds.
 KEEP_MS = 7 * 24 * 3_600_000
 
@@ -29,25 +31,56 @@ def latest_stream(jobs: DataFrame) -> DataFrame:
 
 
 def summary_stream(jobs: DataFrame) -> DataFrame:
-    """M3: events of each kind by owner, kept up to date."""
+    """M3: events of each kind by owner, kept up to date; see summary_so_far for the summary of the jobs' states."""
     kinds = (*BECOMES, "heartbeat", "retry")
     return jobs.groupBy("owner").agg(*[F.count_if(F.col("event") == k).alias(k) for k in kinds])
 
 
-def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+def job_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """M3: a foreachBatch function for fold_stream that keeps the rows of each batch in a folder of its own.
+
+    A batch that runs again after a failure replaces its folder, so no change counts twice. The path has to be shared by the cluster.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return keep
+
+
+def kept_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """M3: the newest row of each job that job_sink kept; rows combine before the shuffle."""
+    rows = spark.read.schema(f"{ROW}, batch bigint").parquet(path)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("job_id", "batch")]), "batch")
+    return rows.groupBy("job_id").agg(newest.alias("j")).select("job_id", "j.*")
+
+
+def summary_so_far(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """M3: job_summary over the jobs as the stream has left them: states, per cent, mean seconds, time left and a live worker by owner.
+
+    Spark can't aggregate after fold_stream's state within one query, so the fold writes through job_sink and this reads what it wrote.
+    """
+    return job_summary(kept_jobs(spark, path), now)
+
+
+def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS, late: str = "7 days") -> DataFrame:
     """The row of each job after every batch of its events, as fold_job_state gives it (update mode).
 
     Events of a batch are applied in order of time; an event that is older than one applied before comes too late to
-    be put in place and is applied where it arrives. The state of a job that has ended is dropped after ``keep_ms`` without an event.
+    be put in place and is applied where it arrives; one that is later than ``late`` is left out. The state of a job that has ended
+    is dropped once the watermark is ``keep_ms`` past its last event: by event time, so that a run over what is there (availableNow) ends.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now, pct, started, elapsed, error, cached, n = state.get if state.exists else ("none", 0.0, None, None, "", False, 0)
+        now, owner, pct, heard, started, elapsed, error, cached, n = state.get if state.exists else ("none", None, 0.0, None, None, None, "", False, 0)
         for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             retry = e.event == "retry" and now in ("failed", "cancelled")
+            owner = owner or e.owner
+            if e.event in ("start", "heartbeat"):
+                heard = e.ts.value / 1e9
             if e.event == "heartbeat":
                 pct = min(max(float(e.progress_pct), 0.0), 100.0)
             elif e.event in ("enqueue", "start"):
@@ -59,21 +92,25 @@ def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
                 else:
                     error = (e.error or "")[:2000]
             if retry:
-                now, pct, started, elapsed, error, cached = "queued", 0.0, None, None, "", False
+                now, pct, heard, started, elapsed, error, cached = "queued", 0.0, None, None, None, "", False
             else:
                 now = BECOMES.get(e.event, now)
             n += 1
-        state.update((now, pct, started, elapsed, error, cached, n))
+            last = int(e.ts.value // 1_000_000)
+        state.update((now, owner, pct, heard, started, elapsed, error, cached, n))
         if now in ("done", "failed", "cancelled"):
-            state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame([(key[0], now, pct, elapsed, error, cached, n)], columns=["job_id", "state", "progress_pct", "elapsed_s", "error", "from_cache", "n_events"])
+            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        names = ["job_id", "owner", "state", "progress_pct", "heard", "elapsed_s", "error", "from_cache", "n_events"]
+        yield pd.DataFrame([(key[0], owner, now, pct, heard, elapsed, error, cached, n)], columns=names)
 
-    kept = "state string, progress_pct double, started double, elapsed_s double, error string, from_cache boolean, n_events int"
-    return events.groupBy("job_id").applyInPandasWithState(step, JOB, kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = "state string, owner string, progress_pct double, heard double, started double, elapsed_s double, error string, from_cache boolean, n_events int"
+    out = events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(step, JOB, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    heartbeat = F.timestamp_micros(F.round(F.col("heard") * 1e6).cast("bigint"))
+    return out.select("job_id", "owner", "state", "progress_pct", heartbeat.alias("heartbeat_at"), "elapsed_s", "error", "from_cache", "n_events")
 
 
 def stale_stream(events: DataFrame, after_ms: int = 900_000) -> DataFrame:
-    """M4: jobs that run and give no sign for ``after_ms``, told once when the time is up (processing time)."""
+    """M4: jobs that run and give no sign for ``after_ms``, told once when the time is up. Processing time: run it with a processing-time trigger, as its batches never end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

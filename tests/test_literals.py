@@ -237,6 +237,128 @@ def test_streams_match_the_batch(spark, sf, tmp_path):
     assert spark.sql("select count(*) from deduped").first()[0] == ordered.select("owner", "drawing_path", "page").distinct().count()
 
 
+def test_summary_of_a_stream_is_that_of_the_batch(spark, sf, tmp_path):
+    from plumbline.sources.synth import table
+    from plumbline.streaming import jobs
+
+    events = table(spark, sf, "job_events").selectExpr("event_id", "cast(ts as timestamp) as ts", "job_id", "owner", "drawing_path", "page", "event", "progress_pct", "from_cache", "error")
+    rows = sorted(events.collect(), key=lambda e: (e.ts, e.event_id))[:300]
+    for k in range(3):  # three batches, in order of time
+        spark.createDataFrame(rows[100 * k : 100 * (k + 1)], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = str(tmp_path / "jobs")
+    sink = jobs.job_sink(kept)
+    q = jobs.fold_stream(stream).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert len(list((tmp_path / "jobs").glob("batch=*"))) >= 3 and not q.isActive
+    sink(spark.read.parquet(f"{kept}/batch=2"), 99)  # the same rows once more change nothing
+    some = spark.createDataFrame(rows, events.schema)
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    owners = some.groupBy("job_id").agg(F.min("owner").alias("owner"))
+    want = telemetry.job_summary(telemetry.fold_job_state(some).join(owners, "job_id"), now)
+    assert {r.job_id: r.heartbeat_at for r in jobs.kept_jobs(spark, kept).collect()} == {r.job_id: r.heartbeat_at for r in telemetry.fold_job_state(some).collect()}
+    assert sorted(map(tuple, jobs.summary_so_far(spark, kept, now).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_saved_reading_gives_lines_and_calls(spark, tmp_path):
+    import json
+
+    reading = {
+        "source_pdf": "x.pdf",
+        "findings": {"curb": [1]},
+        "discovery": {"items": []},
+        "pedestals": [{"tag": "P1", "seen_in_regions": ["r0c0"], "regex_validated": True}],
+        "transcript_blocks": [{"region": "r0c0", "rect_norm": [0, 0, 1, 1], "grid_ref": "A-1", "lines": ["P1(600x500) 2Nos", None, "SECTION A-A"]}, {"region": "r0c1", "lines": []}],
+        "responses": [{"region": "a", "stage": "s", "elapsed_s": 1.5, "error": ""}, {"region": "b", "skipped": True}, {"region": "c", "error": "boom", "elapsed_s": 2}],
+    }
+    (tmp_path / "a_extraction.json").write_text(json.dumps(reading))
+    (tmp_path / "b_extraction.json").write_text(json.dumps({"transcribed_lines": ["30 THK GROUT"]}))
+    (tmp_path / "c_extraction.json").write_text(json.dumps({}))
+    good, bad = stores.read_extractions(spark, str(tmp_path))
+    assert bad.count() == 0 and good.count() == 3
+    a = good.where("source_pdf = 'x.pdf'").first()
+    assert json.loads(a.findings) == {"curb": [1]} and json.loads(a.discovery) == {"items": []} and a.pedestals[0].seen_in_regions == ["r0c0"]
+    lines = stores.reading_lines(good)
+    assert sorted((r.block_id, r.line_no, r.text, r.grid_ref) for r in lines.collect()) == [(0, 0, "30 THK GROUT", ""), (0, 0, "P1(600x500) 2Nos", "A-1"), (0, 2, "SECTION A-A", "A-1")]
+    assert {r.description for r in discovery.discover(lines).collect()} >= {"Grout"}
+    s = reconcile.extraction_summary(stores.reading_calls(good)).collect()
+    assert [(r.calls, r.slowest_s, r.skipped, r.failed) for r in s] == [(1, 1.5, 1, 1)]
+
+
+def test_revision_and_date_of_a_sheet(spark):
+    rows = [("d", 0, 1, "B07 01/02/2024"), ("d", 0, 2, "x" * 2500), ("d", 0, 3, "C03 A01"), ("d", 0, 4, None), ("d", 1, 1, "B07 12-3-24 and 1.1.2025"), ("e", 0, 1, "y" * 1990 + " D09"), ("e", 0, 2, "z" * 7)]
+    sheets = [("d", 0, "n.pdf"), ("d", 1, "n_C01.PDF"), ("e", 0, "n_C011.pdf"), ("f", 0, "")]
+    got = geometry.sheet_revision(spark.createDataFrame(rows, "drawing_id string, page int, line_id int, text string"), spark.createDataFrame(sheets, "drawing_id string, page int, file_name string"))
+    assert {(r.drawing_id, r.page): (r.revision, r.date_raw) for r in got.collect()} == {("d", 0): ("C03", "01/02/2024"), ("d", 1): ("C01", "1.1.2025"), ("e", 0): ("D09", ""), ("f", 0): ("", "")}
+
+
+def test_compound_specification_words_name_nothing(spark):
+    words = ["NOS./SET", "nos/set", "MM", "A/C", "BOLTS", "/", "THK/DIA", "THK/PLATE"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", discovery.specifies(F.col("w")).alias("is")).collect()
+    assert {r.w for r in got if r["is"]} == {"NOS./SET", "nos/set", "MM", "THK/DIA"}
+
+
+def meets(a, b):
+    return a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+
+
+def test_label_blocks_of_all_sheets(spark, sf):
+    from collections import defaultdict
+
+    from plumbline.plans import catalog
+    from plumbline.sources.synth import table
+
+    sheets = defaultdict(list)
+    for r in table(spark, sf, "spans").collect():
+        if r.text.strip():
+            sheets[r.drawing_id, r.page].append((r.span_id, r.x0, r.y0, r.x1, r.y1))
+    want = {}
+    for spans in sheets.values():
+        hangs = {}
+        for i, x0, y0, x1, y1 in spans:
+            above = [(abs(y0 - w1), u) for u, v0, w0, v1, w1 in spans if u != i and x0 < v1 and x1 > v0 and -1.0 <= y0 - w1 <= 1.9 * max(y1 - y0, 8.0)]
+            if above:
+                hangs[i] = min(above)[1]
+        near = defaultdict(set)
+        for a, b in hangs.items():
+            near[a].add(b)
+            near[b].add(a)
+        for i, *_ in spans:
+            todo, seen = [i], {i}
+            while todo:
+                fresh = near[todo.pop()] - seen
+                seen |= fresh
+                todo += fresh
+            want[i] = min(seen)
+    got = {r.line_id: r.block for r in catalog.QUERIES["label_blocks"](spark, sf).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_merged_boxes_of_all_sheets(spark, sf):
+    from collections import defaultdict
+
+    from plumbline.plans import catalog
+    from plumbline.sources.synth import table
+
+    sheets = defaultdict(list)
+    for r in table(spark, sf, "glyphs").collect():
+        w, h = r.x1 - r.x0, r.y1 - r.y0
+        if 9 <= h <= 40 and 0.4 <= w <= 40 and w * h > 0.2:
+            sheets[r.drawing_id, r.page].append([r.x0 - 26, r.y0 - 9, r.x1 + 26, r.y1 + 9])
+    want = []
+    for key, todo in sheets.items():
+        done = []
+        while todo:
+            box = todo.pop()
+            while hit := next((b for b in done if meets(b, box)), None):
+                done.remove(hit)
+                box = [min(box[0], hit[0]), min(box[1], hit[1]), max(box[2], hit[2]), max(box[3], hit[3])]
+            done.append(box)
+        want += [(*key, *(round(v, 6) for v in b)) for b in done]
+    got = catalog.QUERIES["merge_overlaps"](spark, sf).collect()
+    assert sorted((r.drawing_id, r.page, *(round(r[x], 6) for x in ("x0", "y0", "x1", "y1"))) for r in got) == sorted(want)
+
+
 def test_files(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     for d in (a, b):
