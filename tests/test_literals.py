@@ -260,6 +260,30 @@ def test_summary_of_a_stream_is_that_of_the_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, jobs.summary_so_far(spark, kept, now).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stale_and_latest_streams(spark, tmp_path):
+    import datetime
+    import time
+
+    from plumbline.streaming import jobs
+
+    at = lambda s: datetime.datetime(2026, 1, 1, 0, 0, s)
+    event = lambda i, s, job, kind: (i, at(s), job, "o", f"/{job[0]}", 0, kind, 0.0, None, None)
+    rows = [event(1, 1, "a1", "start"), event(2, 2, "b1", "start"), event(3, 3, "b1", "finish"), event(4, 3, "a2", "enqueue")]
+    spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(jobs.EVENTS).parquet(str(tmp_path / "in"))
+    q = jobs.latest_stream(stream).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.drawing_path, r.job_id, r.event) for r in spark.table("latest").collect()) == [("/a", "a2", "enqueue"), ("/b", "b1", "finish")]
+    q = jobs.stale_stream(stream, 500).writeStream.format("memory").queryName("stale").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and not spark.table("stale").count():
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert {(r.job_id, r.becomes) for r in spark.table("stale").collect()} == {("a1", "requeued")}
+
+
 def test_a_saved_reading_gives_lines_and_calls(spark, tmp_path):
     import json
 
