@@ -39,11 +39,11 @@ def features(word: str) -> list[str]:
 
 def marginals(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
     """P(toxic) of every token. u: log-odds by token, documents one after the other; moves[i, j]: log-potential of i to j."""
-    return expectations(u, sizes, moves, start)[0]
+    return expectations(u, sizes, moves, start, with_pairs=False)[0]
 
 
-def expectations(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of every token, and the expected number of each step: pairs[i, j] sums the marginals of neighbours in i and j.
+def expectations(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: float, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of every token, and the expected number of each step: pairs[i, j] sums the marginals of neighbours in i and j (left at zero without with_pairs: only a fit asks for it).
 
     All documents take each step together, the longest first, so that memory is the number of tokens.
     """
@@ -80,8 +80,9 @@ def expectations(u: np.ndarray, sizes: np.ndarray, moves: np.ndarray, start: flo
         if len(g):
             nxt = x[offset[t + 1] : offset[t + 1] + active[t + 1]]
             here = f[a : a + len(g)]
-            steps = np.array([[(1 - here) * oo * (1 - g), (1 - here) * ot * nxt * g], [here * to * (1 - g), here * tt * nxt * g]])
-            pairs += (steps / steps.sum(axis=(0, 1))).sum(axis=2)
+            if with_pairs:
+                steps = np.array([[(1 - here) * oo * (1 - g), (1 - here) * ot * nxt * g], [here * to * (1 - g), here * tt * nxt * g]])
+                pairs += (steps / steps.sum(axis=(0, 1))).sum(axis=2)
             one, none = to * (1 - g) + tt * nxt * g, oo * (1 - g) + ot * nxt * g
             g = one / (one + none)
         g = np.r_[g, np.full(n - len(g), 0.5)]
