@@ -94,4 +94,25 @@ SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2,
 FROM d LEFT JOIN bs ON bs.rid = d.rid LEFT JOIN ts ON ts.rid = d.rid
 """
 
-ORACLES = {"op5_personal_data": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10}
+OP11 = r"""
+WITH r AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, turn, sha256(length(role) || ':' || role || text) AS dig, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+t AS (SELECT c, dig, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, dig) AS rn FROM g),
+v AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, CASE WHEN u & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+seq AS (SELECT v.c, 0 AS part, rn, dig FROM v JOIN t ON t.c = v.c - v.c % 20 AND t.rn <= v.h UNION ALL SELECT v.c, 1, rn, dig FROM v JOIN t ON t.c = v.c AND t.rn > v.h),
+k AS (SELECT v.c, coalesce(string_agg(dig, '' ORDER BY part, rn), '') AS key, count(dig) AS n FROM v LEFT JOIN seq ON seq.c = v.c GROUP BY v.c),
+n AS (SELECT substr(key, 1, 64 * d) AS key, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends
+  FROM (SELECT c, key, n, unnest(range(0, n + 1)) AS d FROM k) GROUP BY ALL),
+kids AS (SELECT substr(key, 1, 64 * (d - 1)) AS key, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT dig, any_value(words) AS words FROM t GROUP BY dig),
+own AS (SELECT n.*, coalesce(kids.n, 0) AS kids, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, (n.n - 1) * coalesce(w.words, 0) AS saved
+  FROM n LEFT JOIN kids ON kids.key = n.key AND kids.d = n.d LEFT JOIN w ON w.dig = right(n.key, 64)),
+sub AS (SELECT substr(key, 1, 64 * a) AS key, a AS d, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT key, leaf, saved, unnest(range(0, d + 1)) AS a FROM own) GROUP BY ALL)
+SELECT own.c AS conv_id, own.d AS depth, up.c AS parent_conv_id, own.n AS n_convs, own.kids AS n_children, CAST(sub.leaves AS BIGINT) AS n_leaves,
+  CAST(sub.saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN sub ON sub.key = own.key AND sub.d = own.d LEFT JOIN n up ON up.d = own.d - 1 AND up.key = substr(own.key, 1, 64 * (own.d - 1))
+"""
+
+ORACLES = {"op5_personal_data": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10, "op11_prefix_trie": OP11}

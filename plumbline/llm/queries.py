@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import ship_package
 
 from .oracles import ORACLES as ORACLES
-from . import decontaminate, language_id, line_dedup, mixing, privacy, quality, simhash, token_count, toxicity, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, prefix_trie, privacy, quality, simhash, token_count, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -78,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -89,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
 }
