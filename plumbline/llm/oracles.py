@@ -115,4 +115,18 @@ SELECT own.c AS conv_id, own.d AS depth, up.c AS parent_conv_id, own.n AS n_conv
 FROM own JOIN sub ON sub.key = own.key AND sub.d = own.d LEFT JOIN n up ON up.d = own.d - 1 AND up.key = substr(own.key, 1, 64 * (own.d - 1))
 """
 
-ORACLES = {"op5_personal_data": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10, "op11_prefix_trie": OP11}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, '%(up)s', '%(low)s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(text, '%(up)s', '%(low)s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+it AS (SELECT iid, item_id, term, count(*) AS q FROM (SELECT iid, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+x AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM x GROUP BY term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, s),
+y AS (SELECT rid, doc_id, x.term, wt.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) AS v FROM x JOIN wt ON wt.term = x.term, s),
+z AS (SELECT iid, item_id, rid, doc_id, CAST(sum(q * v) AS BIGINT) AS score FROM it JOIN y ON y.term = it.term GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM z WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+""" % {"up": UP, "low": LOW}
+
+ORACLES = {"op5_personal_data": OP5, "op8_url_filter": OP8, "op9_quality_rules": OP9, "op10_decontamination": OP10, "op11_prefix_trie": OP11, "op12_lexical_search": OP12}

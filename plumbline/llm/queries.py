@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import ship_package
 
 from .oracles import ORACLES as ORACLES
-from . import decontaminate, language_id, line_dedup, mixing, prefix_trie, privacy, quality, simhash, token_count, toxicity, url_filter
+from . import decontaminate, language_id, lexical_search, line_dedup, mixing, prefix_trie, privacy, quality, simhash, token_count, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -82,6 +82,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -94,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
 }
