@@ -25,10 +25,10 @@ SPEC_WORDS = ("THK", "THICK", "THIK", "MM", "M", "DIA", "DIAMETER", "NOS", "NO",
 MARK = r"^[A-Z]{1,3}-?\d{1,2}[a-z]?$"
 WORD = r"(?i)^[A-Z][A-Z&/'.\-]*$"
 THICK = r"(?i)\b(\d{1,4}(?:\.\d{1,2})?)\s*(?:MM)?\s*TH(?:K|ICK|IK)\.?\b"
-DIA = r"(?i)\b(\d{1,4}(?:\.\d{1,2})?)\s*(?:MM)?\s*(?:DIA\.?|DIAMETER|[Øø])\b"
+DIA = r"(?iU)\b(\d{1,4}(?:\.\d{1,2})?)\s*(?:MM)?\s*(?:DIA\.?|DIAMETER|[Øø])\b"
 BOX = r"(?i)\(?\b(\d{2,5})\s*[x×*]\s*(\d{2,5})(?:\s*[x×*]\s*(\d{2,5}))?\b\)?"
-COUNTED = r"(?i)\(?(\d{1,3})\)?\s*[-–—]\s*[DTØø]\s?(\d{1,2})\b"
-SPACED = r"(?i)\b[DTØø]\s?(\d{1,2})\s*(?:@|[-–—]|\s)\s*(\d{2,3})\b"
+COUNTED = r"(?iU)\(?(\d{1,3})\)?\s*[-–—]\s*[DTØø]\s?(\d{1,2})\b"
+SPACED = r"(?iU)\b[DTØø]\s?(\d{1,2})\s*(?:@|[-–—]|\s)\s*(\d{2,3})\b"
 PER_SET = r"(?i)\((\d{1,3})\s*N[o0]s?\.?\s*/\s*SET\)"
 PERCENT = r"(?i)\b(\d{1,3})\s*%"
 ASSEMBLY = r"(?i)\b([A-Z]{2})-\((\d{1,2})\)-([A-Z])-M(\d{1,3})-(\d{2,5})-N(\d{1,2})\b"
@@ -37,9 +37,15 @@ GRADE = r"(?i)\bC\s?(\d{2})\b(?!\s*[x×*])"
 STRENGTH = r"(?i)(\d{2,3}(?:\.\d)?)\s*(N/mm2|MPa)"
 TOPS, BOTTOMS = ("BOBP", "TOC", "TOS", "FFL", "U/S"), ("BOC", "BOP", "NGL", "FGL")
 THICK_MM, DIA_MM, BOX_MM, LEVEL_M, HEIGHT_M = (1, 3000), (5, 2000), (50, 100_000), (0, 500), (0.1, 15.0)
-PHRASE = 5
+#: Words of a phrase, of one that goes on below, and characters of a label that can lend its words.
+PHRASE, LONG, LABEL = 5, 7, 60
 UOM = {"thickness": "m2", "diameter": "Nos", "box2": "m2", "box3": "m3", "rebar": "Nos", "rebar_spacing": "m", "assembly": "Nos", "compaction": "m3", "set": "Nos"}
 
+#: Grammars in the order in which a line's items are listed: name, pattern, groups. (?U) makes Ø a letter for \\b.
+GRAMMARS = (("box", BOX, 3), ("thickness", THICK, 1), ("diameter", DIA, 1), ("rebar", COUNTED, 2), ("rebar_spacing", SPACED, 2), ("assembly", ASSEMBLY, 6), ("compaction", PERCENT, 1), ("set", PER_SET, 1))
+NAMES = tuple(g[0] for g in GRAMMARS)
+HIT = "struct<grammar:int,at:int,first:int,last:int,m:string>"
+
 
 def is_furniture(text: Column) -> Column:
     """Whether a line describes the drawing and not the works: furniture, references, scraps, running prose."""
@@ -63,7 +69,13 @@ def ends_phrase(token: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.trim(text), r"\s+"), "")
+    """The words of a text whose whitespace is folded; splitting at one character spares compiling a pattern each time."""
+    return F.array_remove(F.split(text, " "), "")
+
+
+def token_count(text: Column) -> Column:
+    """The number of tokens that a beginning of a folded text holds, one that is cut included."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + F.when((text == "") | F.endswith(text, F.lit(" ")), 0).otherwise(1)
 
 
 def upto_boundary(tokens: Column) -> Column:
@@ -89,145 +101,211 @@ def phrase_before(tokens: Column, end: Column) -> Column:
 def specifies(word: Column) -> Column:
     """Whether a word only specifies, alone or as a compound such as NOS./SET, all of whose parts do."""
     up = F.upper(word)
-    rest = F.array_except(F.split(up, "[/.]"), F.array(*[F.lit(w) for w in ("", *SPEC_WORDS)]))
+    rest = F.array_except(F.split(F.replace(up, F.lit("."), F.lit("/")), "/"), F.array(*[F.lit(w) for w in ("", *SPEC_WORDS)]))
     return up.isin(*SPEC_WORDS) | ((F.size(rest) == 0) & F.rlike(up, F.lit("[^/.]")))
 
 
-def named(phrase: Column) -> Column:
-    """A phrase without words that only specify; empty if no two letters in a row are left."""
-    kept = F.array_join(F.filter(F.split(phrase, " "), lambda w: ~specifies(w) & (w != "")), " ")
-    return F.when(F.rlike(kept, F.lit("[A-Za-z]{2}")), kept).otherwise("")
+def described(text: Column) -> Column:
+    """The words of a label that name something, at most PHRASE of them; empty for furniture and long labels."""
+    kept = F.filter(F.transform(tokens_of(text), bare), lambda w: (w != "") & ~F.upper(w).isin(*BOUNDARY) & ~specifies(w) & (F.rlike(w, F.lit(WORD)) | F.rlike(F.upper(w), F.lit(MARK))))
+    return F.when(is_furniture(text) | (F.length(text) > LABEL), "").otherwise(F.array_join(F.slice(kept, 1, PHRASE), " "))
 
 
 def titled(phrase: Column) -> Column:
     """Capitalised words; marks and short words in capitals stay."""
-    one = lambda w: F.when(F.rlike(F.upper(w), F.lit(MARK)) | ((F.length(w) <= 3) & (w == F.upper(w))), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 100))))
+    up = F.upper
+    one = lambda w: F.when(F.rlike(up(w), F.lit(MARK)) | ((F.length(w) <= 3) & (w == up(w)) & (w != F.lower(w))), up(w)).otherwise(F.concat(up(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     return F.array_join(F.transform(F.filter(F.split(phrase, " "), lambda w: w != ""), one), " ")
 
 
-def spots(pattern: str, groups: int) -> Column:
-    """For every match of a pattern in column text: its groups, and the words after and before it."""
-    text = c("text")
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    got = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-    gaps = F.split(text, pattern, -1)
+def hits(at: int) -> Column:
+    """Every match of a grammar: grammar, place among its matches, the tokens before it and up to its end, itself.
 
+    The counts of tokens come from the text before the match, so a match inside a token counts that token with it.
+    """
     def one(m: Column, i: Column) -> Column:
-        head = F.concat(F.array_join(F.transform(F.slice(whole, F.lit(1), i), lambda x, k: F.concat(F.get(gaps, k), x)), ""), F.get(gaps, i))
-        all_tokens = tokens_of(text)
-        first, last = F.size(tokens_of(head)), F.size(tokens_of(F.concat(head, m)))
-        return F.struct(i.alias("i"), phrase_after(all_tokens, last).alias("after"), phrase_before(all_tokens, first).alias("before"), *[F.get(g, i).alias(f"g{k}") for k, g in enumerate(got, 1)])
+        head = F.concat(F.array_join(F.transform(F.slice(c(f"w{at}"), F.lit(1), i), lambda x, k: F.concat(F.get(c(f"g{at}"), k), x)), ""), F.get(c(f"g{at}"), i))
+        return F.struct(F.lit(at).alias("grammar"), i.alias("at"), token_count(head).alias("first"), token_count(F.concat(head, m)).alias("last"), m.alias("m"))
+
+    return F.when(c(f"w{at}").isNotNull(), F.transform(f"w{at}", one)).otherwise(F.expr(f"cast(array() as array<{HIT}>)"))
 
-    return F.transform(whole, one)
 
+def whole_and_gaps(pattern: str, at: int) -> dict[str, Column]:
+    """The matches of a pattern and what stands between them; null without a match."""
+    text, cut = c("text"), "\x01"
+    found = F.rlike(text, F.lit(pattern))
+    return {f"w{at}": F.when(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), f"g{at}": F.when(found, F.split(F.regexp_replace(F.replace(text, F.lit(cut), F.lit(" ")), pattern, cut), cut))}
 
-def items_of(lines: DataFrame, kind: str, pattern: str, groups: int) -> DataFrame:
-    """Matches as rows with ``name_after``, ``name_before`` and ``context`` (the block's own name)."""
-    rows = lines.where(F.rlike(c("text"), F.lit(pattern))).withColumn("m", F.explode(spots(pattern, groups)))
-    gs = [c(f"m.g{k}").alias(f"g{k}") for k in range(1, groups + 1)]
-    return rows.select("drawing_id", "block_id", "line_no", "text", "grid_ref", "context", F.lit(kind).alias("kind"), c("m.i").alias("at"), named(c("m.after")).alias("name_after"), named(c("m.before")).alias("name_before"), *gs)
 
+def with_labels(lines: DataFrame) -> DataFrame:
+    """Lines with their whitespace folded, ``context`` and ``below``, both taken before furniture is dropped.
 
-def with_context(lines: DataFrame) -> DataFrame:
-    """Lines with ``context``: the first line of their block that describes something and has no digit, other than the line itself."""
+    ``context`` is the first name without a digit that another label of the line's block gives, from the block's top;
+    ``below`` the words of the next label of the block, unless they hold a digit. Lines without a block have neither.
+    """
     by = Window.partitionBy("drawing_id", "block_id").orderBy("line_no")
-    words = F.when(~F.rlike(c("text"), F.lit("[0-9]")) & F.rlike(c("text"), F.lit("[A-Za-z]{3}")), F.array_join(upto_boundary(F.filter(tokens_of(c("text")), lambda w: ~F.upper(bare(w)).isin(*BOUNDARY))), " "))
-    named_line = F.nullif(named(F.coalesce(words, F.lit(""))), F.lit(""))
-    rows = lines.withColumn("own", named_line)
+    rows = lines.withColumn("text", normalised(F.coalesce("text", F.lit(""))))
+    words = described(c("text"))
+    rows = rows.withColumn("own", F.when(c("block_id").isNotNull() & ~F.rlike(words, F.lit("[0-9]")), F.nullif(words, F.lit(""))))
     before = F.first("own", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("own", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("context", F.coalesce(before, after, F.lit(""))).drop("own")
+    out = rows.withColumn("context", F.when(c("block_id").isNotNull(), F.coalesce(before, after))).withColumn("below", F.when(c("block_id").isNotNull(), F.lead("own").over(by)))
+    return out.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("below", F.coalesce("below", F.lit(""))).drop("own")
 
 
 def label_context(lines: DataFrame) -> DataFrame:
-    """See with_context."""
-    return with_context(drop_furniture(lines))
+    """Lines that aren't furniture with the name that their block lends them and the words of the label below."""
+    return with_labels(lines).where(~is_furniture(c("text")))
 
 
-def item(rows: DataFrame, name: Column, spec: Column, qty: Column, basis: Column | str, kind: Column | None = None) -> DataFrame:
-    """The common shape of a discovered item; items without a name are left out."""
-    return rows.withColumn("name", name).where("name <> ''").select("drawing_id", "block_id", "line_no", "at", (c("kind") if kind is None else kind).alias("kind"), titled(c("name")).alias("description"), spec.cast("map<string,double>").alias("spec"), qty.cast("double").alias("qty"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"), "text", "grid_ref")
+def continued(phrase: Column) -> Column:
+    """A phrase that ran to the end of its label, with the new words of the label below; at most LONG words in all."""
+    words = F.split(phrase, " ")
+    ran_out = F.endswith(F.upper("text"), F.upper(F.element_at(words, -1)))
+    have = F.transform(words, F.upper)
+    extra = F.filter(F.split("below", " "), lambda w: (w != "") & ~F.array_contains(have, F.upper(w)))
+    return F.when((phrase != "") & ran_out & (F.size(extra) > 0), F.array_join(F.slice(F.concat(words, extra), 1, LONG), " ")).otherwise(phrase)
+
+
+def shown(x: Column) -> Column:
+    """A size as it is written: no trailing .0."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
 def either(*names: Column) -> Column:
     return F.coalesce(*[F.nullif(n, F.lit("")) for n in names], F.lit(""))
 
 
+def by_grammar(**values: Column) -> Column:
+    """The value of the hit's grammar; null for a grammar that isn't named."""
+    out = F.when(F.lit(False), F.lit(None))
+    for name, value in values.items():
+        out = out.when(c("grammar") == NAMES.index(name), value)
+    return out
+
+
+def first_box() -> Column:
+    """The first box of the line that has sizes in range and a name, as (l, w, h); h is null for two sizes."""
+    size = lambda m, g: number(F.nullif(F.regexp_extract(m, BOX, g), F.lit("")))
+    fits = lambda x: x.between(*BOX_MM)
+    boxes = F.transform(c("h0"), lambda h: F.struct(size(h["m"], 1).alias("l"), size(h["m"], 2).alias("w"), size(h["m"], 3).alias("h"), either(phrase_before(c("tokens"), h["first"]), phrase_after(c("tokens"), h["last"]), c("context")).alias("name")))
+    return F.get(F.filter(boxes, lambda x: (x["name"] != "") & fits(x["l"]) & fits(x["w"]) & (x["h"].isNull() | fits(x["h"]))), F.lit(0))
+
+
+def discover(lines: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
+    """The items that lines name and measure, of all grammars or of those given.
+
+    Each line is read once: the matches of all grammars go into one array of (grammar, tokens before, tokens up to
+    the end, match), which one explode turns into rows; names, sizes and texts are expressions over those rows. A box
+    (B19) is named by the words before it, else after it, else by its block; a thickness (B20) by those after it,
+    continued on the label below, else before, else by its block, and it makes a volume of the line's first box if
+    that has two sizes; a diameter (B21) and a compaction (B24) by those after, continued, else by their block; a
+    number a set (B25) by those before or its block; bars (B22) and assemblies (B23) name themselves. Nothing else
+    gets a quantity. Lines of null text, without digits or of furniture give none.
+    """
+    rows = with_labels(lines).where(F.rlike("text", F.lit("[0-9]")) & ~is_furniture(c("text")))
+    wanted = [k for k, name in enumerate(NAMES) if not grammars or name in grammars]
+    read = sorted({0, *wanted})
+    rows = rows.select("drawing_id", "block_id", "line_no", "text", "grid_ref", "context", "below", tokens_of(c("text")).alias("tokens"))
+    rows = rows.withColumns({n: x for k in read for n, x in whole_and_gaps(GRAMMARS[k][1], k).items()}).withColumns({f"h{k}": hits(k) for k in read}).withColumn("box", first_box())
+    keep = ["drawing_id", "block_id", "line_no", "text", "grid_ref", "context", "below", "tokens", "box"]
+    rows = rows.select(*keep, F.explode(F.concat(*[c(f"h{k}") for k in wanted])).alias("hit")).select(*keep, "hit.*")
+    rows = rows.withColumns({"after": phrase_after(c("tokens"), c("last")), "before": phrase_before(c("tokens"), c("first"))})
+    rows = rows.withColumns({f"t{g}": F.nullif(by_grammar(**{n: F.regexp_extract("m", p, g) for n, p, groups in GRAMMARS if g <= groups}), F.lit("")) for g in range(1, 7)})
+    rows = rows.withColumns({f"n{g}": number(c(f"t{g}")) for g in range(1, 7)})
+    n1, n2, n3 = c("n1"), c("n2"), c("n3")
+    valid = by_grammar(
+        box=n1.between(*BOX_MM) & n2.between(*BOX_MM) & (n3.isNull() | n3.between(*BOX_MM)), thickness=n1.between(*THICK_MM), diameter=n1.between(*DIA_MM), rebar=n1.between(1, 200) & n2.cast("int").isin(*DIAMETERS),
+        rebar_spacing=n1.cast("int").isin(*DIAMETERS) & n2.between(50, 500), assembly=F.lit(True), compaction=n1.between(50, 100), set=F.lit(True),
+    )
+    after, before, context = c("after"), c("before"), c("context")
+    forward = continued(after)
+    name = by_grammar(box=either(before, after, context), thickness=either(forward, before, context), diameter=either(forward, context), rebar=after, rebar_spacing=after, assembly=F.lit(""), compaction=either(forward, context), set=either(before, context))
+    # Whether there is a name is asked of its sources: the optimizer moves filters down, and would build the name twice.
+    front, back, block = after != "", before != "", context != ""
+    has_name = by_grammar(box=front | back | block, thickness=front | back | block, diameter=front | block, rebar=F.lit(True), rebar_spacing=F.lit(True), assembly=F.lit(True), compaction=front | block, set=back | block)
+    rows = rows.where(valid & has_name).withColumn("name", titled(name))
+    body = (c("grammar") == NAMES.index("thickness")) & c("box").isNotNull() & c("box.h").isNull()
+    kind = F.when(c("grammar") == 0, F.when(n3.isNull(), "box2").otherwise("box3")).when(body, "box3").otherwise(F.get(F.array(*[F.lit(n) for n in NAMES]), c("grammar")))
+    bl, bw = c("box.l"), c("box.w")
+    size = F.concat_ws("x", shown(n1), shown(n2), shown(n3))
+    whose = F.when(c("name") != "", F.concat(F.lit(" ("), "name", F.lit(")"))).otherwise("")
+    described_as = by_grammar(
+        box=F.concat("name", F.lit(" "), size), thickness=F.concat("name", F.lit(", "), shown(n1), F.lit(" mm thick")), diameter=F.concat("name", F.lit(", "), shown(n1), F.lit(" mm dia")),
+        rebar=F.concat(F.lit("D"), shown(n2), F.lit(" bars — "), shown(n1), F.lit(" Nos per element"), whose), rebar_spacing=F.concat(F.lit("D"), shown(n1), F.lit(" bars @ "), shown(n2), F.lit(" c/c"), whose),
+        assembly=F.concat(F.lit("Anchor assembly "), F.upper("t1"), F.lit(" M"), shown(c("n4")), F.lit(" x "), shown(c("n5")), F.lit(" (grade "), F.upper("t3"), F.lit(")")),
+        compaction=F.concat("name", F.lit(", "), shown(n1), F.lit("% compaction")), set=F.concat("name", F.lit(" — "), shown(n1), F.lit(" Nos per set")),
+    )
+    spec = by_grammar(
+        box=spec_of(length_mm=n1, width_mm=n2, height_mm=n3), thickness=spec_of(length_mm=F.when(body, bl), width_mm=F.when(body, bw), thickness_mm=n1), diameter=spec_of(diameter_mm=n1), rebar=spec_of(count=n1, diameter_mm=n2),
+        rebar_spacing=spec_of(diameter_mm=n1, spacing_mm=n2), assembly=spec_of(count=n2, size_mm=c("n4"), length_mm=c("n5"), nuts=c("n6")), compaction=spec_of(percent=n1), set=spec_of(per_set=n1),
+    )
+    qty = by_grammar(box=F.when(n3.isNull(), rounded(n1 * n2 / 1e6, 4)).otherwise(rounded(n1 * n2 * n3 / 1e9, 4)), thickness=F.when(body, rounded(bl * bw * n1 / 1e9, 4)), rebar=n1, assembly=n2, set=n1)
+    basis = by_grammar(
+        box=F.concat(size, F.when(n3.isNull(), " mm, plan area per unit").otherwise(" mm, per unit")), thickness=F.when(body, F.concat(shown(bl), F.lit("x"), shown(bw), F.lit("x"), shown(n1), F.lit(" mm, per unit"))).otherwise(F.concat(shown(n1), F.lit(" mm thick — area not stated on this sheet"))),
+        diameter=F.concat(shown(n1), F.lit(" mm dia — count not stated on this sheet")), rebar=F.concat(F.trim("m"), F.lit(" — bars per element")), rebar_spacing=F.concat(F.lit("D"), shown(n1), F.lit(" @ "), shown(n2), F.lit(" c/c — run length not stated")),
+        assembly=F.concat("m", F.lit(" — "), shown(n2), F.lit(" bolts per set")), compaction=F.concat(shown(n1), F.lit("% compaction — volume not stated on this sheet")), set=F.concat(shown(n1), F.lit(" Nos per set")),
+    )
+    return rows.select("drawing_id", "block_id", "line_no", "grammar", "at", kind.alias("kind"), described_as.alias("description"), spec.alias("spec"), qty.cast("double").alias("qty"), basis.alias("basis"), "text", "grid_ref")
+
+
+def spec_of(**sizes: Column) -> Column:
+    """The sizes that are there, as a map in the order of their names."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), x.alias("value")) for n, x in sorted(sizes.items())])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
 
 def discover_boxes(lines: DataFrame) -> DataFrame:
-    """Boxes of two or three sizes with a name after, before or around them: m3 from three, m2 from two."""
-    r = items_of(lines, "box", BOX, 3)
-    a, b, d = number(c("g1")), number(c("g2")), number(c("g3"))
-    r = r.where(a.between(*BOX_MM) & b.between(*BOX_MM) & (d.isNull() | d.between(*BOX_MM)))
-    spec = F.map_filter(F.create_map(F.lit("length_mm"), a, F.lit("width_mm"), b, F.lit("height_mm"), d), lambda _, v: v.isNotNull())
-    qty = F.when(d.isNull(), rounded(a * b / 1e6, 4)).otherwise(rounded(a * b * d / 1e9, 4))
-    return item(r, either(c("name_after"), c("name_before"), c("context")), spec, qty, "size printed", F.when(d.isNull(), "box2").otherwise("box3"))
+    """Boxes of two sizes (m2) or three (m3)."""
+    return discover(lines, ("box",))
 
 
 def discover_thickness(lines: DataFrame) -> DataFrame:
-    """Named thicknesses; with a box before it on the line a volume, else without a quantity."""
-    r = items_of(lines, "thickness", THICK, 1)
-    t = number(c("g1"))
-    box = F.regexp_extract(F.regexp_extract(c("text"), r"^(.*?)" + THICK[4:], 1), BOX, 0)
-    a, b = number(F.regexp_extract(box, BOX, 1)), number(F.regexp_extract(box, BOX, 2))
-    boxed = F.coalesce(a.between(*BOX_MM) & b.between(*BOX_MM), F.lit(False))
-    spec = F.map_filter(F.create_map(F.lit("thickness_mm"), t, F.lit("length_mm"), F.when(boxed, a), F.lit("width_mm"), F.when(boxed, b)), lambda _, v: v.isNotNull())
-    return item(r.where(t.between(*THICK_MM)), either(c("name_after"), c("name_before"), c("context")), spec, F.when(boxed, rounded(a * b * t / 1e9, 4)), F.when(boxed, "size printed").otherwise("extent not stated"), F.when(boxed, "box3").otherwise("thickness"))
+    """Thicknesses, with a box of two sizes on their line as volumes."""
+    return discover(lines, ("thickness",))
 
 
 def discover_diameter(lines: DataFrame) -> DataFrame:
-    """Named diameters, the name after them or around them; no quantity."""
-    r = items_of(lines, "diameter", DIA, 1).where(number(c("g1")).between(*DIA_MM))
-    return item(r, either(c("name_after"), c("context")), F.create_map(F.lit("diameter_mm"), number(c("g1"))), F.lit(None), "count not stated")
+    """Diameters, never with a quantity."""
+    return discover(lines, ("diameter",))
 
 
 def discover_rebar(lines: DataFrame) -> DataFrame:
-    """Counted bars (quantity their count) and spaced bars (none); their names never come from around them."""
-    n = items_of(lines, "rebar", COUNTED, 2)
-    n = n.where(number(c("g1")).between(1, 200) & number(c("g2"), "int").isin(*DIAMETERS))
-    s = items_of(lines, "rebar_spacing", SPACED, 2)
-    s = s.where(number(c("g1"), "int").isin(*DIAMETERS) & number(c("g2")).between(50, 500))
-    a = item(n, F.coalesce(F.nullif("name_after", F.lit("")), F.lit("Rebar")), F.create_map(F.lit("diameter_mm"), number(c("g2"))), number(c("g1")), "count printed")
-    b = item(s, F.coalesce(F.nullif("name_after", F.lit("")), F.lit("Rebar")), F.create_map(F.lit("diameter_mm"), number(c("g1")), F.lit("spacing_mm"), number(c("g2"))), F.lit(None), "length not stated")
-    return a.unionByName(b)
+    """Counted bars, with their count, and spaced bars, without a quantity."""
+    return discover(lines, ("rebar", "rebar_spacing"))
 
 
 def discover_assembly(lines: DataFrame) -> DataFrame:
     """Anchor assemblies: count, size, length and nuts."""
-    r = items_of(lines, "assembly", ASSEMBLY, 6)
-    spec = F.create_map(F.lit("count"), number(c("g2")), F.lit("size"), number(c("g4")), F.lit("length_mm"), number(c("g5")), F.lit("nuts"), number(c("g6")))
-    return item(r, F.concat(F.lit("Anchor "), F.upper("g1"), F.lit(" M"), c("g4")), spec, number(c("g2")), "count printed")
+    return discover(lines, ("assembly",))
 
 
 def discover_compaction(lines: DataFrame) -> DataFrame:
-    """Degrees of compaction with a name; no quantity."""
-    r = items_of(lines, "compaction", PERCENT, 1).where(number(c("g1")).between(50, 100))
-    return item(r, either(c("name_after"), c("name_before"), c("context")), F.create_map(F.lit("percent"), number(c("g1"))), F.lit(None), "volume not stated")
+    """Degrees of compaction, never with a quantity."""
+    return discover(lines, ("compaction",))
 
 
 def discover_per_set(lines: DataFrame) -> DataFrame:
-    """Numbers a set, named by the words before."""
-    r = items_of(lines, "set", PER_SET, 1)
-    return item(r, either(c("name_before"), F.lit("Set")), F.create_map(F.lit("per_set"), number(c("g1"))), number(c("g1")), "count printed")
-
-
-def discover(lines: DataFrame) -> DataFrame:
-    """All items of all lines; furniture is dropped once, before any grammar."""
-    clean = with_context(drop_furniture(lines))
-    out = discover_boxes(clean)
-    for f in (discover_thickness, discover_diameter, discover_rebar, discover_assembly, discover_compaction, discover_per_set):
-        out = out.unionByName(f(clean))
-    return out
+    """Numbers a set."""
+    return discover(lines, ("set",))
 
 
 def merge_items(items: DataFrame) -> DataFrame:
-    """Items that agree in kind, name and sizes, with how often they occur, their texts and places in order; occurrences never become a quantity."""
-    key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("spec", lambda _, v: F.round(v, 4))))))
-    seq = F.struct("block_id", "line_no", "at")
-    listed = lambda x: F.transform(F.array_sort(F.collect_set(F.struct(seq.alias("s"), x.alias("x")))), lambda e: e["x"])
+    """Items of a drawing that agree in kind, description and sizes, in one row.
+
+    Kept are the first one's description, quantity and basis, how often the item occurs (never a quantity), and its
+    texts and places in the order of their first sight. Occurrences are summed by text and place before the rows of an
+    item meet, so a label repeated a million times is one row by then.
+    """
+    seq = F.struct("block_id", "line_no", "grammar", "at")
+    spec_json = F.to_json(F.transform_values("spec", lambda _, v: F.round(v, 4)))  # sizes are in the order of their names
+    key = ["drawing_id", "kind", "name", "spec_json"]
+    rows = items.withColumns({"name": F.lower("description"), "spec_json": spec_json, "seq": seq, "first": F.struct(seq.alias("seq"), "description", "qty", "basis")})
+    seen = rows.groupBy(*key, "text", "grid_ref").agg(F.count("*").alias("n"), F.min_by("first", "seq").alias("first"))
+    listed = lambda x: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(c("first.seq").alias("s"), c(x).alias("x")))), lambda e: e["x"]))
     uom = F.create_map(*[F.lit(x) for kv in UOM.items() for x in kv])[c("kind")]
-    g = items.groupBy("drawing_id", "kind", F.lower("description").alias("name"), key.alias("spec_json")).agg(F.min_by("description", seq).alias("description"), F.count("*").alias("occurrences"), F.min_by("qty", seq).alias("qty"), F.min_by("basis", seq).alias("basis"), F.array_distinct(listed(c("text"))).alias("texts"), F.array_distinct(F.filter(listed(c("grid_ref")), lambda x: x != "")).alias("places"))
-    return g.select("drawing_id", "kind", "description", "spec_json", uom.alias("uom"), "qty", "basis", "occurrences", F.array_join("texts", " | ").alias("texts"), F.array_join("places", ", ").alias("places"))
+    g = seen.groupBy(*key).agg(F.sum("n").alias("occurrences"), F.min_by("first", "first.seq").alias("first"), listed("text").alias("texts"), F.filter(listed("grid_ref"), lambda x: x.isNotNull() & (x != "")).alias("places"))
+    return g.select("drawing_id", "kind", "first.description", "spec_json", uom.alias("uom"), "first.qty", "first.basis", "occurrences", F.array_join("texts", " | ").alias("texts"), F.array_join("places", ", ").alias("places"))
 
 
 def sheet_levels(lines: DataFrame) -> DataFrame:

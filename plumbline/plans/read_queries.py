@@ -10,6 +10,8 @@ from plumbline.operators import bill, derive, discovery, geometry, grammar, reco
 from plumbline.sources import stores
 from plumbline.sources.synth import table, with_tables
 
+from . import discovery_sql
+
 c = F.col
 NOW = "2026-01-01 00:00:00"
 
@@ -260,6 +262,8 @@ QUERIES = {
     "dedupe_pedestals": pedestals,
     "drop_furniture": lambda s, d: discovery.drop_furniture(table(s, d, "lines")).select("drawing_id", "line_no", "text"),
     "discovered_items": lambda s, d: discovery.merge_items(discovery.discover(table(s, d, "lines"))),
+    "discovered_callouts": lambda s, d: discovery.merge_items(discovery.discover(table(s, d, "callouts"))),
+    "label_context": lambda s, d: discovery.label_context(table(s, d, "callouts")).select("drawing_id", "line_no", "text", "context", "below"),
     "sheet_levels": lambda s, d: discovery.sheet_levels(table(s, d, "lines")),
     "height_candidates": lambda s, d: discovery.height_candidates(table(s, d, "levels")),
     "strength_specs": lambda s, d: discovery.strength_specs(table(s, d, "lines")),
@@ -353,6 +357,9 @@ ORACLES = {
     "height_candidates": sql("levels", "SELECT DISTINCT t.drawing_id, t.kind AS top, b.kind AS bottom, round(t.level_m - b.level_m, 3) AS height_m FROM levels t JOIN levels b ON t.drawing_id = b.drawing_id AND t.level_m > b.level_m WHERE t.kind IN ('BOBP', 'TOC', 'TOS', 'FFL', 'U/S') AND b.kind IN ('BOC', 'BOP', 'NGL', 'FGL') AND round(t.level_m - b.level_m, 3) BETWEEN 0.1 AND 15"),
     "strength_specs": sql("lines", "SELECT DISTINCT drawing_id, CAST(unnest(regexp_extract_all(text, '(?i)(\\d{2,3}(?:\\.\\d)?)\\s*(N/mm2|MPa)', 1)) AS DOUBLE) AS value, lower(unnest(regexp_extract_all(text, '(?i)(\\d{2,3}(?:\\.\\d)?)\\s*(N/mm2|MPa)', 2))) AS unit FROM lines WHERE length(text) >= 12"),
     "concrete_grades": sql("lines", "SELECT DISTINCT drawing_id, 'C' || n AS grade FROM (SELECT drawing_id, unnest(regexp_extract_all(text, '(?i)\\bC\\s?(\\d{2})(?:[^\\dx×*]|$)', 1)) AS n FROM lines) WHERE CAST(n AS INT) BETWEEN 10 AND 80"),
+    "discovered_items": sql("lines", ", " + discovery_sql.items("lines")),
+    "discovered_callouts": sql("callouts", ", " + discovery_sql.items("callouts")),
+    "label_context": sql("callouts", ", " + discovery_sql.labels("callouts").strip() + " SELECT drawing_id, line_no, text, context, CASE WHEN regexp_matches(below, '[0-9]') THEN '' ELSE below END AS below FROM l WHERE NOT furniture"),
     "discovery_summary": sql("items", "SELECT drawing_id, count(qty) AS measured, count(*) - count(qty) AS to_confirm FROM items GROUP BY 1"),
     "route_sheets": sql("spans", "SELECT *, chars >= 1500 AND n_spans >= 60 AS is_text FROM (SELECT drawing_id, page, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS chars, count(*) FILTER (trim(text) <> '') AS n_spans FROM spans GROUP BY 1, 2)"),
     "visual_lines": sql("spans", """, sp AS (SELECT *, dir_x < 0.9 AS rotated, round(y0, 1) AS row_y FROM spans WHERE trim(text) <> ''),

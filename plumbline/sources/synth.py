@@ -81,6 +81,17 @@ SELECT CAST(l.l_orderkey AS STRING) AS drawing_id, 0 AS page, CAST(l.l_suppkey %
     WHEN 17 THEN 'GRADE C35 CONCRETE WITH 35 MPa' WHEN 18 THEN concat('AR-(', CAST(l.l_linenumber AS STRING), ')-B-M36-1345-N2') ELSE '25mm DIA WEEP HOLES' END AS text,
   CASE WHEN l.l_returnflag = 'N' THEN '' ELSE concat('B-', CAST(l.l_suppkey % 6 + 1 AS STRING)) END AS grid_ref
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
+    "callouts": """
+SELECT CAST(l_orderkey AS STRING) AS drawing_id, 0 AS page, CAST(l_suppkey % 2 AS BIGINT) AS block_id,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS INT) AS line_no,
+  CASE l_partkey % 26
+    WHEN 0 THEN 'MANHOLE 1200x1200x1800 DEEP CHAMBER' WHEN 1 THEN 'PIT 1200x1200x1800 WITH 30 THK GROUT' WHEN 2 THEN '30 THK GROUT UNDER 600x500 PLATE' WHEN 3 THEN 'BACKFILL COMPACTED 95%' WHEN 4 THEN '(2 Nos./SET)'
+    WHEN 5 THEN concat(CAST(8 * (l_suppkey % 3 + 1) AS STRING), '-D25') WHEN 6 THEN concat(CAST(l_linenumber AS STRING), 'MM THK ACID RESISTANT') WHEN 7 THEN 'EPOXY COATING (TYP)' WHEN 8 THEN 'TYP DETAIL OF PEDESTAL' WHEN 9 THEN 'P1(600x500) 2Nos'
+    WHEN 10 THEN concat('20mm  DIA  LUGS AND ', CAST(10 * l_linenumber AS STRING), ' DIA. ANCHOR BARS') WHEN 11 THEN 'D10-100 LINKS (2 Nos./SET)' WHEN 12 THEN 'KERB 300x450' WHEN 13 THEN 'IP 20mm THK' WHEN 14 THEN concat('90% COMPACTED CRUSHED AGGREGATE ', CAST(l_linenumber AS STRING), 'M')
+    WHEN 15 THEN '1200 x 3100' WHEN 16 THEN 'SECTION A-A' WHEN 17 THEN 'AR-(4)-B-M36-1345-N2, ar-(2)-c-M20-900-N1' WHEN 18 THEN 'acid resistant' WHEN 19 THEN '95% COMPACTED SOIL' WHEN 20 THEN 'SLEEVE Dia NOS./SET 40x40 450x300 BASE 25 THK' WHEN 21 THEN 'ANCHOR PLATE GS-01 250x250 20 THK. MILD STEEL FOR P12 STUB'
+    WHEN 22 THEN 'MD-522-8110-EG-CV-LAD-0101' WHEN 23 THEN ' 16-D25  TOP ; (3)-D10 @150 ' WHEN 24 THEN '1.5MM THK HDPE LINER 2.50 THICK GEOTEXTILE' ELSE 'GENERAL NOTE THAT RUNS ON AND ON WITH MORE THAN FOURTEEN BLANKS SO THAT NOBODY TAKES THE 30 THK GROUT IN IT FOR ANY ITEM AT ALL' END AS text,
+  CASE WHEN l_returnflag = 'N' THEN '' ELSE concat('B-', CAST(l_suppkey % 6 + 1 AS STRING)) END AS grid_ref
+FROM {lineitem}""",
     "spans": """
 SELECT CAST(CAST(floor(l_orderkey / 4e1) AS BIGINT) AS STRING) AS drawing_id, CAST(l_suppkey % 2 AS INT) AS page,
   l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS span_id,

@@ -116,32 +116,82 @@ def test_blinding_keeps_its_kind(spark):
     assert got == {("thickness", 150.0), ("blinding", 150.0), ("blinding", 50.0)}
 
 
-@pytest.mark.parametrize(
-    "text, name, qty",
-    [
-        ("40 THK BITUMEN SCREED", "Bitumen Screed", None),
-        ("2MM THK POLYUREA MEMBRANE", "Polyurea Membrane", None),
-        ("25mm DIA WEEP HOLES", "Weep Holes", None),
-        ("90% COMPACTED CRUSHED AGGREGATE", "Compacted Crushed Aggregate", None),
-        ("MANHOLE 1200x1200x1800", "Manhole", 2.592),
-        ("30 THK GROUT", "Grout", None),
-        ("IP 20mm THK", "IP", None),
-        ("KERB 300x450", "Kerb", 0.135),
-        ("AR-(4)-B-M36-1345-N2", "Anchor AR M36", 4.0),
-    ],
-)
-def test_open_vocabulary(spark, text, name, qty):
-    got = discovery.discover(sheet(spark, text)).collect()
-    assert (name, qty) in {(r.description, r.qty) for r in got}, got
-
-
-def test_furniture_and_context(spark):
-    lines = sheet(spark, "SECTION A-A", "(SCALE: 1:25 mm)", "LOOKING NORTH", "KEY PLAN", "REV", "PROPRIETARY NOTICE", "1200 x 3100")
-    assert discovery.discover(lines).count() == 0
-    got = discovery.discover(sheet(spark, "TYP DETAIL OF PEDESTAL", "P1(600x500) 2Nos")).collect()
-    assert any("Pedestal" in r.description for r in got)
-    merged = discovery.merge_items(discovery.discover(sheet(spark, *["30 THK GROUT"] * 3))).collect()
-    assert [(r.description, r.occurrences, r.qty) for r in merged] == [("Grout", 3, None)]
+def test_open_vocabulary(spark):
+    """Each label in a block of its own, so that none lends another a name."""
+    want = {
+        "40 THK BITUMEN SCREED": [("thickness", "Bitumen Screed, 40 mm thick", None)],
+        "2MM THK POLYUREA MEMBRANE": [("thickness", "Polyurea Membrane, 2 mm thick", None)],
+        "150 THK GEOTEXTILE SEPARATOR": [("thickness", "Geotextile Separator, 150 mm thick", None)],
+        "25mm DIA WEEP HOLES": [("diameter", "Weep Holes, 25 mm dia", None)],
+        "90% COMPACTED CRUSHED AGGREGATE": [("compaction", "Compacted Crushed Aggregate, 90% compaction", None)],
+        "MANHOLE 1200x1200x1800": [("box3", "Manhole 1200x1200x1800", 2.592)],
+        "MANHOLE 1200x1200x1800 DEEP CHAMBER": [("box3", "Manhole 1200x1200x1800", 2.592)],
+        "PIT 1200x1200x1800 WITH 30 THK GROUT": [("box3", "PIT 1200x1200x1800", 2.592), ("thickness", "Grout, 30 mm thick", None)],
+        "30 THK GROUT UNDER 600x500 PLATE": [("box2", "THK Grout Under 600x500", 0.3), ("box3", "Grout Under, 30 mm thick", 0.009)],
+        "30 THK GROUT": [("thickness", "Grout, 30 mm thick", None)],
+        "IP 20mm THK": [("thickness", "IP, 20 mm thick", None)],
+        "16-D25": [("rebar", "D25 bars — 16 Nos per element", 16.0)],
+        "D10 @ 150 LINK": [("rebar_spacing", "D10 bars @ 150 c/c (Link)", None)],
+        "AR-(4)-B-M36-1345-N2": [("assembly", "Anchor assembly AR M36 x 1345 (grade B)", 4.0)],
+        "D10-100 LINKS (2 Nos./SET)": [("rebar_spacing", "D10 bars @ 100 c/c (Links)", None), ("set", "Links — 2 Nos per set", 2.0)],
+        "KERB 300x450": [("box2", "Kerb 300x450", 0.135)],
+        "KERB 300x450x900": [("box3", "Kerb 300x450x900", 0.1215)],
+        "4MM THK ACID RESISTANT EPOXY COATING": [("thickness", "Acid Resistant Epoxy Coating, 4 mm thick", None)],
+        "20mm DIA LUGS": [("diameter", "Lugs, 20 mm dia", None)],
+        "Ø10 @ 150 TIES": [("rebar_spacing", "D10 bars @ 150 c/c (Ties)", None)],
+        "25 Ø DOWELS": [("diameter", "Dowels, 25 mm dia", None)],
+    }
+    no_items = ["SECTION A-A", "(SCALE: 1:25 mm)", "LOOKING NORTH", "KEY PLAN", "REV", "MD-522-8110-EG-CV-LAD-0101", "N 3046406.500 FOR 37112-TNK-002", "PROPRIETARY & CONFIDENTIAL", "DIMENSIONS SHALL BE VERIFIED AT SITE BEFORE CONSTRUCTION"]
+    no_items += ["1200 x 3100", "BACKFILL COMPACTED 95%", "(2 Nos./SET)", "", " ", None, "4 THK", "0 THK GROUT", "3001 THK GROUT", "16-D24", "201-D25", "D10 @ 45", "49% COMPACTED SOIL", "KERB 49x300"]
+    texts = [*want, *no_items]
+    rows = [("d", 0, k, 0, t, "") for k, t in enumerate(texts)] + [("d", 0, None, k, t, "") for k, t in enumerate(("GROUT BED", "30 THK", "600x500"))]  # without a block nothing lends names
+    lines = spark.createDataFrame(rows, "drawing_id string, page int, block_id bigint, line_no int, text string, grid_ref string")
+    got = sorted(discovery.discover(lines).collect(), key=lambda r: (r.block_id, r.grammar, r.at))
+    assert [(texts[r.block_id], r.kind, r.description, r.qty) for r in got] == [(t, *w) for t, ws in want.items() for w in ws]
+    parts = discovery.discover_boxes(lines)
+    for f in (discovery.discover_thickness, discovery.discover_diameter, discovery.discover_rebar, discovery.discover_assembly, discovery.discover_compaction, discovery.discover_per_set):
+        parts = parts.unionByName(f(lines))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, got))
+    basis = {r.description: (r.basis, r.spec) for r in got}
+    assert basis["Grout Under, 30 mm thick"] == ("600x500x30 mm, per unit", {"length_mm": 600.0, "width_mm": 500.0, "thickness_mm": 30.0})
+    assert basis["Bitumen Screed, 40 mm thick"] == ("40 mm thick — area not stated on this sheet", {"thickness_mm": 40.0})
+    assert basis["D10 bars @ 150 c/c (Link)"][0] == "D10 @ 150 c/c — run length not stated"
+    assert basis["Anchor assembly AR M36 x 1345 (grade B)"][1] == {"count": 4.0, "size_mm": 36.0, "length_mm": 1345.0, "nuts": 2.0}
+
+
+def test_block_context(spark):
+    cases = [
+        (("TYP DETAIL OF PEDESTAL", "P1(600x500) 2Nos"), ["Pedestal 600x500"]),
+        (("REFERENCE DOCUMENTS", "16-D25"), ["D25 bars — 16 Nos per element"]),
+        (("4MM THK ACID RESISTANT", "EPOXY COATING (TYP)"), ["Acid Resistant Epoxy Coating, 4 mm thick"]),
+        (("4MM THK ACID RESISTANT", "ACID RESISTANT"), ["Acid Resistant, 4 mm thick"]),
+        # the next label is furniture, holds a digit, or the phrase didn't run to the end of its own label
+        (("4MM THK ACID RESISTANT", "SECTION A-A", "EPOXY COATING"), ["Acid Resistant, 4 mm thick"]),
+        (("20mm DIA LUGS", "PLATE P12"), ["Lugs, 20 mm dia"]),
+        (("30 THK GROUT (TYP)", "BASE PLATE"), ["Grout, 30 mm thick"]),
+        (("90% COMPACTED ONE TWO THREE FOUR", "FIVE SIX SEVEN EIGHT NINE"), ["Compacted ONE TWO Three Four Five SIX, 90% compaction"]),
+        # the block's first name without a digit wins, from its top; long labels lend none
+        (("P12 STUB", "ANCHOR BLOCK", "600x500", "BASE"), ["Anchor Block 600x500"]),
+        (("A LABEL THAT IS LONGER THAN SIXTY CHARACTERS LENDS NO NAME TO ANY", "600x500"), []),
+        (("600x500", "NOTES", "KERB STONE"), ["Kerb Stone 600x500"]),
+    ]
+    rows = [("d", 0, b, i, t, "") for b, (texts, _) in enumerate(cases) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "drawing_id string, page int, block_id bigint, line_no int, text string, grid_ref string")
+    got = [[] for _ in cases]
+    for r in discovery.discover(lines).collect():
+        got[r.block_id].append(r.description)
+    assert got == [want for _, want in cases]
+
+
+def test_merged_items(spark):
+    lines = spark.createDataFrame([("d", 0, b, i, t, g) for b, (i, t, g) in enumerate([(0, "30 THK GROUT", "A-1"), (0, "30  THK  Grout", "B-2"), (0, "30 THK GROUT", "A-1"), (0, "16-D25", ""), (0, "8-D25", ""), (0, "30 THK GROUT", None)])], "drawing_id string, page int, block_id bigint, line_no int, text string, grid_ref string")
+    got = {r.description: r for r in discovery.merge_items(discovery.discover(lines)).collect()}
+    assert sorted(got) == ["D25 bars — 16 Nos per element", "D25 bars — 8 Nos per element", "Grout, 30 mm thick"]
+    g = got["Grout, 30 mm thick"]
+    assert (g.occurrences, g.qty, g.uom, g.texts, g.places, g.spec_json) == (4, None, "m2", "30 THK GROUT | 30 THK Grout", "A-1, B-2", '{"thickness_mm":30.0}')
+
+
+def test_levels_and_grades_of_a_sheet(spark):
     assert [r.grade for r in discovery.concrete_grades(sheet(spark, "GRADE C35 CONCRETE", "C25x40", "AR-(4)-B-M36")).collect()] == ["C35"]
     levels = discovery.sheet_levels(sheet(spark, "BOBP EL. 98.380", "BOC EL. 95.500"))
     assert [r.height_m for r in discovery.height_candidates(levels).collect()] == [2.88]
@@ -304,7 +354,7 @@ def test_a_saved_reading_gives_lines_and_calls(spark, tmp_path):
     assert json.loads(a.findings) == {"curb": [1]} and json.loads(a.discovery) == {"items": []} and a.pedestals[0].seen_in_regions == ["r0c0"]
     lines = stores.reading_lines(good)
     assert sorted((r.block_id, r.line_no, r.text, r.grid_ref) for r in lines.collect()) == [(0, 0, "30 THK GROUT", ""), (0, 0, "P1(600x500) 2Nos", "A-1"), (0, 2, "SECTION A-A", "A-1")]
-    assert {r.description for r in discovery.discover(lines).collect()} >= {"Grout"}
+    assert {r.description for r in discovery.discover(lines).collect()} >= {"Grout, 30 mm thick"}
     s = reconcile.extraction_summary(stores.reading_calls(good)).collect()
     assert [(r.calls, r.slowest_s, r.skipped, r.failed) for r in s] == [(1, 1.5, 1, 1)]
 
