@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import ship_package
 
 from .oracles import ORACLES as ORACLES
-from . import decontaminate, language_id, lexical_search, line_dedup, mixing, prefix_trie, privacy, quality, simhash, token_count, toxicity, url_filter
+from . import decontaminate, html_text, language_id, lexical_search, line_dedup, mixing, prefix_trie, privacy, quality, simhash, token_count, toxicity, url_filter
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -86,6 +86,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), html_text.fit())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_html_text": op13_html_text,
 }
