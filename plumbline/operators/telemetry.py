@@ -45,9 +45,15 @@ def job_summary(jobs: DataFrame, now: Column) -> DataFrame:
         F.sum(F.when(timed, c("elapsed_s"))).alias("t"), F.count_if(timed).alias("nt"),
         F.coalesce(F.max((c("state") == "running") & (seconds(now) - seconds(c("heartbeat_at")) < ALIVE_S)), F.lit(False)).alias("worker_alive"),
     )
+    return summary_rows(g)
+
+
+def summary_rows(g: DataFrame) -> DataFrame:
+    """M3: the summary from counters by owner: part is the running jobs' share done, t and nt the seconds and number of timed jobs."""
     all_jobs = c("queued") + c("running") + c("done") + c("failed")
     mean = F.when(c("nt") > 0, c("t") / c("nt"))
-    return g.select("owner", *n, F.when(all_jobs > 0, rounded(100 * (c("done") + c("failed") + c("part")) / all_jobs, 1)).otherwise(0.0).alias("percent"), rounded(mean, 1).alias("mean_s"), rounded(mean * (c("queued") + c("running")), 1).alias("eta_s"), "worker_alive")
+    states = ("queued", "running", "done", "failed", "cancelled")
+    return g.select("owner", *states, F.when(all_jobs > 0, rounded(100 * (c("done") + c("failed") + c("part")) / all_jobs, 1)).otherwise(0.0).alias("percent"), rounded(mean, 1).alias("mean_s"), rounded(mean * (c("queued") + c("running")), 1).alias("eta_s"), "worker_alive")
 
 
 def stale_jobs(jobs: DataFrame, now: Column) -> DataFrame:
@@ -107,7 +113,7 @@ def cache_hits(requests: DataFrame, store: DataFrame) -> DataFrame:
 def fold_job_state(events: DataFrame) -> DataFrame:
     """The current row of each job from its events (event_id, ts, job_id, event, progress_pct, from_cache, error) in order of time.
 
-    A retry counts only for failed and cancelled jobs and starts afresh; heartbeats are held within 0 to 100. A retry takes effect
+    A retry counts only for failed and cancelled jobs and starts afresh; heartbeats are held within 0 to 100, and one without a percentage leaves it. A retry takes effect
     exactly if the last event that changes the state was a failure or a cancellation. One sorted pass marks those and finds the
     start that an end belongs to; every column is then the newest of its own events, which combine before the shuffle. No job's events are gathered.
     """
@@ -126,7 +132,7 @@ def fold_job_state(events: DataFrame) -> DataFrame:
     ended = ev.isin("finish", "fail") & c("begun").isNotNull()
     out = e.groupBy("job_id").agg(
         F.coalesce(newest(state, ev.isin(*BECOMES) | again), F.lit("none")).alias("state"),
-        F.coalesce(newest(pct, ev.isin("enqueue", "start", "heartbeat", "finish") | again), F.lit(0.0)).alias("progress_pct"),
+        F.coalesce(newest(pct, ev.isin("enqueue", "start", "finish") | ((ev == "heartbeat") & c("progress_pct").isNotNull()) | again), F.lit(0.0)).alias("progress_pct"),
         newest(F.when(ev == "start", c("ts")), (ev == "start") | again).alias("started_at"),
         newest(F.when(~again, c("ts")), ev.isin("start", "heartbeat") | again).alias("heartbeat_at"),
         newest(F.when(ended, (F.unix_micros("ts") - F.unix_micros("begun")) / 1e6).otherwise(null.cast("double")), ended | again).alias("elapsed_s"),

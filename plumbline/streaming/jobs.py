@@ -2,26 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from plumbline.operators.telemetry import BECOMES, job_summary
+from plumbline.operators.telemetry import ALIVE_S, BECOMES, seconds, summary_rows
 
 EVENTS = "event_id bigint, ts timestamp, job_id string, owner string, drawing_path string, page int, event string, progress_pct double, from_cache boolean, error string"
 JOB = "job_id string, owner string, state string, progress_pct double, heard double, elapsed_s double, error string, from_cache boolean, n_events int"
-#: A row of fold_stream.
-ROW = "job_id string, owner string, state string, progress_pct double, heartbeat_at timestamp, elapsed_s double, error string, from_cache boolean, n_events int"
 #: How long the state of a job that has ended is kept for a retry, in milliseconds.
 KEEP_MS = 7 * 24 * 3_600_000
 
 
-def dedupe_stream(requests: DataFrame, within: str = "1 day") -> DataFrame:
-    """M1: each (owner, drawing, page) once; the watermark bounds how long a request is remembered."""
-    return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(["owner", "drawing_path", "page"])
+class Admit(StatefulProcessor):
+    """M1: the jobs of one (owner, drawing, page) that are queued or running; the key holds nothing once all have ended."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", "job_id string", "since timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        live = {k[0]: v[0] for k, v in self.live.iterator()}
+        before, admitted = set(live), []
+        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            if e.event == "request":
+                if not live:
+                    admitted.append((e.job_id, *key, e.ts))
+                    live[e.job_id] = e.ts
+            elif e.event in ("finish", "fail", "cancel"):
+                live.pop(e.job_id, None)
+            elif e.event in ("enqueue", "start", "retry"):
+                live.setdefault(e.job_id, e.ts)
+        for job in before - set(live):
+            self.live.removeKey((job,))
+        for job in set(live) - before:
+            self.live.updateValue((job,), (live[job],))
+        yield pd.DataFrame(admitted, columns=["job_id", "owner", "drawing_path", "page", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """M1: the requests to queue: those whose (owner, drawing, page) has no job queued or running, each once.
+
+    Both streams have the columns of EVENTS; a request carries the id that its job would get. An admitted request
+    holds its key, and so does every job that its events show as queued, running or retried; the key is free again as
+    soon as these jobs have finished, failed or been cancelled, and its state is then empty. Rows of a batch count in
+    order of time, requests before events of the same time; nothing is forgotten by age, as nothing in the batch form is.
+    """
+    columns = [f.split()[0] for f in EVENTS.split(", ")]
+    both = requests.withColumn("event", F.lit("request")).withColumn("event_id", F.lit(-1).cast("bigint")).select(columns).unionByName(events.select(columns))
+    out = "job_id string, owner string, drawing_path string, page int, ts timestamp"
+    return both.groupBy("owner", "drawing_path", "page").transformWithStateInPandas(Admit(), out, "append", "none")
 
 
 def latest_stream(jobs: DataFrame) -> DataFrame:
@@ -30,37 +68,110 @@ def latest_stream(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("drawing_path", "page").agg(newest.alias("j")).select("drawing_path", "page", "j.*")
 
 
-def summary_stream(jobs: DataFrame) -> DataFrame:
-    """M3: events of each kind by owner, kept up to date; see summary_so_far for the summary of the jobs' states."""
-    kinds = (*BECOMES, "heartbeat", "retry")
-    return jobs.groupBy("owner").agg(*[F.count_if(F.col("event") == k).alias(k) for k in kinds])
-
-
-def job_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """M3: a foreachBatch function for fold_stream that keeps the rows of each batch in a folder of its own.
-
-    A batch that runs again after a failure replaces its folder, so no change counts twice. The path has to be shared by the cluster.
+class Job(NamedTuple):
+    """What the summary keeps of a job; times in seconds."""
+
+    state: str = "none"
+    pct: float = 0.0
+    heard: float | None = None
+    started: float | None = None
+    elapsed: float | None = None
+    cached: bool = False
+
+    def after(self, event: str, at: float, pct: float | None, cached: bool | None) -> Job:
+        """The job after one event: the same rules as fold_job_state."""
+        if event == "retry":
+            return Job("queued") if self.state in ("failed", "cancelled") else self
+        job = self._replace(state=BECOMES.get(event, self.state))
+        if event == "heartbeat":
+            return job._replace(heard=at, pct=self.pct if pct is None or pct != pct else min(max(pct, 0.0), 100.0))
+        if event == "start":
+            return job._replace(heard=at, started=at, pct=0.0)
+        if event == "enqueue":
+            return job._replace(pct=0.0)
+        if event in ("finish", "fail") and self.started is not None:
+            job = job._replace(elapsed=at - self.started)
+        return job._replace(pct=100.0, cached=bool(cached)) if event == "finish" else job
+
+
+class Summary(StatefulProcessor):
+    """M3: the jobs of one owner's shard and running counters over them.
+
+    Counters move by what a job was and what it has become, so a batch costs its own events and not the owner's jobs;
+    only the running jobs are looked through, for the newest heartbeat. A job that has ended is forgotten ``keep_s``
+    after its end; it stays counted.
     """
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return keep
-
-
-def kept_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """M3: the newest row of each job that job_sink kept; rows combine before the shuffle."""
-    rows = spark.read.schema(f"{ROW}, batch bigint").parquet(path)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("job_id", "batch")]), "batch")
-    return rows.groupBy("job_id").agg(newest.alias("j")).select("job_id", "j.*")
-
+    STATES = ("queued", "running", "done", "failed", "cancelled")
+
+    def __init__(self, keep_s: float):
+        self.keep_s = keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.jobs = handle.getMapState("jobs", "job_id string", "state string, pct double, heard double, started double, elapsed double, cached boolean")
+        self.running = handle.getMapState("running", "job_id string", "heard double")
+        self.ended = handle.getMapState("ended", "job_id string", "at double")
+        self.counts = handle.getValueState("counts", "queued long, running long, done long, failed long, cancelled long, part double, t double, nt long")
+
+    def weight(self, job: Job) -> list[float]:
+        timed = job.state == "done" and not job.cached and (job.elapsed or 0) > 0
+        return [*[job.state == s for s in self.STATES], job.pct / 100 if job.state == "running" else 0.0, job.elapsed if timed else 0.0, timed]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        counts = list(self.counts.get()) if self.counts.exists() else [0, 0, 0, 0, 0, 0.0, 0.0, 0]
+        for (job_id,), events in pd.concat(list(rows)).sort_values(["ts", "event_id"]).groupby(["job_id"], sort=False):
+            k = (job_id,)
+            old = job = Job(*self.jobs.getValue(k)) if self.jobs.containsKey(k) else Job()
+            for e in events.itertuples():
+                last = e.ts.value / 1e9
+                job = job.after(e.event, last, e.progress_pct, e.from_cache)
+            counts = [c + x - y for c, x, y in zip(counts, self.weight(job), self.weight(old))]
+            self.jobs.updateValue(k, tuple(job))
+            if job.state == "running":
+                self.running.updateValue(k, (job.heard,))
+            elif old.state == "running":
+                self.running.removeKey(k)
+            if job.state in ("done", "failed", "cancelled"):
+                self.ended.updateValue(k, (last,))
+                self.handle.registerTimer(max(int((last + self.keep_s) * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            elif old.state in ("done", "failed", "cancelled"):
+                self.ended.removeKey(k)
+        whole = [int(c) if i in (0, 1, 2, 3, 4, 7) else float(c) for i, c in enumerate(counts)]
+        self.counts.update(tuple(whole))
+        heard = max((v[0] for _, v in self.running.iterator() if v[0] is not None), default=None)
+        yield pd.DataFrame([(*key, *whole, heard)], columns=["owner", "shard", *self.STATES, "part", "t", "nt", "heard"])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        before = timerValues.getCurrentWatermarkInMs() / 1000 - self.keep_s
+        for k in [k for k, (at,) in self.ended.iterator() if at <= before]:
+            self.ended.removeKey(k)
+            self.jobs.removeKey(k)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def summary_stream(events: DataFrame, shards: int = 1, keep_ms: int = KEEP_MS, late: str = "7 days") -> DataFrame:
+    """M3: counters of each owner's jobs after every batch (update mode), from which summary_of makes job_summary's rows.
+
+    One row for each (owner, shard) that a batch touched: jobs in each state, the running ones' parts, seconds and
+    number of timed jobs, and the newest heartbeat of a running one. An owner whose jobs are many is dealt over
+    ``shards`` by job, so that no task holds them all. Events of a batch count in order of time; an event older than
+    one applied before is applied where it arrives; one that is later than ``late`` is left out.
+    """
+    shard = F.pmod(F.xxhash64("job_id"), F.lit(shards)).cast("int")
+    timed = events.withWatermark("ts", late).withColumn("shard", shard).where(F.col("job_id").isNotNull())
+    out = "owner string, shard int, queued long, running long, done long, failed long, cancelled long, part double, t double, nt long, heard double"
+    found = timed.groupBy("owner", "shard").transformWithStateInPandas(Summary(keep_ms / 1000), out, "update", "EventTime")
+    return found.withColumn("heartbeat_at", F.timestamp_micros(F.round(F.col("heard") * 1e6).cast("bigint"))).drop("heard")
 
-def summary_so_far(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """M3: job_summary over the jobs as the stream has left them: states, per cent, mean seconds, time left and a live worker by owner.
 
-    Spark can't aggregate after fold_stream's state within one query, so the fold writes through job_sink and this reads what it wrote.
-    """
-    return job_summary(kept_jobs(spark, path), now)
+def summary_of(parts: DataFrame, now: Column) -> DataFrame:
+    """M3: job_summary's rows from the newest counters of each (owner, shard)."""
+    alive = F.coalesce(F.max(seconds(now) - seconds(F.col("heartbeat_at")) < ALIVE_S), F.lit(False)).alias("worker_alive")
+    return summary_rows(parts.groupBy("owner").agg(*[F.sum(c).alias(c) for c in (*Summary.STATES, "part", "t", "nt")], alive))
 
 
 def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS, late: str = "7 days") -> DataFrame:
@@ -81,9 +192,9 @@ def fold_stream(events: DataFrame, keep_ms: int = KEEP_MS, late: str = "7 days")
             owner = owner or e.owner
             if e.event in ("start", "heartbeat"):
                 heard = e.ts.value / 1e9
-            if e.event == "heartbeat":
+            if e.event == "heartbeat" and not pd.isna(e.progress_pct):
                 pct = min(max(float(e.progress_pct), 0.0), 100.0)
-            elif e.event in ("enqueue", "start"):
+            if e.event in ("enqueue", "start"):
                 pct, started = 0.0, (e.ts.value / 1e9 if e.event == "start" else started)
             elif e.event in ("finish", "fail"):
                 elapsed = e.ts.value / 1e9 - started if started is not None else elapsed

@@ -277,37 +277,12 @@ def test_streams_match_the_batch(spark, sf, tmp_path):
     ordered = events.orderBy("ts", "event_id").limit(400)
     ordered.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(jobs.EVENTS).parquet(str(tmp_path / "in"))
-    for name, df, mode in (("folded", jobs.fold_stream(stream), "update"), ("summary", jobs.summary_stream(stream), "complete"), ("deduped", jobs.dedupe_stream(stream, "400 days"), "append")):
+    for name, df, mode in (("folded", jobs.fold_stream(stream), "update"),):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
     batch = telemetry.fold_job_state(ordered).select("job_id", "state", "progress_pct", "error", "from_cache", "n_events")
     got = spark.sql("select job_id, state, progress_pct, error, from_cache, n_events from folded")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
-    assert spark.sql("select sum(enqueue + start + heartbeat + finish + fail + cancel + retry) from summary").first()[0] == 400
-    assert spark.sql("select count(*) from deduped").first()[0] == ordered.select("owner", "drawing_path", "page").distinct().count()
-
-
-def test_summary_of_a_stream_is_that_of_the_batch(spark, sf, tmp_path):
-    from plumbline.sources.synth import table
-    from plumbline.streaming import jobs
-
-    events = table(spark, sf, "job_events").selectExpr("event_id", "cast(ts as timestamp) as ts", "job_id", "owner", "drawing_path", "page", "event", "progress_pct", "from_cache", "error")
-    rows = sorted(events.collect(), key=lambda e: (e.ts, e.event_id))[:300]
-    for k in range(3):  # three batches, in order of time
-        spark.createDataFrame(rows[100 * k : 100 * (k + 1)], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    kept = str(tmp_path / "jobs")
-    sink = jobs.job_sink(kept)
-    q = jobs.fold_stream(stream).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    assert len(list((tmp_path / "jobs").glob("batch=*"))) >= 3 and not q.isActive
-    sink(spark.read.parquet(f"{kept}/batch=2"), 99)  # the same rows once more change nothing
-    some = spark.createDataFrame(rows, events.schema)
-    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    owners = some.groupBy("job_id").agg(F.min("owner").alias("owner"))
-    want = telemetry.job_summary(telemetry.fold_job_state(some).join(owners, "job_id"), now)
-    assert {r.job_id: r.heartbeat_at for r in jobs.kept_jobs(spark, kept).collect()} == {r.job_id: r.heartbeat_at for r in telemetry.fold_job_state(some).collect()}
-    assert sorted(map(tuple, jobs.summary_so_far(spark, kept, now).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_stale_and_latest_streams(spark, tmp_path):
