@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import rounded, tolerant
-from plumbline.operators import bill, derive, gaps, setviews
+from plumbline.operators import bill, derive, gaps, reconcile, setviews
+from plumbline.sources import readings
 from plumbline.sources.stores import upsert_rates
 from plumbline.sources.synth import table, with_tables
 
 from .read_queries import VOTES
-from .rebuild import rebuild_set
+from .rebuild import rebuild_readings, rebuild_set
 
 c = F.col
 E, P = "elements", "projects"
@@ -178,6 +179,35 @@ def index_notes(s: SparkSession, d: str) -> DataFrame:
     return setviews.drawing_index(table(s, d, P), lines(s, d), table(s, d, E), items, notes).select("drawing_id", "drawing_no", "n_items", "notes")
 
 
+# The slabs that a reading of a drawing lists, one a position; both engines number them alike.
+READ_SLABS = "SELECT drawing_id, pos AS seq, CASE WHEN pos % 4 = 0 THEN lower(tag) ELSE tag END AS tag, length_m, width_m, CASE WHEN pos % 5 = 0 THEN 0e0 ELSE thickness_m END AS thickness_m FROM elements WHERE kind_no = 3"
+
+
+def saved_readings(s: SparkSession, d: str) -> DataFrame:
+    """Readings of all projects as JSON text, as a sheet's file has them: title, voted pedestals, slabs, findings, marks and items."""
+    votes = reconcile.reconcile(table(s, d, "sightings")).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct(c("first_seq").alias("seq"), "tag", "length_mm", "width_mm", "quantity", c("validated").alias("regex_validated"), "confidence"))).alias("pedestals"))
+    slabs = s.sql(READ_SLABS.replace("FROM elements", "FROM {e}"), e=table(s, d, E)).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("seq", "tag", *[(c(f"{n}_m") * 1000).alias(f"{n}_mm") for n in ("length", "width", "thickness")]))).alias("grade_slabs"))
+    items = table(s, d, "items").groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "description", "uom", "qty", "basis", "grid_ref"))).alias("items"))
+    marks = table(s, d, "marks").groupBy("drawing_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mark", "n")))).alias("position_marks"))
+    whole = drawings(s, d)
+    for part in (votes, slabs, items, marks):
+        whole = whole.join(part, "drawing_id", "left")
+    k = c("drawing_id").cast("long")
+    thick = F.when(k % 3 == 0, F.array(F.struct(F.lit(150.0).alias("thickness_mm"), F.lit(None).cast("string").alias("kind")), F.struct(F.lit(50.0).alias("thickness_mm"), F.lit("blinding").alias("kind"))))
+    curbs = F.when(k % 4 == 0, F.array(F.struct(F.lit(200.0).alias("thickness_mm"), F.lit(300.0).alias("height_mm"))))
+    found = F.struct(F.coalesce(curbs, F.array().cast("array<struct<thickness_mm:double,height_mm:double>>")).alias("curb_walls"), F.coalesce(thick, F.array().cast("array<struct<thickness_mm:double,kind:string>>")).alias("thicknesses"))
+    doc = F.to_json(F.struct(c("path").alias("source_pdf"), (k % 2 == 0).alias("used_text_layer"), F.struct("drawing_no", "revision", "project_name").alias("title_block"), "pedestals", "grade_slabs", "position_marks", found.alias("findings"), F.struct("items").alias("discovery")))
+    return whole.select("drawing_id", F.when(k % 97 == 0, F.concat(F.lit("cut off "), doc)).when(k % 89 == 0, '{"pedestals": [{"tag": "P1"}]}').otherwise(doc).alias("value"))
+
+
+def good_readings(s: SparkSession, d: str) -> DataFrame:
+    return readings.parse_readings(saved_readings(s, d))[0]
+
+
+def rebuilt(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return rebuild_readings(good_readings(s, d), "all", table(s, d, P))
+
+
 QUERIES = {
     "priced_bill": lambda s, d: setviews.priced_bill(setviews.cost_lines(lines(s, d), rates(s, d))),
     "element_bill": lines,
@@ -218,6 +248,11 @@ QUERIES = {
     "gap_report": all_gaps,
     "gap_headline": lambda s, d: gaps.gap_headline(all_gaps(s, d)),
     "rebuild_set": lambda s, d: rebuild_set(table(s, d, "sightings"), slabs(s, d), table(s, d, P), all_rules(s)),
+    "rebuild_readings": lambda s, d: rebuilt(s, d)[0],
+    "rebuild_index": lambda s, d: rebuilt(s, d)[1],
+    "rejected_readings": lambda s, d: readings.parse_readings(saved_readings(s, d))[1],
+    "reading_findings": lambda s, d: readings.findings(good_readings(s, d)).select("drawing_id", "kind", "seq", "thickness_mm", "height_mm"),
+    "reading_items": lambda s, d: readings.items(good_readings(s, d)).select("drawing_id", "seq", "kind", "description", "uom", "qty", "basis", "grid_ref", "occurrences"),
     "readiness": lambda s, d: gaps.readiness(drawings(s, d), table(s, d, E)),
 }
 
@@ -242,6 +277,18 @@ REBUILT = DERIVED + VOTES + """, built AS (
 whole AS (SELECT * FROM built UNION ALL BY NAME SELECT * FROM elements WHERE false)
 """
 
+#: Readings that can be read; their slabs are the usable ones, the first of a tag without case; parameters that a sheet states replace the rules'.
+GOOD = ", good AS (SELECT *, CAST(drawing_id AS BIGINT) AS k FROM projects WHERE CAST(drawing_id AS BIGINT) % 97 <> 0 AND CAST(drawing_id AS BIGINT) % 89 <> 0)"
+FIRST_SLABS = f", slabs AS (SELECT drawing_id, tag, length_m, width_m, thickness_m, CASE WHEN CAST(drawing_id AS BIGINT) % 3 = 0 THEN 0.05::DOUBLE ELSE 0.075::DOUBLE END AS bl, CASE WHEN CAST(drawing_id AS BIGINT) % 4 = 0 THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END AS ch, CASE WHEN CAST(drawing_id AS BIGINT) % 4 = 0 THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END AS ct FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, upper(tag) ORDER BY seq) AS nth FROM ({READ_SLABS}) WHERE thickness_m > 0) WHERE nth = 1 AND drawing_id IN (SELECT drawing_id FROM good))"
+
+
+def stated(built: str) -> str:
+    """REBUILT over the readings' slabs, with the parameters that their findings state."""
+    out = built.replace(SLABS, FIRST_SLABS).replace("0.075::DOUBLE", "bl") if SLABS in built else built
+    out = out.replace(FIRST_SLABS.replace("0.075::DOUBLE", "bl"), FIRST_SLABS).replace("NULL, 0.15::DOUBLE, 0.15::DOUBLE, round(2 *", "NULL, ch, ct, round(2 *")
+    return out.replace(" FROM vote\n", " FROM vote WHERE drawing_id IN (SELECT drawing_id FROM good)\n")
+
+
 ORACLES = {
     "priced_bill": sql("SELECT b.category, round(sum(qty_gross * coalesce(l.rate, 0)), 2) AS amount FROM bill b LEFT JOIN latest l ON l.category = b.category AND l.unit = b.unit GROUP BY ROLLUP (b.category)"),
     "element_bill": sql("SELECT * FROM bill"),
@@ -296,4 +343,14 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
   FROM dr LEFT JOIN elements e ON e.drawing_id = dr.drawing_id GROUP BY 1, 2)
 SELECT drawing_id, n_elements, n_placeholders, CAST(round(100 * (0.75::DOUBLE * cr / 4 + 0.25::DOUBLE * ex / 5), 0) AS INT) AS score, concat_ws('; ', CASE WHEN number = '' THEN 'no drawing number' END, CASE WHEN n_placeholders > 0 THEN concat(CAST(n_placeholders AS VARCHAR), ' placeholder height(s)') END) AS blockers FROM rd"""),
     "rebuild_set": with_tables("elements", "projects", "rates", "sightings") + tolerant(REBUILT + BILL.replace("FROM elements e JOIN", "FROM whole e JOIN") + "SELECT category, item, unit, drawing_id, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3, 4"),
+    "rejected_readings": with_tables("projects") + " SELECT drawing_id, CASE WHEN CAST(drawing_id AS BIGINT) % 97 = 0 THEN 'not JSON' ELSE 'a pedestal lacks its tag, sizes or quantity' END AS reason FROM projects WHERE CAST(drawing_id AS BIGINT) % 97 = 0 OR CAST(drawing_id AS BIGINT) % 89 = 0",
+    "reading_findings": with_tables("projects") + GOOD + """ SELECT drawing_id, 'curb_wall' AS kind, 0 AS seq, 200.0::DOUBLE AS thickness_mm, 300.0::DOUBLE AS height_mm FROM good WHERE k % 4 = 0
+UNION ALL SELECT drawing_id, 'thickness', 0, 150.0, NULL FROM good WHERE k % 3 = 0 UNION ALL SELECT drawing_id, 'blinding', 1, 50.0, NULL FROM good WHERE k % 3 = 0""",
+    "reading_items": with_tables("projects", "items") + GOOD + " SELECT items.drawing_id, CAST(row_number() OVER (PARTITION BY items.drawing_id ORDER BY seq) - 1 AS INT) AS seq, kind, description, uom, qty, basis, grid_ref, 1 AS occurrences FROM items JOIN good ON good.drawing_id = items.drawing_id",
+    "rebuild_readings": with_tables("elements", "projects", "rates", "sightings") + GOOD + tolerant(stated(REBUILT) + BILL.replace("FROM elements e JOIN", "FROM whole e JOIN") + "SELECT category, item, unit, drawing_id, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3, 4"),
+    "rebuild_index": with_tables("elements", "projects", "sightings", "items", "marks") + GOOD + FIRST_SLABS + tolerant(VOTES + """, p AS (SELECT drawing_id, count(*) AS n, string_agg(tag, ', ' ORDER BY tag) AS held FROM vote GROUP BY 1),
+  n AS (SELECT g.drawing_id, CASE WHEN g.k % 11 = 0 THEN concat('sheet_', g.drawing_id) ELSE g.drawing_no END AS drawing_no, g.path AS source_pdf, g.k, coalesce(p.n, 0) AS n_pedestals, coalesce(p.held, '') AS held,
+    (SELECT count(*) FROM slabs s WHERE s.drawing_id = g.drawing_id) AS n_slabs, (SELECT count(*) FROM marks m WHERE m.drawing_id = g.drawing_id) AS n_marks, (SELECT count(*) FROM items i WHERE i.drawing_id = g.drawing_id) AS n_items FROM good g LEFT JOIN p ON p.drawing_id = g.drawing_id)
+SELECT drawing_id, drawing_no, source_pdf, n_pedestals, n_slabs, n_marks, n_items, concat_ws(' | ', CASE WHEN k % 2 = 0 THEN 'read from the sheet''s own text layer (no model calls)' END, CASE WHEN held <> '' THEN 'placeholder height on ' || held END,
+  CASE WHEN n_pedestals + n_slabs > 0 THEN NULL WHEN n_items > 0 THEN 'no pedestal or slab on this sheet — ' || n_items || ' item(s) read from the drawing''s own wording instead' ELSE 'no quantities on this sheet — marks and findings only' END) AS notes FROM n"""),
 }

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import written
 from plumbline.operators import bill, derive, reconcile, setviews
+from plumbline.sources import readings as saved
 
 c = F.col
+#: Per cent of wastage of a project that names none.
+WASTAGE = {"concrete": 3.0, "rebar": 5.0, "formwork": 10.0, "hdpe": 8.0, "epoxy": 15.0, "pcc": 5.0, "soil": 10.0}
 #: Columns of an element beside its key, with their types; a kind leaves those it lacks null.
 ELEMENT = {
     "length_m": "double", "width_m": "double", "height_m": "double", "depth_m": "double", "thickness_m": "double", "thickness_mm": "double", "quantity": "int", "grade": "string", "soil_type": "string",
@@ -66,7 +70,58 @@ def rebuild_set(sightings: DataFrame, slabs: DataFrame, projects: DataFrame, rul
     Two wide shuffles: the vote by (drawing, tag), and the sums of the summary. Rules and wastages are small.
     """
     votes = reconcile.reconcile(sightings).withColumn("seq", c("first_seq")).withColumn("height_mm", F.lit(None).cast("double"))
-    none = projects.select("drawing_id", F.lit("").alias("tag"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("width_m"), F.lit(0.0).alias("height_m"), F.lit(0).alias("quantity")).where(F.lit(False))
-    read = elements_from_readings(reconcile.merge_into_project(none, votes), slabs)
+    return billed(reconcile.merge_into_project(no_pedestals(projects), votes), slabs, projects, rules)
+
+
+def no_pedestals(projects: DataFrame) -> DataFrame:
+    return projects.select("drawing_id", F.lit("").alias("tag"), F.lit(0.0).alias("length_m"), F.lit(0.0).alias("width_m"), F.lit(0.0).alias("height_m"), F.lit(0).alias("quantity")).where(F.lit(False))
+
+
+def billed(pedestals: DataFrame, slabs: DataFrame, projects: DataFrame, rules: DataFrame) -> DataFrame:
+    """Merged pedestals and slabs with all that follows from them, as the summary of their bill."""
+    read = elements_from_readings(pedestals, slabs)
     new = derive.apply_derived(read.select("drawing_id", F.get(F.array(*[F.lit(k) for k in bill.KINDS]), c("kind_no")).alias("kind"), "tag"), derive.derived(slabs, rules))
     return setviews.set_summary(bill.element_bill(read.unionByName(elements_from_derived(new)), projects))
+
+
+def merged_slabs(found: DataFrame) -> DataFrame:
+    """The usable slabs of readings in m, the first of a tag without case."""
+    first = F.min_by(F.struct("tag", "length_mm", "width_mm", "thickness_mm"), "seq")
+    one = found.where("usable").groupBy("drawing_id", F.upper("tag")).agg(first.alias("s"))
+    return one.select("drawing_id", "s.tag", *[(c(f"s.{n}_mm") / 1000).alias(f"{n}_m") for n in ("length", "width", "thickness")])
+
+
+def rebuild_readings(readings: DataFrame, derived: list[str] | str = (), wastage: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """G19 from saved readings (drawing_id, v), see parse_readings: the set's summary, and an index row a drawing.
+
+    Each reading is merged into an empty project (a reading is a drawing, whatever number it prints), the named rules
+    ("all" or their keys) derive elements with the parameters that its findings state, and all is billed and summed.
+    wastage: (drawing_id, wastage_*) of projects; without it the defaults hold. Index: drawing_no, source_pdf, the
+    numbers of pedestals, slabs, marks and items, and the notes. The parsed documents are written once and each
+    table takes the fields that it asks for from there.
+    """
+    readings = written(readings)
+    titles = saved.titles(readings)
+    projects = titles.select("drawing_id", "drawing_no", *[F.lit(v).alias(f"wastage_{k}") for k, v in WASTAGE.items()]) if wastage is None else wastage
+    pedestals = reconcile.merge_into_project(no_pedestals(projects), saved.pedestals(readings))
+    slabs = merged_slabs(saved.slabs(readings))
+    rules = derive.select_rules(derive.default_rules(readings.sparkSession), derived)
+    none = [F.lit(None).cast("double").alias(n) for n in ("thickness_mm", "height_mm")]
+    stated = saved.findings(readings).select("drawing_id", "seq", "kind", F.nullif("thickness_mm", F.lit(0.0)).alias("thickness_mm"), F.nullif("height_mm", F.lit(0.0)).alias("height_mm"))
+    seeded = derive.seed_rules(rules, stated.unionByName(readings.select("drawing_id", F.lit(-1).alias("seq"), F.lit("").alias("kind"), *none)))
+    summary = billed(pedestals, slabs, projects, seeded)
+
+    held = F.abs(c("height_m") - reconcile.PLACEHOLDER_M) < 1e-9
+    p = pedestals.groupBy("drawing_id").agg(F.count("*").alias("n_pedestals"), F.array_join(F.array_sort(F.collect_set(F.when(held, c("tag")))), ", ").alias("held"))
+    counts = {"n_slabs": slabs, "n_marks": saved.marks(readings), "n_items": saved.items(readings)}
+    index = titles.select("drawing_id", "drawing_no", "source_pdf", "used_text_layer").join(p, "drawing_id", "left")
+    for name, df in counts.items():
+        index = index.join(df.groupBy("drawing_id").agg(F.count("*").alias(name)), "drawing_id", "left")
+    index = index.na.fill(0, ["n_pedestals", *counts]).na.fill("", ["held"])
+    empty = (c("n_pedestals") + c("n_slabs")) == 0
+    notes = [
+        F.when(c("used_text_layer"), "read from the sheet's own text layer (no model calls)"),
+        F.when(c("held") != "", F.concat(F.lit("placeholder height on "), "held")),
+        F.when(empty & (c("n_items") > 0), F.concat(F.lit("no pedestal or slab on this sheet — "), c("n_items").cast("string"), F.lit(" item(s) read from the drawing's own wording instead"))).when(empty, "no quantities on this sheet — marks and findings only"),
+    ]
+    return summary, index.select("drawing_id", "drawing_no", "source_pdf", "n_pedestals", *counts, F.concat_ws(" | ", *notes).alias("notes"))

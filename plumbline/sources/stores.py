@@ -87,22 +87,6 @@ def upsert_extractions(stored: DataFrame, new: DataFrame) -> DataFrame:
     return first_by(both, ["fingerprint"], [F.desc("_new"), F.desc("saved_at")]).drop("_new")
 
 
-def store_extractions(new: DataFrame, path: str) -> None:
-    """A5: writes readings partitioned by the first digits of their fingerprint, replacing the touched partitions."""
-    spark = new.sparkSession
-    part = new.withColumn("shard", F.substring("fingerprint", 1, 2))
-    try:
-        old = spark.read.parquet(path).join(part.select("shard").distinct(), "shard", "left_semi")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    from plumbline.functions.frames import durable
-
-    out = durable(part if old is None else upsert_extractions(old.select(part.columns), part))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-
-
 def backfill_index(saved: DataFrame, files: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New index rows (fingerprint, path) for saved readings (stem) whose file is found and not indexed, and the counts."""
     stems = first_by(files.withColumn("stem", F.regexp_replace(file_name(c("path")), r"\.pdf$", "")), ["stem"], ["folder_no", "path"])
@@ -154,7 +138,7 @@ def classify_drawings(drawings: DataFrame, classes: DataFrame) -> DataFrame:
     return out.select("drawing_id", "path", F.when(c("cls").isin(*SITES), c("cls")).otherwise(SITES[0]).alias("classification"))
 
 
-def write_table(df: DataFrame, path: str, by: str | None = "drawing_id", kind: str = "parquet") -> None:
-    """A view as files, partitioned by drawing."""
+def write_table(df: DataFrame, path: str, by: str | None = None, kind: str = "parquet") -> None:
+    """A view as files; ``by`` names a column of few values (a class, a project) to have a folder for each of them."""
     w = df.write.mode("overwrite")
     (w.partitionBy(by) if by else w).format(kind).save(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import bill, derive, discovery, geometry, grammar, reconcile, setviews, telemetry, verify
-from plumbline.sources import stores
+from plumbline.sources import stores, versions
 
 WASTE = ", ".join(f"{v} as wastage_{k}" for k, v in (("concrete", "3d"), ("rebar", "5d"), ("formwork", "10d"), ("hdpe", "8d"), ("epoxy", "15d"), ("pcc", "5d"), ("soil", "10d")))
 COLUMNS = (
@@ -424,9 +424,9 @@ def test_files(spark, tmp_path):
     good, bad = stores.read_extractions(spark, str(a))
     assert [r.source_pdf for r in good.collect()] == ["x.pdf"] and bad.count() == 1
     rows = spark.createDataFrame([("ab1", 1, "x"), ("ab2", 1, "y"), ("cd1", 1, "z")], "fingerprint string, saved_at int, body string")
-    stores.store_extractions(rows, str(tmp_path / "store"))
-    stores.store_extractions(spark.createDataFrame([("ab1", 2, "new")], rows.schema), str(tmp_path / "store"))
-    assert {(r.fingerprint, r.body) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {("ab1", "new"), ("ab2", "y"), ("cd1", "z")}
+    versions.write_change(rows, str(tmp_path / "store"))
+    versions.write_change(spark.createDataFrame([("ab1", 2, "new")], rows.schema), str(tmp_path / "store"))
+    assert {(r.fingerprint, r.body) for r in versions.read_store(spark, str(tmp_path / "store")).collect()} == {("ab1", "new"), ("ab2", "y"), ("cd1", "z")}
     (a / "ex1.json").write_text('{"drawing_no": "D1", "verified_extraction": {"P1": "600x500"}}')
     assert stores.read_examples(spark, str(a)).where("drawing_no is not null").count() == 1
     stores.write_table(rows, str(tmp_path / "out"), by="fingerprint")
