@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import rounded
+from plumbline.functions.numbers import g_format, rounded
 
 c = F.col
 #: The rules in order, with their parameters' defaults (m, except coats and thickness_mm).
@@ -83,10 +83,27 @@ def derived(slabs: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def explanation() -> Column:
-    """How a derived number came about, in words."""
-    size = F.concat(F.format_number("length_m", 3), F.lit(" x "), F.format_number("width_m", 3))
-    terms = F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ", ")
-    return F.concat(c("rule_key"), F.lit(" of slab "), size, F.lit(" with "), terms)
+    """the sum that a derived number comes from, written out with its result."""
+    p = lambda key: c("params")[key]
+    g = lambda x: g_format(x.cast("double"))
+    length, width, thick = c("length_m"), c("width_m"), c("thickness_m")
+    total = lambda x, unit: F.concat(F.lit(" = "), F.format_number(x, 2), F.lit(f" {unit}"))
+    wider = lambda key: F.concat(F.lit("("), g(length), F.lit(" + 2x"), g(p(key)), F.lit(") x ("), g(width), F.lit(" + 2x"), g(p(key)), F.lit(") x "))
+    area = F.concat(g(length), F.lit(" x "), g(width))
+    ws, off = p("working_space_m"), p("offset_m")
+    depth = thick + p("blinding_thickness_m") + p("fill_thickness_m")
+    panel = F.greatest(p("panel_size_m"), F.lit(0.5))
+    across, along = F.greatest(F.ceil(length / panel) - 1, F.lit(0)), F.greatest(F.ceil(width / panel) - 1, F.lit(0))
+    run = 2 * (length + width)
+    return (
+        F.when(c("rule_key") == "excavation", F.concat(wider("working_space_m"), F.lit("("), g(thick), F.lit(" slab + "), g(p("blinding_thickness_m")), F.lit(" blinding + "), g(p("fill_thickness_m")), F.lit(" fill)"), total((length + 2 * ws) * (width + 2 * ws) * depth, "m3")))
+        .when(c("rule_key") == "blinding", F.concat(wider("offset_m"), g(p("thickness_m")), total((length + 2 * off) * (width + 2 * off) * p("thickness_m"), "m3")))
+        .when(c("rule_key") == "fill", F.concat(area, F.lit(" x "), g(p("thickness_m")), total(length * width * p("thickness_m"), "m3")))
+        .when(c("rule_key") == "liner", F.concat(area, total(length * width, "m2"), F.lit(" at "), g(p("thickness_mm")), F.lit(" mm")))
+        .when(c("rule_key") == "epoxy", F.concat(F.lit("top surface "), area, total(length * width, "m2"), F.lit(" x "), p("coats").cast("int").cast("string"), F.lit(" coats")))
+        .when(c("rule_key") == "curb", F.concat(F.lit("perimeter 2 x ("), g(length), F.lit(" + "), g(width), F.lit(")"), total(run, "m"), F.lit(" at "), g(p("height_m")), F.lit(" high x "), g(p("thickness_m")), F.lit(" thick")))
+        .when(c("rule_key") == "joints", F.concat(g(panel), F.lit(" m panels: "), across.cast("string"), F.lit(" joint(s) x "), g(width), F.lit(" m + "), along.cast("string"), F.lit(" x "), g(length), total(across * width + along * length, "m")))
+    )
 
 
 def apply_derived(existing: DataFrame, new: DataFrame) -> DataFrame:

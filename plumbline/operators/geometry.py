@@ -13,6 +13,7 @@ c = F.col
 SHEET = ["drawing_id", "page"]
 # Thresholds of the sheet reader, in points unless named otherwise.
 ROUTE_CHARS, ROUTE_SPANS = 1500, 60
+UPRIGHT = 0.9  # the least x of a direction that counts as horizontal
 LINE_STEP, BLOCK_GAP, BLOCK_OVERLAP = 0.6, 1.9, -1.0
 PAD_X, PAD_Y = 26.0, 9.0
 GRID_BAND, GRID_GAP, GRID_DEFAULT, GRID_LABEL_PT = 0.02, 0.012, 16, (3, 30)
@@ -33,7 +34,7 @@ def visual_lines(spans: DataFrame) -> DataFrame:
 
     In order of height on the sheet, a step of more than LINE_STEP of the last span's height starts a line.
     """
-    s = spans.where(F.trim("text") != "").withColumn("rotated", c("dir_x") < 0.9).withColumn("row", rounded(c("y0"), 1))
+    s = spans.where(F.trim("text") != "").withColumn("rotated", c("dir_x") < UPRIGHT).withColumn("row", rounded(c("y0"), 1))
     w = Window.partitionBy(*SHEET, "rotated").orderBy("row", "x0", "span_id")
     step = F.abs(c("y0") - F.lag("y0").over(w)) > LINE_STEP * F.greatest(F.lag(c("y1") - c("y0")).over(w), F.lit(1.0))
     s = s.withColumn("line", F.sum(F.when(step, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -46,8 +47,10 @@ def stack_blocks(lines: DataFrame, band: float = 60.0) -> DataFrame:
     """Lines (drawing_id, page, line_id, text, x0, y0, x1, y1) with ``block``: lines stacked closely over each other.
 
     A line hangs on the nearest line above that overlaps it sideways and is no more than BLOCK_GAP line heights away.
-    Lines meet by bands of height, not by pairs of a sheet; components of the hanging links are the blocks.
+    Rotated lines (where ``rotated`` says so) belong to no block. Lines meet by bands of height, not by pairs of a sheet; components of the hanging links are the blocks.
     """
+    if "rotated" in lines.columns:
+        lines = lines.where(~F.coalesce("rotated", F.lit(False))).drop("rotated")
     up = lines.select(*SHEET, c("line_id").alias("u"), c("x0").alias("ux0"), c("x1").alias("ux1"), c("y1").alias("uy1"), F.floor(c("y1") / band).alias("b"))
     up = up.unionByName(up.withColumn("b", c("b") + 1))
     low = lines.select(*SHEET, "line_id", "x0", "x1", "y0", (c("y1") - c("y0")).alias("h"), F.floor(c("y0") / band).alias("b"))
@@ -59,8 +62,9 @@ def stack_blocks(lines: DataFrame, band: float = 60.0) -> DataFrame:
 
 
 def label_lines(spans: DataFrame) -> DataFrame:
-    """C4: every span as its own line, never joined sideways."""
-    return spans.where(F.trim("text") != "").select(*SHEET, c("span_id").alias("line_id"), "text", "x0", "y0", "x1", "y1")
+    """C4: every span as its own line, never joined sideways, its whitespace folded; ``rotated`` where it runs off the horizontal."""
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return spans.where(F.trim("text") != "").select(*SHEET, c("span_id").alias("line_id"), text.alias("text"), "x0", "y0", "x1", "y1", (c("dir_x") < UPRIGHT).alias("rotated"))
 
 
 def label_blocks(spans: DataFrame) -> DataFrame:

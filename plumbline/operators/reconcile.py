@@ -60,10 +60,10 @@ def pedestals_from_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def grade_slabs_from_replies(replies: DataFrame) -> DataFrame:
-    """Slabs, thickness and level from raw_text where the reply leaves them out; unusable ones are marked with their reason."""
+    """Slabs, always GS-01 (a sheet has one; the reply's own tag isn't trusted), thickness and level from raw_text where the reply leaves them out; unusable ones are marked with their reason."""
     num = lambda x: c(x).try_cast("double")
     t = F.coalesce(num("thickness_mm"), parse_thickness(c("raw_text")))
-    out = replies.select("drawing_id", F.coalesce(F.nullif("tag", F.lit("")), F.lit("GS-01")).alias("tag"), num("length_mm").alias("length_mm"), num("width_mm").alias("width_mm"), t.alias("thickness_mm"), F.coalesce(F.nullif("toc_level", F.lit("")), parse_toc(c("raw_text"))).alias("toc_level"), F.when(F.coalesce("raw_text", F.lit("")) != "", "medium").otherwise("low").alias("confidence"))
+    out = replies.select("drawing_id", F.lit("GS-01").alias("tag"), num("length_mm").alias("length_mm"), num("width_mm").alias("width_mm"), t.alias("thickness_mm"), F.coalesce(F.nullif("toc_level", F.lit("")), parse_toc(c("raw_text"))).alias("toc_level"), F.when(F.coalesce("raw_text", F.lit("")) != "", "medium").otherwise("low").alias("confidence"))
     ok = validate_grade_slab(c("length_mm"), c("width_mm"), c("thickness_mm"))
     return out.withColumn("usable", ok["ok"]).withColumn("reason", ok["reason"])
 
@@ -75,8 +75,8 @@ def tag_number(tag: Column) -> Column:
 def reconcile(sightings: DataFrame) -> DataFrame:
     """One row for each (drawing, tag): the most frequent size and quantity, first seen winning ties, among validated sightings if there are any.
 
-    Regions are those of all sightings. Different readings make the confidence low; validated agreement of several
-    regions makes it high. Sightings are counted by reading before the best is chosen, so a tag that is seen
+    Regions are those of all sightings. Different readings, and readings that no grammar has validated, make the
+    confidence low; validated agreement of several regions makes it high. Sightings are counted by reading before the best is chosen, so a tag that is seen
     everywhere costs one partial count a task.
     """
     key = ["drawing_id", "tag"]
@@ -85,7 +85,7 @@ def reconcile(sightings: DataFrame) -> DataFrame:
     by = by.withColumn("any_valid", F.max("validated").over(w)).withColumn("all_regions", F.array_sort(F.array_distinct(F.flatten(F.collect_list("regions").over(w)))))
     by = by.where(~c("any_valid") | c("validated"))
     by = by.withColumn("readings", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "first_seq")))
-    conf = F.when(c("readings") > 1, "low").when(c("validated") & (F.size("all_regions") > 1), "high").otherwise("medium")
+    conf = F.when(c("readings") > 1, "low").when(c("validated") & (F.size("all_regions") > 1), "high").when(c("validated"), "medium").otherwise("low")
     return by.where("k = 1").select(*key, "length_mm", "width_mm", "quantity", "validated", "first_seq", F.array_join("all_regions", ", ").alias("regions"), conf.alias("confidence"), (c("readings") > 1).alias("disagreed"), tag_number(c("tag")).alias("tag_no"))
 
 
@@ -98,16 +98,36 @@ def vote_location(sightings: DataFrame) -> DataFrame:
     return top.select("drawing_id", "tag", F.when(tied, "").otherwise(c("grid_ref")).alias("place"), tied.alias("tied"))
 
 
+def quoted(text: Column) -> Column:
+    """Text in single quotes, in double ones if it holds a single one."""
+    q = F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), '"').otherwise("'")
+    return F.concat(q, text, q)
+
+
 def plan_merge(existing: DataFrame, fields: DataFrame, found: DataFrame) -> DataFrame:
-    """(drawing_id, what, action, detail): title fields are added where empty, elements where their tag is new (without case), slabs that can't be used are rejected.
+    """(drawing_id, what, target, action, detail) of every field and element read: added, skipped or rejected, and why.
 
-    existing: (drawing_id, kind, tag); fields: (drawing_id, field, current, read); found: (drawing_id, kind, tag, usable).
+    existing: (drawing_id, kind, tag); fields: (drawing_id, field, current, read); found: (drawing_id, kind, tag, length_mm,
+    width_mm, height_mm, thickness_mm, quantity). Fields are added where the project has none; slabs that lack a size are
+    rejected, whether their tag is there or not; then elements whose tag is there (without case) are skipped. The
+    detail of what is added tells its size in m, that of what is not the reason.
     """
-    f = fields.where(F.coalesce("read", F.lit("")) != "").select("drawing_id", c("field").alias("what"), F.when(F.coalesce("current", F.lit("")) == "", "add").otherwise("skip").alias("action"), c("read").alias("detail"))
+    f = fields.where(F.coalesce("read", F.lit("")) != "")
+    keeps = F.coalesce("current", F.lit("")) != ""
+    f = f.select("drawing_id", F.lit("field").alias("what"), c("field").alias("target"), F.when(keeps, "skip").otherwise("add").alias("action"), F.when(keeps, F.concat(F.lit("keeping "), quoted(c("current")), F.lit(", extraction said "), quoted(c("read")))).otherwise(c("read")).alias("detail"))
     have = existing.select("drawing_id", "kind", F.upper("tag").alias("up"), F.lit(True).alias("there")).distinct()
     e = found.withColumn("up", F.upper("tag")).join(have, ["drawing_id", "kind", "up"], "left")
-    e = e.select("drawing_id", c("kind").alias("what"), F.when(c("there"), "skip").when(~c("usable"), "reject").otherwise("add").alias("action"), c("tag").alias("detail"))
-    return f.unionByName(e)
+    slab, m = c("kind") == "grade_slab", lambda x: F.replace(F.format_number(x / 1000, 3), F.lit(","), F.lit(""))
+    lacks = F.lit(False)
+    for n in ("length_mm", "width_mm", "thickness_mm"):
+        lacks = lacks | (F.coalesce(c(n), F.lit(0.0)) == 0)
+    no_height = F.coalesce("height_mm", F.lit(0.0)) == 0
+    third = F.when(slab, c("thickness_mm")).when(no_height, F.lit(1000 * PLACEHOLDER_M)).otherwise(c("height_mm"))
+    size = F.concat_ws(" x ", m(c("length_mm")), m(c("width_mm")), m(third))
+    added = F.when(slab, F.concat(size, F.lit(" m"))).otherwise(F.concat(size, F.lit(" m, "), c("quantity").cast("string"), F.lit(" Nos"), F.when(no_height, f"  [height is a {PLACEHOLDER_M:.3f} m PLACEHOLDER]").otherwise("")))
+    action = F.when(slab & lacks, "reject").when(c("there"), "skip").otherwise("add")
+    detail = F.when(action == "reject", "incomplete dimensions").when(action == "skip", "already entered — extraction ignored").otherwise(added)
+    return f.unionByName(e.select("drawing_id", c("kind").alias("what"), c("tag").alias("target"), action.alias("action"), detail.alias("detail")))
 
 
 def plan_warnings(existing: DataFrame, pedestals: DataFrame, slabs: DataFrame) -> DataFrame:

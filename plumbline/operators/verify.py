@@ -82,19 +82,39 @@ def accuracy(classified: DataFrame) -> DataFrame:
     return g.withColumn("pct", rounded(100 * c("n_right") / F.greatest(c("n_reviewed"), F.lit(1)), 1))
 
 
+def is_pedestal(item: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(item, F.lit("")))) == "pedestal"
+
+
 def unparsed_callouts(classified: DataFrame) -> DataFrame:
-    """L4: corrected pedestal rows whose callout the grammar can't read."""
-    return classified.where((c("item") == "Pedestal") & c("changed") & (F.coalesce("callout", F.lit("")) != "") & parse_pedestal(c("callout")).isNull())
+    """L4: corrected pedestal rows (without case) whose callout the grammar can't read."""
+    return classified.where(is_pedestal(c("item")) & c("changed") & (F.trim(F.coalesce("callout", F.lit(""))) != "") & parse_pedestal(c("callout")).isNull())
 
 
 def bank_examples(classified: DataFrame) -> DataFrame:
-    """Drawings with a number and reviewed pedestals of which none was changed: how many, who signed first, and the pedestals as read."""
-    p = classified.where((c("item") == "Pedestal") & (F.coalesce("drawing_no", F.lit("")) != ""))
-    g = p.groupBy("drawing_no").agg(F.count_if(c("reviewed")).alias("n_reviewed"), F.max("changed").alias("any_changed"), F.min_by("verified_by", F.when(F.trim(F.coalesce("verified_by", F.lit(""))) != "", c("row_no"))).alias("verified_by"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
-    return g.where("n_reviewed > 0 and not any_changed").drop("any_changed")
+    """(source, drawing_no, n_pedestals, verified_by, pedestals) of the sheets worth keeping as examples.
+
+    A sheet of a review with a number is kept if it has reviewed pedestals, none of them changed, and the grammar reads
+    the callout of at least one. Its pedestals are those callouts as read, in order of their rows; rows that nobody
+    reviewed count for nothing. ``verified_by`` is the first name among the reviewed rows, else "expert review".
+    """
+    p = classified.where(is_pedestal(c("item")) & c("reviewed") & (F.coalesce("drawing_no", F.lit("")) != "")).withColumn("p", parse_pedestal(c("callout")))
+    shown = F.concat(c("p.tag"), F.lit(" "), g_format(c("p.length_mm")), F.lit("x"), g_format(c("p.width_mm")), F.lit(" "), c("p.quantity").cast("string"), F.lit(" Nos"))
+    who = F.min_by("verified_by", F.when(F.trim(F.coalesce("verified_by", F.lit(""))) != "", c("row_no")))
+    read = F.array_sort(F.collect_list(F.when(c("p").isNotNull(), F.struct("row_no", shown.alias("shown")))))
+    g = p.groupBy("source", "drawing_no").agg(F.max("changed").alias("any_changed"), F.coalesce(who, F.lit("expert review")).alias("verified_by"), read.alias("read"))
+    g = g.where(~c("any_changed") & (F.size("read") > 0))
+    return g.select("source", "drawing_no", F.size("read").alias("n_pedestals"), "verified_by", F.array_join(F.transform("read", lambda x: x["shown"]), "; ").alias("pedestals"))
+
+
+def failed_reviews(files: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(source, failure) of the files (source, readable) that gave nothing: they couldn't be read, or hold no verification rows."""
+    none = files.join(reviews.select("source").distinct(), "source", "left_anti")
+    return none.select("source", F.concat(F.element_at(F.split("source", "/"), -1), F.when(c("readable"), ": no verification rows").otherwise(": can't be read")).alias("failure"))
 
 
-def ingest_reviews(reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accuracy, callouts to look at and examples to bank, of one set of reviews."""
+def ingest_reviews(reviews: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Accuracy, callouts to look at, examples to bank and failures, of one set of reviews; files as in failed_reviews, none without them."""
     rows = classify_rows(reviews)
-    return accuracy(rows), unparsed_callouts(rows), bank_examples(rows)
+    all_files = reviews.select("source", F.lit(True).alias("readable")).distinct() if files is None else files
+    return accuracy(rows), unparsed_callouts(rows), bank_examples(rows), failed_reviews(all_files, reviews)

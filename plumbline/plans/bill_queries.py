@@ -151,24 +151,37 @@ def all_gaps(s, d):
         gaps.gap_placeholder_height(el.where("kind_no = 2")),
         gaps.gap_nothing_priced(dr, el.where("kind_no in (2, 3)"), items),
         gaps.gap_text_sheet_no_slab(routes, slabs(s, d)),
-        gaps.gap_derived(derived(s, d).drop("explanation")),
+        gaps.gap_derived(derived(s, d)),
         gaps.gap_unmeasured(items),
         gaps.gap_marks(table(s, d, "marks")),
         gaps.gap_provenance(routes),
     )
 
 
-GAPS = DERIVED + DRAWINGS + """
-, gap AS (
-  SELECT drawing_id, 'assumed' AS severity, concat('Pedestal ', tag) AS subject, 'height' AS missing, '0.8 m placeholder' AS assumed, 1 AS severity_rank FROM elements WHERE kind_no = 2 AND abs(height_m - 0.8) < 1e-9
-  UNION ALL SELECT dr.drawing_id, 'blocking', 'This sheet', CASE WHEN i.n > 0 THEN 'no pedestal or slab the bill can price' ELSE 'no quantities of any kind' END, coalesce(CAST(i.n AS VARCHAR) || ' item(s) read', ''), 0 FROM dr LEFT JOIN (SELECT drawing_id, count(*) AS n FROM items GROUP BY 1) i ON i.drawing_id = dr.drawing_id WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = dr.drawing_id AND e.kind_no IN (2, 3))
-  UNION ALL SELECT drawing_id, 'blocking', 'Grade slab', 'overall plan extent', '', 0 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 = 0 AND drawing_id NOT IN (SELECT drawing_id FROM slabs)
-  UNION ALL SELECT drawing_id, 'assumed', tag, concat(kind, ' is not printed on the drawing'), '', 1 FROM der
-  UNION ALL SELECT drawing_id, 'confirm', description, basis, '', 2 FROM items WHERE qty IS NULL
-  UNION ALL SELECT drawing_id, 'confirm', 'Element marks', 'how many there actually are', concat('labels counted: ', string_agg(concat(mark, 'x', CAST(n AS VARCHAR)), ', ' ORDER BY concat(mark, 'x', CAST(n AS VARCHAR)))), 2 FROM marks GROUP BY 1
-  UNION ALL SELECT drawing_id, 'note', 'This sheet', '', 'read from its own text layer', 3 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 = 0
-  UNION ALL SELECT drawing_id, 'note', 'This sheet', '', concat('read by the vision model in ', CAST(CAST(drawing_id AS BIGINT) % 4 AS VARCHAR), ' pass(es)'), 3 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 4 > 0
-  UNION ALL SELECT drawing_id, 'assumed', 'Drawing number', 'not read from the title block', 'the filename', 1 FROM dr WHERE number = '')
+# What is derived from slabs, each with its sum written out.
+EXPLAINED = """, ex AS (SELECT *, CASE rule_key
+  WHEN 'excavation' THEN concat('(', format('{:g}', l), ' + 2x0.3) x (', format('{:g}', w), ' + 2x0.3) x (', format('{:g}', t), ' slab + 0.075 blinding + 0.15 fill) = ', printf('%.2f', (l + 0.6::DOUBLE) * (w + 0.6::DOUBLE) * (t + 0.075::DOUBLE + 0.15::DOUBLE)), ' m3')
+  WHEN 'blinding' THEN concat('(', format('{:g}', l), ' + 2x0.1) x (', format('{:g}', w), ' + 2x0.1) x 0.075 = ', printf('%.2f', (l + 0.2::DOUBLE) * (w + 0.2::DOUBLE) * 0.075::DOUBLE), ' m3')
+  WHEN 'fill' THEN concat(format('{:g}', l), ' x ', format('{:g}', w), ' x 0.15 = ', printf('%.2f', l * w * 0.15::DOUBLE), ' m3')
+  WHEN 'liner' THEN concat(format('{:g}', l), ' x ', format('{:g}', w), ' = ', printf('%.2f', l * w), ' m2 at 1.5 mm')
+  WHEN 'epoxy' THEN concat('top surface ', format('{:g}', l), ' x ', format('{:g}', w), ' = ', printf('%.2f', l * w), ' m2 x 2 coats')
+  WHEN 'curb' THEN concat('perimeter 2 x (', format('{:g}', l), ' + ', format('{:g}', w), ') = ', printf('%.2f', 2 * (l + w)), ' m at 0.15 high x 0.15 thick')
+  ELSE concat('5 m panels: ', CAST(na AS BIGINT), ' joint(s) x ', format('{:g}', w), ' m + ', CAST(nl AS BIGINT), ' x ', format('{:g}', l), ' = ', printf('%.2f', na * w + nl * l), ' m') END AS explanation
+  FROM (SELECT drawing_id, length_m AS l, width_m AS w, thickness_m AS t, greatest(ceil(length_m / 5.0::DOUBLE) - 1, 0) AS na, greatest(ceil(width_m / 5.0::DOUBLE) - 1, 0) AS nl, k.rule_key, k.kind, concat(k.prefix, tag) AS tag FROM slabs, (VALUES ('excavation', 'excavation', 'EXC-'), ('fill', 'compacted_soil', 'FILL-'),
+    ('blinding', 'pcc_blinding', 'PCC-'), ('liner', 'hdpe_liner', 'HDPE-'), ('epoxy', 'epoxy_coating', 'EP-'), ('curb', 'curb_wall', 'CW-'), ('joints', 'joint', 'CJ-')) k(rule_key, kind, prefix)) WHERE rule_key <> 'joints' OR na * w + nl * l > 0)
+"""
+GAPS = DERIVED + DRAWINGS + EXPLAINED + """, gap0 AS (
+  SELECT drawing_id, 'assumed' AS severity, concat('Pedestal ', tag) AS subject, 'height — the callout gives a footprint only' AS missing, '0.8 m placeholder' AS assumed, 'concrete volume, formwork area, rebar weight' AS affects, 'the Pedestals grid on this page, or the Pedestals sheet' AS fix, 1 AS severity_rank FROM elements WHERE kind_no = 2 AND abs(height_m - 0.8) < 1e-9
+  UNION ALL SELECT dr.drawing_id, 'blocking', 'This sheet', CASE WHEN i.n > 0 THEN 'no pedestal or slab the bill can price' ELSE 'no quantities of any kind' END, coalesce(CAST(i.n AS VARCHAR) || ' item(s) read from the drawing''s own wording', ''), CASE WHEN i.n > 0 THEN 'the priced sheets are empty; the Drawing_Items sheet is not' ELSE 'nothing is priced from this drawing' END,
+    CASE WHEN i.n > 0 THEN 'enter the element on the Input page if it belongs to this sheet' ELSE 'check the extraction, or re-run with profile=''sweep''' END, 0 FROM dr LEFT JOIN (SELECT drawing_id, count(*) AS n FROM items GROUP BY 1) i ON i.drawing_id = dr.drawing_id WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = dr.drawing_id AND e.kind_no IN (2, 3))
+  UNION ALL SELECT drawing_id, 'blocking', 'Grade slab', 'overall plan extent — a dimension string without the plan around it says nothing', '', 'excavation, blinding, liner, coating and joints, all of which follow from slab geometry', 'measure it off the sheet and add it on the Input page', 0 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 = 0 AND drawing_id NOT IN (SELECT drawing_id FROM slabs)
+  UNION ALL SELECT drawing_id, 'assumed', tag, concat(kind, 's is not printed on the drawing'), explanation, kind || 's', 'the derivation rules above, or the Derivation sheet', 1 FROM ex
+  UNION ALL SELECT drawing_id, 'confirm', description, basis, '', 'its own line, in ' || uom, 'the Drawing_Items sheet — type the figure and it prices itself', 2 FROM items WHERE qty IS NULL
+  UNION ALL SELECT drawing_id, 'confirm', 'Element marks', 'how many of each element there actually are', concat('labels counted on the sheet: ', string_agg(concat(mark, 'x', CAST(n AS VARCHAR)), ', ' ORDER BY concat(mark, 'x', CAST(n AS VARCHAR)))), 'nothing yet — these are not priced', 'count them against the plan; an element drawn in both plan and section is labelled twice', 2 FROM marks GROUP BY 1
+  UNION ALL SELECT drawing_id, 'note', 'This sheet', '', 'read from the drawing''s own text layer, so the characters are exact and no model was involved', '', '', 3 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 = 0
+  UNION ALL SELECT drawing_id, 'note', 'This sheet', '', concat('read by the vision model in ', CAST(CAST(drawing_id AS BIGINT) % 4 AS VARCHAR), ' pass(es) — every value is an OCR reading'), '', 'mark up the Verification sheet against the check print', 3 FROM dr WHERE CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 4 > 0
+  UNION ALL SELECT drawing_id, 'assumed', 'Drawing number', 'not read from the title block', 'the filename', 'which sheet every quantity is attributed to', 'the Project details box on this page', 1 FROM dr WHERE number = ''),
+gap AS (SELECT *, '' AS source, CASE severity_rank WHEN 0 THEN 'Not priced' WHEN 1 THEN 'Assumed — check before pricing' WHEN 2 THEN 'Needs one figure from you' ELSE 'For information' END AS label FROM gap0)
 """
 
 SUMMARY = "SELECT category, item, unit, drawing_id, round(sum(qty_gross), 3) AS qty FROM bill GROUP BY 1, 2, 3, 4"
@@ -246,6 +259,7 @@ QUERIES = {
     "filter_lines": lambda s, d: setviews.filter_lines(setviews.line_rows(lines(s, d), table(s, d, "items")), ["1", "7", "32", "39"], ["BOQ"]),
     "apply_selection": lambda s, d: (lambda rows: setviews.apply_selection(rows, setviews.default_selection(rows).where("key not like '%|7|%'")))(setviews.line_rows(lines(s, d), table(s, d, "items"))),
     "gap_report": all_gaps,
+    "explained_elements": lambda s, d: derived(s, d).select("drawing_id", "rule_key", "kind", "tag", "explanation"),
     "gap_headline": lambda s, d: gaps.gap_headline(all_gaps(s, d)),
     "rebuild_set": lambda s, d: rebuild_set(table(s, d, "sightings"), slabs(s, d), table(s, d, P), all_rules(s)),
     "rebuild_readings": lambda s, d: rebuilt(s, d)[0],
@@ -338,7 +352,10 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
     "filter_lines": sql(ROWS + "SELECT * FROM rowsx WHERE drawing_id IN ('1', '7', '32', '39') AND source = 'BOQ'", "items"),
     "apply_selection": sql(ROWS + "SELECT * FROM rowsx WHERE source = 'BOQ' AND key NOT LIKE '%|7|%'", "items"),
     "gap_report": sql(GAPS + "SELECT * FROM gap", "items", "marks"),
-    "gap_headline": sql(GAPS + "SELECT drawing_id, count(*) FILTER (severity = 'blocking') AS n_blocking, count(*) FILTER (severity = 'assumed') AS n_assumed, count(*) FILTER (severity = 'confirm') AS n_confirm, count(*) FILTER (severity = 'note') AS n_note, count(*) FILTER (severity <> 'note') AS needs_attention FROM gap GROUP BY 1", "items", "marks"),
+    "gap_headline": sql(GAPS + """, hl AS (SELECT drawing_id, count(*) FILTER (severity = 'blocking') AS n_blocking, count(*) FILTER (severity = 'assumed') AS n_assumed, count(*) FILTER (severity = 'confirm') AS n_confirm, count(*) FILTER (severity = 'note') AS n_note, count(*) FILTER (severity <> 'note') AS needs_attention FROM gap GROUP BY 1)
+SELECT *, CASE WHEN needs_attention = 0 THEN 'Every quantity in this workbook was read from the drawing. Check it anyway before pricing.' ELSE 'This bill is usable and incomplete: ' || concat_ws('; ', CASE WHEN n_assumed > 0 THEN n_assumed || ' quantity(ies) rest on an assumption' END, CASE WHEN n_confirm > 0 THEN n_confirm || ' item(s) need one figure from you' END,
+  CASE WHEN n_blocking > 0 THEN n_blocking || ' could not be priced at all' END) || '. Each one is listed below with what to do about it.' END AS headline FROM hl""", "items", "marks"),
+    "explained_elements": sql(DERIVED + EXPLAINED + "SELECT drawing_id, rule_key, kind, tag, explanation FROM ex"),
     "readiness": sql(DRAWINGS + """, rd AS (SELECT dr.drawing_id, dr.number, count(e.drawing_id) AS n_elements, count(*) FILTER (e.kind_no = 2 AND abs(e.height_m - 0.8) < 1e-9) AS n_placeholders, count(DISTINCT e.kind_no) FILTER (e.kind_no IN (0, 1, 2, 3)) AS cr, count(DISTINCT e.kind_no) FILTER (e.kind_no IN (5, 8, 9, 10, 11)) AS ex
   FROM dr LEFT JOIN elements e ON e.drawing_id = dr.drawing_id GROUP BY 1, 2)
 SELECT drawing_id, n_elements, n_placeholders, CAST(round(100 * (0.75::DOUBLE * cr / 4 + 0.25::DOUBLE * ex / 5), 0) AS INT) AS score, concat_ws('; ', CASE WHEN number = '' THEN 'no drawing number' END, CASE WHEN n_placeholders > 0 THEN concat(CAST(n_placeholders AS VARCHAR), ' placeholder height(s)') END) AS blockers FROM rd"""),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import ensure_checkpoint_dir
 from plumbline.functions.numbers import rounded, tolerant
 from plumbline.operators import bill, derive, discovery, geometry, grammar, reconcile, telemetry, verify
-from plumbline.sources import stores
+from plumbline.sources import stores, versions
 from plumbline.sources.synth import table, with_tables
 
 from . import discovery_sql
@@ -132,9 +135,58 @@ def provenance_lines(s, d):
 def plan(s, d):
     p = table(s, d, "projects")
     fields = p.select("drawing_id", F.lit("revision").alias("field"), c("revision").alias("current"), F.lit("D01").alias("read"))
-    have = table(s, d, "elements").where("kind_no = 2").select("drawing_id", F.lit("pedestal").alias("kind"), "tag")
-    found = reconcile.reconcile(table(s, d, "sightings")).select("drawing_id", F.lit("pedestal").alias("kind"), F.lower("tag").alias("tag"), (c("quantity") == 2).alias("usable"))
-    return reconcile.plan_merge(have, fields, found)
+    e = table(s, d, "elements")
+    have = e.where("kind_no in (2, 3) and pos % 2 = 1").select("drawing_id", F.when(c("kind_no") == 2, "pedestal").otherwise("grade_slab").alias("kind"), "tag")
+    null = F.lit(None)
+    peds = voted(s, d).select("drawing_id", F.lit("pedestal").alias("kind"), F.lower("tag").alias("tag"), "length_mm", "width_mm", "height_mm", null.cast("double").alias("thickness_mm"), "quantity")
+    slabs = e.where("kind_no = 3").select("drawing_id", F.lit("grade_slab").alias("kind"), F.lower("tag").alias("tag"), (c("quantity") * 100.5).alias("length_mm"), (c("quantity") % 3 * 1000.0).alias("width_mm"), null.cast("double").alias("height_mm"), F.lit(250.0).alias("thickness_mm"), null.cast("int").alias("quantity"))
+    return reconcile.plan_merge(have, fields, peds.unionByName(slabs))
+
+
+def files_of(s, d):
+    """Files in two folders, some of them twice by content, some hidden; the first folder comes first."""
+    k = c("o_orderkey")
+    name = F.concat(F.when(k % 13 == 0, ".").otherwise(""), F.lit("sheet_"), k.cast("string"), F.lit(".pdf"))
+    return table(s, d, "orders").select(F.concat(F.when(k % 2 == 0, "b/").otherwise("a/"), name).alias("path"), name.alias("name"), (1 - k % 2).cast("int").alias("folder_no"), F.sha2(F.floor(k / 3).cast("string"), 256).alias("sha"))
+
+
+def stored(s, d):
+    """Three changes of a store, the second once more, compacted after the second; what it holds then."""
+    ensure_checkpoint_dir(s)
+    path = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    rows = table(s, d, "orders").select(F.concat(F.lit("fp"), (c("o_orderkey") % 997).cast("string")).alias("fingerprint"), c("o_orderdate").cast("timestamp").alias("saved_at"), c("o_orderkey").alias("body"))
+    for n, batch in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        versions.write_change(rows.where(F.pmod(F.floor(c("body") / 7), F.lit(3)) == n).groupBy("fingerprint", "saved_at").agg(F.max("body").alias("body")), path, batch)
+        if batch == 1:
+            versions.compact(s, path)
+    return versions.read_store(s, path).select("fingerprint", "body")
+
+
+def examples_of(s, d):
+    k = c("o_orderkey")
+    some = F.when(k % 3 == 0, F.create_map(F.lit("P1"), F.concat((k % 9 * 100).cast("string"), F.lit("x500")))).when(k % 3 == 1, F.create_map().cast("map<string,string>"))
+    return table(s, d, "orders").select(F.concat(F.lit("MD-"), k.cast("string")).alias("drawing_no"), some.alias("verified_extraction"), F.concat(F.lit("eng"), (k % 4).cast("string")).alias("verified_by"))
+
+
+def sunk(s, d):
+    """A view written as files with a folder a class, and read again."""
+    ensure_checkpoint_dir(s)
+    path = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/sink-{uuid.uuid4().hex}"
+    stores.write_table(table(s, d, "classifications").select("file_name", "classification"), path, by="classification")
+    return s.read.parquet(path).groupBy("classification").agg(F.count("*").alias("n"), F.min("file_name").alias("first"))
+
+
+def glyph_blocks(s, d):
+    kept = geometry.glyph_filter(table(s, d, "glyphs"))
+    return geometry.text_blocks(geometry.merge_overlaps(kept), kept).select("drawing_id", "page", "x0", "y0", "x1", "y1", "n_glyphs", "height")
+
+
+def failed(s, d):
+    """Files of the reviews, and as many that can't be read; the rows that hold are those of even number."""
+    rows = table(s, d, "reviews")
+    files = rows.select("source", F.lit(True).alias("readable")).distinct()
+    lost = rows.select(F.replace("source", F.lit("review"), F.lit("lost")).alias("source"), F.lit(False).alias("readable")).distinct()
+    return verify.failed_reviews(files.unionByName(lost), rows.where("row_no % 2 = 0"))
 
 
 def calls(s, d):
@@ -187,10 +239,10 @@ def element_rows(s, d):
 
 
 def ingested(s, d):
-    right, look, bank = verify.ingest_reviews(table(s, d, "reviews"))
+    right, look, bank, _ = verify.ingest_reviews(table(s, d, "reviews"))
     rows = right.select(F.lit("accuracy").alias("what"), F.coalesce("item", "drawing", F.lit("all")).alias("name"), c("n_reviewed").cast("long").alias("n"))
     rows = rows.unionByName(look.select(F.lit("look at").alias("what"), c("callout").alias("name"), c("row_no").cast("long").alias("n")))
-    return rows.unionByName(bank.select(F.lit("example").alias("what"), c("drawing_no").alias("name"), c("n_reviewed").cast("long").alias("n")))
+    return rows.unionByName(bank.select(F.lit("example").alias("what"), c("drawing_no").alias("name"), c("n_pedestals").cast("long").alias("n")))
 
 
 def reviewed(s, d):
@@ -220,7 +272,7 @@ seen AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, kind, txt, CASE W
 VOTES = """, by_reading AS (SELECT drawing_id, tag, validated, length_mm, width_mm, quantity, count(*) AS n, min(seq) AS first_seq FROM sightings GROUP BY ALL),
 va AS (SELECT drawing_id, tag, bool_or(validated) AS any_valid, string_agg(DISTINCT region, ', ' ORDER BY region) AS regions, count(DISTINCT region) AS n_regions FROM sightings GROUP BY 1, 2),
 vk AS (SELECT b.*, va.regions, va.n_regions, count(*) OVER (PARTITION BY b.drawing_id, b.tag) AS readings, row_number() OVER (PARTITION BY b.drawing_id, b.tag ORDER BY n DESC, first_seq) AS k FROM by_reading b JOIN va ON va.drawing_id = b.drawing_id AND va.tag = b.tag WHERE NOT any_valid OR validated),
-vote AS (SELECT drawing_id, tag, length_mm, width_mm, quantity, validated, first_seq, regions, CASE WHEN readings > 1 THEN 'low' WHEN validated AND n_regions > 1 THEN 'high' ELSE 'medium' END AS confidence, readings > 1 AS disagreed, CAST(regexp_extract(tag, '(\\d+)', 1) AS INT) AS tag_no FROM vk WHERE k = 1)
+vote AS (SELECT drawing_id, tag, length_mm, width_mm, quantity, validated, first_seq, regions, CASE WHEN readings > 1 THEN 'low' WHEN validated AND n_regions > 1 THEN 'high' WHEN validated THEN 'medium' ELSE 'low' END AS confidence, readings > 1 AS disagreed, CAST(regexp_extract(tag, '(\\d+)', 1) AS INT) AS tag_no FROM vk WHERE k = 1)
 """
 CROPS = """, rp AS (SELECT drawing_id, montage, CASE WHEN json_valid(reply) THEN reply END AS j FROM replies),
 cr AS (SELECT drawing_id, montage, unnest(range(0, CAST(json_array_length(j, '$.crops') AS BIGINT))) AS i, j FROM rp WHERE json_type(j) = 'OBJECT'),
@@ -309,6 +361,12 @@ QUERIES = {
     "accuracy": lambda s, d: verify.accuracy(reviewed(s, d)),
     "unparsed_callouts": lambda s, d: verify.unparsed_callouts(reviewed(s, d)).select("row_no", "callout"),
     "bank_examples": lambda s, d: verify.bank_examples(reviewed(s, d)),
+    "failed_reviews": failed,
+    "scan_drawings": lambda s, d: stores.distinct_drawings(files_of(s, d)).select("path", "name", "folder_no", "sha"),
+    "store_extractions": stored,
+    "read_examples": lambda s, d: stores.verified_examples(examples_of(s, d)).select("drawing_no", F.to_json("verified_extraction").alias("verified"), "verified_by"),
+    "write_table": sunk,
+    "text_blocks": glyph_blocks,
     "dedupe_requests": lambda s, d: telemetry.dedupe_requests(table(s, d, "jobs").where("position % 3 = 1").select(c("position").alias("seq"), "owner", "drawing_path", "page"), table(s, d, "jobs")),
     "latest_by_drawing": lambda s, d: telemetry.latest_by_drawing(table(s, d, "jobs")).select("drawing_path", "page", "job_id", "state"),
     "job_summary": lambda s, d: telemetry.job_summary(table(s, d, "jobs"), F.lit(NOW).cast("timestamp")),
@@ -387,14 +445,30 @@ SELECT q_no, e_no, tier, distance, rank FROM (SELECT *, row_number() OVER (PARTI
     "truncated_replies": sql("replies", CROPS + "SELECT drawing_id, montage, 2 AS sent, count(*) AS returned, 2 - count(*) AS missing FROM cp GROUP BY 1, 2 HAVING count(*) < 2"),
     "reconcile": sql("sightings", VOTES + "SELECT * FROM vote"),
     "vote_location": sql("sightings", ", gv AS (SELECT drawing_id, tag, grid_ref, count(*) AS n FROM sightings WHERE grid_ref <> '' GROUP BY 1, 2, 3), gt AS (SELECT drawing_id, tag, max(n) AS m FROM gv GROUP BY 1, 2) SELECT gt.drawing_id, gt.tag, CASE WHEN count(*) > 1 THEN '' ELSE min(grid_ref) END AS place, count(*) > 1 AS tied FROM gt JOIN gv ON gv.drawing_id = gt.drawing_id AND gv.tag = gt.tag AND gv.n = gt.m GROUP BY 1, 2"),
-    "plan_merge": sql("sightings projects elements", VOTES + "SELECT drawing_id, 'revision' AS what, CASE WHEN revision = '' THEN 'add' ELSE 'skip' END AS action, 'D01' AS detail FROM projects UNION ALL SELECT v.drawing_id, 'pedestal', CASE WHEN EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = v.drawing_id AND e.kind_no = 2 AND e.tag = v.tag) THEN 'skip' WHEN quantity <> 2 THEN 'reject' ELSE 'add' END, lower(v.tag) FROM vote v"),
+    "plan_merge": sql("sightings projects elements", VOTES + """, have AS (SELECT DISTINCT drawing_id, kind_no, upper(tag) AS up FROM elements WHERE kind_no IN (2, 3) AND pos % 2 = 1)
+SELECT drawing_id, 'field' AS what, 'revision' AS target, CASE WHEN revision = '' THEN 'add' ELSE 'skip' END AS action, CASE WHEN revision = '' THEN 'D01' ELSE 'keeping ''' || revision || ''', extraction said ''D01''' END AS detail FROM projects
+UNION ALL SELECT v.drawing_id, 'pedestal', lower(v.tag), CASE WHEN h.up IS NULL THEN 'add' ELSE 'skip' END, CASE WHEN h.up IS NOT NULL THEN 'already entered — extraction ignored' ELSE printf('%.3f', v.length_mm / 1000) || ' x ' || printf('%.3f', v.width_mm / 1000) || ' x ' || CASE WHEN first_seq % 2 = 1 THEN '0.900' ELSE '0.800' END || ' m, ' || quantity || ' Nos' || CASE WHEN first_seq % 2 = 1 THEN '' ELSE '  [height is a 0.800 m PLACEHOLDER]' END END
+  FROM vote v LEFT JOIN have h ON h.drawing_id = v.drawing_id AND h.kind_no = 2 AND h.up = upper(v.tag)
+UNION ALL SELECT e.drawing_id, 'grade_slab', lower(e.tag), CASE WHEN quantity % 3 = 0 THEN 'reject' WHEN h.up IS NOT NULL THEN 'skip' ELSE 'add' END, CASE WHEN quantity % 3 = 0 THEN 'incomplete dimensions' WHEN h.up IS NOT NULL THEN 'already entered — extraction ignored' ELSE printf('%.3f', quantity * 100.5 / 1000) || ' x ' || (quantity % 3) || '.000 x 0.250 m' END
+  FROM elements e LEFT JOIN have h ON h.drawing_id = e.drawing_id AND h.kind_no = 3 AND h.up = upper(e.tag) WHERE e.kind_no = 3"""),
     "merge_into_project": sql("sightings elements", VOTES + "SELECT drawing_id, lower(tag) AS tag, round(length_m, 3) AS length_m, round(width_m, 3) AS width_m, height_m, quantity FROM elements WHERE kind_no = 2 UNION ALL SELECT v.drawing_id, v.tag, round(length_mm / 1000, 3), round(width_mm / 1000, 3), 0.8, quantity FROM vote v WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = v.drawing_id AND e.kind_no = 2 AND e.tag = v.tag)"),
     "extraction_summary": sql("jobs", CALLS + "SELECT drawing_id, count(*) FILTER (NOT skipped AND error = '') AS calls, round(coalesce(max(elapsed_s) FILTER (NOT skipped AND error = ''), 0), 2) AS slowest_s, round(coalesce(sum(elapsed_s) FILTER (NOT skipped AND error = ''), 0), 2) AS total_s, count(*) FILTER (skipped) AS skipped, count(*) FILTER (NOT skipped AND error <> '') AS failed FROM k GROUP BY 1"),
     "audit_log": sql("jobs", CALLS + "SELECT job_id, CASE WHEN skipped THEN 'skipped' WHEN error <> '' THEN 'err' ELSE 'ok' END AS status FROM k"),
     "classified_reviews": sql("reviews", REVIEWED + "SELECT row_no, reviewed, changed FROM rv"),
     "accuracy": sql("reviews", REVIEWED + ", rw AS (SELECT *, CASE WHEN drawing_no = '' THEN regexp_replace(split_part(source, '/', -1), '\\.[^.]*$', '') ELSE drawing_no END AS drawing FROM rv WHERE reviewed) SELECT item, drawing, count(*) AS n_reviewed, count(*) FILTER (NOT changed) AS n_right, round(100 * (count(*) FILTER (NOT changed)) / greatest(count(*), 1)::DOUBLE, 1) AS pct FROM rw GROUP BY GROUPING SETS ((item), (drawing), ())"),
     "unparsed_callouts": sql("reviews", REVIEWED + "SELECT row_no, callout FROM rv WHERE item = 'Pedestal' AND changed AND trim(callout) <> '' AND NOT regexp_matches(callout, " + PEDESTAL + ")"),
-    "bank_examples": sql("reviews", REVIEWED + "SELECT drawing_no, count(*) FILTER (reviewed) AS n_reviewed, arg_min(verified_by, row_no) FILTER (verified_by <> '') AS verified_by, string_agg(tag, ',' ORDER BY row_no, tag) AS tags FROM rv WHERE item = 'Pedestal' AND drawing_no <> '' GROUP BY 1 HAVING count(*) FILTER (reviewed) > 0 AND NOT bool_or(changed)"),
+    "bank_examples": sql("reviews", REVIEWED + """, pr AS (SELECT *, regexp_extract(callout, '^(P[0-9]{1,2})[(]([0-9]+)x([0-9]+)[)] ([0-9]+)Nos$', ['t', 'l', 'w', 'n']) AS p FROM rv WHERE lower(trim(item)) = 'pedestal' AND reviewed AND drawing_no <> '')
+SELECT source, drawing_no, CAST(count(*) FILTER (p.t <> '') AS INT) AS n_pedestals, coalesce(arg_min(verified_by, row_no) FILTER (verified_by <> ''), 'expert review') AS verified_by, string_agg(p.t || ' ' || p.l || 'x' || p.w || ' ' || p.n || ' Nos', '; ' ORDER BY row_no) FILTER (p.t <> '') AS pedestals
+FROM pr GROUP BY 1, 2 HAVING NOT bool_or(changed) AND count(*) FILTER (p.t <> '') > 0"""),
+    "label_blocks": sql("spans", """, s AS (SELECT drawing_id, page, span_id, x0, y0, x1, y1 FROM spans WHERE trim(text) <> '' AND dir_x >= 0.9),
+near AS (SELECT a.span_id AS i, b.span_id AS u, abs(a.y0 - b.y1) AS g FROM s a JOIN s b ON a.drawing_id = b.drawing_id AND a.page = b.page AND a.span_id <> b.span_id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 - b.y1 BETWEEN -1.0 AND 1.9 * greatest(a.y1 - a.y0, 8.0)),
+link AS (SELECT i, arg_min(u, (g, u)) AS u FROM near GROUP BY i), e AS (SELECT i, u FROM link UNION SELECT u, i FROM link), r AS (SELECT DISTINCT i, i AS j FROM e UNION SELECT r.i, e.u FROM r JOIN e ON e.i = r.j), low AS (SELECT i, min(j) AS block FROM r GROUP BY i)
+SELECT drawing_id, page, span_id AS line_id, coalesce(low.block, span_id) AS block FROM s LEFT JOIN low ON low.i = s.span_id""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "scan_drawings": "WITH f AS (SELECT concat(CASE WHEN o_orderkey % 2 = 0 THEN 'b/' ELSE 'a/' END, 'sheet_', o_orderkey, '.pdf') AS path, concat('sheet_', o_orderkey, '.pdf') AS name, CAST(1 - o_orderkey % 2 AS INT) AS folder_no, sha256(CAST(CAST(floor(o_orderkey / 3.0) AS BIGINT) AS VARCHAR)) AS sha FROM orders WHERE o_orderkey % 13 <> 0) SELECT arg_min(path, (folder_no, path)) AS path, arg_min(name, (folder_no, path)) AS name, min(folder_no) AS folder_no, sha FROM f GROUP BY sha",
+    "store_extractions": "SELECT concat('fp', o_orderkey % 997) AS fingerprint, arg_max(o_orderkey, (CAST(floor(o_orderkey / 7.0) AS BIGINT) % 3, o_orderdate, o_orderkey)) AS body FROM orders GROUP BY o_orderkey % 997",
+    "read_examples": "SELECT concat('MD-', o_orderkey) AS drawing_no, concat('{\"P1\":\"', o_orderkey % 9 * 100, 'x500\"}') AS verified, concat('eng', o_orderkey % 4) AS verified_by FROM orders WHERE o_orderkey % 3 = 0",
+    "write_table": sql("classifications", "SELECT classification, count(*) AS n, min(file_name) AS first FROM classifications GROUP BY 1"),
+    "failed_reviews": sql("reviews", "SELECT source, substr(source, 5) || ': no verification rows' AS failure FROM reviews GROUP BY source HAVING NOT bool_or(row_no % 2 = 0) UNION ALL SELECT DISTINCT replace(source, 'review', 'lost'), replace(substr(source, 5), 'review', 'lost') || ': can''t be read' FROM reviews"),
     "dedupe_requests": sql("jobs", "SELECT owner, drawing_path, page, min(position) AS seq FROM jobs j WHERE position % 3 = 1 AND NOT EXISTS (SELECT 1 FROM jobs x WHERE x.owner = j.owner AND x.drawing_path = j.drawing_path AND x.page = j.page AND x.state IN ('queued', 'running')) GROUP BY 1, 2, 3"),
     "latest_by_drawing": sql("jobs", LATEST + "SELECT drawing_path, page, job_id, state FROM lt WHERE k = 1"),
     "job_summary": sql("jobs", f""", js AS (SELECT owner, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'cancelled') AS cancelled,
@@ -434,7 +508,7 @@ SELECT job_id, s.state AS state, s.pct AS progress_pct, epoch_us(s.ts) AS starte
     "title_blocks": sql("projects", ", tb AS (SELECT drawing_id, CASE WHEN revision <> '' THEN drawing_no ELSE '' END AS drawing_no, revision, CASE WHEN CAST(drawing_id AS BIGINT) % 3 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d') END AS date, CASE WHEN CAST(drawing_id AS BIGINT) % 2 = 0 THEN project_name ELSE '' END AS project_name FROM projects) SELECT *, CASE WHEN (drawing_no <> '')::INT + (revision <> '')::INT + (date <> '')::INT + (project_name <> '')::INT >= 3 THEN 'high' WHEN (drawing_no <> '')::INT + (revision <> '')::INT + (date <> '')::INT + (project_name <> '')::INT = 2 THEN 'medium' ELSE 'low' END AS confidence FROM tb"),
     "reply_pedestals": sql("lines", LINES + REPLIES + "SELECT drawing_id, seq, tag, length_mm, width_mm, height_mm, quantity, validated, disagrees FROM rp WHERE reason IS NULL"),
     "reply_rejects": sql("lines", LINES + REPLIES + "SELECT drawing_id, seq, tag, reason FROM rp WHERE reason IS NOT NULL"),
-    "reply_slabs": sql("lines", """, sl AS (SELECT drawing_id, CASE WHEN line_no % 2 = 0 THEN 'GS-02' ELSE 'GS-01' END AS tag, 1000.0::DOUBLE * (line_no - 1) AS length_mm, 3000.0::DOUBLE AS width_mm, CASE WHEN text LIKE 'TOC%' THEN 250.0::DOUBLE ELSE TRY_CAST(regexp_extract(text, '(\\d{2,4})\\s*THK', 1) AS DOUBLE) END AS thickness_mm, regexp_extract(text, 'TOC\\s*EL\\.?\\s*(\\d+\\.\\d+)', 1) AS toc_level, 'medium' AS confidence FROM lines WHERE text LIKE '%GRADE SLAB' OR text LIKE 'TOC%'),
+    "reply_slabs": sql("lines", """, sl AS (SELECT drawing_id, 'GS-01' AS tag, 1000.0::DOUBLE * (line_no - 1) AS length_mm, 3000.0::DOUBLE AS width_mm, CASE WHEN text LIKE 'TOC%' THEN 250.0::DOUBLE ELSE TRY_CAST(regexp_extract(text, '(\\d{2,4})\\s*THK', 1) AS DOUBLE) END AS thickness_mm, regexp_extract(text, 'TOC\\s*EL\\.?\\s*(\\d+\\.\\d+)', 1) AS toc_level, 'medium' AS confidence FROM lines WHERE text LIKE '%GRADE SLAB' OR text LIKE 'TOC%'),
 ch AS (SELECT *, CASE WHEN NOT length_mm BETWEEN 500 AND 500000 THEN 'length_mm' WHEN NOT width_mm BETWEEN 500 AND 500000 THEN 'width_mm' WHEN thickness_mm IS NULL OR NOT thickness_mm BETWEEN 75 AND 2000 THEN 'thickness_mm' END AS bad FROM sl)
 SELECT * EXCLUDE (bad), bad IS NULL AS usable, coalesce(bad, CASE WHEN length_mm < width_mm THEN 'length < width' ELSE '' END) AS reason FROM ch"""),
     "seeded_rules": sql("lines", LINES + """, fi AS (SELECT drawing_id, arg_min(f1, line_no) FILTER (kind = 'curb_wall') AS ct, arg_min(f2, line_no) FILTER (kind = 'curb_wall') AS chh, arg_min(f1, line_no) FILTER (kind = 'epoxy') AS ep, arg_min(f1, line_no) FILTER (kind = 'blinding') AS bl FROM seen WHERE k = 1 AND kind IN ('curb_wall', 'epoxy', 'blinding') GROUP BY 1),
@@ -442,5 +516,5 @@ du(rule_key, param, value) AS (VALUES %s)
 SELECT drawing_id, rule_key, param, CASE WHEN rule_key = 'curb' AND param = 'thickness_m' THEN coalesce(round(ct / 1000, 3), value) WHEN rule_key = 'curb' AND param = 'height_m' THEN coalesce(round(chh / 1000, 3), value) WHEN rule_key = 'epoxy' AND param = 'thickness_mm' THEN coalesce(ep, value) WHEN (rule_key = 'blinding' AND param = 'thickness_m') OR (rule_key = 'excavation' AND param = 'blinding_thickness_m') THEN coalesce(round(bl / 1000, 3), value) ELSE value END AS value FROM fi, du""" % ", ".join(f"('{k}', '{n}', {float(v)}::DOUBLE)" for k, ps in derive.RULES.items() for n, v in ps.items())),
     "typed_elements": sql("elements", TYPED + "SELECT drawing_id, tag, length_m, width_m, height_m, quantity, CASE WHEN pos % 2 = 0 THEN 'RCC_M30' ELSE grade END AS grade, CASE WHEN pos % 3 = 0 THEN 120.0 ELSE 90.0 END::DOUBLE AS rebar_coefficient FROM ty WHERE reason IS NULL"),
     "typed_rejects": sql("elements", TYPED + "SELECT drawing_id, tag, reason FROM ty WHERE reason IS NOT NULL"),
-    "ingested_reviews": sql("reviews", REVIEWED + ", rw AS (SELECT *, CASE WHEN drawing_no = '' THEN regexp_replace(split_part(source, '/', -1), '\\.[^.]*$', '') ELSE drawing_no END AS drawing FROM rv WHERE reviewed) SELECT 'accuracy' AS what, coalesce(item, drawing, 'all') AS name, count(*) AS n FROM rw GROUP BY GROUPING SETS ((item), (drawing), ()) UNION ALL SELECT 'look at', callout, row_no FROM rv WHERE item = 'Pedestal' AND changed AND trim(callout) <> '' AND NOT regexp_matches(callout, " + PEDESTAL + ") UNION ALL SELECT 'example', drawing_no, count(*) FILTER (reviewed) FROM rv WHERE item = 'Pedestal' AND drawing_no <> '' GROUP BY 2 HAVING count(*) FILTER (reviewed) > 0 AND NOT bool_or(changed)"),
+    "ingested_reviews": sql("reviews", REVIEWED + ", rw AS (SELECT *, CASE WHEN drawing_no = '' THEN regexp_replace(split_part(source, '/', -1), '\\.[^.]*$', '') ELSE drawing_no END AS drawing FROM rv WHERE reviewed) SELECT 'accuracy' AS what, coalesce(item, drawing, 'all') AS name, count(*) AS n FROM rw GROUP BY GROUPING SETS ((item), (drawing), ()) UNION ALL SELECT 'look at', callout, row_no FROM rv WHERE item = 'Pedestal' AND changed AND trim(callout) <> '' AND NOT regexp_matches(callout, " + PEDESTAL + ") UNION ALL SELECT 'example', drawing_no, count(*) FILTER (regexp_matches(callout, " + PEDESTAL + ")) FROM rv WHERE item = 'Pedestal' AND reviewed AND drawing_no <> '' GROUP BY source, drawing_no HAVING NOT bool_or(changed) AND count(*) FILTER (regexp_matches(callout, " + PEDESTAL + ")) > 0"),
 }

@@ -33,7 +33,12 @@ def scan_drawings(spark: SparkSession, folders: list[str]) -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
         files = files.select("path", file_name(c("path")).alias("name"), F.lit(i).alias("folder_no"), F.sha2("content", 256).alias("sha"), "length")
         out = files if out is None else out.unionByName(files)
-    return first_by(out.where(~c("name").startswith(".")), ["sha"], ["folder_no", "path"])
+    return distinct_drawings(out)
+
+
+def distinct_drawings(files: DataFrame) -> DataFrame:
+    """A1: of files (path, name, folder_no, sha, ...) each content once, from the first folder; names that begin with a dot are skipped."""
+    return first_by(files.where(~c("name").startswith(".")), ["sha"], ["folder_no", "path"])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -105,6 +110,11 @@ def cache_stats(store: DataFrame) -> DataFrame:
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Verified examples from JSON files; those without a verified extraction are left out."""
     raw = spark.read.schema("drawing_no string, revision string, image_hash string, verified_extraction map<string,string>, verified_by string, verified_at string").option("multiLine", True).json(path)
+    return verified_examples(raw)
+
+
+def verified_examples(raw: DataFrame) -> DataFrame:
+    """The examples that have something verified."""
     return raw.where(c("verified_extraction").isNotNull() & (F.size("verified_extraction") > 0))
 
 

@@ -359,7 +359,7 @@ def test_label_blocks_of_all_sheets(spark, sf):
 
     sheets = defaultdict(list)
     for r in table(spark, sf, "spans").collect():
-        if r.text.strip():
+        if r.text.strip() and r.dir_x >= 0.9:  # rotated spans belong to no block
             sheets[r.drawing_id, r.page].append((r.span_id, r.x0, r.y0, r.x1, r.y1))
     want = {}
     for spans in sheets.values():
@@ -439,3 +439,50 @@ def test_similar_sheets_keep_every_tier_above_the_bound(spark):
     h = spark.createDataFrame(rows, "drawing_no string, image_hash string")
     few, many = [sorted(geometry.find_similar(h.where("drawing_no like '%-1_'"), h, 60, most).collect()) for most in (20_000, 10)]
     assert many == few and {r.tier for r in few} == {0, 1, 2}
+
+
+def test_text_blocks_hold_the_glyphs_that_touch_them(spark, sf):
+    from collections import defaultdict
+
+    from plumbline.plans import catalog
+    from plumbline.sources.synth import table
+
+    glyphs = defaultdict(list)
+    for r in geometry.glyph_filter(table(spark, sf, "glyphs")).collect():
+        glyphs[r.drawing_id, r.page].append((r.x0, r.y0, r.x1, r.y1))
+    got = catalog.QUERIES["text_blocks"](spark, sf).collect()
+    assert sum(r.n_glyphs for r in got) == sum(map(len, glyphs.values()))
+    for r in got:
+        own = sorted(b[3] - b[1] for b in glyphs[r.drawing_id, r.page] if meets(b, (r.x0, r.y0, r.x1, r.y1)))
+        assert r.n_glyphs == len(own) and r.height == own[len(own) // 2]
+
+
+def test_plan_and_reviews_in_words(spark):
+    found = [("d", "pedestal", "P1", 600.0, 500.0, None, None, 2), ("d", "pedestal", "p2", 700.0, 500.0, 900.0, None, 1), ("d", "grade_slab", "GS-01", 20000.0, None, None, 250.0, None), ("d", "grade_slab", "GS-02", 20000.0, 10000.0, None, 250.0, None)]
+    found = spark.createDataFrame(found, "drawing_id string, kind string, tag string, length_mm double, width_mm double, height_mm double, thickness_mm double, quantity int")
+    have = spark.createDataFrame([("d", "pedestal", "P2"), ("d", "grade_slab", "gs-01")], "drawing_id string, kind string, tag string")
+    fields = spark.createDataFrame([("d", "revision", "C01", "D'02"), ("d", "date", "", "2025-01-01"), ("d", "project_name", None, "")], "drawing_id string, field string, current string, read string")
+    assert {(r.target, r.action, r.detail) for r in reconcile.plan_merge(have, fields, found).collect()} == {
+        ("revision", "skip", "keeping 'C01', extraction said \"D'02\""), ("date", "add", "2025-01-01"), ("P1", "add", "0.600 x 0.500 x 0.800 m, 2 Nos  [height is a 0.800 m PLACEHOLDER]"),
+        ("p2", "skip", "already entered — extraction ignored"), ("GS-01", "reject", "incomplete dimensions"), ("GS-02", "add", "20.000 x 10.000 x 0.250 m"),
+    }
+    rows = [
+        ("a.xlsx", "D1", 1, " pedestal ", "P1", "P1(600x500) 2Nos", "1", "", "eng"), ("a.xlsx", "D1", 2, "Pedestal", "P2", "unreadable", "1", "", "eng"), ("a.xlsx", "D1", 3, "Pedestal", "P3", "P3(600x500) 2Nos", "1", "", ""),
+        ("b.xlsx", "D2", 1, "Pedestal", "P1", "unreadable", "1", "", "eng"), ("b.xlsx", "D2", 2, "Pedestal", "P2", "P2(600x500) 2Nos", "1", "", ""),
+        ("c.xlsx", "D3", 1, "Pedestal", "P1", "P1(600x500) 2Nos", "1", "", "eng"), ("c.xlsx", "D3", 2, "PEDESTAL", "P2", "odd words", "1", "2", ""),
+        ("d.xlsx", "D4", 1, "Pedestal", "P1", "P1(600x500) 2Nos", "1", "1.0", ""),
+    ]
+    reviews = spark.createDataFrame(rows, "source string, drawing_no string, row_no int, item string, tag string, callout string, extracted string, corrected string, verified_by string")
+    _, look, bank, failed = verify.ingest_reviews(reviews, spark.createDataFrame([("a.xlsx", True), ("x/e.xlsx", True), ("x/f.xlsx", False)], "source string, readable boolean"))
+    assert [r.callout for r in look.collect()] == ["odd words"]
+    assert sorted((r.drawing_no, r.n_pedestals, r.verified_by, r.pedestals) for r in bank.collect()) == [("D1", 1, "eng", "P1 600x500 2 Nos"), ("D4", 1, "expert review", "P1 600x500 2 Nos")]
+    assert sorted(r.failure for r in failed.collect()) == ["e.xlsx: no verification rows", "f.xlsx: can't be read"]
+
+
+def test_explanations_are_the_worked_sums(spark):
+    slab = spark.createDataFrame([("d", "GS-01", 24.43, 8.6, 0.3)], "drawing_id string, tag string, length_m double, width_m double, thickness_m double")
+    got = {r.rule_key: r.explanation for r in derive.derived(slab, derive.select_rules(derive.default_rules(spark), "all")).collect()}
+    assert got == {
+        "excavation": "(24.43 + 2x0.3) x (8.6 + 2x0.3) x (0.3 slab + 0.075 blinding + 0.15 fill) = 120.89 m3", "blinding": "(24.43 + 2x0.1) x (8.6 + 2x0.1) x 0.075 = 16.26 m3", "fill": "24.43 x 8.6 x 0.15 = 31.51 m3",
+        "liner": "24.43 x 8.6 = 210.10 m2 at 1.5 mm", "epoxy": "top surface 24.43 x 8.6 = 210.10 m2 x 2 coats", "curb": "perimeter 2 x (24.43 + 8.6) = 66.06 m at 0.15 high x 0.15 thick", "joints": "5 m panels: 4 joint(s) x 8.6 m + 1 x 24.43 = 58.83 m",
+    }
