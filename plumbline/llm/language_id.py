@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import durable, sized_join
 from plumbline.functions.session import ship_package
 
+from .text import spread
+
 BUCKETS = 4096
-#: Bounds of the fit: texts a language, texts of all languages (but LEAST_TEXTS of each), and characters of a text that are learned from.
-FIT_TEXTS, FIT_ALL, LEAST_TEXTS, FIT_CHARS = 400, 25_600, 20, 20_000
+#: Bounds of the fit: texts a language, texts of all languages (but LEAST_TEXTS of each), characters of one text and of all.
+FIT_TEXTS, FIT_ALL, LEAST_TEXTS, FIT_CHARS, ALL_CHARS = 400, 25_600, 20, 20_000, 100_000_000
 CENTROIDS, ROUNDS = 4, 12
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -95,26 +98,33 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit
     """A model from a bounded sample of rows that have a text and a language.
 
     Texts are counted by language over all data, copies once; of every language about ``fit_texts`` texts (fewer if there
-    are so many languages that FIT_ALL is passed) are drawn by a hash of the text, so that reruns draw alike, and of each its first FIT_CHARS
-    characters are learned from. The sample alone reaches the driver. Without any labelled row the model knows no
-    language and says UNKNOWN.
+    are so many languages that FIT_ALL is passed) are drawn by a hash of the text, so that reruns draw alike. Of a text
+    longer than FIT_CHARS characters (fewer, if all would pass ALL_CHARS) pieces that are spread over all of it are
+    learned from. The sample alone reaches the driver, the languages' counts don't. Without any labelled row the model
+    knows no language and says UNKNOWN.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64(F.lit(11), "t"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    most = min(fit_texts, max(LEAST_TEXTS, FIT_ALL // max(1, len(sizes))))
-    part = labelled.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * most / max(1, n))) for lang, n in sizes.items()], "lang string, part double")
-    drawn = rows.join(F.broadcast(part), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.col("part"))
-    drawn = drawn.select("lang", "h", F.substring("t", 1, FIT_CHARS).alias("t")).dropDuplicates(["lang", "h", "t"])
+    sizes = durable(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    known = max(1, sizes.count())
+    most = min(fit_texts, max(LEAST_TEXTS, FIT_ALL // known))
+    chars = max(500, min(FIT_CHARS, ALL_CHARS // (known * most)))
+    part = sizes.select("lang", F.least(F.lit(1.0), 2.0 * most / F.greatest("n", F.lit(1))).alias("part"))
+    drawn = sized_join(rows, part, "lang", "inner").where(F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.col("part"))
+    drawn = drawn.select("lang", "h", spread(F.col("t"), chars).alias("t")).dropDuplicates(["lang", "h", "t"])
     some = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= most).select("lang", "t").toPandas().sort_values(["lang", "t"])
-    got = [(lang, c) for lang, t in zip(some["lang"], some["t"], strict=True) if (c := counts(t)) is not None]
+    got = [(lang, at := np.flatnonzero(c), c[at].astype(np.uint32)) for lang, t in zip(some["lang"], some["t"], strict=True) if (c := counts(t)) is not None]
     if not got:
         return LanguageModel((), np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    names = tuple(sorted({lang for lang, _ in got}))
-    seen = np.sum([c > 0 for _, c in got], axis=0)
+    names = tuple(sorted({lang for lang, _, _ in got}))
+    seen = np.bincount(np.concatenate([at for _, at, _ in got]), minlength=BUCKETS)
     model = LanguageModel(names, np.log((1 + len(got)) / (1 + seen)).astype(np.float32) + np.float32(0.1), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
     centroids, owner, floor = [], [], []
     for i, lang in enumerate(names):
-        v = model.vectors([c for own, c in got if own == lang])
+        own = [(at, n) for name, at, n in got if name == lang]
+        dense = np.zeros((len(own), BUCKETS), np.uint32)
+        for row, (at, n) in zip(dense, own, strict=True):
+            row[at] = n
+        v = model.vectors(list(dense))
         c = cluster(v, CENTROIDS)
         centroids.append(c)
         owner += [i] * len(c)

@@ -22,3 +22,12 @@ def pieces(text: Column, separators: str) -> Column:
 def document_key(id_col: str, text_col: str) -> list[Column]:
     """What tells rows apart: id, and a hash of the text, as an id may come with several texts. Equal rows share it."""
     return [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
+
+
+def spread(text: Column, most: int | Column, piece: int = 500) -> Column:
+    """A text of up to ``most`` characters as it is; of a longer one as many pieces of ``piece`` characters as fit, evenly spread from its beginning to its end, a blank between them."""
+    most = F.lit(most) if isinstance(most, int) else most
+    n = F.greatest(F.floor(most / piece), F.lit(2)).cast("int")
+    gap = (F.length(text) - piece) / (n - 1)
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(text, (F.floor(k * gap) + 1).cast("int"), F.lit(piece)))
+    return F.when(text.isNull() | (F.length(text) <= most), text).otherwise(F.array_join(parts, " "))

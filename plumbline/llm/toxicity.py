@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.session import ship_package
 
-#: Bounds of the fit: documents of each label, characters of one, features kept.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_FEATURES = 1000, 1500, 6_000, 30_000
+from .text import spread
+
+#: Bounds of the fit: documents of each label, characters of one and of all of a label's, features kept.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_ALL, FIT_FEATURES = 1000, 1500, 24_000, 8_000_000, 30_000
 #: A telling feature occurs in so many toxic documents at least, and so much more often there (log of the ratio).
 SUPPORT, TELLING = 3, 2.5
 CHAIN, EPOCHS, RATE, DECAY = 128, 60, 0.5, 1e-4
@@ -139,8 +141,10 @@ class ToxicityModel:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> pd.DataFrame:
     """A bounded sample of labelled texts (columns t, y) for fit(): at most FIT_TOXIC and FIT_CLEAN rows of labels.
 
-    Rows are drawn by a hash of the id, and of an id's texts that with the smallest hash, so reruns draw alike; texts of
-    over FIT_CHARS characters are left out. The chosen ids (bounded) are broadcast to the scan of docs, whose texts are not shuffled.
+    Rows are drawn by a hash of the id, and of an id's texts that with the smallest hash, so reruns draw alike. Texts of any
+    length teach: of one over FIT_CHARS characters, pieces that are spread over all of it. A label's texts are taken in
+    the order of their hashes until FIT_ALL characters are reached, so long texts make the sample fewer and not blank.
+    The chosen ids (bounded) are broadcast to the scan of docs, of whose texts only the chosen are shuffled.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -148,10 +152,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most = F.when(F.col("y") == 1, FIT_TOXIC).otherwise(FIT_CLEAN)
     part = F.when(F.col("y") == 1, 2.0 * FIT_TOXIC / max(1, n.get(1, 0))).otherwise(2.0 * FIT_CLEAN / max(1, n.get(0, 0)))
     some = known.withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < F.lit(float(1 << 20)) * part)
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("k") <= most).select("id", "y")
-    rows = docs.where(F.length(text_col) <= FIT_CHARS).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(some), "id")
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("k") <= most).select("id", "y", "h")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(some), "id").withColumn("t", spread(F.col("t"), FIT_CHARS))
     first = Window.partitionBy("id", "y").orderBy(F.xxhash64("t"), "t")
     rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
+    before = F.sum(F.length("t")).over(Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < FIT_ALL)
     return rows.select("id", "t", "y").toPandas().sort_values(["id", "y"])[["t", "y"]]
 
 

@@ -1,5 +1,7 @@
 """op1, op2 and op4: exact counts and held-out accuracy."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -163,3 +165,46 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs, documents):
     got = toxicity.score_toxicity(odd_docs, blank).collect()
     assert len(got) == 9 and all(0 <= r.score < 0.5 and r.spans == [] for r in got)
     assert toxicity.score_toxicity(no_docs, blank).count() == 0
+
+
+def test_long_texts_teach(spark):
+    """All texts far over the bounds: both models learn from pieces that are spread over all of a text."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(9_000)]
+        if k % 2:
+            for at in range(4_500, 9_000, 40):  # in the second half alone
+                text[at] = rng.choice(["vilething", "nastything"])
+        rows.append((k, " ".join(text)))
+        labels.append((k, k % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    some = toxicity.sample(docs, labels)
+    assert set(some.y) == {0, 1} and some.t.str.len().max() <= toxicity.FIT_CHARS * 1.01 and len(some) == 60
+    model = toxicity.fit(some)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in got)
+
+
+def test_sample_of_long_texts_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ALL", 5_000)
+    docs = spark.createDataFrame([(k, "word " * 400) for k in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    some = toxicity.sample(docs, labels)
+    assert sorted(some.groupby("y").t.apply(lambda t: t.str.len().sum()).tolist()) == [6_000, 6_000]
+
+
+def test_spread_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.text import spread
+
+    texts = ["", "short", "a" * 100, "".join(chr(0x4E00 + k % 900) for k in range(1_003)), None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spread(F.col("t"), 100, 10).alias("s"))
+    for r in df.collect():
+        if r.t is None or len(r.t) <= 100:
+            assert r.s == r.t
+        else:
+            parts = r.s.split(" ")
+            assert len(parts) == 10 and parts[0] == r.t[:10] and parts[-1] == r.t[-10:] and all(p in r.t and len(p) == 10 for p in parts)
