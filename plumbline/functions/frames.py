@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a join side (narrow rows of a few dozen bytes) up to which it is broadcast; more rows take a shuffle join.
@@ -46,3 +46,21 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int =
     if right.limit(max_rows + 1).count() <= max_rows:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """df with its rows numbered from 0 in the order of the columns, which have to tell rows apart.
+
+    Rows are dealt by range, written once and numbered within their part; what comes before a part is summed from one
+    count a part, so no task sees all rows.
+    """
+    spark = df.sparkSession
+    parts = written(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
+    before, so_far = [], 0
+    for part in sorted(counts):
+        before.append((part, so_far))
+        so_far += counts[part]
+    offset = spark.createDataFrame(before, "_part int, _before long")
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(offset), "_part").withColumn(name, F.col("_before") + inner).drop("_part", "_before")

@@ -160,7 +160,9 @@ def touching(boxes: DataFrame, cell: float) -> DataFrame:
     a = spread.select(*SHEET, "gx", "gy", *[c(x).alias(f"a_{x}") for x in ("box", "x0", "y0", "x1", "y1")])
     b = spread.select(*SHEET, "gx", "gy", *[c(x).alias(f"b_{x}") for x in ("box", "x0", "y0", "x1", "y1")])
     over = (c("a_x0") <= c("b_x1")) & (c("b_x0") <= c("a_x1")) & (c("a_y0") <= c("b_y1")) & (c("b_y0") <= c("a_y1"))
-    return a.join(b, [*SHEET, "gx", "gy"]).where((c("a_box") < c("b_box")) & over).select(c("a_box").alias("a"), c("b_box").alias("b")).distinct()
+    # Of the squares that two boxes share, the one with the lower left corner of what they have in common tells of the pair.
+    owner = (c("gx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (c("gy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
+    return a.join(b, [*SHEET, "gx", "gy"]).where((c("a_box") < c("b_box")) & over & owner).select(c("a_box").alias("a"), c("b_box").alias("b"))
 
 
 def merge_overlaps(glyphs: DataFrame, pad_x: float = PAD_X, pad_y: float = PAD_Y, cell: float = 120.0, max_rounds: int = 30) -> DataFrame:
@@ -227,26 +229,52 @@ def hamming(a: Column, b: Column) -> Column:
 def find_similar(queries: DataFrame, examples: DataFrame, k: int = 3, most_queries: int = 20_000) -> DataFrame:
     """For each query (drawing_no, image_hash) the k nearest examples: close hashes first, then the same series, then looser ones.
 
-    Every query is held against every example, at every size. The loose tier takes over a quarter of the bits, too far for hash
-    pieces to sort anything out, so hashes become numbers once a row and a pair costs an xor and a bit count. Up to most_queries
-    queries are broadcast to the examples, which stay where they are; more are dealt with the examples into blocks that meet in a shuffle. The best k of a query leave each task.
+    The tiers are exact at every size and come one after the other. Hashes at most NEAR bits apart agree in one of NEAR + 1
+    pieces, so the close tier is a join by pieces, each pair told by its first common piece; the same series is a
+    join by series. Only queries that these two leave short of k are held against all examples, for the loose tier
+    takes over a quarter of the bits, too far for pieces to sort anything out. Of examples with one hash the first
+    k + 1 numbers are enough (one may be the query itself), so sheets that look alike by the thousand meet no query in full.
     """
     series = lambda no: F.array_join(F.slice(F.split(no, "-"), 1, 4), "-")
     half = lambda at: F.conv(F.substring("image_hash", at, 8), 16, 10).cast("bigint")
     bits = F.when(F.rlike("image_hash", F.lit("^[0-9a-fA-F]{16}$")), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
     side = lambda df, s: df.select(c("drawing_no").alias(f"{s}_no"), bits.alias(f"{s}_bits"), series(c("drawing_no")).alias(f"{s}_series"))
-    q, e = side(queries, "q"), side(examples, "e")
-    d = F.coalesce(F.bit_count(c("q_bits").bitwiseXOR(c("e_bits"))), F.lit(NO_MATCH)).cast("int")
-    near = (c("q_no") != c("e_no")) & ((d <= FAR) | (c("q_series") == c("e_series")))
-    n = q.count()
-    if n <= most_queries:
+    q, e = durable(side(queries, "q")), side(examples, "e")
+
+    def first_of(df: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("e_no")
+        return df.withColumn("n", F.dense_rank().over(w)).where(c("n") <= k + 1).drop("n")
+
+    def best(df: DataFrame) -> DataFrame:
+        # Spark keeps the best k of each task before the shuffle (WindowGroupLimit)
+        w = Window.partitionBy("q_no").orderBy("tier", "distance", "e_no")
+        return df.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+
+    apart = F.bit_count(c("q_bits").bitwiseXOR(c("e_bits")))
+    d = F.coalesce(apart, F.lit(NO_MATCH)).cast("int")
+    row = lambda df, tier: df.where(c("q_no") != c("e_no")).select("q_no", "e_no", d.alias("distance"), F.lit(tier).alias("tier"))
+    alike = durable(first_of(e, "e_bits"))
+    n = NEAR + 1
+    width = [64 // n + (i < 64 % n) for i in range(n)]
+    masks = [((1 << w) - 1) << sum(width[:i]) for i, w in enumerate(width)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    piece = lambda x, i: x.bitwiseAND(F.lit(masks[i]))
+    pieces = lambda df, s: df.where(c(f"{s}_bits").isNotNull()).select("*", F.posexplode(F.array(*[piece(c(f"{s}_bits"), i) for i in range(n)])).alias("at", "piece"))
+    common = F.array_position(F.array(*[piece(c("q_bits"), i) == piece(c("e_bits"), i) for i in range(n)]), True) - 1
+    close = row(pieces(q, "q").join(pieces(alike, "e"), ["at", "piece"]).where((apart <= NEAR) & (common == c("at"))), 0)
+    same = row(first_of(e, "e_series", "e_bits").join(q, c("q_series") == c("e_series")).where(d > NEAR), 1)
+    found = durable(best(close.unionByName(same)))
+    full = found.where(c("rank") == k).select("q_no")
+    short = durable(q.join(full, "q_no", "left_anti"))
+    count = short.count()
+    if not count:
+        return found.select("q_no", "e_no", "tier", "distance", "rank")
+    loose = (c("q_no") != c("e_no")) & (apart > NEAR) & (apart <= FAR) & (c("q_series") != c("e_series"))
+    if count <= most_queries:
         # a few narrow bytes a row make the pairs' work even over all cores
-        both = e.repartition(queries.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(q), near)
+        both = alike.repartition(queries.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(short), loose)
     else:
-        blocks = -(-n // most_queries)
-        eb = e.withColumn("block", F.pmod(F.xxhash64("e_no", "e_bits"), F.lit(blocks)).cast("int"))
-        both = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(eb, "block").where(near)
-    both = both.select("q_no", "e_no", d.alias("distance"), F.when(d <= NEAR, 0).when(c("q_series") == c("e_series"), 1).otherwise(2).alias("tier"))
-    w = Window.partitionBy("q_no").orderBy("tier", "distance", "e_no")
-    # Spark keeps the best k of each task before the shuffle (WindowGroupLimit)
-    return both.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k).select("q_no", "e_no", "tier", "distance", "rank")
+        blocks = -(-count // most_queries)
+        eb = alike.withColumn("block", F.pmod(F.xxhash64("e_no", "e_bits"), F.lit(blocks)).cast("int"))
+        both = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(eb, "block").where(loose)
+    return best(found.drop("rank").unionByName(row(both, 2))).select("q_no", "e_no", "tier", "distance", "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import durable, numbered, sized_join, written
 from plumbline.functions.numbers import rounded
 
 c = F.col
@@ -53,12 +54,32 @@ def set_summary(lines: DataFrame) -> DataFrame:
     return lines.where(c("category") != ROLLUP).groupBy("category", "item", "unit", "drawing_id").agg(rounded(F.sum("qty_gross"), 3).alias("qty"))
 
 
-def set_pivot(lines: DataFrame, drawings: list[str]) -> DataFrame:
-    """G6 as a sheet: one column for each chosen drawing and their total. The list is explicit, so no extra job finds it."""
-    chosen = set_summary(lines.where(c("drawing_id").isin(drawings)))
-    wide = chosen.groupBy("category", "item", "unit").pivot("drawing_id", drawings).agg(rounded(F.sum("qty"), 3))
-    total = sum((F.coalesce(F.col(f"`{d}`"), F.lit(0.0)) for d in drawings), F.lit(0.0))
-    return wide.withColumn("total", rounded(total, 3))
+def wide(cells: DataFrame, rows: list[str], column: str, value: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Any number of columns in blocks of ``width``: (rows..., block, c0, c1, ...) and the codes, (block, place, column).
+
+    The values of ``column`` are numbered in order; number n stands in block n // width as c<n % width>. A row of the
+    sheet has one row in each block in which it has a cell, so that the width of a row and the plan are bounded,
+    however many drawings there are.
+    """
+    codes = numbered(cells.select(column).distinct(), [column])
+    codes = codes.select(column, F.floor(c("position") / width).alias("block"), (c("position") % width).cast("int").alias("place"))
+    placed = sized_join(cells, codes, column, "inner")
+    by = [F.first(F.when(c("place") == k, c(value)), ignorenulls=True).alias(f"c{k}") for k in range(width)]
+    return placed.groupBy(*rows, "block").agg(*by), codes
+
+
+def set_pivot(lines: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
+    """G6 as a sheet: the summary of all drawings in blocks of columns, each row with its total over all drawings; and the columns' codes."""
+    keys = ["category", "item", "unit"]
+    cells = written(set_summary(lines))
+    sheet, codes = wide(cells, keys, "drawing_id", "qty", width)
+    totals = durable(cells.groupBy(*keys).agg(rounded(F.sum("qty"), 3).alias("total")))
+    return sized_join(sheet, totals, keys, "inner"), codes
+
+
+def mark_pivot(marks: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
+    """G10 as a sheet: marks by drawing in blocks of columns, never totalled; and the columns' codes."""
+    return wide(written(mark_counts(marks)), ["mark"], "drawing_id", "n", width)
 
 
 def unmatched_lines(details: DataFrame, summary: DataFrame) -> DataFrame:

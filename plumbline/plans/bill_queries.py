@@ -135,13 +135,9 @@ def q_assumed(s, d):
     return out.groupBy("assumption").agg(F.count("*").alias("n"), rounded(F.sum("qty_gross"), 2).alias("qty"))
 
 
-def q_pivot(s, d):
-    few = ["1", "2", "3", "4", "5", "6", "7", "32", "33", "34", "35"]
-    wide = setviews.set_pivot(lines(s, d), few)
-    return wide.select("category", "item", "unit", *[F.col(f"`{x}`").alias(f"d{x}") for x in few], "total")
-
-
-PIVOTED = ["1", "2", "3", "4", "5", "6", "7", "32", "33", "34", "35"]
+#: Columns of a block in the registered sheets.
+WIDTH = 20
+PLACED = f", code AS (SELECT drawing_id, row_number() OVER (ORDER BY drawing_id) - 1 AS n FROM (SELECT DISTINCT drawing_id FROM cell)), put AS (SELECT cell.*, CAST(n // {WIDTH} AS BIGINT) AS block, n % {WIDTH} AS place FROM cell JOIN code ON code.drawing_id = cell.drawing_id) "
 
 
 def all_gaps(s, d):
@@ -237,7 +233,9 @@ QUERIES = {
     "unique_codes": q_codes,
     "assumption_reasons": q_assumed,
     "set_summary": lambda s, d: setviews.set_summary(lines(s, d)),
-    "set_pivot": q_pivot,
+    "set_pivot": lambda s, d: setviews.set_pivot(lines(s, d), WIDTH)[0],
+    "pivot_codes": lambda s, d: setviews.set_pivot(lines(s, d), WIDTH)[1],
+    "mark_pivot": lambda s, d: setviews.mark_pivot(table(s, d, "marks"), WIDTH)[0],
     "unmatched_lines": q_unmatched,
     "discovered_summary": lambda s, d: setviews.discovered_summary(table(s, d, "items")),
     "double_count_flags": q_flags,
@@ -329,7 +327,9 @@ SELECT drawing_id, CASE WHEN k = 1 THEN code ELSE concat(code, '_', CAST(k AS VA
     "assumption_reasons": sql("""SELECT assumption, count(*) AS n, round(sum(qty_gross), 2) AS qty FROM (SELECT b.*, concat_ws('; ', CASE WHEN EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = b.drawing_id AND e.tag = b.source_tag AND e.kind_no = 3) THEN 'derived, not printed on the drawing' END,
   CASE WHEN EXISTS (SELECT 1 FROM elements e WHERE e.drawing_id = b.drawing_id AND e.tag = b.source_tag AND e.kind_no = 2 AND abs(e.height_m - 0.8) < 1e-9) THEN 'placeholder height' END) AS assumption FROM bill b) GROUP BY 1"""),
     "set_summary": sql(SUMMARY),
-    "set_pivot": sql(", su AS (" + SUMMARY + ") SELECT category, item, unit, " + ", ".join(f"round(sum(qty) FILTER (drawing_id = '{x}'), 3) AS d{x}" for x in PIVOTED) + ", round(sum(qty), 3) AS total FROM su WHERE drawing_id IN (" + ", ".join(f"'{x}'" for x in PIVOTED) + ") GROUP BY 1, 2, 3"),
+    "set_pivot": sql(", cell AS (" + SUMMARY + ")" + PLACED + ", total AS (SELECT category, item, unit, round(sum(qty), 3) AS total FROM cell GROUP BY 1, 2, 3) SELECT put.category, put.item, put.unit, block, " + ", ".join(f"max(qty) FILTER (place = {k}) AS c{k}" for k in range(WIDTH)) + ", any_value(total) AS total FROM put JOIN total ON total.category = put.category AND total.item = put.item AND total.unit = put.unit GROUP BY 1, 2, 3, 4"),
+    "pivot_codes": sql(", cell AS (" + SUMMARY + ")" + PLACED + "SELECT DISTINCT drawing_id, block, CAST(place AS INT) AS place FROM put"),
+    "mark_pivot": sql(", cell AS (SELECT mark, drawing_id, CAST(sum(n) AS BIGINT) AS n FROM marks GROUP BY 1, 2)" + PLACED.replace("AS n FROM (SELECT", "AS k FROM (SELECT").replace("CAST(n //", "CAST(k //").replace("n % ", "k % ") + "SELECT mark, block, " + ", ".join(f"max(n) FILTER (place = {k}) AS c{k}" for k in range(WIDTH)) + " FROM put GROUP BY 1, 2", "marks"),
     "unmatched_lines": sql("SELECT drawing_id, count(*) AS n_unmatched FROM bill b WHERE NOT EXISTS (SELECT 1 FROM bill x WHERE x.drawing_id = b.drawing_id AND x.item = b.item AND x.qty_gross >= 1) GROUP BY 1"),
     "discovered_summary": sql("SELECT description, uom, drawing_id, arg_max_null(qty, seq) AS qty, string_agg(DISTINCT basis, '; ' ORDER BY basis) AS bases, string_agg(DISTINCT grid_ref, ', ' ORDER BY grid_ref) AS places FROM items GROUP BY 1, 2, 3", "items"),
     "double_count_flags": sql("""SELECT DISTINCT i.drawing_id, i.seq, i.kind, CAST(least(dim_a, dim_b) AS BIGINT) AS lo, CAST(greatest(dim_a, dim_b) AS BIGINT) AS hi FROM items i JOIN elements e ON e.drawing_id = i.drawing_id AND e.kind_no IN (2, 3)

@@ -300,7 +300,7 @@ TYPED = """, ty AS (SELECT *, CASE WHEN quantity % 7 = 0 THEN 'length_m' WHEN qu
 QUERIES = {
     "display_labels": lambda s, d: stores.display_labels(table(s, d, "projects").select(F.concat(F.lit("/plans/f"), (c("drawing_id").cast("long") % 3).cast("string"), F.lit("/s"), (c("drawing_id").cast("long") % 700).cast("string"), F.lit(".pdf")).alias("path")).distinct()),
     "fingerprints": lambda s, d: table(s, d, "documents").select("doc_id", stores.fingerprint(c("text"), F.lit("thorough"), (c("doc_id") % 3).cast("int")).alias("fp")),
-    "backfill_index": lambda s, d: stores.backfill_index(table(s, d, "projects").select(F.concat(F.lit("sheet_"), "drawing_id").alias("stem")).where("cast(substring(stem, 7) as long) % 2 = 0"), table(s, d, "projects").where("cast(drawing_id as long) % 3 <> 0").select("path", F.lit(0).alias("folder_no"), F.concat(F.lit("fp"), "drawing_id").alias("fingerprint")), table(s, d, "projects").where("cast(drawing_id as long) % 5 = 0").select(F.concat(F.lit("fp"), "drawing_id").alias("fingerprint")))[1],
+    "backfill_index": lambda s, d: stores.backfill_index(table(s, d, "projects").select(F.concat(F.lit("sheet_"), "drawing_id").alias("stem")), table(s, d, "projects").where("cast(drawing_id as long) % 3 <> 0").select("path", F.lit(0).alias("folder_no"), F.concat(F.lit("fp"), "drawing_id").alias("fingerprint")), table(s, d, "projects").where("cast(drawing_id as long) % 5 = 0").select(F.concat(F.lit("fp"), "drawing_id").alias("fingerprint")))[1],
     "cache_stats": lambda s, d: stores.cache_stats(table(s, d, "documents").select(c("n_chars").alias("length"))),
     "example_stats": lambda s, d: stores.example_stats(table(s, d, "projects").select("drawing_no", (c("drawing_id").cast("long") % 4).alias("n_pedestals"))),
     "upsert_rates": lambda s, d: stores.upsert_rates(table(s, d, "rates")),
@@ -367,7 +367,7 @@ QUERIES = {
     "read_examples": lambda s, d: stores.verified_examples(examples_of(s, d)).select("drawing_no", F.to_json("verified_extraction").alias("verified"), "verified_by"),
     "write_table": sunk,
     "text_blocks": glyph_blocks,
-    "dedupe_requests": lambda s, d: telemetry.dedupe_requests(table(s, d, "jobs").where("position % 3 = 1").select(c("position").alias("seq"), "owner", "drawing_path", "page"), table(s, d, "jobs")),
+    "dedupe_requests": lambda s, d: telemetry.dedupe_requests(table(s, d, "jobs").select(c("position").alias("seq"), "owner", "drawing_path", "page"), table(s, d, "jobs")),
     "latest_by_drawing": lambda s, d: telemetry.latest_by_drawing(table(s, d, "jobs")).select("drawing_path", "page", "job_id", "state"),
     "job_summary": lambda s, d: telemetry.job_summary(table(s, d, "jobs"), F.lit(NOW).cast("timestamp")),
     "stale_jobs": lambda s, d: telemetry.stale_jobs(table(s, d, "jobs"), F.lit(NOW).cast("timestamp")),
@@ -398,7 +398,7 @@ NO = "regexp_matches(text, 'MD-\\d{3}-\\d{4}')"
 ORACLES = {
     "display_labels": sql("projects", ", f AS (SELECT DISTINCT '/plans/f' || CAST(CAST(drawing_id AS BIGINT) % 3 AS VARCHAR) || '/s' || CAST(CAST(drawing_id AS BIGINT) % 700 AS VARCHAR) || '.pdf' AS path FROM projects) SELECT path, CASE WHEN count(*) OVER (PARTITION BY split_part(path, '/', 4)) > 1 THEN split_part(path, '/', 4) || ' (' || split_part(path, '/', 3) || ')' ELSE split_part(path, '/', 4) END AS label FROM f"),
     "fingerprints": "SELECT doc_id, substring(sha256('thorough' || CASE WHEN doc_id % 3 <> 0 THEN '#page=' || CAST(doc_id % 3 AS VARCHAR) ELSE '' END || text), 1, 32) AS fp FROM documents",
-    "backfill_index": sql("projects", "SELECT count(*) AS seen, count(*) FILTER (CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 5 <> 0) AS linked, count(*) FILTER (NOT (CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 5 <> 0)) AS skipped FROM projects WHERE CAST(drawing_id AS BIGINT) % 2 = 0"),
+    "backfill_index": sql("projects", "SELECT count(*) AS seen, count(*) FILTER (CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 5 <> 0) AS linked, count(*) FILTER (NOT (CAST(drawing_id AS BIGINT) % 3 <> 0 AND CAST(drawing_id AS BIGINT) % 5 <> 0)) AS skipped FROM projects"),
     "cache_stats": "SELECT count(*) AS entries, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents",
     "example_stats": sql("projects", "SELECT count(*) AS files, count(DISTINCT drawing_no) AS drawings, CAST(sum(CAST(drawing_id AS BIGINT) % 4) AS BIGINT) AS pedestals, count(*) >= 10 AS enough FROM projects"),
     "upsert_rates": sql("rates", "SELECT category, unit, arg_max(rate, seq) AS rate FROM rates GROUP BY 1, 2"),
@@ -469,7 +469,7 @@ SELECT drawing_id, page, span_id AS line_id, coalesce(low.block, span_id) AS blo
     "read_examples": "SELECT concat('MD-', o_orderkey) AS drawing_no, concat('{\"P1\":\"', o_orderkey % 9 * 100, 'x500\"}') AS verified, concat('eng', o_orderkey % 4) AS verified_by FROM orders WHERE o_orderkey % 3 = 0",
     "write_table": sql("classifications", "SELECT classification, count(*) AS n, min(file_name) AS first FROM classifications GROUP BY 1"),
     "failed_reviews": sql("reviews", "SELECT source, substr(source, 5) || ': no verification rows' AS failure FROM reviews GROUP BY source HAVING NOT bool_or(row_no % 2 = 0) UNION ALL SELECT DISTINCT replace(source, 'review', 'lost'), replace(substr(source, 5), 'review', 'lost') || ': can''t be read' FROM reviews"),
-    "dedupe_requests": sql("jobs", "SELECT owner, drawing_path, page, min(position) AS seq FROM jobs j WHERE position % 3 = 1 AND NOT EXISTS (SELECT 1 FROM jobs x WHERE x.owner = j.owner AND x.drawing_path = j.drawing_path AND x.page = j.page AND x.state IN ('queued', 'running')) GROUP BY 1, 2, 3"),
+    "dedupe_requests": sql("jobs", "SELECT owner, drawing_path, page, min(position) AS seq FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM jobs x WHERE x.owner = j.owner AND x.drawing_path = j.drawing_path AND x.page = j.page AND x.state IN ('queued', 'running')) GROUP BY 1, 2, 3"),
     "latest_by_drawing": sql("jobs", LATEST + "SELECT drawing_path, page, job_id, state FROM lt WHERE k = 1"),
     "job_summary": sql("jobs", f""", js AS (SELECT owner, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'cancelled') AS cancelled,
   coalesce(sum(progress_pct / 100) FILTER (state = 'running'), 0) AS part, avg(elapsed_s) FILTER (state = 'done' AND elapsed_s > 0 AND NOT from_cache) AS mean, coalesce(bool_or(state = 'running' AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(heartbeat_at) < 120000000), false) AS worker_alive FROM jobs GROUP BY 1)

@@ -439,6 +439,23 @@ def test_similar_sheets_keep_every_tier_above_the_bound(spark):
     h = spark.createDataFrame(rows, "drawing_no string, image_hash string")
     few, many = [sorted(geometry.find_similar(h.where("drawing_no like '%-1_'"), h, 60, most).collect()) for most in (20_000, 10)]
     assert many == few and {r.tier for r in few} == {0, 1, 2}
+    # k of one, with copies of a sheet by the dozen and a hash that is none, against plain loops
+    rows += [("P1-A-B-C-1", rows[1][1])] * 3 + [(f"Q{i % 2}-A-B-C-{i}", rows[7][1]) for i in range(30)] + [("P2-A-B-C-900", "no hash"), ("Z-A-B-C-1", "f" * 16)]
+    h = spark.createDataFrame(rows, "drawing_no string, image_hash string")
+    for k in (1, 3, 50):
+        got = sorted((r.q_no, r["rank"], r.e_no, r.tier, r.distance) for r in geometry.find_similar(h, h, k).collect())
+        want = []
+        for q_no in {n for n, _ in rows}:
+            found = []
+            for n, b in rows:
+                for e, x in rows:
+                    if n == q_no and e != n:
+                        dist = 64 if "no hash" in (b, x) else (int(b, 16) ^ int(x, 16)).bit_count()
+                        tier = 0 if dist <= 6 else 1 if e.split("-")[:4] == n.split("-")[:4] else 2 if dist <= 18 else None
+                        if tier is not None:
+                            found.append((tier, dist, e))
+            want += [(q_no, r, e, t, x) for r, (t, x, e) in enumerate(sorted(found)[:k], 1)]
+        assert got == sorted(want)
 
 
 def test_text_blocks_hold_the_glyphs_that_touch_them(spark, sf):
