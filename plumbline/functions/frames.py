@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows of a join side (narrow rows of a few dozen bytes) up to which it is broadcast; more rows take a shuffle join.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes of a join side up to which it is broadcast; more take a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,12 +39,32 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is counted first: broadcast up to max_rows, a shuffle join (AQE splits skew) beyond.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory: 16 a column, the length of texts, and of arrays and maps their members' own sizes."""
 
-    ``right`` must be narrow and cheap to read again (a checkpoint or a file scan); it is counted here.
+    def size(x: Column, t: DataType) -> Column:
+        if isinstance(t, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+        if isinstance(t, StructType):
+            return sum((size(x[f.name], f.dataType) for f in t.fields), F.lit(16))
+        if isinstance(t, ArrayType):
+            if isinstance(t.elementType, (StringType, BinaryType, StructType, ArrayType, MapType)):
+                return F.coalesce(F.aggregate(x, F.lit(16).cast("long"), lambda a, e: a + size(e, t.elementType)), F.lit(16))
+            return F.greatest(F.size(x), F.lit(0)) * 8 + 16
+        if isinstance(t, MapType):
+            return size(F.map_keys(x), ArrayType(t.keyType)) + size(F.map_values(x), ArrayType(t.valueType))
+        return F.lit(16)
+
+    return sum((size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a side that is measured first: broadcast up to max_rows rows and max_bytes bytes, a shuffle join (AQE splits skew) beyond.
+
+    ``right`` must be cheap to read again (a checkpoint or a file scan): its rows are counted and their sizes summed here.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    rows, size = right.agg(F.count("*"), F.sum(row_bytes(right))).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)
 

@@ -79,7 +79,8 @@ def no_pedestals(projects: DataFrame) -> DataFrame:
 
 def billed(pedestals: DataFrame, slabs: DataFrame, projects: DataFrame, rules: DataFrame) -> DataFrame:
     """Merged pedestals and slabs with all that follows from them, as the summary of their bill."""
-    read = elements_from_readings(pedestals, slabs)
+    slabs = written(slabs)  # read three times below, as the elements are twice: what makes them is done once
+    read = written(elements_from_readings(pedestals, slabs))
     new = derive.apply_derived(read.select("drawing_id", F.get(F.array(*[F.lit(k) for k in bill.KINDS]), c("kind_no")).alias("kind"), "tag"), derive.derived(slabs, rules))
     return setviews.set_summary(bill.element_bill(read.unionByName(elements_from_derived(new)), projects))
 

@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from plumbline.functions import frames
 from plumbline.plans.rebuild import rebuild_readings
 from plumbline.sources import readings, versions
 
@@ -111,3 +112,20 @@ def test_store_from_a_stream(spark, tmp_path):
     assert q.awaitTermination(200) and q.exception() is None
     assert sorted((r.fingerprint, r.json) for r in versions.read_store(spark, path).collect()) == [("a", "a2"), ("only 0", "x"), ("only 1", "x"), ("only 2", "x")]
     assert versions.Files(spark, path).current() == 1
+
+
+def test_joins_measure_the_side_that_they_broadcast(spark):
+    right = spark.createDataFrame([(k, "x" * 100, [1, 2], [("a", 1)], {"k": "v"}, None) for k in range(50)], "k int, t string, n array<int>, s array<struct<a:string,b:int>>, m map<string,string>, z string")
+    least = right.agg({"k": "count"}).first()[0] * 100
+    size = right.select(frames.row_bytes(right).alias("b")).agg({"b": "sum"}).first()[0]
+    assert least < size < 10 * least
+    left = spark.range(50).selectExpr("cast(id as int) as k")
+    plan = lambda **bound: frames.sized_join(left, right, "k", "inner", **bound)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan() and "broadcast" not in plan(max_bytes=size - 1) and "broadcast" not in plan(max_rows=49)
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(f"d{k:03}",) for k in range(500)], "d string").repartition(7)
+    got = {r.d: r.position for r in frames.numbered(df, ["d"]).collect()}
+    assert got == {f"d{k:03}": k for k in range(500)}
+    assert frames.numbered(df.where("false"), ["d"]).count() == 0
