@@ -219,3 +219,13 @@ def test_decontamination(spark, documents, sf, odd_docs, no_docs):
 
 def test_hashes_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_url_rules_of_the_contract(spark, tmp_path):
+    from plumbline.llm import queries
+
+    urls = {1: ("http://a.net/de/1", "net/de/", "allow"), 2: ("http://example.net/de/8x", "example.net/de/8", "block"), 3: ("http://www.example.net/de/9", "net/de/", "allow"), 4: ("http://x.com/en/1", "com/en/", "block")}
+    urls |= {5: ("http://example.com/en/70", "example.com/en/7", "allow"), 6: ("http://x.org/es/", "org/es/", "block"), 7: ("http://example.net/en/8", None, "allow")}
+    spark.createDataFrame([(k, u[0]) for k, u in urls.items()], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {k: u[1:] for k, u in urls.items()}
