@@ -503,3 +503,10 @@ def test_explanations_are_the_worked_sums(spark):
         "excavation": "(24.43 + 2x0.3) x (8.6 + 2x0.3) x (0.3 slab + 0.075 blinding + 0.15 fill) = 120.89 m3", "blinding": "(24.43 + 2x0.1) x (8.6 + 2x0.1) x 0.075 = 16.26 m3", "fill": "24.43 x 8.6 x 0.15 = 31.51 m3",
         "liner": "24.43 x 8.6 = 210.10 m2 at 1.5 mm", "epoxy": "top surface 24.43 x 8.6 = 210.10 m2 x 2 coats", "curb": "perimeter 2 x (24.43 + 8.6) = 66.06 m at 0.15 high x 0.15 thick", "joints": "5 m panels: 4 joint(s) x 8.6 m + 1 x 24.43 = 58.83 m",
     }
+
+
+def test_drawing_no_is_read_to_its_last_digit(spark):
+    spans = spark.createDataFrame([("1", 0, "MD-522-10031", 5.0, 5.0), ("1", 0, "MD-522-1003", 50.0, 5.0), ("2", 0, "DRG MD-522-1004 C01", 5.0, 5.0)], "drawing_id string, page int, text string, x0 double, y0 double")
+    sheets = spark.createDataFrame([(d, 0, f"MD-522-100{n}_C01.pdf", 100.0, 100.0) for d, n in (("1", 3), ("2", 4), ("3", 5))], "drawing_id string, page int, file_name string, width_pt double, height_pt double")
+    got = {r.drawing_id: tuple(r)[2:] for r in geometry.sheet_drawing_no(spans, sheets, r"MD-\d{3}-\d{4}").collect()}
+    assert got == {"1": ("MD-522-10031", False, True), "2": ("MD-522-1004", False, False), "3": ("MD-522-1005", True, False)}
