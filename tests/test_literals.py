@@ -510,3 +510,31 @@ def test_drawing_no_is_read_to_its_last_digit(spark):
     sheets = spark.createDataFrame([(d, 0, f"MD-522-100{n}_C01.pdf", 100.0, 100.0) for d, n in (("1", 3), ("2", 4), ("3", 5))], "drawing_id string, page int, file_name string, width_pt double, height_pt double")
     got = {r.drawing_id: tuple(r)[2:] for r in geometry.sheet_drawing_no(spans, sheets, r"MD-\d{3}-\d{4}").collect()}
     assert got == {"1": ("MD-522-10031", False, True), "2": ("MD-522-1004", False, False), "3": ("MD-522-1005", True, False)}
+
+
+def test_close_hashes_and_series_blocks_are_exact(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    rows = [(f"A-1-1-{i % 2}-{rnd.randrange(90)}", base[i % 20] ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(9))) & (1 << 64) - 1) for i in range(160)] + [("A-1-1-0-5", None), ("A-1-1-0-5", base[0]), ("A-1-1-0-5", base[0]), (None, base[1])]
+    bits = lambda a, b: 64 if a is None or b is None else (a ^ b).bit_count()
+    h = spark.createDataFrame([(n, None if x is None else f"{x:016x}") for n, x in rows], "drawing_no string, image_hash string")
+    signed = [(x - (1 << 64) if x >> 63 else x,) for _, x in rows if x is not None]
+    one = spark.createDataFrame(signed, "x bigint")
+    got = [tuple(r) for r in geometry.close_hashes(one.toDF("a"), one.toDF("b")).collect()]
+    want = {(a, b) for (a,) in signed for (b,) in signed if ((a ^ b) & (1 << 64) - 1).bit_count() <= 6}
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(geometry, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(geometry, "EXAMPLE_BLOCK", 16)
+    series = lambda n: n.split("-")[:4]
+    want = []
+    for q in {n for n, _ in rows if n}:
+        found = []
+        for n, x in rows:
+            for m, y in rows:
+                d = bits(x, y)
+                if n == q and m is not None and m != q and (d <= 6 or series(n) == series(m) or d <= 18):
+                    found.append((0 if d <= 6 else 1 if series(n) == series(m) else 2, d, m))
+        want += [(q, m, t, d, k + 1) for k, (t, d, m) in enumerate(sorted(found)[:4])]
+    assert sorted(map(tuple, geometry.find_similar(h, h, 4).collect())) == sorted(want)
