@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import sized_join, written
 from plumbline.functions.numbers import rounded
 
 from .grammar import DIAMETERS, normalised, number
@@ -142,11 +143,14 @@ def with_labels(lines: DataFrame) -> DataFrame:
 
     ``context`` is the first name without a digit that another label of the line's block gives, from the block's top;
     ``below`` the words of the next label of the block, unless they hold a digit. Lines without a block have neither.
+    ``furniture`` tells whether it is. What follows from a text alone is worked out once for each different text.
     """
     by = Window.partitionBy("drawing_id", "block_id").orderBy("line_no")
-    rows = lines.withColumn("text", normalised(F.coalesce("text", F.lit(""))))
-    words = described(c("text"))
-    rows = rows.withColumn("own", F.when(c("block_id").isNotNull() & ~F.rlike(words, F.lit("[0-9]")), F.nullif(words, F.lit(""))))
+    raw = F.coalesce("text", F.lit("")).alias("_raw")
+    texts = spread(lines.select(raw).distinct()).withColumn("_text", normalised(c("_raw"))).withColumn("_words", described(c("_text")))
+    texts = written(texts.select("_raw", "_text", F.when(~F.rlike("_words", F.lit("[0-9]")), F.nullif("_words", F.lit(""))).alias("_own"), is_furniture(c("_text")).alias("furniture")))
+    rows = sized_join(lines.withColumn("_raw", raw), texts, "_raw", "inner")
+    rows = rows.withColumn("text", c("_text")).withColumn("own", F.when(c("block_id").isNotNull(), c("_own"))).drop("_raw", "_text", "_own")
     before = F.first("own", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("own", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
     out = rows.withColumn("context", F.when(c("block_id").isNotNull(), F.coalesce(before, after))).withColumn("below", F.when(c("block_id").isNotNull(), F.lead("own").over(by)))
@@ -155,7 +159,7 @@ def with_labels(lines: DataFrame) -> DataFrame:
 
 def label_context(lines: DataFrame) -> DataFrame:
     """Lines that aren't furniture with the name that their block lends them and the words of the label below."""
-    return with_labels(lines).where(~is_furniture(c("text")))
+    return with_labels(lines).where(~c("furniture")).drop("furniture")
 
 
 def continued(phrase: Column) -> Column:
@@ -201,14 +205,28 @@ def discover(lines: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
     continued on the label below, else before, else by its block, and it makes a volume of the line's first box if
     that has two sizes; a diameter (B21) and a compaction (B24) by those after, continued, else by their block; a
     number a set (B25) by those before or its block; bars (B22) and assemblies (B23) name themselves. Nothing else
-    gets a quantity. Lines of null text, without digits or of furniture give none.
+    gets a quantity. Lines of null text, without digits or of furniture give none. What a line gives follows from its
+    text, the name its block lends it and the words below, so each different set of these is read once.
     """
-    rows = with_labels(lines).where(F.rlike("text", F.lit("[0-9]")) & ~is_furniture(c("text")))
+    seen, place = ["text", "context", "below"], ["drawing_id", "block_id", "line_no", "grid_ref"]
+    lined = written(with_labels(lines).where(F.rlike("text", F.lit("[0-9]")) & ~c("furniture")).select(*place, *seen))
+    found = written(items_of(spread(lined.select(*seen).distinct()), grammars))
+    return sized_join(lined, found, seen, "inner").select("drawing_id", "block_id", "line_no", "grammar", "at", "kind", "description", "spec", "qty", "basis", "text", "grid_ref")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: rows that are few and small but dear would else end up in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def items_of(rows: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
+    """The items of rows (text, context, below), see discover()."""
     wanted = [k for k, name in enumerate(NAMES) if not grammars or name in grammars]
     read = sorted({0, *wanted})
-    rows = rows.select("drawing_id", "block_id", "line_no", "text", "grid_ref", "context", "below", tokens_of(c("text")).alias("tokens"))
+    rows = rows.select("text", "context", "below", tokens_of(c("text")).alias("tokens"))
     rows = rows.withColumns({n: x for k in read for n, x in whole_and_gaps(GRAMMARS[k][1], k).items()}).withColumns({f"h{k}": hits(k) for k in read}).withColumn("box", first_box())
-    keep = ["drawing_id", "block_id", "line_no", "text", "grid_ref", "context", "below", "tokens", "box"]
+    keep = ["text", "context", "below", "tokens", "box"]
     rows = rows.select(*keep, F.explode(F.concat(*[c(f"h{k}") for k in wanted])).alias("hit")).select(*keep, "hit.*")
     rows = rows.withColumns({"after": phrase_after(c("tokens"), c("last")), "before": phrase_before(c("tokens"), c("first"))})
     rows = rows.withColumns({f"t{g}": F.nullif(by_grammar(**{n: F.regexp_extract("m", p, g) for n, p, groups in GRAMMARS if g <= groups}), F.lit("")) for g in range(1, 7)})
@@ -246,7 +264,7 @@ def discover(lines: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
         diameter=F.concat(shown(n1), F.lit(" mm dia — count not stated on this sheet")), rebar=F.concat(F.trim("m"), F.lit(" — bars per element")), rebar_spacing=F.concat(F.lit("D"), shown(n1), F.lit(" @ "), shown(n2), F.lit(" c/c — run length not stated")),
         assembly=F.concat("m", F.lit(" — "), shown(n2), F.lit(" bolts per set")), compaction=F.concat(shown(n1), F.lit("% compaction — volume not stated on this sheet")), set=F.concat(shown(n1), F.lit(" Nos per set")),
     )
-    return rows.select("drawing_id", "block_id", "line_no", "grammar", "at", kind.alias("kind"), described_as.alias("description"), spec.alias("spec"), qty.cast("double").alias("qty"), basis.alias("basis"), "text", "grid_ref")
+    return rows.select("text", "context", "below", "grammar", "at", kind.alias("kind"), described_as.alias("description"), spec.alias("spec"), qty.cast("double").alias("qty"), basis.alias("basis"))
 
 
 def spec_of(**sizes: Column) -> Column:

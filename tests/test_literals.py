@@ -512,6 +512,14 @@ def test_drawing_no_is_read_to_its_last_digit(spark):
     assert got == {"1": ("MD-522-10031", False, True), "2": ("MD-522-1004", False, False), "3": ("MD-522-1005", True, False)}
 
 
+def test_repeated_labels_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(discovery, "items_of", lambda rows, grammars=(), of=discovery.items_of: read.append(rows.count()) or of(rows, grammars))
+    lines = [(str(d), b, n, ("30 THK GROUT", "1200 x 3100", "MANHOLE COVER", None)[n % 4], "A-1") for d in range(50) for b in (0, None) for n in range(4)]
+    got = discovery.discover(spark.createDataFrame(lines, "drawing_id string, block_id bigint, line_no int, text string, grid_ref string")).collect()
+    assert read[0] <= 4 and len(got) == 150 and {r.description for r in got} == {"Grout, 30 mm thick", "Grout X, 30 mm thick", "Grout 1200x3100"}
+
+
 def test_close_hashes_and_series_blocks_are_exact(spark, monkeypatch):
     import random
 
