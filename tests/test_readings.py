@@ -129,3 +129,13 @@ def test_numbers_follow_the_order(spark):
     got = {r.d: r.position for r in frames.numbered(df, ["d"]).collect()}
     assert got == {f"d{k:03}": k for k in range(500)}
     assert frames.numbered(df.where("false"), ["d"]).count() == 0
+
+
+def test_a_reading_is_parsed_once(spark):
+    docs = [("ok", "{}"), ("text", "x"), ("list", "[]"), ("null", "null"), ("no list", '{"pedestals": null}'), ("map", '{"grade_slabs": {}}'), ("no map", '{"findings": [1]}'), ("word", '{"title_block": "a"}')]
+    good, bad = readings.parse_readings(spark.createDataFrame(docs, "drawing_id string, value string"))
+    for df in (good, bad):
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [r.drawing_id for r in good.collect()] == ["ok"]
+    want = {"text": "not JSON", "list": "not an object", "null": "not an object", "no list": "pedestals is no list", "map": "grade_slabs is no list", "no map": "findings is no object", "word": "title_block is no object"}
+    assert {r.drawing_id: r.reason for r in bad.collect()} == want
