@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import sized_join, written
+from plumbline.functions.frames import sized_join, spread, written
 from plumbline.functions.numbers import rounded
 
 from .grammar import DIAMETERS, normalised, number
@@ -214,12 +214,6 @@ def discover(lines: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
     return sized_join(lined, found, seen, "inner").select("drawing_id", "block_id", "line_no", "grammar", "at", "kind", "description", "spec", "qty", "basis", "text", "grid_ref")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: rows that are few and small but dear would else end up in one task."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def items_of(rows: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
     """The items of rows (text, context, below), see discover()."""
     wanted = [k for k, name in enumerate(NAMES) if not grammars or name in grammars]
