@@ -1,9 +1,11 @@
 """What the shared steps shuffle and hold: counted in plans, with the same rows as before."""
 
+import re
+
 import pytest
 
 from plumbline.functions import frames
-from plumbline.operators import setviews
+from plumbline.operators import geometry, grammar, setviews
 from plumbline.plans import catalog
 from plumbline.sources import synth
 
@@ -54,3 +56,26 @@ def test_selection_passes_once_over_the_rows(spark, tmp_path):
     got = setviews.apply_selection(spark.read.parquet(f"{tmp_path}/rows"), keys)
     assert got.columns == ["key", "drawing_id", "source", "category"] and plan(got).count("FileScan parquet") == 1
     assert sorted((r.category, str(r.key)) for r in got.collect()) == [("A", "k1"), ("A", "k1"), ("ROLLUP", "None"), ("ROLLUP", "k1"), ("ROLLUP", "k3")]
+
+
+def test_rollups_move_only_the_kinds_they_count(spark, sf):
+    assert len(re.findall(r"as int\) IN \(", plan(catalog.QUERIES["build_bom"](spark, sf)))) >= 2
+
+
+def test_each_different_text_is_scanned_once(spark, monkeypatch):
+    kept, write = [], grammar.written
+    monkeypatch.setattr(grammar, "written", lambda df: kept.append(df.count()) or write(df))
+    rows = [(f"d{k % 3}", 0, 0, k, "150 THK  SLAB" if k % 2 else "150 THK SLAB", "") for k in range(40)] + [("d9", 0, 0, 1, None, ""), ("d9", 0, 0, 2, "NOTES", "")]
+    got = grammar.scan_lines(spark.createDataFrame(rows, "drawing_id string, page int, block_id long, line_no int, text string, grid_ref string")).collect()
+    assert kept == [1] and sorted((r.drawing_id, r.line_no, r.kind, r.f1) for r in got) == [(f"d{k}", k, "thickness", 150.0) for k in range(3)]
+
+
+def test_boxes_of_labels_are_made_once(spark, sf, monkeypatch):
+    kept, write = [], geometry.written
+    monkeypatch.setattr(geometry, "written", lambda df: kept.append(df.columns) or write(df))
+    assert catalog.QUERIES["label_blocks"](spark, sf).count()
+    assert kept == [["drawing_id", "page", "line_id", "x0", "y0", "x1", "y1"]]
+
+
+def test_cells_of_a_sheet_move_before_they_are_rows(spark, sf):
+    assert plan(catalog.QUERIES["set_pivot"](spark, sf)).split("Exchange hashpartitioning")[0].count("Aggregate(") == 2
