@@ -6,7 +6,7 @@ import pytest
 
 from plumbline.functions import frames
 from plumbline.operators import geometry, grammar, setviews
-from plumbline.plans import catalog
+from plumbline.plans import catalog, read_queries
 from plumbline.sources import synth
 
 
@@ -79,3 +79,11 @@ def test_boxes_of_labels_are_made_once(spark, sf, monkeypatch):
 
 def test_cells_of_a_sheet_move_before_they_are_rows(spark, sf):
     assert plan(catalog.QUERIES["set_pivot"](spark, sf)).split("Exchange hashpartitioning")[0].count("Aggregate(") == 2
+
+
+def test_warnings_deal_the_elements_once(spark, sf, no_broadcast, monkeypatch):
+    kept, write = [], read_queries.written
+    monkeypatch.setattr(read_queries, "written", lambda df: kept.append(df.columns) or write(df))
+    text = plan(catalog.QUERIES["plan_warnings"](spark, sf))
+    assert kept == [["drawing_id", "kind_no", "pos", "tag", "quantity"]] and "p_partkey" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(drawing_id#\d+, (?:kind|up)#", text)) == 4  # distinct tags are dealt as their join needs them
