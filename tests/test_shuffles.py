@@ -87,3 +87,8 @@ def test_warnings_deal_the_elements_once(spark, sf, no_broadcast, monkeypatch):
     text = plan(catalog.QUERIES["plan_warnings"](spark, sf))
     assert kept == [["drawing_id", "kind_no", "pos", "tag", "quantity"]] and "p_partkey" not in text
     assert len(re.findall(r"Exchange hashpartitioning\(drawing_id#\d+, (?:kind|up)#", text)) == 4  # distinct tags are dealt as their join needs them
+
+
+def test_rows_that_are_searched_are_dealt_once_for_number_and_bill(spark, sf, no_broadcast):
+    # the elements' rows and their parts, then by drawing; the projects with their customers, then by drawing; the items
+    assert plan(catalog.QUERIES["search_rows"](spark, sf)).count("Exchange hashpartitioning") == 7
