@@ -92,3 +92,16 @@ def test_warnings_deal_the_elements_once(spark, sf, no_broadcast, monkeypatch):
 def test_rows_that_are_searched_are_dealt_once_for_number_and_bill(spark, sf, no_broadcast):
     # the elements' rows and their parts, then by drawing; the projects with their customers, then by drawing; the items
     assert plan(catalog.QUERIES["search_rows"](spark, sf)).count("Exchange hashpartitioning") == 7
+
+
+def test_rows_meet_their_parts_in_as_many_parts_as_by_drawing(spark, sf, no_broadcast, monkeypatch):
+    monkeypatch.setattr(frames, "ROWS_A_PART", 500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    text = plan(catalog.QUERIES["search_rows"](spark, sf))
+    assert re.findall(r"hashpartitioning\([lp]_partkey#\d+L, (\d+)\)", text) == [str(n)] * 2
+
+
+def test_more_parts_leave_a_broadcast_of_the_parts(spark, sf, monkeypatch):
+    monkeypatch.setattr(frames, "ROWS_A_PART", 500)
+    text = plan(catalog.QUERIES["search_rows"](spark, sf))
+    assert "hashpartitioning(l_partkey#" not in text and "BroadcastHashJoin [l_partkey#" in text
