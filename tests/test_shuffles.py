@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions import frames
 from plumbline.operators import geometry, grammar, setviews
@@ -105,3 +106,21 @@ def test_more_parts_leave_a_broadcast_of_the_parts(spark, sf, monkeypatch):
     monkeypatch.setattr(frames, "ROWS_A_PART", 500)
     text = plan(catalog.QUERIES["search_rows"](spark, sf))
     assert "hashpartitioning(l_partkey#" not in text and "BroadcastHashJoin [l_partkey#" in text
+
+
+def test_pieces_of_hashes_are_never_broadcast(spark):
+    # 68 rows a hash: far more than the hashes that Spark judges them by
+    few = spark.range(500).select((F.col("id") * 7919).alias("a"))
+    got = geometry.close_hashes(few, few.withColumnRenamed("a", "b"))
+    assert sum(r.a == r.b for r in got.collect()) == 500
+    assert "Broadcast" not in plan(got)
+
+
+def test_the_series_is_asked_only_for_sheets_short_of_close_ones(spark, monkeypatch):
+    rows = [(f"A-1-1-1-{i}", f"{i % 2:016x}") for i in range(6)] + [("A-1-1-1-9", "f" * 16), ("A-1-1-1-10", None)]
+    asked, series = [], geometry.nearest_of_series
+    monkeypatch.setattr(geometry, "nearest_of_series", lambda q, e, k: asked.extend(r.q_no for r in q.collect()) or series(q, e, k))
+    h = spark.createDataFrame(rows, "drawing_no string, image_hash string")
+    got = geometry.find_similar(h, h, 3).collect()
+    assert sorted(asked) == ["A-1-1-1-10", "A-1-1-1-9"] and len(got) == 24
+    assert {r.tier for r in got if r.q_no not in asked} == {0} and {r.tier for r in got if r.q_no in asked} == {1}
