@@ -6,6 +6,7 @@ import json
 import pytest
 
 from plumbline.functions import frames
+from plumbline.plans import rebuild
 from plumbline.plans.rebuild import rebuild_readings
 from plumbline.sources import readings, versions
 
@@ -139,3 +140,24 @@ def test_a_reading_is_parsed_once(spark):
     assert [r.drawing_id for r in good.collect()] == ["ok"]
     want = {"text": "not JSON", "list": "not an object", "null": "not an object", "no list": "pedestals is no list", "map": "grade_slabs is no list", "no map": "findings is no object", "word": "title_block is no object"}
     assert {r.drawing_id: r.reason for r in bad.collect()} == want
+
+
+def test_a_document_is_looked_into_once_for_all_its_faults(spark):
+    docs = {
+        "fine": '{"_": 1, "responses": ["a", 1, null, [2, "b"], {"x": []}], "title_block": {"_": [1]}, "findings": {"levels": 5}, "pedestals": [], "position_marks": {"P1": "3", "_": 2.0}}',
+        "responses is no list": '{"responses": {"0": 1}}', "grade_slabs is no list": '{"grade_slabs": "none", "title_block": 1}', "transcript_blocks is no list": '{"transcript_blocks": null}',
+        "title_block is no object": '{"title_block": ["x"]}', "findings is no object": '{"findings": null, "discovery": 1}', "discovery is no object": '{"discovery": "{}"}',
+        "a pedestal lacks its tag, sizes or quantity": '{"pedestals": [{"tag": "P1", "length_mm": "1", "width_mm": 1, "quantity": 2}, "P2"], "position_marks": {"P1": null}}', "a position mark has no whole number": '{"position_marks": {"P1": 1, "P2": null}}',
+    }
+    good, bad = readings.parse_readings(spark.createDataFrame(list(docs.items()), "drawing_id string, value string"))
+    assert [r.drawing_id for r in good.collect()] == ["fine"] and {r.reason: r.drawing_id for r in bad.collect()} == {n: n for n in docs if n != "fine"}
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") == 4
+
+
+def test_rules_are_seeded_for_drawings_with_a_slab(spark, folder, monkeypatch):
+    seeded = []
+    monkeypatch.setattr(rebuild, "billed", lambda pedestals, slabs, projects, rules: seeded.append(rules))
+    rebuild.summary_of(folder[0], "all")
+    rows = seeded[0].collect()
+    assert {stem(r.drawing_id) for r in rows} == {"a"} and len(rows) == 7
+    assert {r.rule_key: r.params for r in rows}["curb"] == {"height_m": 0.3, "thickness_m": 0.2}
