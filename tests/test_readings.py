@@ -6,7 +6,7 @@ import json
 import pytest
 
 from plumbline.functions import frames
-from plumbline.plans import rebuild
+from plumbline.plans import bill_queries, rebuild
 from plumbline.plans.rebuild import rebuild_readings
 from plumbline.sources import readings, versions
 
@@ -154,6 +154,11 @@ def test_a_document_is_looked_into_once_for_all_its_faults(spark):
     assert good._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") == 4
 
 
+def test_an_index_bills_nothing(spark, sf, monkeypatch):
+    monkeypatch.setattr(rebuild, "billed", None)
+    assert bill_queries.QUERIES["rebuild_index"](spark, sf).limit(1).count() == 1
+
+
 def test_rules_are_seeded_for_drawings_with_a_slab(spark, folder, monkeypatch):
     seeded = []
     monkeypatch.setattr(rebuild, "billed", lambda pedestals, slabs, projects, rules: seeded.append(rules))
