@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import sized_join, spread, written
+from plumbline.functions.frames import more_parts, sized_join, spread, written
 from plumbline.functions.numbers import rounded
 
 from .grammar import DIAMETERS, normalised, number
@@ -206,21 +206,28 @@ def discover(lines: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
     that has two sizes; a diameter (B21) and a compaction (B24) by those after, continued, else by their block; a
     number a set (B25) by those before or its block; bars (B22) and assemblies (B23) name themselves. Nothing else
     gets a quantity. Lines of null text, without digits or of furniture give none. What a line gives follows from its
-    text, the name its block lends it and the words below, so each different set of these is read once.
+    text, the name its block lends it and the words below, so each different set of these is read once. The rows of a
+    drawing come out together.
     """
-    seen, place = ["text", "context", "below"], ["drawing_id", "block_id", "line_no", "grid_ref"]
-    lined = written(with_labels(lines).where(F.rlike("text", F.lit("[0-9]")) & ~c("furniture")).select(*place, *seen))
-    found = written(items_of(spread(lined.select(*seen).distinct()), grammars))
-    return sized_join(lined, found, seen, "inner").select("drawing_id", "block_id", "line_no", "grammar", "at", "kind", "description", "spec", "qty", "basis", "text", "grid_ref")
+    says, place = ["text", "context", "below"], ["drawing_id", "block_id", "line_no", "grid_ref"]
+    lined = written(with_labels(lines).where(F.rlike("text", F.lit("[0-9]")) & ~c("furniture")).select(*place, *says))
+    seen = written(spread(lined.select(*says).distinct()).withColumn("said", F.monotonically_increasing_id()))
+    found = written(items_of(spread(seen), grammars).drop("context", "below"))
+    # lines move as their place and a number, and what they say is put to them where they are: wide rows needn't move to be merged by drawing
+    placed = sized_join(lined, seen, says, "inner").select(*place, "said")
+    parts = more_parts(lined.sparkSession, lined.count())
+    placed = placed.repartition(parts, "drawing_id") if parts else placed.repartition("drawing_id")
+    return sized_join(placed, found, "said", "inner").select("drawing_id", "block_id", "line_no", "grammar", "at", "kind", "description", "spec", "qty", "basis", "text", "grid_ref")
 
 
 def items_of(rows: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
-    """The items of rows (text, context, below), see discover()."""
+    """The items of rows (text, context, below), see discover(); other columns of the rows go with their items."""
     wanted = [k for k, name in enumerate(NAMES) if not grammars or name in grammars]
     read = sorted({0, *wanted})
-    rows = rows.select("text", "context", "below", tokens_of(c("text")).alias("tokens"))
+    own = ["text", "context", "below", *[x for x in rows.columns if x not in ("text", "context", "below")]]
+    rows = rows.select(*own, tokens_of(c("text")).alias("tokens"))
     rows = rows.withColumns({n: x for k in read for n, x in whole_and_gaps(GRAMMARS[k][1], k).items()}).withColumns({f"h{k}": hits(k) for k in read}).withColumn("box", first_box())
-    keep = ["text", "context", "below", "tokens", "box"]
+    keep = [*own, "tokens", "box"]
     rows = rows.select(*keep, F.explode(F.concat(*[c(f"h{k}") for k in wanted])).alias("hit")).select(*keep, "hit.*")
     rows = rows.withColumns({"after": phrase_after(c("tokens"), c("last")), "before": phrase_before(c("tokens"), c("first"))})
     rows = rows.withColumns({f"t{g}": F.nullif(by_grammar(**{n: F.regexp_extract("m", p, g) for n, p, groups in GRAMMARS if g <= groups}), F.lit("")) for g in range(1, 7)})
@@ -258,7 +265,7 @@ def items_of(rows: DataFrame, grammars: tuple[str, ...] = ()) -> DataFrame:
         diameter=F.concat(shown(n1), F.lit(" mm dia — count not stated on this sheet")), rebar=F.concat(F.trim("m"), F.lit(" — bars per element")), rebar_spacing=F.concat(F.lit("D"), shown(n1), F.lit(" @ "), shown(n2), F.lit(" c/c — run length not stated")),
         assembly=F.concat("m", F.lit(" — "), shown(n2), F.lit(" bolts per set")), compaction=F.concat(shown(n1), F.lit("% compaction — volume not stated on this sheet")), set=F.concat(shown(n1), F.lit(" Nos per set")),
     )
-    return rows.select("text", "context", "below", "grammar", "at", kind.alias("kind"), described_as.alias("description"), spec.alias("spec"), qty.cast("double").alias("qty"), basis.alias("basis"))
+    return rows.select(*own, "grammar", "at", kind.alias("kind"), described_as.alias("description"), spec.alias("spec"), qty.cast("double").alias("qty"), basis.alias("basis"))
 
 
 def spec_of(**sizes: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import frames
-from plumbline.operators import geometry, grammar, setviews
+from plumbline.operators import discovery, geometry, grammar, setviews
 from plumbline.plans import catalog, read_queries
 from plumbline.sources import synth
 
@@ -124,3 +124,13 @@ def test_the_series_is_asked_only_for_sheets_short_of_close_ones(spark, monkeypa
     got = geometry.find_similar(h, h, 3).collect()
     assert sorted(asked) == ["A-1-1-1-10", "A-1-1-1-9"] and len(got) == 24
     assert {r.tier for r in got if r.q_no not in asked} == {0} and {r.tier for r in got if r.q_no in asked} == {1}
+
+
+@pytest.mark.parametrize("rows_a_part", [250_000, 500])
+def test_what_lines_say_is_not_moved_to_be_merged(spark, sf, rows_a_part, monkeypatch):
+    monkeypatch.setattr(frames, "ROWS_A_PART", rows_a_part)
+    merged = catalog.QUERIES["discovered_callouts"](spark, sf)
+    dealt = [x for x in plan(merged).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "hashpartitioning(drawing_id" in dealt[0] and ("REPARTITION_BY_NUM" in dealt[0]) == (rows_a_part == 500)
+    apart = discovery.merge_items(discovery.discover(synth.table(spark, sf, "callouts")).repartition(3))
+    assert merged.count() and merged.exceptAll(apart).count() == 0 == apart.exceptAll(merged).count()
