@@ -6,6 +6,7 @@ import json
 import pytest
 
 from plumbline.functions import frames
+from plumbline.operators import derive
 from plumbline.plans import bill_queries, rebuild
 from plumbline.plans.rebuild import rebuild_readings
 from plumbline.sources import readings, versions
@@ -166,3 +167,15 @@ def test_rules_are_seeded_for_drawings_with_a_slab(spark, folder, monkeypatch):
     rows = seeded[0].collect()
     assert {stem(r.drawing_id) for r in rows} == {"a"} and len(rows) == 7
     assert {r.rule_key: r.params for r in rows}["curb"] == {"height_m": 0.3, "thickness_m": 0.2}
+
+
+def test_parameters_that_nothing_states_are_passed_on(spark):
+    rules = derive.default_rules(spark)
+    found = spark.createDataFrame([("a", 0, "curb_wall", None, 300.0), ("b", 0, "blinding", 50.0, None), ("c", 0, "", None, None), ("d", 0, "epoxy", 5.0, None)], "drawing_id string, seq int, kind string, thickness_mm double, height_mm double")
+    seeded = derive.seed_rules(rules, found)
+    got = {(r.drawing_id, r.rule_key): r.params for r in seeded.collect()}
+    want = {(d, r.rule_key): dict(r.params) for d in "abcd" for r in rules.collect()}
+    want["a", "curb"]["height_m"], want["b", "blinding"]["thickness_m"], want["b", "excavation"]["blinding_thickness_m"], want["d", "epoxy"]["thickness_mm"] = 0.3, 0.05, 0.05, 5.0
+    assert got == want
+    text = seeded._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in text[: text.index("map_concat")] and "ELSE params" in text
